@@ -11,32 +11,29 @@ from pyspark.sql import functions as F
 CONTENT_FREE_TAGS = ("nav", "footer", "header")
 FENCE = "```"
 
-# Characters a text node is stripped of (Unicode white space).
-WS = (
-    r"\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# Characters a text node is stripped of: Unicode white space, as str.strip sees it.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Stands for "a tag was here" until the text nodes are put together again.
 MARK = "\x01"
 
 # One left-to-right pass, so that a comment inside a script (or the reverse) is read correctly.
 OPAQUE = (
-    r"(?is)<!--.*?-->"
-    r"|<script(?=[\s/>])[^>]*>.*?(?:</script[^>]*>|\z)"
-    r"|<style(?=[\s/>])[^>]*>.*?(?:</style[^>]*>|\z)"
+    r"(?s)<(?:!--.*?-->"
+    r"|(?i:script)(?=[\s/>])[^>]*>.*?(?:</(?i:script)[^>]*>|\z)"
+    r"|(?i:style)(?=[\s/>])[^>]*>.*?(?:</(?i:style)[^>]*>|\z))"
 )
 LD_SCRIPT = r"(?is)^<script\s(?:[^>]*[\s\"'/])?type\s*=\s*[\"']?application/ld\+json[\"'\s/>].*"
 SCRIPT_BODY = r"(?is)^<script[^>]*>(.*?)(?:</script[^>]*>)?\z"
 TIME_TAG = (
-    r"(?is)<time\s(?:[^>]*?[\s\"'/])?datetime\s*=\s*"
-    r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>.*?</time\s*>"
+    r"(?s)<(?i:time)\s(?:[^>]*?[\s\"'/])?(?i:datetime)\s*=\s*"
+    r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>.*?</(?i:time)\s*>"
 )
 # Innermost block of its own kind: possessive groups run as loops, without recursion.
 _KINDS = "|".join(CONTENT_FREE_TAGS)
 DROPPED_BLOCK = (
-    rf"(?i)<({_KINDS})(?=[\s/>])[^>]*>[^<]*+(?:<(?!/?\1[\s/>])[^<]*+)*+</\1[^>]*>"
+    rf"<((?i:{_KINDS}))(?=[\s/>])[^>]*>[^<]*+(?:<(?!/?(?i:\1)[\s/>])[^<]*+)*+</(?i:\1)[^>]*>"
 )
-DROPPED_CLOSE = rf"(?i)</(?:{_KINDS})[\s/>]"
+DROPPED_CLOSE = rf"</(?i:{_KINDS})[\s/>]"
 ANY_TAG = r"<(?:[!?]|/?[a-zA-Z])(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>"
 
 ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
@@ -115,7 +112,9 @@ def drop_blocks(html: Column) -> Column:
 
 def _code_point(number: Column) -> Column:
     """Character for a numeric reference; 128-159 are read as Windows-1252, as browsers do."""
-    cp1252 = F.array(*[F.lit(bytes([i]).decode("cp1252", "replace")) for i in range(128, 160)])
+    cp1252 = F.split(
+        F.lit(" ".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))), " "
+    )
     bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
     return (
         F.when(bad, F.lit("�"))
@@ -126,9 +125,11 @@ def _code_point(number: Column) -> Column:
 
 def _entity(match: Column) -> Column:
     body = F.regexp_replace(match, "^&|;$", "")
-    # Names come from the standard library's table, not from a list kept here.
-    names = F.create_map(
-        *[F.lit(x) for n, cp in sorted(html.entities.name2codepoint.items()) for x in (n, chr(cp))]
+    # Names come from the standard library's table; two literals that fold into one map.
+    known = sorted(html.entities.name2codepoint.items())
+    names = F.map_from_arrays(
+        F.split(F.lit(" ".join(n for n, _ in known)), " "),
+        F.split(F.lit(" ".join(chr(c) for _, c in known)), " "),
     )
     numeric = F.when(
         F.substring(body, 2, 1).isin("x", "X"),
@@ -157,7 +158,7 @@ def unescape(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def html_clean(html: Column) -> Column:
@@ -166,11 +167,14 @@ def html_clean(html: Column) -> Column:
         drop_scripts(html),
         lambda h: F.regexp_replace(drop_blocks(time_tag(h)), ANY_TAG, MARK),
     )
-    lines = let(
-        marked,
-        lambda t: F.regexp_replace(unescape(t), rf"[{WS}]*{MARK}[{WS}{MARK}]*", "\n"),
+    nodes = let(marked, lambda t: F.split(unescape(t), MARK, -1))
+    lines = F.array_join(F.filter(F.transform(nodes, strip), lambda n: n != ""), "\n")
+    return let(
+        lines,
+        lambda t: F.when(
+            F.contains(t, F.lit("\n\n\n")), F.regexp_replace(t, r"\n{3,}", "\n\n")
+        ).otherwise(t),
     )
-    return F.regexp_replace(strip(lines), r"\n{3,}", "\n\n")
 
 
 def html_title(html: Column) -> Column:

@@ -11,6 +11,7 @@ from ..functions.values import estimated_tokens
 from ..sources.captures import capture_status
 
 TOKEN_BUDGET = 150_000  # fixed value: estimated tokens of one page
+PAGE_RANGE = 1024  # page numbers generated per row
 
 
 def page_count() -> Column:
@@ -19,12 +20,22 @@ def page_count() -> Column:
 
 
 def page_offsets(targets: DataFrame) -> DataFrame:
-    """Every page a run may visit, with its offset and URL."""
-    pages = F.when(
-        page_count() > 0, F.sequence(F.lit(0), page_count() - 1)
-    ).otherwise(F.array().cast("array<int>"))
-    rows = targets.withColumn("page_num", F.explode(pages)).withColumn(
-        "page_offset", F.col("page_num") * F.col("pagination_step")
+    """Every page a run may visit, with its offset and URL.
+
+    Page numbers are generated by ranges, so a very high limit never becomes one large array.
+    """
+    last = page_count() - 1
+    rows = (
+        targets.filter(last >= 0)
+        .withColumn("range", F.explode(F.sequence(F.lit(0), last, F.lit(PAGE_RANGE))))
+        .withColumn(
+            "page_num",
+            F.explode(
+                F.sequence(F.col("range"), F.least(last, F.col("range") + (PAGE_RANGE - 1)))
+            ),
+        )
+        .drop("range")
+        .withColumn("page_offset", F.col("page_num") * F.col("pagination_step"))
     )
     return rows.withColumn(
         "page_url",

@@ -62,30 +62,37 @@ def numbered_pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
 
 
 def targets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One target per site, with absent, partial and full pagination blocks."""
-    first = F.col("site_ord")
+    """One target per site: most with a page limit above the pages there are, so that a run reads
+    whole sites; some with a partial or no pagination block."""
+    kind = F.col("site_ord") % 9
     block = F.when(
-        first % 3 == 1,
+        kind == 1,
         F.struct(
             F.lit("page").alias("param"),
             F.lit(None).cast("int").alias("step"),
             F.lit(None).cast("int").alias("max_pages"),
         ),
     ).when(
-        first % 3 == 2,
+        kind > 1,
         F.struct(
-            F.lit("start").alias("param"), F.lit(10).alias("step"), F.lit(8).alias("max_pages")
+            F.lit("start").alias("param"),
+            F.lit(10).alias("step"),
+            (F.col("n") + 2).cast("int").alias("max_pages"),
         ),
     )
     return (
         site_pages(spark, sf_dir)
         .groupBy("site_name")
-        .agg(F.min("page_id").alias("site_ord"), F.min_by("url", "page_id").alias("url"))
+        .agg(
+            F.min("page_id").alias("site_ord"),
+            F.min_by("url", "page_id").alias("url"),
+            F.count("*").alias("n"),
+        )
         .select(
             "site_ord",
             F.col("site_name").alias("name"),
             "url",
-            F.when(first % 4 == 1, "playwright").otherwise("http").alias("scrape_tier"),
+            F.when(F.col("site_ord") % 4 == 1, "playwright").otherwise("http").alias("scrape_tier"),
             block.alias("pagination"),
         )
     )

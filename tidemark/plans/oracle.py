@@ -37,11 +37,15 @@ PG = rf"""pg AS (
 TG = f"""tg AS (
   SELECT site_name AS name, min(page_id) AS site_ord, arg_min(url, page_id) AS url,
          CASE WHEN min(page_id) % 4 = 1 THEN 'playwright' ELSE 'http' END AS scrape_tier,
-         CASE min(page_id) % 3 WHEN 1 THEN 'page' WHEN 2 THEN 'start' END AS param,
-         CASE min(page_id) % 3 WHEN 2 THEN 10 ELSE 20 END AS step,
-         CASE min(page_id) % 3 WHEN 2 THEN 8 ELSE 5 END AS max_pages
+         CASE min(page_id) % 9 WHEN 0 THEN NULL WHEN 1 THEN 'page' ELSE 'start' END AS param,
+         CASE WHEN min(page_id) % 9 > 1 THEN 10 ELSE 20 END AS step,
+         CASE WHEN min(page_id) % 9 > 1 THEN count(*) + 2 ELSE 5 END AS max_pages
   FROM (SELECT *, {SITE} AS site_name FROM pages) GROUP BY site_name)"""
 
+# Every page a run may visit.
+EXPECTED = """ex AS (
+  SELECT *, CAST(unnest(range(CASE WHEN param IS NULL THEN 1 ELSE max_pages END)) AS INTEGER) AS page_num FROM tg)"""
+
 SEEN = f"""seen AS (
   SELECT {KEY} AS dedup_key, min(page_id) AS page_id FROM pages WHERE page_id % 5 = 0 GROUP BY 1)"""
 

@@ -39,10 +39,11 @@ _TEXT = f"""concat_ws(chr(10),
   {o.clean('html')})"""
 
 RUN = f"""{o.PG}, {o.TG}, {o.SEEN}, {o.HEALTH},
+{o.EXPECTED},
 expected AS (
-  SELECT name AS site_name, site_ord, scrape_tier, CAST(p AS INTEGER) AS page_num,
-         CASE WHEN param IS NULL THEN url ELSE {o.with_param('url', 'param', 'CAST(p * step AS VARCHAR)')} END AS page_url
-  FROM tg, range(8) r(p) WHERE p < CASE WHEN param IS NULL THEN 1 ELSE max_pages END),
+  SELECT name AS site_name, site_ord, scrape_tier, page_num,
+         CASE WHEN param IS NULL THEN url ELSE {o.with_param('url', 'param', 'CAST(page_num * step AS VARCHAR)')} END AS page_url
+  FROM ex),
 rd AS (
   SELECT e.site_name, e.site_ord, e.page_num, e.page_url, pg.page_id, pg.job_id, pg.url, pg.day,
          CASE WHEN scrape_tier = 'http' AND page_id % 6 <> 0 THEN 'http' WHEN page_id % 30 <> 0 THEN 'playwright' END AS tier_used,

@@ -66,10 +66,10 @@ def page_url(spark, sf):
 
 
 @query(f"""
-WITH {o.TG}
-SELECT name, CAST(p AS INTEGER) AS page_num, CAST(p * step AS INTEGER) AS page_offset,
-       CASE WHEN param IS NULL THEN url ELSE {o.with_param('url', 'param', 'CAST(p * step AS VARCHAR)')} END AS page_url
-FROM tg, range(8) r(p) WHERE p < CASE WHEN param IS NULL THEN 1 ELSE max_pages END""")
+WITH {o.TG}, {o.EXPECTED}
+SELECT name, page_num, CAST(page_num * step AS INTEGER) AS page_offset,
+       CASE WHEN param IS NULL THEN url ELSE {o.with_param('url', 'param', 'CAST(page_num * step AS VARCHAR)')} END AS page_url
+FROM ex""")
 def page_offsets(spark, sf):
     from ..sources.targets import site_targets
 
