@@ -52,7 +52,7 @@ def run(
     reply_tokens: tuple[int, int] = (0, 0),
     title: str = "Posting digest",
 ) -> dict[str, DataFrame]:
-    """All outputs of one run. ``run_at`` is the only clock.
+    """All outputs of one run but the digest (``digest_of``). ``run_at`` is the only clock.
 
     ``pages`` needs ``tier_used``, ``readable`` and ``input_tokens`` for every page that could be
     read; ``reply_tokens`` are the output tokens charged per page read and per posting matched.
@@ -111,7 +111,6 @@ def run(
     stale = incremental.stale_sites(health_next).join(
         results.select("site_name", "site_ord"), "site_name"
     )
-    run_errors = report.run_errors(results)
     return {
         "visited": visited,
         "new_postings": new,
@@ -119,17 +118,22 @@ def run(
         "matches": matches,
         "site_results": results,
         "run_summary": summary,
-        "run_errors": run_errors,
+        "run_errors": report.run_errors(results),
         "failures": report.failure_rows(
             errors.withColumn("error_type", F.lit("ScrapingFailedError")), now, title
         ),
         "stale_sites": stale,
         "seen_new": incremental.seen_rows(new, scores, now),
         "health_next": health_next,
-        "digest": report.digest(matches, summary, run_errors, stale, title),
     }
 
 
+def digest_of(outputs: dict[str, DataFrame], title: str = "Posting digest") -> DataFrame:
+    """Message pieces of a run."""
+    parts = ("matches", "run_summary", "run_errors", "stale_sites")
+    return report.digest(*(outputs[p] for p in parts), title=title)
+
+
 def full_run(
     captures: DataFrame, targets: DataFrame, profiles: DataFrame, seen: DataFrame,
     health: DataFrame, run_at: datetime.datetime, **options,
