@@ -105,7 +105,28 @@ def usage_cost(step: str, input_tokens: Column, output_tokens: Column) -> Column
 
 
 def cost_str(cost: Column) -> Column:
-    return F.format_string("$%.4f", cost)
+    """Dollars with four decimals, rounded by the exact binary value of a cost >= 0.
+
+    ``format_string`` rounds the shortest decimal form instead and differs on near ties. Here the
+    distance to the tie is exact: the cost is split in two halves whose multiples have no error.
+    """
+
+    def rounded(c: Column) -> Column:
+        scaled = F.floor(c * 10_000)
+        high = c * 134_217_729.0 - (c * 134_217_729.0 - c)
+        past_tie = (high * 20_000 - (scaled * 2 + 1)) + (c - high) * 20_000
+        up = (past_tie > 0) | ((past_tie == 0) & (scaled % 2 == 1))
+        return scaled + F.when(up, 1).otherwise(0)
+
+    return let(
+        rounded(cost),
+        lambda n: F.concat(
+            F.lit("$"),
+            F.floor(n / 10_000).cast("string"),
+            F.lit("."),
+            F.lpad((n % 10_000).cast("string"), 4, "0"),
+        ),
+    )
 
 
 def run_time_str(run_at: Column) -> Column:

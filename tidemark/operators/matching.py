@@ -74,18 +74,25 @@ def posting_x_profile(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     return postings.withColumn("profiles", names.scalar())
 
 
+def by_posting(postings: DataFrame) -> DataFrame:
+    """Posting texts spread by key: the one shuffle of a match, reused where it recurs."""
+    return postings.select("dedup_key", "description").repartition("dedup_key")
+
+
 def term_scores(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     """Share of each profile's terms that a posting has, for pairs with a term in common.
 
-    An inner join on terms. Spark broadcasts the profile terms while they are below its size
-    limit; then postings that come hash-partitioned by ``dedup_key`` (from ``first_occurrence`` or
-    ``new_postings``) are scored without any further shuffle, else only pair counts move. Above
-    the limit both sides shuffle by term and a frequent term is split by adaptive skew handling.
+    An inner join on terms. Texts are spread by posting first, so that counting and ranking need
+    no shuffle of (posting, profile) pairs. Spark broadcasts the profile terms while they are
+    below its size limit; above it both sides shuffle by term, and a frequent term is split by
+    adaptive skew handling.
     """
     wanted = profile_terms(profiles).select(
         "filename", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
     )
-    offered = postings.select("dedup_key", F.explode(terms(F.col("description"))).alias("term"))
+    offered = by_posting(postings).select(
+        "dedup_key", F.explode(terms(F.col("description"))).alias("term")
+    )
     return (
         offered.join(wanted, "term")
         .groupBy("dedup_key", "filename", "n_terms")
@@ -133,17 +140,19 @@ def match_scores(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     ).drop("n_shared", "n_terms")
 
 
-def with_gaps(matches: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Add the first missing terms; meant for matches that are reported, after the threshold."""
-    texts = postings.select("dedup_key", "description")
+def with_gaps(
+    matches: DataFrame, postings: DataFrame, profiles: DataFrame, all_terms: bool = False
+) -> DataFrame:
+    """Add the first missing terms (or all); meant for reported matches, after the threshold."""
     best = profile_terms(profiles).select(
         F.col("filename").alias("best_filename"), F.col("terms").alias("best_terms")
     )
     gaps = missing_keywords(terms(F.col("description")), F.col("best_terms"))
     return (
-        matches.join(texts, "dedup_key")
+        by_posting(postings)
+        .join(matches, "dedup_key")
         .join(best, "best_filename")
-        .withColumn("missing_keywords", missing_top8(gaps))
+        .withColumn("missing_keywords", gaps if all_terms else missing_top8(gaps))
         .drop("description", "best_terms")
     )
 

@@ -452,22 +452,10 @@ def lexical_match(spark, sf):
 
 
 def _gaps(spark, sf):
-    from ..functions.text import terms
-
-    best = matching.best_and_runner_up(
-        matching.term_scores(b.documents(spark, sf), b.profiles(spark, sf))
-    ).select("dedup_key", "best_filename")
-    known = matching.profile_terms(b.profiles(spark, sf)).withColumnsRenamed(
-        {"filename": "best_filename", "terms": "best_terms"}
-    )
-    return (
-        b.documents(spark, sf)
-        .join(best, "dedup_key")
-        .join(known, "best_filename")
-        .select(
-            "dedup_key",
-            matching.missing_keywords(terms(F.col("description")), F.col("best_terms")).alias("gaps"),
-        )
+    docs, known = b.documents(spark, sf), b.profiles(spark, sf)
+    best = matching.match_scores(docs, known).select("dedup_key", "best_filename")
+    return matching.with_gaps(best, docs, known, all_terms=True).select(
+        "dedup_key", F.col("missing_keywords").alias("gaps")
     )
 
 
