@@ -45,40 +45,53 @@ def page_offsets(targets: DataFrame) -> DataFrame:
     )
 
 
+def in_scope(captures: DataFrame, targets: DataFrame) -> DataFrame:
+    """Captures below their target's page limit, with the target's order and tier.
+
+    The only join of wide rows with the site list. The list is a small table of known size, so
+    Spark broadcasts it; a very long list is shuffled, and a site with a large share of all
+    captures is then split by adaptive skew handling.
+    """
+    keep = [c for c in ("site_ord", "scrape_tier") if c in targets.columns]
+    scope = targets.select(F.col("name").alias("site_name"), *keep, page_count().alias("page_limit"))
+    return (
+        captures.join(scope, "site_name")
+        .filter(F.col("page_num") < F.col("page_limit"))
+        .drop("page_limit")
+    )
+
+
 def page_limit(pages: DataFrame, targets: DataFrame) -> DataFrame:
     """Captured pages below their target's page limit."""
-    limits = targets.select(F.col("name").alias("site_name"), page_count().alias("page_limit"))
-    return pages.join(limits, "site_name").filter(F.col("page_num") < F.col("page_limit")).drop(
-        "page_limit"
-    )
+    return in_scope(pages, targets).select(*pages.columns)
 
 
-def tier_fallback(captures: DataFrame, targets: DataFrame) -> DataFrame:
+def tier_fallback(captures: DataFrame, targets: DataFrame | None = None) -> DataFrame:
     """The capture to use per page: http first where the target says so, else the browser's.
 
-    Rows of the first tier flow through without a shuffle; only the fallback tier is compared,
-    by key, with the pages the first tier answered.
+    ``targets`` may be left out for captures from ``in_scope``. Rows of the first tier flow
+    through without a shuffle; only the fallback tier is compared, by page, with the pages the
+    first tier answered.
     """
-    tiers = targets.select(F.col("name").alias("site_name"), "scrape_tier")
-    usable = (
-        capture_status(captures)
-        .filter(F.col("html").isNotNull())
-        .select("site_name", "page_num", "url", "html", F.col("tier").alias("tier_used"))
-        .join(tiers, "site_name")
-    )
-    first = usable.filter((F.col("scrape_tier") == "http") & (F.col("tier_used") == "http"))
-    second = usable.filter(F.col("tier_used") == "playwright").join(
+    if targets is not None:
+        tiers = targets.select(F.col("name").alias("site_name"), "scrape_tier")
+        captures = captures.join(tiers, "site_name")
+    usable = capture_status(captures).filter(F.col("html").isNotNull())
+    first = usable.filter((F.col("scrape_tier") == "http") & (F.col("tier") == "http"))
+    second = usable.filter(F.col("tier") == "playwright").join(
         first.select("site_name", "page_num"), ["site_name", "page_num"], "left_anti"
     )
-    return first.unionByName(second).drop("scrape_tier")
+    return (
+        first.unionByName(second)
+        .withColumnRenamed("tier", "tier_used")
+        .drop("scrape_tier", "status", "reason")
+    )
 
 
 def page_text(chosen: DataFrame) -> DataFrame:
+    """Title and clean text instead of the HTML."""
     return chosen.select(
-        "site_name",
-        "page_num",
-        "url",
-        "tier_used",
+        *[c for c in chosen.columns if c != "html"],
         html_title(F.col("html")).alias("title"),
         html_clean(F.col("html")).alias("text"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import posted_at
+from ..sources.staging import stage
 
 POSTING_ORDER = ["site_ord", "page_num", "pos"]
 STALE_AFTER = 3  # fixed value: runs in a row without a posting
@@ -32,6 +33,12 @@ def first_occurrence(
     return postings.withColumn("_rank", F.row_number().over(window)).filter("_rank = 1").drop("_rank")
 
 
+def new_first_occurrence(postings: DataFrame, seen: DataFrame) -> DataFrame:
+    """New postings of a run, one per key: duplicates go first, so that frequent keys are down to
+    one row before they meet the store."""
+    return new_postings(first_occurrence(postings), seen)
+
+
 def page_newness(postings: DataFrame, seen: DataFrame) -> DataFrame:
     """New postings per page: not in the store and first of their key within the site."""
     first_pages = postings.groupBy("site_name", "dedup_key").agg(
@@ -99,11 +106,12 @@ def site_cuts(pages: DataFrame) -> DataFrame:
 def visited_pages(pages: DataFrame) -> DataFrame:
     """Pages up to and including the first stop and before the first failure.
 
-    ``pages`` needs ``stop`` and ``failed``. The cut is a partial aggregate per site joined back,
-    so no site is ever gathered and sorted in one task.
+    ``pages`` needs ``stop`` and ``failed``. The cuts are a partial aggregate, written as a table
+    of one row per site: its size is known to the join back, and a site with a large share of all
+    pages is neither gathered nor sorted in one task.
     """
     return (
-        pages.join(site_cuts(pages), "site_name")
+        pages.join(stage(site_cuts(pages), "cuts"), "site_name")
         .filter(
             (F.col("stop_page").isNull() | (F.col("page_num") <= F.col("stop_page")))
             & (F.col("fail_page").isNull() | (F.col("page_num") < F.col("fail_page")))
@@ -156,11 +164,15 @@ def health_upsert(old: DataFrame, counts: DataFrame, run_at: Column) -> DataFram
 def zero_streak(runs: DataFrame) -> DataFrame:
     """Per site, from a run history: zero runs since the last success, and that success.
 
-    Two partial aggregates and a join by site; history is never sorted per site.
+    Two partial aggregates and a join by site with a written table of one row per site; history
+    is never sorted per site.
     """
     success = F.col("job_count") > 0
-    last = runs.groupBy("site_name").agg(
-        F.max(F.when(success, F.col("run_at"))).alias("last_success_at")
+    last = stage(
+        runs.groupBy("site_name").agg(
+            F.max(F.when(success, F.col("run_at"))).alias("last_success_at")
+        ),
+        "last-success",
     )
     after = F.col("last_success_at").isNull() | (F.col("run_at") > F.col("last_success_at"))
     return (

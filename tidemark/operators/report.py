@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import cost_str, run_time_str, score_pct
+from ..sources.staging import stage
 
 MAX_PART_CHARS = 4000  # fixed value: characters of one message
 CHUNK_SITES = 4096  # sites whose company blocks are packed by one task
@@ -350,13 +351,17 @@ def digest(
 
     blocks = company_blocks(matches)
     parts = message_pack(blocks, head["chars"], limit)
-    placed = blocks.join(parts, "company").select(
-        "company", "part_no", F.struct("site_ord", "page_num", "pos").alias("block_ord")
+    # One row per company, written once; its size is known where matches are joined to it.
+    placed = stage(
+        blocks.join(parts, "company").select(
+            "company", "part_no", F.struct("site_ord", "page_num", "pos").alias("block_ord")
+        ),
+        "placed",
     )
     part, block = F.col("part_no"), F.col("block_ord")
     own = F.struct("site_ord", "page_num", "pos")
-    last = parts.agg(F.max("part_no")).scalar()
-    headers = parts.select("part_no").distinct().withColumn(
+    last = placed.agg(F.max("part_no")).scalar()
+    headers = placed.select("part_no").distinct().withColumn(
         "text", summary.select(header).scalar()
     )
     gap = stale.agg(F.count("*").alias("n")).filter("n > 0")
@@ -393,7 +398,9 @@ PIECE_ORDER = ["part_no", "section", "block_ord", "is_line", "line_ord"]
 
 def messages(pieces: DataFrame, most: int = 16 * MAX_PART_CHARS) -> DataFrame:
     """Part texts. Parts above ``most`` characters keep NULL here and are read as pieces."""
-    sizes = pieces.groupBy("part_no").agg(F.sum(F.length("text")).alias("chars"))
+    sizes = stage(
+        pieces.groupBy("part_no").agg(F.sum(F.length("text")).alias("chars")), "part-sizes"
+    )
     ordered = F.array_sort(F.collect_list(F.struct(*PIECE_ORDER[1:], "text")))
     texts = (
         pieces.join(sizes.filter(F.col("chars") <= most).select("part_no"), "part_no", "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.urls import site_of
 from ..functions.values import dedup_key, dedup_type, parse_time
 from ..sources.profiles import labelled
+from ..sources.staging import stage
 
 RANK_CHUNK = 4096
 
@@ -63,7 +64,7 @@ def numbered_pages(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
 
 def targets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One target per site: most with a page limit above the pages there are, so that a run reads
-    whole sites; some with a partial or no pagination block."""
+    whole sites; some with a partial or no pagination block. Written out, as a site list is."""
     kind = F.col("site_ord") % 9
     block = F.when(
         kind == 1,
@@ -80,21 +81,20 @@ def targets_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("n") + 2).cast("int").alias("max_pages"),
         ),
     )
-    return (
-        site_pages(spark, sf_dir)
-        .groupBy("site_name")
-        .agg(
-            F.min("page_id").alias("site_ord"),
-            F.min_by("url", "page_id").alias("url"),
-            F.count("*").alias("n"),
-        )
-        .select(
+    sites = site_pages(spark, sf_dir).groupBy("site_name").agg(
+        F.min("page_id").alias("site_ord"),
+        F.min_by("url", "page_id").alias("url"),
+        F.count("*").alias("n"),
+    )
+    return stage(
+        sites.select(
             "site_ord",
             F.col("site_name").alias("name"),
             "url",
             F.when(F.col("site_ord") % 4 == 1, "playwright").otherwise("http").alias("scrape_tier"),
             block.alias("pagination"),
-        )
+        ),
+        "targets",
     )
 
 
@@ -154,8 +154,8 @@ def page_postings(pages: DataFrame) -> DataFrame:
 
 
 def seen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store of an earlier run: the keys of every 5th page."""
-    return (
+    """Store of an earlier run, as a written table: the keys of every 5th page."""
+    rows = (
         page_postings(site_pages(spark, sf_dir).filter("page_id % 5 = 0"))
         .groupBy("dedup_key", "dedup_type")
         .agg(F.min("page_id").alias("page_id"))
@@ -169,6 +169,7 @@ def seen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("2024-01-15 12:00:00").cast("timestamp").alias("seen_at"),
         )
     )
+    return stage(rows, "seen")
 
 
 def health_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,28 +230,25 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = (F.col("o_orderkey") % 5000).alias("key")
-    return (
+    store = (
         table(spark, sf_dir, "orders")
         .select(keys)
         .filter("key % 4 <> 3")
         .select(F.col("key").cast("string").alias("dedup_key"))
         .distinct()
     )
+    return stage(store, "order-seen")
 
 
 def order_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("o_custkey") % 50
     at = F.date_add(F.lit("1997-01-01").cast("date"), (F.col("n") * 30).cast("int")).cast("timestamp")
-    return (
-        table(spark, sf_dir, "orders")
-        .select(number.alias("n"))
-        .distinct()
-        .filter("n % 6 <> 1")
-        .select(
-            F.format_string("site-%02d", "n").alias("site_name"),
-            F.when(F.col("n") % 6 != 0, at + F.expr("interval 12 hours")).alias("last_success_at"),
-        )
+    sites = table(spark, sf_dir, "orders").select(number.alias("n")).distinct()
+    health = sites.filter("n % 6 <> 1").select(
+        F.format_string("site-%02d", "n").alias("site_name"),
+        F.when(F.col("n") % 6 != 0, at + F.expr("interval 12 hours")).alias("last_success_at"),
     )
+    return stage(health, "order-health")
 
 
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:

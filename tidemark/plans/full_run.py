@@ -26,10 +26,8 @@ def discover(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
 
     ``targets`` is flat (``sources.targets.site_targets``) and carries ``site_ord``.
     """
-    orders = targets.select(F.col("name").alias("site_name"), "site_ord")
-    chosen = capture.tier_fallback(capture.page_limit(captures, targets), targets)
-    text = capture.page_text(chosen).join(orders, "site_name")
-    read = extract.extract_postings(text, keep=["tier_used"]).withColumns(
+    chosen = capture.tier_fallback(capture.in_scope(captures, targets))
+    read = extract.extract_postings(capture.page_text(chosen), keep=["tier_used"]).withColumns(
         {
             "readable": capture.in_budget(F.col("description")),
             "input_tokens": estimated_tokens(F.col("description")),
@@ -70,8 +68,8 @@ def run(
         narrow,
         seen,
     )
-    judged = incremental.freshness_stop(stats, health_now)
-    visited = stage(incremental.visited_pages(judged), "visited")
+    judged = stage(incremental.freshness_stop(stats, health_now), "judged")
+    visited = incremental.visited_pages(judged)
     errors = expected.filter("page_num = 0").join(pages, PAGE, "left_anti").select(
         "site_name",
         F.format_string(
@@ -81,9 +79,7 @@ def run(
 
     # Which postings are new, and how they score.
     found = narrow.join(visited.select(*PAGE), PAGE, "left_semi")
-    new = stage(
-        incremental.first_occurrence(incremental.new_postings(found, seen)), "new"
-    )
+    new = stage(incremental.new_first_occurrence(found, seen), "new")
     texts = postings.select(*POSTING, "description").join(
         new.select(*POSTING, "dedup_key"), POSTING
     )
