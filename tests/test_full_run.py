@@ -1,13 +1,14 @@
 """Runs end to end on small captures."""
 
 import datetime
+import json
 
 import pytest
 
 from tidemark.operators import incremental as inc
-from tidemark.operators import report
+from tidemark.operators import matching, report
 from tidemark.plans import full_run as fr
-from tidemark.sources import schemas
+from tidemark.sources import schemas, stores
 
 RUN_AT = datetime.datetime(2024, 2, 1, 6)
 SITES = [
@@ -83,3 +84,58 @@ def test_new_and_seen_make_up_found(spark, inputs):
     new, known = inc.new_postings(postings, seen), inc.seen_postings(postings, seen)
     assert new.count() + known.count() == postings.count()
     assert known.count() == 3
+
+
+def test_run_on_replies(spark, inputs):
+    """Extraction and match replies instead of the rule-based reader and the lexical score."""
+    jobs = [{"title": "One", "url": "/j/1", "job_id": "1", "description": "d"}, {"title": "Two", "url": "", "job_id": None}]
+    replies = [
+        ("Acme", 0, json.dumps({"jobs": jobs}), 1000, 100),
+        ("Acme", 1, "no json", 1000, 100),
+        ("Late", 0, "```json\n" + json.dumps({"jobs": jobs[:1]}) + "\n```", 1000, 100),
+    ]
+    extraction = spark.createDataFrame(replies, "site_name string, page_num int, text string, input_tokens bigint, output_tokens bigint")
+    pages, postings = fr.discover_from_replies(inputs["captures"], inputs["targets"], extraction)
+    answers = [("1", json.dumps({"best_resume_filename": "a.md", "best_score": 0.9, "missing_keywords": ["k8s"],
+                                 "runner_up_filename": "zz.md", "runner_up_score": 0.5}), 1000, 100)]
+    matched = spark.createDataFrame(answers, "dedup_key string, text string, input_tokens bigint, output_tokens bigint")
+    out = fr.run(inputs["targets"], pages, postings, inputs["profiles"], inputs["seen"], inputs["health"], RUN_AT,
+                 score=lambda texts, profiles: matching.reply_scores(matched))
+    sites = {r["site_name"]: r for r in out["site_results"].collect()}
+    # Acme page 1 has no posting, which ends its reading; Late's posting has the key of Acme's.
+    assert [sites["Acme"][c] for c in ("jobs_found", "new_jobs", "n_matches")] == [2, 2, 1]
+    assert [sites["Late"][c] for c in ("jobs_found", "new_jobs", "n_matches")] == [1, 0, 0]
+    assert sites["Acme"]["cost_usd"] == pytest.approx(0.0008 + 0.0004 + 0.003 + 0.0015)
+    (match,) = out["matches"].collect()
+    assert (match["title"], match["best_label"], match["missing_keywords"]) == ("One", "A", ["k8s"])
+    assert (match["runner_up_label"], match["runner_up_score"]) == (None, 0.5)
+    seen = {r["title"]: r["match_score"] for r in out["seen_new"].collect()}
+    assert seen == {"One": 0.9, "Two": None}
+
+
+def test_job_writes_stores_and_gates_only_the_digest(spark, inputs, tmp_path):
+    from tidemark import job
+
+    inputs["captures"].write.parquet(str(tmp_path / "captures"))
+    sites = [{"name": s[1], "url": s[2], "scrape_tier": s[3], "pagination": {"param": s[4], "step": s[5], "max_pages": s[6]}} for s in SITES]
+    (tmp_path / "targets.yaml").write_text(json.dumps({"sites": sites}))
+    (tmp_path / "profiles").mkdir()
+    (tmp_path / "profiles" / "a.md").write_text("spark sql python")
+
+    def arguments(n, *more):
+        return job.parse([
+            "--captures", str(tmp_path / "captures"), "--targets", str(tmp_path / "targets.yaml"),
+            "--profiles", str(tmp_path / "profiles"), "--seen", str(tmp_path / "seen"),
+            "--health-in", str(tmp_path / f"health{n - 1}"), "--health-out", str(tmp_path / f"health{n}"),
+            "--digest", str(tmp_path / f"digest{n}"), "--run-id", f"r{n}", *more,
+        ])
+
+    assert job.main(spark, arguments(1, "--dry-run"), RUN_AT) == 1
+    assert not (tmp_path / "digest1").exists()
+    assert stores.read_seen(spark, str(tmp_path / "seen")).count() == 5
+    assert job.main(spark, arguments(2), RUN_AT + datetime.timedelta(hours=2)) == 1
+    assert stores.read_seen(spark, str(tmp_path / "seen")).count() == 5
+    (message,) = report.messages(spark.read.parquet(str(tmp_path / "digest2"))).collect()
+    assert "no new matches" in message["text"]
+    health = {r[0]: r[1] for r in stores.read_health(spark, str(tmp_path / "health2")).collect()}
+    assert health == {"Acme": 0, "Down": 2, "Late": 0}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip_fences, terms
+from ..functions.values import usage_cost
 
 THRESHOLD = 0.70  # fixed value: lowest score that is reported
 MAX_MISSING = 8  # fixed value: missing terms listed per match
@@ -223,6 +224,12 @@ def resolve_profile(parsed: DataFrame, profiles: DataFrame) -> DataFrame:
     return labelled.withColumn("runner_up_filename", F.when(known, F.col("runner_up_filename")))
 
 
+def reply_scores(replies: DataFrame) -> DataFrame:
+    """Match replies as scores of a run, each with its cost; unreadable ones are paid as well."""
+    paid = usage_cost("match", F.col("input_tokens"), F.col("output_tokens"))
+    return parse_match(replies).join(replies.select("dedup_key", paid.alias("cost_usd")), "dedup_key")
+
+
 def score_with(
     postings: DataFrame,
     profiles: DataFrame,

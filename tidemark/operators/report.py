@@ -90,7 +90,10 @@ def failure_rows(
     errors: DataFrame, run_at: Column, title: str = "Posting digest",
     hint: str = "Check the run logs for the full traceback.",
 ) -> DataFrame:
-    """One alert text per row of ``errors(site_name, error_type, error)``."""
+    """One alert text per row of ``errors(site_name, error_type, error)``; a ``context`` column
+    replaces the note on the site."""
+    known = "context" in errors.columns
+    context = F.col("context") if known else F.concat(F.lit("processing "), "site_name")
     return errors.filter(F.col("error").isNotNull()).withColumn(
         "alert",
         F.concat(
@@ -100,8 +103,8 @@ def failure_rows(
             F.col("error_type"),
             F.lit(": "),
             F.col("error"),
-            F.lit("\n<b>Context:</b> processing "),
-            F.col("site_name"),
+            F.lit("\n<b>Context:</b> "),
+            context,
             F.lit(f"\n\n{hint}"),
         ),
     )

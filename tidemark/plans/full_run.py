@@ -8,6 +8,7 @@ narrow columns; page text is fetched again only for postings that are new.
 from __future__ import annotations
 
 import datetime
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +39,35 @@ def discover(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFr
     return pages, detail.filter("readable").drop("readable", "tier_used")
 
 
+def discover_from_replies(
+    captures: DataFrame, targets: DataFrame, replies: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Pages read within the limits, and their postings from extraction replies.
+
+    ``replies(site_name, page_num, text, input_tokens, output_tokens)`` answers the requests of
+    ``operators.extract.extract_input``; pages that are empty or too long have none.
+    """
+    chosen = capture.tier_fallback(capture.in_scope(captures, targets))
+    text = stage(capture.page_text(chosen), "text")
+    texts = text.withColumn("readable", capture.in_budget(F.col("text")))
+    answered = extract.extraction_cost(replies)
+    pages = texts.join(
+        answered.select(*PAGE, "input_tokens", "cost_usd"), PAGE, "left"
+    ).select(
+        *PAGE, "tier_used", "readable", "input_tokens", F.coalesce("cost_usd", F.lit(0.0)).alias("cost_usd")
+    )
+    requested = texts.filter("readable").select(*PAGE, "site_ord", "url")
+    raw = extract.parse_postings(requested.join(replies, PAGE))
+    return pages, stage(extract.posting_projection(raw), "postings")
+
+
+def posting_tokens(postings: DataFrame) -> DataFrame:
+    """Estimated tokens per posting, where the reader did not measure them."""
+    if "input_tokens" in postings.columns:
+        return postings
+    return postings.withColumn("input_tokens", estimated_tokens(F.col("description")))
+
+
 def run(
     targets: DataFrame,
     pages: DataFrame,
@@ -49,15 +79,18 @@ def run(
     threshold: float = matching.THRESHOLD,
     reply_tokens: tuple[int, int] = (0, 0),
     title: str = "Posting digest",
+    score: Callable[[DataFrame, DataFrame], DataFrame] = matching.match_scores,
 ) -> dict[str, DataFrame]:
     """All outputs of one run but the digest (``digest_of``). ``run_at`` is the only clock.
 
     ``pages`` needs ``tier_used``, ``readable`` and ``input_tokens`` for every page that could be
-    read; ``reply_tokens`` are the output tokens charged per page read and per posting matched.
+    read; ``reply_tokens`` are the output tokens charged per page read and per posting matched,
+    unless pages or scores bring a ``cost_usd`` column. ``score(texts, profiles)`` gives best and
+    runner-up per ``dedup_key``; without ``missing_keywords`` they are taken from the texts.
     """
     now = F.lit(run_at).cast("timestamp")
     health_now = utc_times(health)
-    narrow = postings.drop("description", "snippet")
+    narrow = posting_tokens(postings).drop("description", "snippet")
 
     # Which pages count.
     expected = capture.page_offsets(targets).select(
@@ -83,20 +116,17 @@ def run(
     texts = postings.select(*POSTING, "description").join(
         new.select(*POSTING, "dedup_key"), POSTING
     )
-    scores = stage(matching.match_scores(texts, profiles), "scores")
+    scores = stage(score(texts, profiles), "scores")
     reported = matching.match_threshold(scores, threshold)
-    matches = stage(
-        matching.with_labels(matching.with_gaps(reported, texts, profiles), profiles).join(
-            new, "dedup_key"
-        ),
-        "matches",
-    )
+    if "missing_keywords" not in reported.columns:
+        reported = matching.with_gaps(reported, texts, profiles)
+    matches = stage(matching.resolve_profile(reported, profiles).join(new, "dedup_key"), "matches")
 
     # What the run amounts to.
-    page_cost = usage_cost("extract", F.col("input_tokens"), F.lit(reply_tokens[0]))
-    match_cost = usage_cost("match", F.col("input_tokens"), F.lit(reply_tokens[1]))
-    costs = visited.filter("readable").select("site_name", page_cost.alias("cost_usd")).unionByName(
-        new.select("site_name", match_cost.alias("cost_usd"))
+    costs = _costs(visited.filter("readable"), "extract", reply_tokens[0]).unionByName(
+        _costs(new.join(scores.select("dedup_key", "cost_usd"), "dedup_key"), "match", 0)
+        if "cost_usd" in scores.columns
+        else _costs(new, "match", reply_tokens[1])
     )
     results = stage(
         report.site_results(targets, visited, found, new, matches, costs, errors), "results"
@@ -124,6 +154,13 @@ def run(
     }
 
 
+def _costs(rows: DataFrame, step: str, output_tokens: int) -> DataFrame:
+    cost = usage_cost(step, F.col("input_tokens"), F.lit(output_tokens))
+    if "cost_usd" in rows.columns:
+        cost = F.col("cost_usd")
+    return rows.select("site_name", cost.alias("cost_usd"))
+
+
 def digest_of(outputs: dict[str, DataFrame], title: str = "Posting digest") -> DataFrame:
     """Message pieces of a run."""
     parts = ("matches", "run_summary", "run_errors", "stale_sites")

@@ -145,9 +145,10 @@ pieces AS (
 
 @query(f"""
 WITH RECURSIVE {_PIECES}
-SELECT CAST(part_no AS BIGINT) AS part_no, CAST(sum(length(text)) AS BIGINT) AS chars,
-       string_agg(text, '' ORDER BY section, site_ord, is_line, page_num) AS text
-FROM pieces GROUP BY part_no""")
+SELECT CAST(part_no AS BIGINT) AS part_no, CAST(section AS INTEGER) AS section,
+       CASE section WHEN 1 THEN site_ord ELSE 0 END AS block_ord, CAST(is_line AS INTEGER) AS is_line,
+       CASE WHEN is_line = 0 THEN 0 WHEN section = 1 THEN CAST(page_num AS BIGINT) ELSE site_ord END AS line_ord, text
+FROM pieces""")
 def digest_out(spark, sf):
     from ..operators.incremental import stale_sites, zero_streak
 
@@ -177,4 +178,8 @@ def digest_out(spark, sf):
     pieces = report.digest(matches, summary, errors, stale)
     path = staging.new_folder(spark, "digest")
     report.digest_out(pieces, path)
-    return report.messages(spark.read.parquet(path))
+    line = F.when(F.col("section") == report.BLOCKS, F.col("line_ord.page_num").cast("bigint"))
+    return spark.read.parquet(path).select(
+        "part_no", "section", F.col("block_ord.site_ord").alias("block_ord"), "is_line",
+        F.coalesce(line, F.col("line_ord.site_ord")).alias("line_ord"), "text",
+    )

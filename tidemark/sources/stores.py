@@ -7,15 +7,26 @@ is written as a new snapshot.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
 
 
+def _read(spark: SparkSession, ddl: str, path: str) -> DataFrame:
+    """A store, empty before the first run."""
+    try:
+        return spark.read.schema(ddl).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
+
+
 def read_seen(spark: SparkSession, path: str) -> DataFrame:
     """Whole store over all runs; select ``dedup_key`` for look-ups, the scan prunes the rest."""
-    return spark.read.schema(f"{schemas.SEEN}, run_id string").parquet(path).drop("run_id")
+    return _read(spark, f"{schemas.SEEN}, run_id string", path).drop("run_id")
 
 
 def seen_keys(seen: DataFrame) -> DataFrame:
@@ -28,7 +39,7 @@ def append_seen(rows: DataFrame, path: str, run_id: str) -> None:
 
 
 def read_health(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.HEALTH).parquet(path)
+    return _read(spark, schemas.HEALTH, path)
 
 
 def write_health(health: DataFrame, path: str) -> None:

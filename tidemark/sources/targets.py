@@ -14,10 +14,10 @@ DEFAULT_MAX_PAGES = 5
 
 
 def read_targets_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Site entries from JSON lines, parquet or a YAML file with a ``sites`` list.
+    """Site entries from JSON lines, parquet or a hand-written YAML file with a ``sites`` list.
 
-    The list position is the site order. JSON lines and YAML carry it implicitly only in YAML;
-    the other formats may bring a ``site_ord`` column, else the name decides.
+    The site order is the place in the YAML list; tables bring it as ``site_ord``, and where they
+    do not a hash of the name stands in.
     """
     if path.endswith((".yaml", ".yml")):
         import yaml  # optional: only this format needs it
@@ -29,9 +29,9 @@ def read_targets_raw(spark: SparkSession, path: str) -> DataFrame:
             for i, s in enumerate(sites)
         ]
         return spark.createDataFrame(rows, f"site_ord bigint, {schemas.TARGETS_RAW}")
-    if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path)
-    return spark.read.schema(f"site_ord bigint, {schemas.TARGETS_RAW}").json(path)
+    reader = spark.read.schema(f"site_ord bigint, {schemas.TARGETS_RAW}")
+    rows = reader.parquet(path) if path.rstrip("/").endswith(".parquet") else reader.json(path)
+    return rows.withColumn("site_ord", F.coalesce("site_ord", F.xxhash64("name")))
 
 
 def _settings(block: dict | None):
