@@ -110,6 +110,15 @@ def test_one_hot_key(spark):
     assert inc.seen_postings(rows, seen).count() == 10_000
 
 
+def test_known_keys_stand_in_for_the_store(spark):
+    rows = [("a", 0, 0, k, None, None) for k in ("x", "x", "y", "z")]
+    postings = spark.createDataFrame(rows, POSTINGS)
+    store = spark.createDataFrame([("x",), ("z",), ("other",)], "dedup_key string")
+    known = inc.known_keys(postings, store)
+    assert sorted(r["dedup_key"] for r in known.collect()) == ["x", "z"]
+    assert [r["dedup_key"] for r in inc.new_postings(postings, known).collect()] == ["y"]
+
+
 def seen_row(key, score=None):
     return (key, "job_id", f"t-{key}", "u", "c", score, LAST_RUN)
 

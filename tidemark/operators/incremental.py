@@ -12,6 +12,16 @@ POSTING_ORDER = ["site_ord", "page_num", "pos"]
 STALE_AFTER = 3  # fixed value: runs in a row without a posting
 
 
+def known_keys(postings: DataFrame, seen: DataFrame) -> DataFrame:
+    """Keys of these postings that the store holds: at most as many as there are postings.
+
+    The store is the left side of a semi join, so it is only scanned (one column) and never
+    shuffled while the run's keys are small enough to broadcast, however large it has grown.
+    """
+    keys = postings.select("dedup_key").distinct()
+    return seen.select("dedup_key").join(keys, "dedup_key", "left_semi")
+
+
 def new_postings(postings: DataFrame, seen: DataFrame) -> DataFrame:
     """Postings whose key the store does not hold."""
     return postings.join(seen.select("dedup_key"), "dedup_key", "left_anti")

@@ -13,7 +13,8 @@ from ..functions.values import cost_str, run_time_str, score_pct
 from ..sources.staging import stage
 
 MAX_PART_CHARS = 4000  # fixed value: characters of one message
-CHUNK_SITES = 4096  # sites whose company blocks are packed by one task
+CHUNK_BLOCKS = 4096  # company blocks packed by one task
+BLOCK_ORDER = ["site_ord", "page_num", "pos"]
 
 # Order of the pieces of a message.
 HEADER, BLOCKS, FOOTER = 0, 1, 2
@@ -224,20 +225,30 @@ def _walk(opening: np.ndarray, first: int) -> list[int]:
     return opened
 
 
-def message_pack(blocks: DataFrame, header_len: int, limit: int = MAX_PART_CHARS) -> DataFrame:
+def in_chunks(blocks: DataFrame, rows: int = CHUNK_BLOCKS) -> DataFrame:
+    """Number ordered ranges of about ``rows`` blocks; written, so that the numbers are fixed."""
+    blocks = stage(blocks, "blocks")
+    n = blocks.count() // rows + 1
+    ranges = blocks.repartitionByRange(n, *BLOCK_ORDER)
+    return stage(ranges.withColumn("chunk", F.spark_partition_id().cast("bigint")), "chunks")
+
+
+def message_pack(
+    blocks: DataFrame, header_len: int, limit: int = MAX_PART_CHARS, chunk_rows: int = CHUNK_BLOCKS
+) -> DataFrame:
     """Assign company blocks to message parts, greedily and in order.
 
-    ``blocks(chunk, company, site_ord, page_num, pos, block_len)``, ordered by chunk and position.
-    A part is closed before the block that would make it longer than ``limit``; a single longer
-    block stays whole in a part of its own. Greedy packing is sequential, so it is done in three
-    steps over lengths only: each chunk tabulates, for every place its first split can fall, how
-    it would end; these small tables are chained; each chunk then packs its blocks from its known
-    start. No task holds more than one chunk or a few rows per chunk.
+    ``blocks(company, site_ord, page_num, pos, block_len)``: a part is closed before the block
+    that would make it longer than ``limit``; a single longer block stays whole in a part of its
+    own. Greedy packing is sequential, so it is done in three steps over lengths only: each chunk
+    of blocks tabulates, for every place its first split can fall, how it would end; these small
+    tables are chained; each chunk then packs its blocks from its known start. No task holds more
+    than one chunk or a few rows per chunk.
     """
-    order = ["site_ord", "page_num", "pos"]
+    blocks = in_chunks(blocks, chunk_rows)
 
     def outcomes(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lengths = pdf.sort_values(order)["block_len"].to_numpy()
+        lengths = pdf.sort_values(BLOCK_ORDER)["block_len"].to_numpy()
         ends = np.cumsum(lengths)
         opening = _openings(lengths, header_len, limit)
         # The part open at the chunk's start holds a header and a block at least.
@@ -274,7 +285,7 @@ def message_pack(blocks: DataFrame, header_len: int, limit: int = MAX_PART_CHARS
     )
 
     def packed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values(order)
+        left = left.sort_values(BLOCK_ORDER)
         lengths = left["block_len"].to_numpy()
         carried, parts = int(right["carried"].iloc[0]), int(right["parts"].iloc[0])
         first = _first_split(np.cumsum(lengths), carried, limit) if carried else 0
@@ -296,11 +307,10 @@ def company_blocks(matches: DataFrame) -> DataFrame:
         matches.select("company", "site_ord", "page_num", "pos", lines.alias("chars"))
         .groupBy("company")
         .agg(
-            F.min(F.struct("site_ord", "page_num", "pos")).alias("first_seen"),
+            F.min(F.struct(*BLOCK_ORDER)).alias("first_seen"),
             F.sum("chars").alias("chars"),
         )
         .select(
-            F.floor(F.col("first_seen.site_ord") / CHUNK_SITES).alias("chunk"),
             "company",
             "first_seen.*",
             (F.col("chars") + F.length(company_line())).alias("block_len"),

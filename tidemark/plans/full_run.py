@@ -91,6 +91,8 @@ def run(
     now = F.lit(run_at).cast("timestamp")
     health_now = utc_times(health)
     narrow = posting_tokens(postings).drop("description", "snippet")
+    # The store is met once; from here on only the keys this run shares with it matter.
+    known = stage(incremental.known_keys(narrow, seen), "known")
 
     # Which pages count.
     expected = capture.page_offsets(targets).select(
@@ -99,7 +101,7 @@ def run(
     stats = incremental.page_stats(
         expected.join(pages, PAGE, "left").withColumn("failed", F.col("tier_used").isNull()),
         narrow,
-        seen,
+        known,
     )
     judged = stage(incremental.freshness_stop(stats, health_now), "judged")
     visited = incremental.visited_pages(judged)
@@ -112,7 +114,7 @@ def run(
 
     # Which postings are new, and how they score.
     found = narrow.join(visited.select(*PAGE), PAGE, "left_semi")
-    new = stage(incremental.new_first_occurrence(found, seen), "new")
+    new = stage(incremental.new_first_occurrence(found, known), "new")
     texts = postings.select(*POSTING, "description").join(
         new.select(*POSTING, "dedup_key"), POSTING
     )

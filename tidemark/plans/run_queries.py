@@ -154,10 +154,11 @@ def digest_out(spark, sf):
 
     matches = b.reported_matches(spark, sf)
     total = b.table(spark, sf, "pages").agg(F.count("*").alias("total_jobs_found"))
+    sites = b.targets_raw(spark, sf).agg(F.count("*"))
     summary = matches.agg(F.count("*").alias("n_matches")).select(
         F.lit(RUN_AT).alias("run_at"),
-        b.targets_raw(spark, sf).agg(F.count("*")).scalar().alias("sites_attempted"),
-        b.targets_raw(spark, sf).agg(F.count("*")).scalar().alias("sites_succeeded"),
+        sites.scalar().alias("sites_attempted"),
+        sites.scalar().alias("sites_succeeded"),
         F.lit(0).cast("bigint").alias("sites_failed"),
         total.scalar().alias("total_jobs_found"),
         F.col("n_matches").alias("new_jobs"),

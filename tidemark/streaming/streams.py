@@ -70,7 +70,7 @@ def stream_upsert(postings: DataFrame, store: str, checkpoint: str, run_at: Colu
             .parquet(store)
             .filter(F.col("run_id") != run_id)
         )
-        new = incremental.new_first_occurrence(batch, known)
+        new = incremental.new_first_occurrence(batch, incremental.known_keys(batch, known))
         no_scores = spark.createDataFrame([], "dedup_key string, best_score double")
         append_seen(incremental.seen_rows(new, no_scores, run_at), store, run_id)
 
