@@ -61,11 +61,17 @@ CAPTURED = [
 ]
 
 
-def test_tier_fallback_and_status(spark):
+def test_tier_fallback_and_status(spark, tmp_path):
     caps = spark.createDataFrame(CAPTURED, schemas.CAPTURES)
     sites = spark.createDataFrame([("A", "u", "http", None), ("B", "u", "playwright", None)], schemas.TARGETS_RAW)
     got = {(r["site_name"], r["page_num"]): (r["tier_used"], r["html"][:5]) for r in
            capture.tier_fallback(caps, targets.site_targets(sites)).collect()}
+    stored = str(tmp_path / "captures")
+    captures.write_captures(caps, stored)
+    again = capture.tier_fallback(captures.read_captures(spark, stored), targets.site_targets(sites))
+    assert {(r["site_name"], r["page_num"]): (r["tier_used"], r["html"][:5]) for r in again.collect()} == got
+    keys = again.select("site_name")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<site_name" in keys and "html" not in keys
     assert got == {("A", 0): ("http", "a-htt"), ("A", 1): ("playwright", "a1-pw"), ("B", 0): ("playwright", "b-pw")}
     reasons = [r["reason"] for r in captures.capture_status(caps).orderBy("site_name", "page_num", "tier").collect()]
     assert reasons == [None, None, "HTTP 403", None, "timeout", "connection error", None, None, None]

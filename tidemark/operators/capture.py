@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import html_clean, html_title
 from ..functions.urls import page_url
 from ..functions.values import estimated_tokens
-from ..sources.captures import capture_status
+from ..sources.captures import answered, capture_status
 
 TOKEN_BUDGET = 150_000  # fixed value: estimated tokens of one page
 PAGE_RANGE = 1024  # page numbers generated per row
@@ -76,13 +76,14 @@ def tier_fallback(captures: DataFrame, targets: DataFrame | None = None) -> Data
     if targets is not None:
         tiers = targets.select(F.col("name").alias("site_name"), "scrape_tier")
         captures = captures.join(tiers, "site_name")
-    usable = capture_status(captures).filter(F.col("html").isNotNull())
+    # The outcome is in the status alone: failures and the look-up of pages read no HTML.
+    usable = captures.filter(answered())
     first = usable.filter((F.col("scrape_tier") == "http") & (F.col("tier") == "http"))
     second = usable.filter(F.col("tier") == "playwright").join(
         first.select("site_name", "page_num"), ["site_name", "page_num"], "left_anti"
     )
     return (
-        first.unionByName(second)
+        capture_status(first.unionByName(second))
         .withColumnRenamed("tier", "tier_used")
         .drop("scrape_tier", "status", "reason")
     )

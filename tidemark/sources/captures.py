@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -12,14 +12,23 @@ def read_captures(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.CAPTURES).parquet(path)
 
 
+def write_captures(captures: DataFrame, path: str) -> None:
+    """One folder per tier, so that a step that needs one tier reads no page of the other."""
+    captures.write.partitionBy("tier").mode("append").parquet(path)
+
+
+def answered() -> Column:
+    return F.col("status").between(200, 299)
+
+
 def capture_status(captures: DataFrame) -> DataFrame:
-    """2xx gives the HTML; an error status, a timeout or a lost connection gives NULL and a reason.
+    """2xx gives the HTML, if only an empty one; an error status, a timeout or a lost connection gives NULL and a reason.
 
     The capture table writes a timeout as status 0 and a connection error as status -1 or NULL.
     """
-    status = F.col("status")
-    ok = status.between(200, 299)
-    return captures.withColumn("html", F.when(ok, F.col("html"))).withColumn(
+    status, ok = F.col("status"), answered()
+    html = F.when(ok, F.coalesce("html", F.lit("")))
+    return captures.withColumn("html", html).withColumn(
         "reason",
         F.when(ok, F.lit(None).cast("string"))
         .when(status == 0, "timeout")
