@@ -88,7 +88,8 @@ def test_new_and_seen_make_up_found(spark, inputs):
 
 def test_run_on_replies(spark, inputs):
     """Extraction and match replies instead of the rule-based reader and the lexical score."""
-    jobs = [{"title": "One", "url": "/j/1", "job_id": "1", "description": "d"}, {"title": "Two", "url": "", "job_id": None}]
+    jobs = [{"title": "One", "url": "/j/1", "job_id": "1", "description": "d"}, {"title": "Two", "url": "", "job_id": "2"},
+            {"title": "Three", "url": "", "job_id": None}]
     replies = [
         ("Acme", 0, json.dumps({"jobs": jobs}), 1000, 100),
         ("Acme", 1, "no json", 1000, 100),
@@ -97,20 +98,22 @@ def test_run_on_replies(spark, inputs):
     extraction = spark.createDataFrame(replies, "site_name string, page_num int, text string, input_tokens bigint, output_tokens bigint")
     pages, postings = fr.discover_from_replies(inputs["captures"], inputs["targets"], extraction)
     answers = [("1", json.dumps({"best_resume_filename": "a.md", "best_score": 0.9, "missing_keywords": ["k8s"],
-                                 "runner_up_filename": "zz.md", "runner_up_score": 0.5}), 1000, 100)]
+                                 "runner_up_filename": "zz.md", "runner_up_score": 0.5}), 1000, 100),
+               ("2", json.dumps({"best_resume_filename": "zz.md", "best_score": 0.95}), 1000, 100)]
     matched = spark.createDataFrame(answers, "dedup_key string, text string, input_tokens bigint, output_tokens bigint")
     out = fr.run(inputs["targets"], pages, postings, inputs["profiles"], inputs["seen"], inputs["health"], RUN_AT,
                  score=lambda texts, profiles: matching.reply_scores(matched))
     sites = {r["site_name"]: r for r in out["site_results"].collect()}
     # Acme page 1 has no posting, which ends its reading; Late's posting has the key of Acme's.
-    assert [sites["Acme"][c] for c in ("jobs_found", "new_jobs", "n_matches")] == [2, 2, 1]
+    assert [sites["Acme"][c] for c in ("jobs_found", "new_jobs", "n_matches")] == [3, 3, 1]
     assert [sites["Late"][c] for c in ("jobs_found", "new_jobs", "n_matches")] == [1, 0, 0]
-    assert sites["Acme"]["cost_usd"] == pytest.approx(0.0008 + 0.0004 + 0.003 + 0.0015)
+    # The reply that names an unknown profile is paid, but gives no result.
+    assert sites["Acme"]["cost_usd"] == pytest.approx(0.0008 + 0.0004 + 2 * (0.003 + 0.0015))
     (match,) = out["matches"].collect()
     assert (match["title"], match["best_label"], match["missing_keywords"]) == ("One", "A", ["k8s"])
     assert (match["runner_up_label"], match["runner_up_score"]) == (None, 0.5)
     seen = {r["title"]: r["match_score"] for r in out["seen_new"].collect()}
-    assert seen == {"One": 0.9, "Two": None}
+    assert seen == {"One": 0.9, "Two": None, "Three": None}
 
 
 def test_job_writes_stores_and_gates_only_the_digest(spark, inputs, tmp_path):
@@ -139,3 +142,13 @@ def test_job_writes_stores_and_gates_only_the_digest(spark, inputs, tmp_path):
     assert "no new matches" in message["text"]
     health = {r[0]: r[1] for r in stores.read_health(spark, str(tmp_path / "health2")).collect()}
     assert health == {"Acme": 0, "Down": 2, "Late": 0}
+
+
+def test_other_session_zones_are_refused(spark, inputs):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        with pytest.raises(ValueError):
+            fr.run(inputs["targets"], inputs["captures"], inputs["captures"], inputs["profiles"],
+                   inputs["seen"], inputs["health"], RUN_AT)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

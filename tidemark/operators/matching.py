@@ -166,7 +166,7 @@ def with_labels(matches: DataFrame, profiles: DataFrame) -> DataFrame:
             F.col("filename").alias(f"{side}_filename"), F.col("role_label").alias(f"{side}_label")
         )
 
-    return matches.join(named("best"), "best_filename").join(
+    return matches.join(named("best"), "best_filename", "left").join(
         named("runner_up"), "runner_up_filename", "left"
     )
 
@@ -216,12 +216,23 @@ def parse_match(replies: DataFrame) -> DataFrame:
     )
 
 
+def resolve_scores(scores: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Attach profile labels; an unknown best profile leaves the row without a score, an unknown
+    runner-up loses its name only."""
+    known = F.col("best_label").isNotNull()
+    second = F.col("runner_up_label").isNotNull()
+    return with_labels(scores, profiles).withColumns(
+        {
+            "best_filename": F.when(known, F.col("best_filename")),
+            "best_score": F.when(known, F.col("best_score")),
+            "runner_up_filename": F.when(second, F.col("runner_up_filename")),
+        }
+    )
+
+
 def resolve_profile(parsed: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Attach profiles by file name: an unknown best one voids the result, an unknown runner-up
-    only its own name and label."""
-    labelled = with_labels(parsed, profiles)
-    known = F.col("runner_up_label").isNotNull()
-    return labelled.withColumn("runner_up_filename", F.when(known, F.col("runner_up_filename")))
+    """Replies with their profiles; those without a known best one have no result."""
+    return resolve_scores(parsed, profiles).filter(F.col("best_label").isNotNull())
 
 
 def reply_scores(replies: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import estimated_tokens, usage_cost
 from ..operators import capture, extract, incremental, matching, report
-from ..sources.staging import stage
+from ..sources.staging import require_utc, stage
 from ..sources.stores import utc_times
 
 PAGE = ["site_name", "page_num"]
@@ -88,6 +88,7 @@ def run(
     unless pages or scores bring a ``cost_usd`` column. ``score(texts, profiles)`` gives best and
     runner-up per ``dedup_key``; without ``missing_keywords`` they are taken from the texts.
     """
+    require_utc(targets.sparkSession)
     now = F.lit(run_at).cast("timestamp")
     health_now = utc_times(health)
     narrow = posting_tokens(postings).drop("description", "snippet")
@@ -118,11 +119,12 @@ def run(
     texts = postings.select(*POSTING, "description").join(
         new.select(*POSTING, "dedup_key"), POSTING
     )
-    scores = stage(score(texts, profiles), "scores")
+    scores = stage(matching.resolve_scores(score(texts, profiles), profiles), "scores")
     reported = matching.match_threshold(scores, threshold)
-    if "missing_keywords" not in reported.columns:
-        reported = matching.with_gaps(reported, texts, profiles)
-    matches = stage(matching.resolve_profile(reported, profiles).join(new, "dedup_key"), "matches")
+    matches = reported
+    if "missing_keywords" not in scores.columns:
+        matches = matching.with_gaps(reported, texts, profiles)
+    matches = matches.join(new, "dedup_key")
 
     # What the run amounts to.
     costs = _costs(visited.filter("readable"), "extract", reply_tokens[0]).unionByName(
@@ -131,7 +133,10 @@ def run(
         else _costs(new, "match", reply_tokens[1])
     )
     results = stage(
-        report.site_results(targets, visited, found, new, matches, costs, errors), "results"
+        report.site_results(
+            targets, visited, found, new, reported.join(new, "dedup_key"), costs, errors
+        ),
+        "results",
     )
     summary = report.run_summary(results, now)
     counts = results.select("site_name", F.col("jobs_found").alias("job_count"))
@@ -165,8 +170,8 @@ def _costs(rows: DataFrame, step: str, output_tokens: int) -> DataFrame:
 
 def digest_of(outputs: dict[str, DataFrame], title: str = "Posting digest") -> DataFrame:
     """Message pieces of a run."""
-    parts = ("matches", "run_summary", "run_errors", "stale_sites")
-    return report.digest(*(outputs[p] for p in parts), title=title)
+    parts = [outputs[name] for name in ("run_summary", "run_errors", "stale_sites")]
+    return report.digest(stage(outputs["matches"], "matches"), *parts, title=title)
 
 
 def full_run(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,18 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None):
     """Register a query under its function name, with its SQL twin."""
 
     def register(fn: Query) -> Query:
-        key = name or fn.__name__
-        QUERIES[key] = fn
+        @functools.wraps(fn)
+        def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf_dir)
+
+        QUERIES[fn.__name__] = in_utc
         if sql is not None:
-            ORACLES[key] = sql
+            ORACLES[fn.__name__] = sql
         return fn
 
     return register

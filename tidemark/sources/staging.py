@@ -17,6 +17,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def require_utc(spark: SparkSession) -> None:
+    """Dates and times without an offset are UTC throughout, so the session has to be as well."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    if zone not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        raise ValueError(f"spark.sql.session.timeZone is {zone}, UTC is needed")
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
