@@ -185,7 +185,7 @@ def test_zero_streak_equals_counting_run_by_run(spark):
 
 
 def test_stale_sites(spark):
-    health = spark.createDataFrame([("Dead", 3, None), ("Ghost", 5, None), ("Ok", 2, None)], schemas.HEALTH)
+    health = spark.createDataFrame([("Still", 3, None), ("Quiet", 5, None), ("Ok", 2, None)], schemas.HEALTH)
     rows = {r["site_name"]: r["warning"] for r in inc.stale_sites(health).collect()}
-    assert set(rows) == {"Dead", "Ghost"}
-    assert "0 jobs for 5 consecutive runs" in rows["Ghost"]
+    assert set(rows) == {"Still", "Quiet"}
+    assert "0 jobs for 5 consecutive runs" in rows["Quiet"]

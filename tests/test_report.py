@@ -19,7 +19,7 @@ SUMMARY = (
 )
 
 
-def match(company, ord_, title="AI Engineer", missing=(), second="B", second_score=0.74, pos=0):
+def match(company, ord_, title="Engineer", missing=(), second="B", second_score=0.74, pos=0):
     return (company, ord_, 0, pos, title, "https://x/1", "A", 0.87, "fits", list(missing), second, second_score)
 
 
@@ -73,7 +73,7 @@ def texts(pieces):
 
 def test_digest_without_matches(spark):
     none = spark.createDataFrame([], MATCH)
-    stale = stale_rows(spark, ("Dead", 1, "\nW1"), ("Ghost", 2, "\nW2"))
+    stale = stale_rows(spark, ("Still", 1, "\nW1"), ("Quiet", 2, "\nW2"))
     got = texts(report.digest(none, summary(spark, 0, 1), errors(spark, (1, "A — x")), stale))
     assert got == [
         "✅ <b>Posting digest — no new matches</b>\n<i>2024-06-01 12:00 UTC</i>\n\n"
@@ -83,19 +83,19 @@ def test_digest_without_matches(spark):
 
 def test_digest_with_matches(spark):
     rows = [
-        match("Zeta", 1, missing=["Kubernetes", "Triton"]),
+        match("Zeta", 1, missing=["welding", "rust"]),
         match("Alpha", 2, second=None),
         match("Zeta", 3, title="ML", second_score=None),
     ]
-    stale = stale_rows(spark, ("Dead", 1, "\nW1"))
+    stale = stale_rows(spark, ("Still", 1, "\nW1"))
     got = texts(report.digest(spark.createDataFrame(rows, MATCH), summary(spark, 3, 1), errors(spark, (4, "Q — boom")), stale))
     link = '│  <a href="https://x/1">View Job →</a>'
     head = "│  Resume: <i>A</i> · Match: <b>87%</b>\n│  fits\n"
     assert got == [
         "🔍 <b>Posting digest — 3 new match(es)</b>\n<i>2024-06-01 12:00 UTC</i>\n"
-        f"\n<b>Zeta</b>\n├ 🎯 <b>AI Engineer</b>\n{head}│  ⚠️ Missing: Kubernetes, Triton\n│  Runner-up: B · 74%\n{link}"
+        f"\n<b>Zeta</b>\n├ 🎯 <b>Engineer</b>\n{head}│  ⚠️ Missing: welding, rust\n│  Runner-up: B · 74%\n{link}"
         f"\n├ 🎯 <b>ML</b>\n{head}{link}"
-        f"\n<b>Alpha</b>\n├ 🎯 <b>AI Engineer</b>\n{head}{link}"
+        f"\n<b>Alpha</b>\n├ 🎯 <b>Engineer</b>\n{head}{link}"
         "\n──────────────────\n📊 <b>Run summary</b>\nSites: 10 checked · 9 OK · 1 failed\n"
         "Jobs: 47 found · 12 new · 3 matches\n💰 Cost: $0.0123\n⚠️ Failed: Q — boom\n\nW1"
     ]

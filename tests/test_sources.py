@@ -40,11 +40,11 @@ def test_invalid_targets(spark):
 
 def test_profiles_folder(spark, tmp_path):
     (tmp_path / "ai_engineer.md").write_text("line one\nline two\n")
-    (tmp_path / "senior_data_analyst.md").write_text("x" * 10_000)
+    (tmp_path / "lead_welder.md").write_text("x" * 10_000)
     (tmp_path / "notes.txt").write_text("ignored")
     got = [(r["filename"], r["role_label"], len(r["content"])) for r in
            profiles.sorted_profiles(profiles.read_profiles(spark, str(tmp_path))).collect()]
-    assert got == [("ai_engineer.md", "AI Engineer", 18), ("senior_data_analyst.md", "Senior Data Analyst", 10_000)]
+    assert got == [("ai_engineer.md", "AI Engineer", 18), ("lead_welder.md", "Lead Welder", 10_000)]
     empty = tmp_path / "empty"
     empty.mkdir()
     (empty / "x.txt").write_text("x")

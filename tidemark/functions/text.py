@@ -18,7 +18,7 @@ MARK = "\x01"
 
 # One left-to-right pass, so that a comment inside a script (or the reverse) is read correctly.
 OPAQUE = (
-    r"(?s)<(?:!--.*?-->"
+    r"(?s)<(?:!--.*?(?:-->|\z)"
     r"|(?i:script)(?=[\s/>])[^>]*>.*?(?:</(?i:script)[^>]*>|\z)"
     r"|(?i:style)(?=[\s/>])[^>]*>.*?(?:</(?i:style)[^>]*>|\z))"
 )

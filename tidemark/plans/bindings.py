@@ -154,37 +154,35 @@ def page_postings(pages: DataFrame) -> DataFrame:
 
 
 def seen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store of an earlier run, as a written table: the keys of every 5th page."""
+    """Store of an earlier run, as a written table: the documents of ``labels``."""
+    key = F.col("doc_id").cast("string")
     rows = (
-        page_postings(site_pages(spark, sf_dir).filter("page_id % 5 = 0"))
-        .groupBy("dedup_key", "dedup_type")
-        .agg(F.min("page_id").alias("page_id"))
+        table(spark, sf_dir, "labels")
+        .groupBy(key.alias("dedup_key"))
+        .agg(F.max("quality").alias("quality"))
         .select(
             "dedup_key",
-            "dedup_type",
+            F.lit("job_id").alias("dedup_type"),
             F.concat(F.lit("Stored "), "dedup_key").alias("title"),
             F.concat(F.lit("https://stored.example.com/"), "dedup_key").alias("url"),
             F.lit("stored").alias("company"),
-            F.when(F.col("page_id") % 2 == 0, (F.col("page_id") % 100) / 100).alias("match_score"),
+            F.when(F.col("quality") == 1, 0.75).alias("match_score"),
             F.lit("2024-01-15 12:00:00").cast("timestamp").alias("seen_at"),
         )
     )
     return stage(rows, "seen")
 
 
-def health_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Site health with textual times: NULL, naive and with an offset; some sites are unknown."""
+def health_text(raw: DataFrame) -> DataFrame:
+    """Health of the sites in ``targets_raw`` with textual times: NULL, naive and with an offset;
+    sites first met over plain http are unknown."""
     first = F.col("site_ord")
-    return (
-        targets_raw(spark, sf_dir)
-        .filter(first % 4 != 1)
-        .select(
-            F.col("name").alias("site_name"),
-            (first % 5).cast("int").alias("consecutive_zeros"),
-            F.when(first % 4 == 2, "2024-01-15T12:00:00")
-            .when(first % 4 == 3, "2024-01-15T14:00:00+02:00")
-            .alias("last_success_at"),
-        )
+    return raw.filter(F.col("url").startswith("https:")).select(
+        F.col("name").alias("site_name"),
+        (first % 5).cast("int").alias("consecutive_zeros"),
+        F.when(first % 4 == 2, "2024-01-15T12:00:00")
+        .when(first % 4 == 3, "2024-01-15T14:00:00+02:00")
+        .alias("last_success_at"),
     )
 
 
@@ -205,6 +203,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ``orders`` as listing pages with many postings each: newest orders on the first page.
 
+def order_key() -> Column:
+    """Three orders in a row, mostly of different sites, share a key."""
+    return F.floor(F.col("o_orderkey") / 3).cast("string")
+
+
 def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = F.col("o_custkey") % 50
     dated = (site >= 10) & (F.col("o_orderkey") % 7 != 0)
@@ -214,7 +217,7 @@ def order_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         site.alias("site_ord"),
         (2001 - F.year("o_orderdate")).alias("page_num"),
         F.col("o_orderkey").alias("pos"),
-        (F.col("o_orderkey") % 5000).cast("string").alias("dedup_key"),
+        order_key().alias("dedup_key"),
         F.when(dated, F.to_date("o_orderdate")).alias("posted_date"),
         F.when((site >= 20) & (F.col("o_orderkey") % 3 == 0), parse_time(clock)).alias("posted_time"),
     )
@@ -229,12 +232,11 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = (F.col("o_orderkey") % 5000).alias("key")
+    """Keys of finished orders."""
     store = (
         table(spark, sf_dir, "orders")
-        .select(keys)
-        .filter("key % 4 <> 3")
-        .select(F.col("key").cast("string").alias("dedup_key"))
+        .filter("o_orderstatus = 'F'")
+        .select(order_key().alias("dedup_key"))
         .distinct()
     )
     return stage(store, "order-seen")
@@ -244,7 +246,7 @@ def order_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("o_custkey") % 50
     at = F.date_add(F.lit("1997-01-01").cast("date"), (F.col("n") * 30).cast("int")).cast("timestamp")
     sites = table(spark, sf_dir, "orders").select(number.alias("n")).distinct()
-    health = sites.filter("n % 6 <> 1").select(
+    health = sites.select(
         F.format_string("site-%02d", "n").alias("site_name"),
         F.when(F.col("n") % 6 != 0, at + F.expr("interval 12 hours")).alias("last_success_at"),
     )
@@ -357,13 +359,12 @@ def match_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reported_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches to report, from ``pages``: every second page, in site order."""
+    """Matches to report, one per page, in site order."""
     n = F.col("page_id")
     pages = numbered_pages(spark, sf_dir)
     orders = targets_raw(spark, sf_dir).select(F.col("name").alias("site_name"), "site_ord")
     return (
-        pages.filter(n % 2 == 1)
-        .join(orders, "site_name")
+        pages.join(orders, "site_name")
         .select(
             F.col("site_name").alias("company"),
             "site_ord",

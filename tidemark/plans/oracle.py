@@ -46,13 +46,13 @@ TG = f"""tg AS (
 EXPECTED = """ex AS (
   SELECT *, CAST(unnest(range(CASE WHEN param IS NULL THEN 1 ELSE max_pages END)) AS INTEGER) AS page_num FROM tg)"""
 
-SEEN = f"""seen AS (
-  SELECT {KEY} AS dedup_key, min(page_id) AS page_id FROM pages WHERE page_id % 5 = 0 GROUP BY 1)"""
+SEEN = """seen AS (
+  SELECT CAST(doc_id AS VARCHAR) AS dedup_key, max(quality) AS quality FROM labels GROUP BY 1)"""
 
 HEALTH = """health AS (
   SELECT name AS site_name, CAST(site_ord % 5 AS INTEGER) AS consecutive_zeros,
          CASE WHEN site_ord % 4 IN (2, 3) THEN TIMESTAMP '2024-01-15 12:00:00' END AS last_success_at
-  FROM tg WHERE site_ord % 4 <> 1)"""
+  FROM tg WHERE url LIKE 'https:%')"""
 
 # Page URL with ``param`` set to ``value``; the test URLs have five endings.
 def with_param(url: str, param: str, value: str) -> str:
@@ -71,19 +71,18 @@ def with_param(url: str, param: str, value: str) -> str:
 OP = """op AS (
   SELECT printf('site-%02d', o_custkey % 50) AS site_name, o_custkey % 50 AS site_ord,
          CAST(2001 - year(o_orderdate) AS INTEGER) AS page_num, o_orderkey AS pos,
-         CAST(o_orderkey % 5000 AS VARCHAR) AS dedup_key,
+         CAST(o_orderkey // 3 AS VARCHAR) AS dedup_key,
          CASE WHEN o_custkey % 50 >= 10 AND o_orderkey % 7 <> 0 THEN CAST(o_orderdate AS DATE) END AS posted_date,
          CASE WHEN o_custkey % 50 >= 20 AND o_orderkey % 3 = 0 THEN o_orderkey % 24 END AS posted_hour
   FROM orders),
 pages_o AS (
   SELECT site_name, site_ord, CAST(p AS INTEGER) AS page_num
   FROM (SELECT DISTINCT site_name, site_ord FROM op), range(10) r(p)),
-seen_o AS (SELECT DISTINCT CAST(o_orderkey % 5000 AS VARCHAR) AS dedup_key FROM orders
-           WHERE o_orderkey % 5000 % 4 <> 3),
+seen_o AS (SELECT DISTINCT CAST(o_orderkey // 3 AS VARCHAR) AS dedup_key FROM orders WHERE o_orderstatus = 'F'),
 health_o AS (
   SELECT printf('site-%02d', n) AS site_name,
          CASE WHEN n % 6 <> 0 THEN TIMESTAMP '1997-01-01 12:00:00' + n * 30 * INTERVAL 1 DAY END AS last_run
-  FROM (SELECT DISTINCT o_custkey % 50 AS n FROM orders) WHERE n % 6 <> 1),
+  FROM (SELECT DISTINCT o_custkey % 50 AS n FROM orders)),
 stats_o AS (
   SELECT p.site_name, p.site_ord, p.page_num, count(o.pos) AS jobs,
          coalesce(any_value(n.new_jobs), 0) AS new_jobs,

@@ -21,12 +21,13 @@ REPLY_TOKENS = (200, 100)
 
 def run_all(spark, sf):
     pages = b.numbered_pages(spark, sf, "html")
+    raw = b.targets_raw(spark, sf)
     return fr.full_run(
         b.captures(pages, b.dated_html()),
-        site_targets(b.targets_raw(spark, sf)),
+        site_targets(raw),
         b.profiles(spark, sf),
         b.seen_store(spark, sf),
-        b.health_text(spark, sf),
+        b.health_text(raw),
         RUN_AT,
         threshold=THRESHOLD,
         reply_tokens=REPLY_TOKENS,
@@ -167,11 +168,14 @@ def digest_out(spark, sf):
     )
     errors = (
         b.site_pages(spark, sf)
-        .filter("page_id % 30 = 0")
         .select(
             F.col("page_id").alias("site_ord"),
-            F.format_string("%s — error %d", "site_name", "page_id").alias("error"),
+            F.when(
+                F.col("page_id") % 30 == 0,
+                F.format_string("%s — error %d", "site_name", "page_id"),
+            ).alias("error"),
         )
+        .filter(F.col("error").isNotNull())
     )
     stale = stale_sites(zero_streak(b.run_history(spark, sf))).withColumn(
         "site_ord", F.substring("site_name", 6, 20).cast("bigint")

@@ -313,7 +313,7 @@ mr AS (
          CASE WHEN page_id % 3 = 1 THEN 'spark, k' || page_id END AS missing,
          CASE WHEN page_id % 5 <> 1 THEN 'Profile ' || printf('%05d', page_id % 30) END AS runner_up_label,
          CASE WHEN page_id % 7 <> 1 THEN (page_id * 13 % 700) / 1000 END AS runner_up_score, pg.url
-  FROM pg JOIN tg ON pg.site_name = tg.name WHERE page_id % 2 = 1),
+  FROM pg JOIN tg ON pg.site_name = tg.name),
 ml AS (
   SELECT *, concat_ws(chr(10), '├ 🎯 <b>' || title || '</b>',
     '│  Resume: <i>' || best_label || '</i> · Match: <b>' || CAST(round_even(best_score * 100, 0) AS BIGINT) || '%</b>',

@@ -248,7 +248,7 @@ def read_seen(spark, sf):
 @query(f"""
 WITH {o.TG}, {o.HEALTH} SELECT site_name, strftime(last_success_at, '%Y-%m-%d %H:%M:%S') AS last_success_at FROM health""")
 def last_run(spark, sf):
-    return stores.last_run(b.health_text(spark, sf)).withColumn(
+    return stores.last_run(b.health_text(b.targets_raw(spark, sf))).withColumn(
         "last_success_at", stamp("last_success_at")
     )
 
@@ -258,7 +258,7 @@ WITH {o.TG}, {o.HEALTH} SELECT name AS site_name, strftime(last_success_at, '%Y-
 FROM tg LEFT JOIN health ON name = site_name""")
 def site_last_run(spark, sf):
     sites = report.distinct_sites(b.site_pages(spark, sf))
-    return stores.site_last_run(sites, b.health_text(spark, sf)).withColumn(
+    return stores.site_last_run(sites, b.health_text(b.targets_raw(spark, sf))).withColumn(
         "last_success_at", stamp("last_success_at")
     )
 
@@ -267,7 +267,7 @@ def site_last_run(spark, sf):
 WITH {o.TG}, {o.HEALTH} SELECT name AS site_name, coalesce(consecutive_zeros, 0) AS consecutive_zeros
 FROM tg LEFT JOIN health ON name = site_name""")
 def site_zeros(spark, sf):
-    return stores.site_zeros(report.distinct_sites(b.site_pages(spark, sf)), b.health_text(spark, sf))
+    return stores.site_zeros(report.distinct_sites(b.site_pages(spark, sf)), b.health_text(b.targets_raw(spark, sf)))
 
 
 @query(f"SELECT DISTINCT {o.SITE} AS site_name FROM pages")
@@ -301,25 +301,21 @@ def first_occurrence(spark, sf):
 
 
 @query(f"""
-WITH {o.SEEN}, {o.PG},
-new AS (SELECT job_id AS dedup_key, 'https://new.example.com/' || min(page_id) AS url, min(page_id) AS page_id
-        FROM pg WHERE page_id % 3 = 0 GROUP BY job_id)
-SELECT dedup_key, 'Stored ' || dedup_key AS title, CASE WHEN page_id % 2 = 0 THEN page_id % 100 / 100 END AS match_score,
+WITH {o.SEEN},
+new AS (SELECT {o.KEY} AS dedup_key, min(page_id) AS page_id, arg_min(url, page_id) AS url FROM pages GROUP BY 1)
+SELECT dedup_key, 'Stored ' || dedup_key AS title, CASE WHEN quality = 1 THEN CAST(0.75 AS DOUBLE) END AS match_score,
   '2024-01-15 12:00:00' AS seen_at FROM seen WHERE dedup_key NOT IN (SELECT dedup_key FROM new)
-UNION ALL SELECT dedup_key, 'New ' || dedup_key, CASE WHEN page_id % 4 <> 0 THEN page_id % 10 / 10 END, '{RUN_AT}' FROM new""")
+UNION ALL SELECT dedup_key, 'New ' || dedup_key, CASE WHEN url LIKE 'https:%' THEN page_id % 10 / 10 END, '{RUN_AT}' FROM new""")
 def seen_upsert(spark, sf):
-    n = F.col("page_id")
     new = (
-        b.page_postings(b.site_pages(spark, sf).filter(n % 3 == 0))
+        b.page_postings(b.site_pages(spark, sf))
         .groupBy("dedup_key", "dedup_type")
-        .agg(F.min("page_id").alias("page_id"))
-        .select(
-            "dedup_key", "dedup_type", "page_id",
-            F.concat(F.lit("New "), "dedup_key").alias("title"),
-            F.lit("https://new.example.com/").alias("url"), F.lit("new").alias("company"),
-        )
-    )
-    scores = new.filter(n % 4 != 0).select("dedup_key", (n % 10 / 10).alias("best_score"))
+        .agg(F.min("page_id").alias("page_id"), F.min_by("url", "page_id").alias("url"))
+        .withColumns({"title": F.concat(F.lit("New "), "dedup_key"), "company": F.lit("new")})
+    )
+    scores = new.filter(F.col("url").startswith("https:")).select(
+        "dedup_key", (F.col("page_id") % 10 / 10).alias("best_score")
+    )
     rows = incremental.seen_rows(new, scores, F.lit(RUN_AT).cast("timestamp"))
     return incremental.seen_upsert(b.seen_store(spark, sf), rows).select(
         "dedup_key", "title", "match_score", stamp("seen_at").alias("seen_at")
@@ -328,7 +324,8 @@ def seen_upsert(spark, sf):
 
 @query(f"""
 WITH {o.TG}, {o.HEALTH}, {o.RUNS},
-counts AS (SELECT name AS site_name, CASE WHEN site_ord % 3 = 0 THEN 0 ELSE site_ord END AS job_count FROM tg WHERE site_ord % 5 <> 0)
+counts AS (SELECT name AS site_name, CASE WHEN site_ord % 3 = 0 THEN 0 ELSE site_ord END AS job_count FROM tg
+           WHERE regexp_matches(name, '^(www|blog|m)\\.'))
 SELECT coalesce(h.site_name, c.site_name) AS site_name,
   CAST(CASE WHEN job_count IS NULL THEN consecutive_zeros WHEN job_count > 0 THEN 0
        ELSE coalesce(consecutive_zeros, 0) + 1 END AS INTEGER) AS consecutive_zeros,
@@ -338,10 +335,10 @@ def health_upsert(spark, sf):
     first = F.col("site_ord")
     counts = (
         b.targets_raw(spark, sf)
-        .filter(first % 5 != 0)
+        .filter(F.col("name").rlike(r"^(www|blog|m)\."))
         .select(F.col("name").alias("site_name"), F.when(first % 3 == 0, 0).otherwise(first).alias("job_count"))
     )
-    old = stores.utc_times(b.health_text(spark, sf))
+    old = stores.utc_times(b.health_text(b.targets_raw(spark, sf)))
     return incremental.health_upsert(old, counts, F.lit(RUN_AT).cast("timestamp")).withColumn(
         "last_success_at", stamp("last_success_at")
     )
