@@ -110,11 +110,25 @@ def drop_blocks(html: Column) -> Column:
     )
 
 
+def _windows_1252(number: int) -> str:
+    try:
+        return bytes([number]).decode("cp1252")
+    except UnicodeDecodeError:
+        return chr(number)
+
+
+def _entity_map(names: dict[str, str]) -> Column:
+    """Name -> text from two literals, which fold into one constant map."""
+    ordered = sorted(names.items())
+    return F.map_from_arrays(
+        F.split(F.lit(" ".join(n for n, _ in ordered)), " "),
+        F.split(F.lit(" ".join(t for _, t in ordered)), " "),
+    )
+
+
 def _code_point(number: Column) -> Column:
     """Character for a numeric reference; 128-159 are read as Windows-1252, as browsers do."""
-    cp1252 = F.split(
-        F.lit(" ".join(bytes([i]).decode("cp1252", "replace") for i in range(128, 160))), " "
-    )
+    cp1252 = F.split(F.lit(" ".join(_windows_1252(i) for i in range(128, 160))), " ")
     bad = (number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF)
     return (
         F.when(bad, F.lit("�"))
@@ -125,12 +139,13 @@ def _code_point(number: Column) -> Column:
 
 def _entity(match: Column) -> Column:
     body = F.regexp_replace(match, "^&|;$", "")
-    # Names come from the standard library's table; two literals that fold into one map.
-    known = sorted(html.entities.name2codepoint.items())
-    names = F.map_from_arrays(
-        F.split(F.lit(" ".join(n for n, _ in known)), " "),
-        F.split(F.lit(" ".join(chr(c) for _, c in known)), " "),
-    )
+    # Names come from the standard library's tables, the short one of HTML 4 first.
+    common = {n: html.entities.html5[f"{n};"] for n in html.entities.name2codepoint}
+    rest = {
+        n[:-1]: t
+        for n, t in html.entities.html5.items()
+        if n.endswith(";") and n[:-1] not in common
+    }
     numeric = F.when(
         F.substring(body, 2, 1).isin("x", "X"),
         F.conv(F.substring(body, 3, 9), 16, 10),
@@ -138,8 +153,14 @@ def _entity(match: Column) -> Column:
     return (
         F.when(body == "amp", F.lit("&"))
         .when(body.startswith("#"), _code_point(numeric))
-        .when(body == "apos", F.lit("'"))
-        .otherwise(F.coalesce(F.element_at(names, body), match))
+        .otherwise(
+            F.coalesce(
+                F.element_at(_entity_map(common), body),
+                F.element_at(_entity_map(rest), body),
+                # An unknown name is text, without the semicolon the parser has taken.
+                F.concat(F.lit("&"), body),
+            )
+        )
     )
 
 

@@ -5,16 +5,21 @@ from __future__ import annotations
 WS = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+def decode(x: str) -> str:
+    """The character references of the test pages; titles are cut, so one may lack its end."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    x = f"regexp_replace({x}, '&amp([^a-zA-Z0-9;]|\\z)', '&amp;\\1', 'g')"
+    return f"replace({x}, '&amp;', '&')"
+
+
 def clean(html: str) -> str:
     """Visible text of the test pages, which nest no menu in itself."""
     x = f"regexp_replace({html}, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', chr(1), 'g')"
     for tag in ("nav", "footer", "header"):
         x = rf"regexp_replace({x}, '(?is)<{tag}(\s[^>]*)?>.*?</{tag}\s*>', chr(1), 'g')"
     x = f"regexp_replace({x}, '<([!?]|/?[a-zA-Z])[^>]*>', chr(1), 'g')"
-    for name, char in (
-        ("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&"),
-    ):
-        x = f"replace({x}, '&{name};', '{char}')"
+    x = decode(x)
     x = f"regexp_replace({x}, '[{WS}]*\\x01[{WS}\\x01]*', chr(10), 'g')"
     x = f"regexp_replace({x}, '^[{WS}]+|[{WS}]+\\z', '', 'g')"
     return f"regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g')"

@@ -187,7 +187,7 @@ def posting_projection(spark, sf):
 @query(f"""
 WITH {o.PG}, t AS (SELECT *, {o.clean('html')} AS text FROM pg)
 SELECT page_id, job_id AS dedup_key, 'job_id' AS dedup_type, site_name AS company,
-  trim(replace(replace(regexp_extract(html, '<title[^>]*>(.*?)</title>', 1), '&quot;', '"'), '&amp;', '&')) AS title,
+  trim({o.decode("regexp_extract(html, '<title[^>]*>(.*?)</title>', 1)")}) AS title,
   sha256(text) AS description_sha256,
   CASE WHEN page_id % 7 <> 0 OR page_id % 3 = 0 THEN strftime(day, '%Y-%m-%d') END AS posted_date,
   CASE WHEN page_id % 3 = 0 THEN printf('%02d:00:00', page_id % 24) END AS posted_time
