@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import unused
 
@@ -156,12 +157,11 @@ def decontaminate(
     names = []
     for name in ("n_words", "n_hit", "items", "contaminated"):
         names.append(unused(name, taken + names))
-    kinds = ("long", "long", "array<string>", "boolean")
+    kinds = (T.LongType(), T.LongType(), T.ArrayType(T.StringType()), T.BooleanType())
     place = taken.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(taken))])
-    schema = plain.schema
-    for i, kind in enumerate(kinds):
-        schema = schema.add(f"r{i}", kind)
+    added = [T.StructField(f"r{i}", kind) for i, kind in enumerate(kinds)]
+    schema = T.StructType([*plain.schema.fields, *added])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready: dict[int, WindowSet] = {}
