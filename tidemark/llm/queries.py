@@ -2,20 +2,44 @@
 
 from __future__ import annotations
 
+import functools
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality
+from . import decontaminate, quality, sequences, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed package of public tokenizers has a file; executors have it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def on_path(fn: Callable) -> Callable:
+    """``fn``, after telling Python workers where this package stands (beside what they have installed)."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, *rest) -> DataFrame:
+        root = str(Path(__file__).resolve().parents[2])
+        env = spark.sparkContext.environment
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+        return fn(spark, *rest)
+
+    return run
+
+
 def query(fn: Callable[[SparkSession, str], DataFrame]):
-    QUERIES[fn.__name__] = fn
+    QUERIES[fn.__name__] = on_path(fn)
     return fn
 
 
@@ -38,3 +62,18 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         decontaminate.items_sha256(F.col("items")).alias("items_sha256"), "contaminated",
     )
+
+
+@query
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records and read back."""
+    manifest = warc.write_archives(warc.chunks(read(spark, sf_dir, "pages")))
+    whole = warc.read_archives(manifest, with_data=False).where("last")
+    return whole.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded, written as framed records and read back."""
+    manifest = sequences.write(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
+    return sequences.read(manifest).select("doc_id", "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
