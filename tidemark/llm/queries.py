@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality, sequences, warc
+from . import decontaminate, pii, quality, sequences, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read
 
@@ -43,6 +43,17 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    base = F.col("base")
+    return pii.find(read(spark, sf_dir, "documents")).withColumn("base", pii.base_only(F.col("spans"))).select(
+        "doc_id", *[pii.count(base, kind).alias(f"n_{kind}") for kind in pii.BASE],
+        F.sha2(F.encode(pii.listed(base), "UTF-8"), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of every document with the verdict of the current policy."""
