@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, pii, quality, sequences, warc
+from . import decontaminate, html, pii, quality, sequences, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read
 
@@ -88,3 +88,9 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded, written as framed records and read back."""
     manifest = sequences.write(read(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=2)
     return sequences.read(manifest).select("doc_id", "start", "n_tokens", F.col("crc32").alias("ids_crc32"))
+
+
+@query
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract(read(spark, sf_dir, "pages"))
