@@ -10,9 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, pii, quality, sequences, warc
+from . import decontaminate, html, pieces, pii, quality, sequences, warc
 from .oracles import ORACLES  # noqa: F401
-from .tables import read
+from .tables import read, text_of
 
 def tokenizer_file(name: str) -> str:
     """Where the installed package of public tokenizers has a file; executors have it at the same place."""
@@ -94,3 +94,17 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract(read(spark, sf_dir, "pages"))
+
+
+@query
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document by either way, and whether they decode to its text."""
+    model = tokenizer_file("piece_bpe_32k.model")
+    docs = read(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
+    best = pieces.encode(docs, model, how="viterbi", name="best")
+    both = pieces.decode(pieces.encode(best, model, how="merge", name="merged"), model, ids_col="best")
+    return both.select(
+        "doc_id", F.size("best").cast("long").alias("n_pieces"), F.xxhash64("best").alias("ids_xxhash64"),
+        (F.col("text") == F.col("decoded")).alias("round_trip"),
+        F.size("merged").cast("long").alias("n_merged"), F.xxhash64("merged").alias("merged_xxhash64"),
+    )
