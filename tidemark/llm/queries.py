@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, pieces, pii, quality, sequences, warc
+from . import decontaminate, html, lm, pieces, pii, quality, sequences, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read, text_of
 
@@ -75,6 +75,13 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document under a network trained on all of them."""
+    docs = read(spark, sf_dir, "documents")
+    return lm.score(docs, lm.fit(docs))
+
+
 @query
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC records and read back."""
