@@ -33,7 +33,9 @@ FILE_BYTES = 256 << 20
 MASK_DELTA = 0xA282EAD8
 KEPT_WORDS = 500_000
 MANIFEST = "part long, file_no long, path string, n_records long, n_tokens long, n_bytes long"
-_BREAKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
+JOINED_WORDS = 2000
+_BREAKS = "\t\n\x0b\x0c\r"
+_MARK = "\x01"
 _PUNCTUATION = ".,!?;:"
 
 
@@ -67,6 +69,8 @@ class WordEncoder:
         pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal("a b\tc\nd."))
         self.by_word = [p for p, _ in pieces] == ["a", "b", "c", "d", "."]
         self.lowers = normal("AZ") == "az"
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # an id that nothing but the mark has
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
@@ -74,6 +78,18 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of single words; many go to the tokenizer as one text, with a mark between them."""
+        if self.mark is None or any(_MARK in w for w in words):
+            return self._encode(words)
+        texts = [f" {_MARK} ".join(words[at : at + JOINED_WORDS]) for at in range(0, len(words), JOINED_WORDS)]
+        out = []
+        for ids in self._encode(texts):
+            cut = np.flatnonzero(np.frombuffer(ids, self.dtype) == self.mark) * self.width
+            begin = [0, *(cut + self.width).tolist()]
+            out += [ids[a:b] for a, b in zip(begin, [*cut.tolist(), len(ids)])]
+        return out
+
     def _parts(self, word: str) -> tuple[str, str]:
         """A plain word in the case that the tokenizer sees, and the punctuation behind it."""
         if not word.isascii() or "<|" in word:
@@ -93,13 +109,15 @@ class WordEncoder:
             self.words = {}
         if len(self.stems) > KEPT_WORDS:
             self.stems = {}
-        split = [t.translate(_BREAKS).split(" ") for t in texts]
+        for char in _BREAKS:
+            texts = [t.replace(char, " ") for t in texts]
+        split = [t.split(" ") for t in texts]
         known = self.words
         fresh = {w for words in split for w in words if w not in known}
         parts = {w: self._parts(w) for w in fresh}
         stems = self.stems
         new = list({p for pair in parts.values() for p in pair if p not in stems})
-        stems.update(zip(new, self._encode(new)))
+        stems.update(zip(new, self._encode_words(new)))
         known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
