@@ -63,3 +63,22 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN o USING (rid)
 """
+
+ORACLES["op3_jaccard_join"] = r"""
+WITH RECURSIVE t AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT rid, array_to_string(ws[i:i+4], ' ') AS g
+  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid GROUP BY 1, 2),
+e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+l AS MATERIALIZED (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT rid AS u, rid AS v FROM t UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u)
+SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM t LEFT JOIN n ON n.rid = t.rid JOIN r ON r.u = t.rid JOIN t o ON o.rid = r.v
+GROUP BY t.rid, t.doc_id, n.n
+"""
