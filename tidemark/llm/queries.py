@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, warc
+from . import decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, templates, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read, text_of
 
@@ -54,6 +54,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its recurring lines."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return templates.drop_lines(docs, counts=True)
+
+
 @query
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of at least 80 in 100 shared 5-word shingles."""
