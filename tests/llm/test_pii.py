@@ -1,0 +1,86 @@
+"""Base spans against the contract's expressions, added kinds, checksums and context."""
+
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from tidemark.llm import pii
+
+BASE = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (2 if i % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for no, (kind, pattern) in enumerate(BASE):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            out.append((m.start(), no, m.end(), kind))
+    return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(out))
+
+
+def found(df):
+    base = pii.listed(pii.base_only(F.col("spans")))
+    return {r[0]: (r[1], r[2]) for r in pii.find(df).select("doc_id", base, pii.listed(F.col("spans"))).collect()}
+
+
+def test_base_spans_equal_the_plain_expressions(docs):
+    rng = random.Random(5)
+    letters = "0123456789.@+- ()abAB_%é\n😀"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 90))) for _ in range(600)]
+    texts += [
+        None, "", "a@b.c_d@e.f", "a@b.c%d@e.f @x.y", "1.2.3.4.5.6.7.8", "256.1.1.1 1.1.1.001", "4111 1111 1111 1111",
+        "4111-1111-1111-1112", "+1 (323) 555-9830", "+12", "😀 me@x.org é 10.0.0.1", "a@b.c " * 700, "10.0.0.1 " * 600,
+    ]
+    for doc_id, (base, _) in found(docs(list(enumerate(texts)))).items():
+        assert base == brute(texts[doc_id]), texts[doc_id]
+
+
+def test_long_runs_take_one_pass(docs):
+    texts = ["x" * 300_000 + "@", "1 " * 100_000, "a@b" + ".c" * 50_000, "+1" + "0" * 100_000, "1" * 100_000 + ".2.3.4"]
+    rows = found(docs(list(enumerate(texts))))
+    assert rows[2][0] == f"email:0:{len(texts[2])}"
+    assert [rows[i][0] for i in (0, 1, 3, 4)] == [""] * 4
+
+
+def test_checksums_and_context_decide_added_kinds(docs):
+    texts = [
+        "account DE89 3704 0044 0532 0130 00 here", "code DE89 3704 0044 0532 0130 00", "account DE88370400440532013000",
+        "ssn 123-45-6789", "number 123-45-6789", "call 555-123-4567 now", "part 555-123-4567 now",
+    ]
+    spans = {k: v[1] for k, v in found(docs(list(enumerate(texts)))).items()}
+    assert spans[0].startswith("iban:8:35") and "iban" in spans[1] and "iban" not in spans[2]
+    assert spans[3] == "ssn:4:15" and spans[4] == ""
+    assert spans[5] == "local_phone:5:17" and spans[6] == ""
+
+
+def test_rows_are_kept_as_they_are(docs):
+    table = docs([(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c"), (2, None)]).withColumn("spans", F.lit("x"))
+    rows = pii.find(table).select("doc_id", F.size("spans").alias("n")).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, 1), (1, 1), (2, 0), (None, 1)]
+    assert pii.find(table.limit(0)).count() == 0
+
+
+def test_redaction(docs):
+    table = docs([(1, "write me@x.org or 10.0.0.1!"), (2, "none")])
+    both = pii.find(table).join(table, "doc_id").select(pii.redact(F.col("text"), F.col("spans"))).collect()
+    assert sorted(r[0] for r in both) == ["none", "write [email] or [ip]!"]
