@@ -6,12 +6,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-import sentencepiece
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
 from compare import compare, connect
-from tidemark.llm import oracles, queries
+from tidemark.llm import oracles, pieces, queries
 from tidemark.llm.tables import read
 
 SF = "/root/testdata/sf0.001"
@@ -76,9 +75,11 @@ def test_pages(spark):
 
 
 def test_pieces_and_scores_of_every_document(spark, texts):
-    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
-    for r in queries.QUERIES["op10_pieces"](spark, SF).collect():
-        assert r.round_trip and r.n_merged == len(library.encode(texts[r.doc_id] or ""))
+    coder = pieces.Encoder(str(public_tokenizers.path("piece_bpe_32k.model")), "viterbi")
+    got = queries.QUERIES["op10_pieces"](spark, SF).collect()
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        assert r.round_trip and r.n_pieces == len(coder.encode([texts[r.doc_id] or ""])[0])
     rows = queries.QUERIES["op5_pseudo_likelihood"](spark, SF).collect()
     assert {r.doc_id for r in rows} == set(texts)
     for r in rows:

@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .tables import unused
 
 SPACE = "▁"
-KEPT_WORDS = 300_000
+KEPT_WORDS = 600_000
 LONG_WORD = 64
 _CELLS = 2_000_000  # of the score table at once
 _BASE = np.uint64(0x100000001B3)

@@ -118,13 +118,11 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every document by either way, and whether they decode to its text."""
+    """Piece ids of every document by the batched Viterbi, and whether they decode to its text."""
     model = tokenizer_file("piece_bpe_32k.model")
     docs = read(spark, sf_dir, "documents").select("doc_id", text_of("text").alias("text"))
-    best = pieces.encode(docs, model, how="viterbi", name="best")
-    both = pieces.decode(pieces.encode(best, model, how="merge", name="merged"), model, ids_col="best")
+    both = pieces.decode(pieces.encode(docs, model, how="viterbi"), model)
     return both.select(
-        "doc_id", F.size("best").cast("long").alias("n_pieces"), F.xxhash64("best").alias("ids_xxhash64"),
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"),
         (F.col("text") == F.col("decoded")).alias("round_trip"),
-        F.size("merged").cast("long").alias("n_merged"), F.xxhash64("merged").alias("merged_xxhash64"),
     )
