@@ -136,6 +136,10 @@ def test_job_writes_stores_and_gates_only_the_digest(spark, inputs, tmp_path):
     assert job.main(spark, arguments(1, "--dry-run"), RUN_AT) == 1
     assert not (tmp_path / "digest1").exists()
     assert stores.read_seen(spark, str(tmp_path / "seen")).count() == 5
+    # the same run once more, as after a failure between its writes
+    again = arguments(1, "--dry-run", "--health-out", str(tmp_path / "health1-again"))
+    assert job.main(spark, again, RUN_AT) == 1
+    assert stores.read_seen(spark, str(tmp_path / "seen")).count() == 5
     assert job.main(spark, arguments(2), RUN_AT + datetime.timedelta(hours=2)) == 1
     assert stores.read_seen(spark, str(tmp_path / "seen")).count() == 5
     (message,) = report.messages(spark.read.parquet(str(tmp_path / "digest2"))).collect()

@@ -124,7 +124,9 @@ def test_extraction_replies(spark):
     rows = [(k, t, 1_000_000, 1_000_000, "Acme", "https://example.com/careers") for k, t in texts.items()]
     df = spark.createDataFrame(rows, "request_id string, text string, input_tokens bigint, output_tokens bigint, site_name string, url string")
     got = extract.posting_projection(extract.parse_postings(df)).orderBy("request_id", "pos").collect()
-    assert [r["request_id"] for r in got].count("many") == 50
+    assert [r["request_id"] for r in got].count("many") == 60
+    capped = extract.parse_postings(df, most=extract.MAX_POSTINGS)
+    assert capped.filter("request_id = 'many'").count() == 50
     assert {r["request_id"] for r in got} == {"many", "edge"}
     first, second = [r for r in got if r["request_id"] == "edge"]
     assert (first["title"], first["url"], first["job_id"], first["dedup_type"]) == ("", "https://example.com/careers", None, "url_hash")

@@ -19,12 +19,12 @@ SUMMARY = (
 )
 
 
-def match(company, ord_, title="Engineer", missing=(), second="B", second_score=0.74, pos=0):
-    return (company, ord_, 0, pos, title, "https://x/1", "A", 0.87, "fits", list(missing), second, second_score)
+def match(company, ord_, title="Welder", missing=(), second="B", second_score=0.61, pos=0):
+    return (company, ord_, 0, pos, title, "https://x/1", "A", 0.93, "why not", list(missing), second, second_score)
 
 
 def summary(spark, n, failed=0):
-    return spark.createDataFrame([(AT, 10, 10 - failed, failed, 47, 12, n, 0.0123)], SUMMARY)
+    return spark.createDataFrame([(AT, 6, 6 - failed, failed, 208, 31, n, 1.5)], SUMMARY)
 
 
 def stale_rows(spark, *rows):
@@ -77,7 +77,7 @@ def test_digest_without_matches(spark):
     got = texts(report.digest(none, summary(spark, 0, 1), errors(spark, (1, "A — x")), stale))
     assert got == [
         "✅ <b>Posting digest — no new matches</b>\n<i>2024-06-01 12:00 UTC</i>\n\n"
-        "📊 Sites: 10 · Jobs: 47 · New: 12 · Matches: 0\n💰 Cost: $0.0123\nW1\nW2"
+        "📊 Sites: 6 · Jobs: 208 · New: 31 · Matches: 0\n💰 Cost: $1.5000\nW1\nW2"
     ]
 
 
@@ -90,24 +90,35 @@ def test_digest_with_matches(spark):
     stale = stale_rows(spark, ("Still", 1, "\nW1"))
     got = texts(report.digest(spark.createDataFrame(rows, MATCH), summary(spark, 3, 1), errors(spark, (4, "Q — boom")), stale))
     link = '│  <a href="https://x/1">View Job →</a>'
-    head = "│  Resume: <i>A</i> · Match: <b>87%</b>\n│  fits\n"
+    head = "│  Resume: <i>A</i> · Match: <b>93%</b>\n│  why not\n"
     assert got == [
         "🔍 <b>Posting digest — 3 new match(es)</b>\n<i>2024-06-01 12:00 UTC</i>\n"
-        f"\n<b>Zeta</b>\n├ 🎯 <b>Engineer</b>\n{head}│  ⚠️ Missing: welding, rust\n│  Runner-up: B · 74%\n{link}"
+        f"\n<b>Zeta</b>\n├ 🎯 <b>Welder</b>\n{head}│  ⚠️ Missing: welding, rust\n│  Runner-up: B · 61%\n{link}"
         f"\n├ 🎯 <b>ML</b>\n{head}{link}"
-        f"\n<b>Alpha</b>\n├ 🎯 <b>Engineer</b>\n{head}{link}"
-        "\n──────────────────\n📊 <b>Run summary</b>\nSites: 10 checked · 9 OK · 1 failed\n"
-        "Jobs: 47 found · 12 new · 3 matches\n💰 Cost: $0.0123\n⚠️ Failed: Q — boom\n\nW1"
+        f"\n<b>Alpha</b>\n├ 🎯 <b>Welder</b>\n{head}{link}"
+        "\n──────────────────\n📊 <b>Run summary</b>\nSites: 6 checked · 5 OK · 1 failed\n"
+        "Jobs: 208 found · 31 new · 3 matches\n💰 Cost: $1.5000\n⚠️ Failed: Q — boom\n\nW1"
     ]
 
 
-def test_long_digest_splits_between_companies(spark):
-    rows = [match(f"Company{i}", i, title="Engineer " + "x" * 200, missing=["keyword"] * 8) for i in range(20)]
-    got = texts(report.digest(spark.createDataFrame(rows, MATCH), summary(spark, 20), errors(spark), stale_rows(spark)))
-    assert len(got) > 1
-    assert all(len(t) <= 4000 and t.startswith("🔍 <b>Posting digest — 20 new") for t in got)
-    assert "".join(got).count("View Job") == 20
-    assert all(t.count("<b>Company") == t.count("View Job") for t in got)
+@pytest.mark.parametrize("over", [-1, 0, 1])
+def test_a_part_is_full_at_the_limit(spark, over):
+    """Two blocks that together fill a part to one below, exactly to, or one above the limit."""
+    header, limit, first = 100, 4000, 1700
+    lengths = [first, limit - header - first + over, 40]
+    got = pack(spark, lengths, 2, header, limit)
+    assert got == ([1, 2, 2] if over > 0 else [1, 1, 2]) == greedy(lengths, header, limit)
+
+
+def test_every_part_of_a_digest_has_its_header_and_whole_companies(spark):
+    rng = random.Random(6)
+    rows = [match(f"Firm {i:02d}", i, title="t" * rng.randint(1, 900), missing=["rust"] * (i % 3)) for i in range(33)]
+    got = texts(report.digest(spark.createDataFrame(rows, MATCH), summary(spark, 33), errors(spark), stale_rows(spark)))
+    heads = {t.split("\n", 1)[0] for t in got}
+    assert heads == {"🔍 <b>Posting digest — 33 new match(es)</b>"} and 1 < len(got) < 33
+    assert max(map(len, got)) <= 4000
+    firms = [w for t in got for w in sorted({f"Firm {i:02d}" for i in range(33) if f"<b>Firm {i:02d}</b>" in t})]
+    assert firms == [f"Firm {i:02d}" for i in range(33)]
 
 
 def test_very_long_company_is_kept_as_pieces(spark):

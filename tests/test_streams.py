@@ -53,6 +53,30 @@ def test_upsert_over_batches_and_after_a_lost_commit(spark, tmp_path):
     assert sorted(r["dedup_key"] for r in stores.read_seen(spark, store).collect()) == ["a", "old", "z"]
 
 
+def test_upsert_keeps_what_other_streams_wrote(spark, tmp_path):
+    now, store = F.lit(datetime.datetime(2024, 2, 1)), str(tmp_path / "store")  # no store before the first batch
+    for name, keys in (("one", "ab"), ("two", "xy"), ("three", "bz")):
+        arrive(spark, [posting(i, k) for i, k in enumerate(keys)], POSTING, tmp_path / name)
+        arrived = streams.arriving(spark, POSTING, str(tmp_path / name))
+        streams.stream_upsert(arrived, store, str(tmp_path / f"state-{name}"), now)
+    assert sorted(r["dedup_key"] for r in stores.read_seen(spark, store).collect()) == ["a", "b", "x", "y", "z"]
+    # the same files under a new checkpoint add nothing and lose nothing
+    streams.stream_upsert(streams.arriving(spark, POSTING, str(tmp_path / "one")), store, str(tmp_path / "again"), now)
+    assert sorted(r["dedup_key"] for r in stores.read_seen(spark, store).collect()) == ["a", "b", "x", "y", "z"]
+
+
+def test_health_of_late_runs(spark, tmp_path):
+    src, state, out = (str(tmp_path / n) for n in ("src", "state", "out"))
+    day = lambda d: datetime.datetime(2024, 1, d)
+    batches = [[("late zero", day(10), 4), ("late success", day(8), 0), ("late success", day(9), 0)],
+               [("late zero", day(5), 0), ("late success", day(7), 3)], [("late success", day(3), 1)]]
+    for batch in batches:
+        arrive(spark, batch, schemas.RUNS, src)
+        streams.drain_health(streams.arriving(spark, schemas.RUNS, src), state, out)
+    got = {r[0]: (r[1], r[2]) for r in streams.latest_health(spark, out).collect()}
+    assert got == {"late zero": (0, day(10)), "late success": (2, day(7))}
+
+
 def test_health_over_batches(spark, tmp_path):
     src, state, out = (str(tmp_path / n) for n in ("src", "state", "out"))
     runs = [

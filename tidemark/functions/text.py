@@ -36,7 +36,7 @@ DROPPED_BLOCK = (
 DROPPED_CLOSE = rf"</(?i:{_KINDS})[\s/>]"
 ANY_TAG = r"<(?:[!?]|/?[a-zA-Z])(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>"
 
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
+ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
 RARE_ENTITY = r"&(?!amp;|lt;|gt;|quot;)[A-Za-z#]"
 
 
@@ -146,10 +146,16 @@ def _entity(match: Column) -> Column:
         for n, t in html.entities.html5.items()
         if n.endswith(";") and n[:-1] not in common
     }
-    numeric = F.when(
-        F.substring(body, 2, 1).isin("x", "X"),
-        F.conv(F.substring(body, 3, 9), 16, 10),
-    ).otherwise(F.substring(body, 2, 9)).cast("bigint")
+    hexadecimal = F.substring(body, 2, 1).isin("x", "X")
+    digits = F.regexp_replace(body, "^#[xX]?0*", "")
+    # more digits than any character needs stand for a number beyond the last one
+    numeric = (
+        F.when(digits == "", F.lit(0))
+        .when(F.length(digits) > 8, F.lit(0x110000))
+        .when(hexadecimal, F.conv(digits, 16, 10))
+        .otherwise(digits)
+        .cast("bigint")
+    )
     return (
         F.when(body == "amp", F.lit("&"))
         .when(body.startswith("#"), _code_point(numeric))

@@ -80,29 +80,40 @@ def page_url(base: Column, param: Column, offset: Column) -> Column:
     )
 
 
-def _without_dots(path: Column) -> Column:
-    """Absolute path with ``.``, ``..`` and empty segments folded away."""
+def _without_dots(path: Column, keep_empty: bool = False) -> Column:
+    """``path`` with a leading slash and ``.`` and ``..`` folded away.
+
+    Empty segments inside stay only where ``keep_empty``: in a path that a link gives whole.
+    """
     segments = F.split(path, "/")
+    last = F.element_at(segments, -1)
+    inner = F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0)))
+    if not keep_empty:
+        inner = F.filter(inner, lambda s: s != "")
     folded = F.aggregate(
-        segments,
+        F.concat(F.slice(segments, 1, 1), inner, F.when(F.size(segments) > 1, F.array(last)).otherwise(F.array())),
         F.array().cast("array<string>"),
-        lambda acc, s: F.when(s.isin("", "."), acc)
+        lambda acc, s: F.when(s == ".", acc)
         .when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
         .otherwise(F.concat(acc, F.array(s))),
     )
-    open_end = F.element_at(segments, -1).isin("", ".", "..")
-    return let(
-        folded,
-        lambda kept: F.concat(
-            F.lit("/"),
-            F.array_join(kept, "/"),
-            F.when(open_end & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")),
-        ),
-    )
+    joined = F.array_join(F.when(last.isin(".", ".."), F.concat(folded, F.array(F.lit("")))).otherwise(folded), "/")
+    return let(joined, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+
+
+def _trimmed(url: Column) -> Column:
+    """A link without control characters and spaces in front, without line breaks and tabs, and without
+    the two slashes of an authority that is empty."""
+    plain = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
+    return F.regexp_replace(plain, r"^//(?=[/?#])", "")
 
 
 def resolve_url(url: Column, base: Column) -> Column:
     """Empty -> the base; with a scheme -> unchanged; else joined to the base (RFC 3986)."""
+    return let(_trimmed(url), lambda link: _resolved(link, base))
+
+
+def _resolved(url: Column, base: Column) -> Column:
     scheme = F.regexp_extract(base, SCHEME, 0)
     authority = F.regexp_extract(base, r"^[^/?#]*(//[^/?#]*)", 1)
     base_path = F.regexp_extract(base, r"(?s)^(?:[^:/?#]+:)?(?://[^/?#]*)?([^?#]*)", 1)
@@ -110,7 +121,7 @@ def resolve_url(url: Column, base: Column) -> Column:
 
     merged = (
         F.when(path == "", base_path)
-        .when(path.startswith("/"), _without_dots(path))
+        .when(path.startswith("/"), _without_dots(path, keep_empty=True))
         .otherwise(
             _without_dots(
                 F.concat(F.regexp_replace(base_path, r"(?s)[^/]*\z", ""), path)
@@ -127,6 +138,7 @@ def resolve_url(url: Column, base: Column) -> Column:
     )
     return (
         F.when(url.isNull() | (url == ""), base)
+        .when(url == "//", F.substring_index(base, "#", 1))
         .when(url.rlike(SCHEME), url)
         .when(url.startswith("//"), F.concat(scheme, url))
         .otherwise(joined)

@@ -17,7 +17,12 @@ KNOWN_LABELS = {
 PRICES = {"extract": (0.80, 4.00), "match": (3.00, 15.00)}
 
 WEEK_DATE = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?$"
-CLOCK = r"^T?([01]\d|2[0-3])(?::?([0-5]\d)(?::?([0-5]\d)(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}:?\d{2})?$"
+# Hour, minute and second with colons or without; the offset may have either form of its own.
+_HOUR, _SIXTY = r"([01]\d|2[0-3])", r"([0-5]\d)"
+CLOCK = (
+    rf"^T?(?:{_HOUR}(?::{_SIXTY}(?::{_SIXTY}(?:[.,]\d+)?)?)?|{_HOUR}{_SIXTY}(?:{_SIXTY}(?:[.,]\d+)?)?)"
+    r"(?:Z|[+-](?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?)?$"
+)
 
 
 def parse_date(value: Column) -> Column:
@@ -43,8 +48,12 @@ def parse_date(value: Column) -> Column:
 
 def parse_time(value: Column) -> Column:
     """Clock time as ``HH:mm:ss``; fractions and offsets are dropped, NULL when invalid."""
+    # groups 1 to 3 with colons, 4 to 6 without: one of the two rows is empty
     parts = [
-        F.coalesce(F.nullif(F.regexp_extract(value, CLOCK, i), F.lit("")), F.lit("00"))
+        F.coalesce(
+            F.nullif(F.concat(F.regexp_extract(value, CLOCK, i), F.regexp_extract(value, CLOCK, i + 3)), F.lit("")),
+            F.lit("00"),
+        )
         for i in (1, 2, 3)
     ]
     return F.when(value.rlike(CLOCK), F.concat_ws(":", *parts))
@@ -75,7 +84,7 @@ def profile_label(filename: Column) -> Column:
     titled = F.array_join(
         F.transform(
             runs,
-            lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, 2, 1 << 20))),
+            lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r)))),
         ),
         "",
     )

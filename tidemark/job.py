@@ -14,6 +14,7 @@ import datetime
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from .operators import matching, report
 from .plans import full_run as fr
@@ -33,15 +34,16 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 def main(spark: SparkSession, args: argparse.Namespace, run_at: datetime.datetime) -> int:
     """Run once and write; number of failed sites."""
     listed = targets.read_targets_raw(spark, args.targets)
-    if not targets.require_sites(listed).filter(
-        ~listed["scrape_tier"].isin(*targets.TIERS)
-    ).isEmpty():
+    known = F.coalesce(F.col("scrape_tier").isin(*targets.TIERS), F.lit(False))
+    if not targets.require_sites(listed).filter(~known).isEmpty():
         raise ValueError("invalid scrape_tier in targets, see sources.targets.invalid_targets")
+    if not listed.groupBy("name").count().filter("count > 1").isEmpty():
+        raise ValueError("a site name stands twice in targets")
     outputs = fr.full_run(
         captures.read_captures(spark, args.captures),
         targets.site_targets(listed),
         profiles.read_profiles(spark, args.profiles),
-        stores.read_seen(spark, args.seen),
+        stores.read_seen(spark, args.seen, without=args.run_id),
         stores.read_health(spark, args.health_in),
         run_at,
         threshold=args.threshold,

@@ -104,8 +104,11 @@ def cap_postings(jobs: Column, most: int = MAX_POSTINGS) -> Column:
     return F.slice(jobs, 1, most)
 
 
-def parse_postings(replies: DataFrame, most: int | None = MAX_POSTINGS) -> DataFrame:
-    """Reply text to raw postings, in reply order; invalid replies yield no rows."""
+def parse_postings(replies: DataFrame, most: int | None = None) -> DataFrame:
+    """Reply text to raw postings, in reply order; invalid replies yield no rows.
+
+    ``most`` keeps the first postings of a reply only; by default all are read.
+    """
     jobs = reply_jobs(F.col("text"))
     keep = [c for c in replies.columns if c not in ("text", "input_tokens", "output_tokens")]
     return replies.select(

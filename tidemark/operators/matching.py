@@ -142,9 +142,9 @@ def match_scores(postings: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def with_gaps(
-    matches: DataFrame, postings: DataFrame, profiles: DataFrame, all_terms: bool = False
+    matches: DataFrame, postings: DataFrame, profiles: DataFrame, top8: bool = False
 ) -> DataFrame:
-    """Add the first missing terms (or all); meant for reported matches, after the threshold."""
+    """Add the missing terms, or the first of them; meant for reported matches, after the threshold."""
     best = profile_terms(profiles).select(
         F.col("filename").alias("best_filename"), F.col("terms").alias("best_terms")
     )
@@ -153,7 +153,7 @@ def with_gaps(
         by_posting(postings)
         .join(matches, "dedup_key")
         .join(best, "best_filename")
-        .withColumn("missing_keywords", gaps if all_terms else missing_top8(gaps))
+        .withColumn("missing_keywords", missing_top8(gaps) if top8 else gaps)
         .drop("description", "best_terms")
     )
 
@@ -182,7 +182,7 @@ def match_threshold(matches: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return matches.filter(F.col("best_score") >= threshold)
 
 
-def parse_match(replies: DataFrame) -> DataFrame:
+def parse_match(replies: DataFrame, keep_tokens: bool = False) -> DataFrame:
     """Reply text to match fields; an unreadable reply gives NULLs.
 
     A missing score counts as 0. A null or non-numeric score cannot be used: the row is flagged
@@ -190,7 +190,8 @@ def parse_match(replies: DataFrame) -> DataFrame:
     """
     wrapped = F.concat(F.lit("["), strip_fences(F.col("text")), F.lit("]"))
     parsed = F.from_json(wrapped, "array<map<string,string>>", {"allowSingleQuotes": "false"})
-    keep = [c for c in replies.columns if c not in ("text", "input_tokens", "output_tokens")]
+    dropped = ("text",) if keep_tokens else ("text", "input_tokens", "output_tokens")
+    keep = [c for c in replies.columns if c not in dropped]
     reply = F.col("reply")
     has_score = F.map_contains_key(reply, "best_score")
     score = F.when(has_score, reply["best_score"].try_cast("double")).when(
@@ -236,9 +237,21 @@ def resolve_profile(parsed: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def reply_scores(replies: DataFrame) -> DataFrame:
-    """Match replies as scores of a run, each with its cost; unreadable ones are paid as well."""
+    """Match replies as scores of a run, one a key, with its cost; unreadable ones are paid as well.
+
+    Of several replies to a key the readable one of the highest score counts, of equal ones the first
+    by profile name and reason; the cost is that of all of them.
+    """
     paid = usage_cost("match", F.col("input_tokens"), F.col("output_tokens"))
-    return parse_match(replies).join(replies.select("dedup_key", paid.alias("cost_usd")), "dedup_key")
+    parsed = parse_match(replies, keep_tokens=True).withColumn("cost_usd", paid)
+    key = Window.partitionBy("dedup_key")
+    best = key.orderBy(F.col("best_score").desc_nulls_last(), "best_filename", "match_reason", "runner_up_filename")
+    return (
+        parsed.withColumn("cost_usd", F.sum("cost_usd").over(key))
+        .withColumn("_rank", F.row_number().over(best))
+        .where("_rank = 1")
+        .drop("_rank", "input_tokens", "output_tokens")
+    )
 
 
 def score_with(

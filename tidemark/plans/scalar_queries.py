@@ -41,13 +41,13 @@ def jsonld_date(spark, sf):
 
 
 @query(f"""
-SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '2024-01-15T14:30:00Z' ELSE '3 hours ago' END || chr(10)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '1999-12-31' ELSE 'at noon' END || chr(10)
        || {o.clean('html')} AS text FROM pages""")
 def time_tag(spark, sf):
     tag = F.when(
         F.col("page_id") % 2 == 0,
-        F.lit('<time class="x" datetime="2024-01-15T14:30:00Z">3 <b>hours</b> ago</time>'),
-    ).otherwise(F.lit("<time>3 hours ago</time>"))
+        F.lit('<time lang="de" datetime="1999-12-31">New <b>Year</b></time>'),
+    ).otherwise(F.lit("<time>at noon</time>"))
     return b.table(spark, sf, "pages").select(
         "page_id", tx.html_clean(F.concat(tag, "html")).alias("text")
     )
@@ -194,8 +194,8 @@ def strip_fences(spark, sf):
 @query(f"""
 WITH {o.REPLIES},
 r AS (SELECT request_id, {o.unfenced('text')} AS t FROM replies),
-j AS (SELECT request_id, unnest(json_extract(t, '$.jobs[*]')[1:50]) AS job,
-             generate_subscripts(json_extract(t, '$.jobs[*]')[1:50], 1) - 1 AS pos
+j AS (SELECT request_id, unnest(json_extract(t, '$.jobs[*]')) AS job,
+             generate_subscripts(json_extract(t, '$.jobs[*]'), 1) - 1 AS pos
       FROM r WHERE json_valid(t))
 SELECT request_id, CAST(pos AS INTEGER) AS pos, job->>'$.title' AS title, job->>'$.job_id' AS raw_job_id FROM j""")
 def parse_postings(spark, sf):

@@ -52,7 +52,7 @@ def _stream_postings(spark, sf):
 def stream_dedup(spark, sf):
     state, out = staging.new_folder(spark, "state"), staging.new_folder(spark, "keys")
     streams.stream_dedup(_stream_postings(spark, sf).select("dedup_key"), state, out)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("dedup_key")
 
 
 @query(f"""

@@ -157,7 +157,7 @@ j AS (SELECT request_id, site_name, base, unnest(json_extract(t, '$.jobs[*]')) A
 @query(f"WITH {_JOBS} SELECT request_id, count(*) AS n_jobs, max(pos) AS last_pos FROM j WHERE pos < 50 GROUP BY request_id")
 def cap_postings(spark, sf):
     return (
-        extract.parse_postings(b.extraction_replies(spark, sf))
+        extract.parse_postings(b.extraction_replies(spark, sf), most=extract.MAX_POSTINGS)
         .groupBy("request_id")
         .agg(F.count("*").alias("n_jobs"), F.max("pos").alias("last_pos"))
     )
@@ -167,7 +167,7 @@ def cap_postings(spark, sf):
 WITH {_JOBS},
 p AS (SELECT *, job->>'$.job_id' AS job_id, job->>'$.posted_date' AS d,
         CASE WHEN job->>'$.url' = '' THEN base ELSE regexp_extract(base, '^[a-z]+://[^/]+') || (job->>'$.url') END AS url
-      FROM j WHERE pos < 50)
+      FROM j)
 SELECT request_id, pos, job->>'$.title' AS title, url, site_name AS company,
   CASE WHEN json_type(job, '$.description') IS NULL THEN '' ELSE job->>'$.description' END AS description, '' AS snippet, job_id,
   CASE WHEN d LIKE '2024-01-1%' THEN d WHEN d LIKE '2024020%' AND d <> '20240200' THEN
@@ -437,7 +437,7 @@ g AS (SELECT bm.*, list_sort(list_filter({o.terms('d.text')}, lambda t: NOT list
 @query(f"""
 WITH {_GAPS}
 SELECT g.dedup_key, best_filename, best_label, round(best_score, 9) AS best_score,
-  'shares ' || n_shared || ' of ' || n_terms || ' profile terms' AS match_reason, array_to_string(gaps[1:8], ',') AS missing_keywords,
+  'shares ' || n_shared || ' of ' || n_terms || ' profile terms' AS match_reason, array_to_string(gaps, ',') AS missing_keywords,
   runner_up_filename, r.role_label AS runner_up_label, round(runner_up_score, 9) AS runner_up_score
 FROM g LEFT JOIN pf r ON r.filename = runner_up_filename""")
 def lexical_match(spark, sf):
@@ -451,7 +451,7 @@ def lexical_match(spark, sf):
 def _gaps(spark, sf):
     docs, known = b.documents(spark, sf), b.profiles(spark, sf)
     best = matching.match_scores(docs, known).select("dedup_key", "best_filename")
-    return matching.with_gaps(best, docs, known, all_terms=True).select(
+    return matching.with_gaps(best, docs, known).select(
         "dedup_key", F.col("missing_keywords").alias("gaps")
     )
 

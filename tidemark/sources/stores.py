@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from . import schemas
 
 
-def _read(spark: SparkSession, ddl: str, path: str) -> DataFrame:
+def _read(spark: SparkSession, ddl: str | StructType, path: str) -> DataFrame:
     """A store, empty before the first run."""
     try:
         return spark.read.schema(ddl).parquet(path)
@@ -24,9 +25,21 @@ def _read(spark: SparkSession, ddl: str, path: str) -> DataFrame:
         return spark.createDataFrame([], ddl)
 
 
-def read_seen(spark: SparkSession, path: str) -> DataFrame:
-    """Whole store over all runs; select ``dedup_key`` for look-ups, the scan prunes the rest."""
-    return _read(spark, f"{schemas.SEEN}, run_id string", path).drop("run_id")
+def read_seen(spark: SparkSession, path: str, without: str | None = None) -> DataFrame:
+    """Whole store over all runs; select ``dedup_key`` for look-ups, the scan prunes the rest.
+
+    ``without`` leaves out the folder of one run: a run that is repeated does not find its own keys.
+    """
+    rows = _read(spark, f"{schemas.SEEN}, run_id string", path)
+    if without is not None:
+        rows = rows.filter(F.col("run_id") != without)
+    return rows.drop("run_id")
+
+
+def read_rows(spark: SparkSession, schema, path: str) -> DataFrame:
+    """Rows of ``schema`` with their ``run_id``, none before the first run."""
+    names = StructType([*schema.fields, StructField("run_id", StringType())])
+    return _read(spark, names, path)
 
 
 def seen_keys(seen: DataFrame) -> DataFrame:

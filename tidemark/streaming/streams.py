@@ -6,20 +6,15 @@ next time, which is what a scheduled run does.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import incremental
-from ..sources import schemas
+from ..sources import schemas, stores
 from ..sources.stores import append_seen
 
-HEALTH_OUT = schemas.HEALTH
-HEALTH_STATE = "consecutive_zeros int, last_success_at timestamp, last_run_at timestamp"
-
 
 def arriving(spark: SparkSession, schema, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files as a stream; ``path`` may be a glob."""
@@ -47,80 +42,53 @@ def stream_captures(
     drain(read(arrived), checkpoint, out)
 
 
+def _batch_folder(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
+    """Name of a batch of this stream alone: another stream, or a new checkpoint, has another id."""
+    stream = spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+    return f"stream-{stream}-{batch_id}"
+
+
 def stream_dedup(postings: DataFrame, checkpoint: str, out: str) -> None:
-    """Report each key once, for ever; which duplicate comes through is not determined.
+    """Write each key of ``postings`` once under ``out``; which duplicate comes through is not determined.
 
-    The state grows with the number of keys, as the store does. Callers that need the first
-    posting in run order use ``stream_upsert``.
+    What has been written is the memory, so no state grows in the executors. Rows carry ``run_id``.
     """
-    drain(postings.dropDuplicates(["dedup_key"]), checkpoint, out)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        folder = _batch_folder(spark, checkpoint, batch_id)
+        known = stores.read_rows(spark, batch.schema, out).filter(F.col("run_id") != folder)
+        fresh = batch.dropDuplicates(["dedup_key"])
+        fresh = fresh.join(incremental.known_keys(fresh, known), "dedup_key", "left_anti").select(*batch.columns)
+        append_seen(fresh, out, folder)
+
+    drain(postings, checkpoint, each=write)
 
 
 def stream_upsert(postings: DataFrame, store: str, checkpoint: str, run_at: Column) -> None:
     """Add each batch's new postings to the store at ``store``, first occurrence first.
 
-    A batch writes a folder of its own and ignores that folder when it looks keys up, so a batch
-    that is repeated after a failure gives the same store.
+    A batch writes a folder of its stream and number, and ignores that folder when it looks keys up, so
+    a batch that is repeated after a failure gives the same store, and no stream touches what another
+    wrote. A store that does not exist yet is empty.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        spark, run_id = batch.sparkSession, f"batch-{batch_id}"
-        known = (
-            spark.read.schema(f"{schemas.SEEN}, run_id string")
-            .parquet(store)
-            .filter(F.col("run_id") != run_id)
-        )
+        spark = batch.sparkSession
+        folder = _batch_folder(spark, checkpoint, batch_id)
+        known = stores.read_seen(spark, store, without=folder)
         new = incremental.new_first_occurrence(batch, incremental.known_keys(batch, known))
         no_scores = spark.createDataFrame([], "dedup_key string, best_score double")
-        append_seen(incremental.seen_rows(new, no_scores, run_at), store, run_id)
+        append_seen(incremental.seen_rows(new, no_scores, run_at), store, folder)
 
     drain(postings, checkpoint, each=upsert)
 
 
-def stream_health(runs: DataFrame) -> DataFrame:
-    """Zero counter and last success per site, kept as state, one output row per site and batch.
-
-    ``runs`` has one row per site and run, so a group is as long as a site's new history.
-    """
-
-    def update(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        zeros, success, latest = state.get if state.exists else (0, None, None)
-        news = pd.concat(list(batches)).sort_values("run_at")
-        won = news.loc[news["job_count"] > 0, "run_at"]
-        if len(won):
-            success = won.iloc[-1]
-            zeros = int((news["run_at"] > success).sum())
-        else:
-            zeros = int(zeros) + len(news)
-        latest = news["run_at"].iloc[-1]
-        state.update((zeros, success, latest))
-        yield pd.DataFrame(
-            {
-                "site_name": [key[0]],
-                "consecutive_zeros": [zeros],
-                "last_success_at": pd.to_datetime(pd.Series([success])),
-            }
-        )
-
-    return runs.groupBy("site_name").applyInPandasWithState(
-        update, HEALTH_OUT, HEALTH_STATE, "update", GroupStateTimeout.NoTimeout
-    )
-
-
 def drain_health(runs: DataFrame, checkpoint: str, out: str) -> None:
-    """Run ``stream_health`` and keep the last state per batch under ``out``."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
-
-    drain(stream_health(runs), checkpoint, mode="update", each=write)
+    """Add arrived runs (site_name, run_at, job_count) to the history under ``out``."""
+    drain(runs, checkpoint, out)
 
 
 def latest_health(spark: SparkSession, out: str) -> DataFrame:
-    """State per site after the last batch that touched it."""
-    rows = spark.read.schema(f"{schemas.HEALTH}, batch_id bigint").parquet(out)
-    return rows.groupBy("site_name").agg(
-        F.max_by(F.struct("consecutive_zeros", "last_success_at"), "batch_id").alias("s")
-    ).select("site_name", "s.*")
+    """Zero counter and last success per site over the history, in whatever order runs arrived."""
+    return incremental.zero_streak(spark.read.schema(schemas.RUNS).parquet(out))
