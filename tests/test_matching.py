@@ -57,19 +57,25 @@ def test_threshold_is_inclusive(spark):
     assert [r["dedup_key"] for r in matching.match_threshold(rows).collect()] == ["a"]
 
 
-def test_request_holds_description_and_every_profile(spark, profiles):
-    long = "x" * 10_000
-    row = spark.createDataFrame([("p", long)], "dedup_key string, description string")
-    request = matching.match_input(row, profiles).first()["request"]
-    sections = "\n\n".join(f"--- Resume: {f} ({label}) ---\n{c}" for f, label, c in PROFILES)
-    assert request == f"--- Job Description ---\n{long}\n\n{sections}"
-
-
-def test_profiles_above_the_size_bound_are_refused(spark, profiles, postings, monkeypatch):
-    monkeypatch.setattr(matching, "MAX_BUNDLE_CHARS", 10)
-    monkeypatch.setattr(matching.bundle_fits, "__defaults__", (10,))
-    with pytest.raises(ValueError):
-        matching.match_input(postings, profiles)
+def test_request_holds_the_whole_description_and_two_whole_profiles(spark, profiles):
+    long = "y" * 20_000
+    more = profiles.union(spark.createDataFrame([("d.md", "D", "sql " + "z" * 20_000)], profiles.schema))
+    rows = spark.createDataFrame([("p", f"sql {long}"), ("none", long)], "dedup_key string, description string")
+    got = by_key(matching.match_input(rows, more))
+    sections = {f: f"--- Resume: {f} ({label}) ---\n{c}" for f, label, c in map(tuple, more.collect())}
+    assert got["p"]["request"] == f"--- Job Description ---\nsql {long}\n\n{sections['d.md']}\n\n{sections['a.md']}"
+    assert got["none"]["request"] == f"--- Job Description ---\n{long}"
+
+
+def test_candidates_stay_far_below_all_pairs(spark):
+    """2,000 profiles that all share frequent terms, each with two of its own."""
+    rows = [(f"{i:04d}.md", "L", f"common words everywhere own{i} also{i}") for i in range(2000)]
+    many = spark.createDataFrame(rows, "filename string, role_label string, content string")
+    texts = [(f"p{i}", f"common words everywhere own{7 * i} also{7 * i + 1}") for i in range(100)]
+    pairs = matching.posting_x_profile(spark.createDataFrame(texts, "dedup_key string, description string"), many).collect()
+    assert {(r.dedup_key, r.filename, r.n_rare) for r in pairs} == {
+        (f"p{i}", f"{7 * i + k:04d}.md", 1) for i in range(100) for k in (0, 1)
+    }
 
 
 def reply(**fields):
@@ -98,16 +104,17 @@ def test_match_replies(spark, profiles):
     assert got["second_unknown"]["runner_up_score"] == 0.7
 
 
-def test_score_with_loses_only_the_failing_posting(postings, profiles):
-    def fn(batch: pd.DataFrame, bundle: pd.DataFrame) -> pd.DataFrame:
-        if batch["description"].str.contains("nothing").any():
+def test_score_with_loses_only_the_failing_pair(postings, profiles):
+    def fn(batch: pd.DataFrame) -> pd.Series:
+        if (batch["filename"] == "b.md").any():
             raise RuntimeError("no answer")
-        return pd.DataFrame({"best_filename": bundle["filename"].iloc[0], "best_score": 0.5,
-                             "missing_keywords": [["x"]] * len(batch)}, index=batch.index)
+        return batch["content"].str.len() / 100
 
     got = by_key(matching.score_with(postings.coalesce(1), profiles, fn))
-    assert {k: r["best_score"] for k, r in got.items()} == {"p1": 0.5, "p2": 0.5, "p3": None}
-    assert got["p1"]["missing_keywords"] == ["x"] and got["p3"]["missing_keywords"] is None
+    assert set(got) == {"p1", "p2"}
+    assert (got["p1"]["best_filename"], got["p1"]["best_score"], got["p1"]["runner_up_filename"]) == ("a.md", 0.16, None)
+    assert (got["p2"]["best_filename"], got["p2"]["runner_up_filename"]) == ("a.md", "c.md")
+    assert got["p1"]["error"] == got["p2"]["error"] == "RuntimeError: no answer"
 
 
 def job(i, **fields):

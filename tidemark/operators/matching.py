@@ -13,68 +13,49 @@ from ..functions.values import usage_cost
 
 THRESHOLD = 0.70  # fixed value: lowest score that is reported
 MAX_MISSING = 8  # fixed value: missing terms listed per match
-# Profile text above this size is not attached to every request or task.
-MAX_BUNDLE_CHARS = 4_000_000
+RARE = 3  # a term is rare when no more profiles have it
 
-MATCH_FIELDS = (
-    "best_filename string, best_label string, best_score double, match_reason string, "
-    "missing_keywords array<string>, runner_up_filename string, runner_up_label string, "
-    "runner_up_score double"
-)
 
+def profile_section() -> Column:
+    """A profile as request text."""
+    head = F.concat(F.lit("--- Resume: "), F.col("filename"), F.lit(" ("), F.col("role_label"), F.lit(") ---\n"))
+    return F.concat(head, F.col("content"))
 
-def bundle_fits(profiles: DataFrame, most: int = MAX_BUNDLE_CHARS) -> bool:
-    """Size check before profile text is copied to every task: one number is collected."""
-    total = profiles.agg(F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n")).first()["n"]
-    return total <= most
-
-
-def _require_bundle(profiles: DataFrame) -> None:
-    if not bundle_fits(profiles):
-        raise ValueError(f"profiles exceed {MAX_BUNDLE_CHARS} characters in total")
 
+def match_input(postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Request text per posting: its whole description, then its best and its second profile.
 
-def profile_sections(profiles: DataFrame) -> DataFrame:
-    """One row: all profiles as request text, in file order."""
-    section = F.concat(
-        F.lit("--- Resume: "),
-        F.col("filename"),
-        F.lit(" ("),
-        F.col("role_label"),
-        F.lit(") ---\n"),
-        F.col("content"),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("filename", section.alias("section"))))
-    return profiles.agg(
-        F.array_join(F.transform(ordered, lambda s: s["section"]), "\n\n").alias("sections")
+    Two profiles are chosen by shared terms, so requests do not grow with the number of profiles; a
+    posting without a term in common with any has its description alone.
+    """
+    named = best_and_runner_up(term_scores(postings, profiles))
+    for side in ("best", "runner_up"):
+        sections = profiles.select(F.col("filename").alias(f"{side}_filename"), profile_section().alias(f"_{side}"))
+        named = named.join(sections, f"{side}_filename", "left")
+    description = F.concat(F.lit("--- Job Description ---\n"), F.col("description"))
+    return (
+        postings.join(named.select("dedup_key", "_best", "_runner_up"), "dedup_key", "left")
+        .withColumn("request", F.concat_ws("\n\n", description, "_best", "_runner_up"))
+        .drop("_best", "_runner_up")
     )
 
 
-def match_input(postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Request text per posting: its whole description, then every profile.
+def posting_x_profile(postings: DataFrame, profiles: DataFrame, rare: int = RARE) -> DataFrame:
+    """Candidate pairs (dedup_key, filename) with the number of rare terms they share.
 
-    A request holds all profiles at once, so the result has one row per posting; the profile part
-    is built once and attached as a scalar, after a check of its size.
+    Terms of many profiles tell profiles apart the least and would pair almost all of them with almost
+    all postings; a term of at most ``rare`` profiles makes at most that many pairs of a posting.
     """
-    _require_bundle(profiles)
-    return postings.withColumn(
-        "request",
-        F.concat(
-            F.lit("--- Job Description ---\n"),
-            F.col("description"),
-            F.lit("\n\n"),
-            profile_sections(profiles).scalar(),
-        ),
+    wanted = profile_terms(profiles).select("filename", F.explode("terms").alias("term"))
+    few = wanted.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("term")
+    offered = by_posting(postings).select("dedup_key", F.explode(terms(F.col("description"))).alias("term"))
+    return (
+        offered.join(wanted.join(few, "term"), "term")
+        .groupBy("dedup_key", "filename")
+        .agg(F.count("*").alias("n_rare"))
     )
 
 
-def posting_x_profile(postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Every posting with the whole list of profiles it is to be compared with."""
-    _require_bundle(profiles)
-    names = profiles.agg(F.array_sort(F.collect_list("filename")).alias("names"))
-    return postings.withColumn("profiles", names.scalar())
-
-
 def by_posting(postings: DataFrame) -> DataFrame:
     """Posting texts spread by key: the one shuffle of a match, reused where it recurs."""
     return postings.select("dedup_key", "description").repartition("dedup_key")
@@ -257,43 +238,47 @@ def reply_scores(replies: DataFrame) -> DataFrame:
 def score_with(
     postings: DataFrame,
     profiles: DataFrame,
-    fn: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    fn: Callable[[pd.DataFrame], pd.Series],
+    pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Score postings by a caller's function over pandas batches.
+    """Best and second profile of every posting by a caller's function over candidate pairs.
 
-    ``fn(batch, profiles)`` returns one row of match fields per posting of the batch, in order.
-    Profiles are handed to the tasks after a check of their size. When a batch fails its postings
-    are tried one by one, and those that fail again get NULL results.
+    ``fn(batch)`` returns a score per row of (dedup_key, filename, description, content). Pairs are those of
+    ``posting_x_profile`` unless given. When a batch fails its rows are tried one by one; a row that
+    fails again has no score, and ``error`` tells why, the first one of a posting by profile name.
     """
-    _require_bundle(profiles)
-    bundle = profiles.select("filename", "role_label", "content").toPandas()
-    names = [field.split()[0] for field in MATCH_FIELDS.split(", ")]
+    chosen = (posting_x_profile(postings, profiles) if pairs is None else pairs).select("dedup_key", "filename")
+    rows = chosen.join(postings.select("dedup_key", "description"), "dedup_key").join(
+        profiles.select("filename", "content"), "filename"
+    )
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
-        found = fn(batch, bundle).reindex(columns=names)
+        found = fn(batch)
         if len(found) != len(batch):
-            raise ValueError("one result row per posting expected")
-        found = found.astype(object).where(found.notna(), None)
-        found.insert(0, "dedup_key", batch["dedup_key"].to_numpy())
-        return found
-
-    def one_by_one(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for i in range(len(batch)):
-            row = batch.iloc[i : i + 1]
-            try:
-                yield run(row)
-            except Exception:
-                failed = pd.DataFrame([{n: None for n in names}])
-                failed.insert(0, "dedup_key", row["dedup_key"].to_numpy())
-                yield failed
+            raise ValueError("one score per row expected")
+        score = pd.Series(found).astype("float64").to_numpy()
+        return batch[["dedup_key", "filename"]].assign(score=score, error=None)
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             try:
                 yield run(batch)
             except Exception:
-                yield from one_by_one(batch)
-
-    return postings.select("dedup_key", "description").mapInPandas(
-        scored, f"dedup_key string, {MATCH_FIELDS}"
+                for i in range(len(batch)):
+                    row = batch.iloc[i : i + 1]
+                    try:
+                        yield run(row)
+                    except Exception as error:
+                        failed = f"{type(error).__name__}: {error}"
+                        yield row[["dedup_key", "filename"]].assign(score=None, error=failed)
+
+    found = rows.mapInPandas(scored, "dedup_key string, filename string, score double, error string")
+    best = F.struct((-F.col("score")).alias("order"), "filename", "score")
+    top = found.groupBy("dedup_key").agg(
+        F.slice(F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), best))), 1, 2).alias("top"),
+        F.min_by("error", F.when(F.col("error").isNotNull(), F.col("filename"))).alias("error"),
+    )
+    return top.select(
+        "dedup_key", F.get("top", F.lit(0))["filename"].alias("best_filename"), F.get("top", F.lit(0))["score"].alias("best_score"),
+        F.get("top", F.lit(1))["filename"].alias("runner_up_filename"), F.get("top", F.lit(1))["score"].alias("runner_up_score"), "error",
     )

@@ -407,15 +407,14 @@ def visited_pages(spark, sf):
 _SC = o.overlap("documents", "CAST(doc_id AS VARCHAR)", "text")
 
 
-@query("""
-SELECT CAST(doc_id AS VARCHAR) AS dedup_key, length(text) AS description_chars, n AS n_profiles, names AS profiles
-FROM documents, (SELECT count(*) AS n, string_agg(printf('profile_%05d.md', item_id), ',' ORDER BY item_id) AS names FROM benchmark)""")
+_CANDIDATES = f"""{_SC},
+rare AS (SELECT term FROM pt GROUP BY term HAVING count(*) <= 3),
+cand AS (SELECT dedup_key, filename, count(*) AS n_rare FROM dt JOIN pt USING (term) JOIN rare USING (term) GROUP BY ALL)"""
+
+
+@query(f"WITH {_CANDIDATES} SELECT dedup_key, filename, n_rare FROM cand")
 def posting_x_profile(spark, sf):
-    pairs = matching.posting_x_profile(b.documents(spark, sf), b.profiles(spark, sf))
-    return pairs.select(
-        "dedup_key", F.length("description").cast("bigint").alias("description_chars"),
-        F.size("profiles").cast("bigint").alias("n_profiles"), F.array_join("profiles", ",").alias("profiles"),
-    )
+    return matching.posting_x_profile(b.documents(spark, sf), b.profiles(spark, sf))
 
 
 @query(f"""
@@ -493,22 +492,20 @@ def resolve_profile(spark, sf):
 
 
 @query(f"""
-WITH {_SC} SELECT d.dedup_key, best_filename, round(best_score, 9) AS best_score FROM
-(SELECT CAST(doc_id AS VARCHAR) AS dedup_key FROM documents) d LEFT JOIN bm USING (dedup_key)""")
+WITH {_CANDIDATES},
+k AS (SELECT sc.*, row_number() OVER (PARTITION BY dedup_key ORDER BY score DESC, filename) AS r FROM sc JOIN cand USING (dedup_key, filename))
+SELECT dedup_key, filename AS best_filename, round(score, 9) AS best_score FROM k WHERE r = 1""")
 def score_with(spark, sf):
     import re
 
     import pandas as pd
 
-    def overlap(batch: pd.DataFrame, bundle: pd.DataFrame) -> pd.DataFrame:
-        words = re.compile(r"[^\W_]+")
-        sets = [(name, set(words.findall(c.lower()))) for name, c in zip(bundle.filename, bundle.content)]
-        rows = []
-        for text in batch["description"]:
-            own = set(words.findall(text.lower()))
-            score, name = min((-len(own & s) / len(s), name) for name, s in sets)
-            rows.append((name, -score) if score else (None, None))
-        return pd.DataFrame(rows, columns=["best_filename", "best_score"])
+    def overlap(batch: pd.DataFrame) -> pd.Series:
+        def terms(text: str) -> set[str]:
+            return set(re.findall(r"[^\W_]+", text.lower()))
+
+        wanted = [terms(c) for c in batch["content"]]
+        return pd.Series([len(terms(d) & w) / len(w) for d, w in zip(batch["description"], wanted)])
 
     return matching.score_with(b.documents(spark, sf), b.profiles(spark, sf), overlap).select(
         "dedup_key", "best_filename", F.round("best_score", 9).alias("best_score")
