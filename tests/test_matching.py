@@ -4,7 +4,6 @@ import json
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import extract, matching
 
