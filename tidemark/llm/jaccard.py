@@ -13,8 +13,9 @@ over the upper corners is too small for the smallest documents inside.
    Passages that many documents share are the most frequent shingles, so they are not among them.
 4. Every node of such a bucket is held against the bucket's smallest node: a star, linear in the bucket.
    Points bound, sets verify, links become components. A group of near copies ends here, without its pairs.
-5. Where a bucket still holds two components, the remaining pairs across components are found in it by packing
-   the points into boxes, ``BLOCK`` points at most in a task, and are verified in the same way.
+5. Where a bucket of three or more nodes still holds two components, the remaining pairs across components are
+   found in it by packing the points into boxes, two blocks of ``BLOCK`` points at most in a task, and are
+   verified in the same way.
 
 No link between different components is lost: a similar pair shares a bucket, and either has become one
 component or is among the pairs of step 5. No pair is emitted before its points allow it.
@@ -222,14 +223,15 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the nodes in ``wanted``, computed from the texts again.
+def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, set) of the nodes in ``pairs``, computed from the texts again.
 
     A bitmap of fixed size keeps most other sets inside their tasks; the join that follows is exact.
     """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     slot = F.shiftrightunsigned(F.col("node"), 64 - BLOOM_BITS)
     bits = np.zeros(1 << BLOOM_BITS, bool)
-    bits[wanted.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy()] = True
+    bits[wanted.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def make(state, texts, ids):
@@ -250,7 +252,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         )
 
     found = _per_group(docs, make, "node long, set binary")
-    return found.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return stage(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -310,14 +312,31 @@ def box_join(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.
     return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *cols])
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """Rows of the buckets that still hold two components and a pair no star has looked at, with their size k.
+
+    ``placed`` has (shingle, part, node, n, root). Of buckets with the same nodes one is enough.
+    """
+    nodes = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes")
+    buckets = placed.groupBy("shingle").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"), F.max("part").alias("parts"), nodes
+    )
+    open_ = buckets.where("x != y AND (k > 2 OR parts > 0)").groupBy("k", "nodes").agg(F.min("shingle").alias("shingle"))
+    return placed.join(open_.select("shingle", "k"), "shingle").select("shingle", "node", "n", "root", "k")
+
+
 def _across(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components inside a bucket that their points allow.
 
-    ``buckets`` has (shingle, node, n, root). Nodes are dealt into bands of sizes, so that similar ones stand in
-    the same or the next band, and large bands into blocks; two blocks of a bucket meet in one task.
+    ``buckets`` has (shingle, node, n, root, k). A bucket of up to ``BLOCK`` nodes is one task. Nodes of a larger one
+    are dealt into bands of sizes, so that similar ones stand in the same or the next band, and bands into
+    blocks; two blocks meet in one task where their sizes allow it.
     """
+    small = buckets.where(F.col("k") <= BLOCK).select(
+        F.col("shingle").alias("task"), F.lit(1).alias("side"), F.lit(True).alias("same"), "node", "n", "root"
+    )
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / SIMILAR)) + 1e-9)
-    own = buckets.withColumn("band", band)
+    own = buckets.where(F.col("k") > BLOCK).withColumn("band", band)
     order = Window.partitionBy("shingle", "band").orderBy("n", "node")
     own = own.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
     blocks = own.groupBy("shingle", "band", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
@@ -331,9 +350,11 @@ def _across(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
     sides = []
     for side in (1, 2):
         keys = [F.col(f"band{side}").alias("band"), F.col(f"block{side}").alias("block")]
-        sides.append(meet.select("shingle", *keys, task, F.lit(side).alias("side"), F.expr("band1 = band2 AND block1 = block2").alias("same")))
+        same = F.expr("band1 = band2 AND block1 = block2").alias("same")
+        sides.append(meet.select("shingle", *keys, task, F.lit(side).alias("side"), same))
     both = sides[0].union(sides[1]).where("side = 1 OR NOT same")
-    sent = both.join(own, ["shingle", "band", "block"]).join(nodes.select("node", "point"), "node")
+    large = both.join(own, ["shingle", "band", "block"]).select("task", "side", "same", "node", "n", "root")
+    sent = small.union(large).join(nodes.select("node", "point"), "node")
     sent = sent.select("task", "side", "same", "node", "n", "root", "point")
     sent = sent.repartition("task").sortWithinPartitions("task", "side")
 
@@ -382,16 +403,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pivots = stars.groupBy("shingle", "part").agg(F.min("pivot").alias("b"))
     tops = pivots.groupBy("shingle").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")
     star = star.union(pivots.join(tops, "shingle").select("a", "b")).where("a != b").distinct()
-    sets = stage(_sets(texts, nodes.select("node")), "jaccard-sets")
-    links = stage(_verified(_bounded(star, nodes), sets), "jaccard-links")
+    near = stage(_bounded(star, nodes), "jaccard-pairs")
+    links = stage(_verified(near, _sets(texts, near)), "jaccard-links")
     roots = stage(components(links), "jaccard-roots")
 
     root = F.coalesce("root", "node").alias("root")
-    placed = stars.select("shingle", "node", "n").join(roots, "node", "left").select("shingle", "node", "n", root)
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y")
-    across = _across(placed.join(mixed.select("shingle"), "shingle", "left_semi"), nodes)
-    more = stage(_verified(across, sets), "jaccard-links")
-    if more.limit(1).count():
+    placed = stars.join(roots, "node", "left").select("shingle", "part", "node", "n", root)
+    near = stage(_across(_mixed(placed), nodes), "jaccard-pairs")
+    if near.limit(1).count():
+        more = stage(_verified(near, _sets(texts, near)), "jaccard-links")
         roots = stage(components(links.union(more)), "jaccard-roots")
 
     placed = rows.select("id", "n", "node").join(roots, "node", "left").select("id", "n", root)
