@@ -32,7 +32,7 @@ from ..sources.staging import stage
 from .tables import unused
 
 MIN_WORDS = 8
-DEPTH = 3
+DEPTH = 2
 SIMILAR = 75  # of 100
 LEAF_BITS = 20
 WILD = "<*>"
@@ -131,7 +131,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     lines = stage(lines, "templates-distinct")
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("low").alias("x"), F.max("high").alias("y"))
     mixed = leaves.where("n > 1 AND x != y").select("leaf")
-    general = _generalised(_worded(docs, mixed), lines)
+    general = _generalised(stage(_worded(docs, mixed), "templates-words"), lines)
     named = lines.join(general, "line", "left").select(
         "line", F.coalesce("template", "line").alias("template"), "low", "high", "first"
     )
