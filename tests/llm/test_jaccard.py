@@ -82,6 +82,21 @@ def test_blocks_of_a_bucket_meet(docs, rows, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_parts_of_a_hot_bucket_lose_no_link(docs, rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    got = jaccard.join(docs(rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_a_near_copy_alone_in_every_part_is_linked(docs, monkeypatch):
+    """Many exact copies make all shingles hot, but there are only two nodes."""
+    monkeypatch.setattr(jaccard, "HOT", 2)
+    base = [f"w{i}" for i in range(100)]
+    for k in range(4):
+        rows = [(i, " ".join(base)) for i in range(60)] + [(100, " ".join([*base, f"one{k}"]))]
+        assert {r.component_id for r in jaccard.join(docs(rows)).collect()} == {0}
+
+
 def test_across_alone_finds_every_similar_pair_of_a_bucket(spark, docs, rows, monkeypatch):
     """Without stars: all nodes in one bucket, each a component of its own."""
     monkeypatch.setattr(jaccard, "BLOCK", 20)

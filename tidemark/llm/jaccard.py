@@ -129,7 +129,10 @@ def describe(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(shingle, part, node, n): the rarest shingles of every set, once a task for equal sets."""
+    """(shingle, part, split, node, n): the rarest shingles of every set, once a task for equal sets.
+
+    ``split`` says whether the bucket of the shingle is dealt out in parts.
+    """
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def make(state, texts, ids):
@@ -157,19 +160,21 @@ def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
         extra = np.maximum(often - counts_of.mean(), 0).astype(np.int64) // HOT + 1
         part = (mix(nodes[owner].view(np.uint64)) % extra.astype(np.uint64)).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.view(np.int64)), pa.array(part), pa.array(nodes[owner]), pa.array(n)],
-            ["shingle", "part", "node", "n"],
+            [pa.array(keys.view(np.int64)), pa.array(part), pa.array(extra > 1), pa.array(nodes[owner]), pa.array(n)],
+            ["shingle", "part", "split", "node", "n"],
         )
 
-    return _per_group(docs, make, "shingle long, part int, node long, n long")
+    return _per_group(docs, make, "shingle long, part int, split boolean, node long, n long")
 
 
 def _stars(prefixes: DataFrame) -> DataFrame:
     """(shingle, part, pivot, node, n) of all buckets with two nodes; the pivot is the first node of its part.
 
-    Rows of a bucket arrive sorted and pass through one by one: a bucket is never held.
+    Rows of a bucket arrive sorted and pass through one by one: a bucket is never held. A node alone in a part
+    of several stays, as its partners may stand in the others: the pivots of parts are linked later.
     """
-    dealt = prefixes.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "node")
+    dealt = prefixes.select("shingle", "part", "split", "node", "n").repartition("shingle", "part")
+    dealt = dealt.sortWithinPartitions("shingle", "part", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row, when it may still be alone in its bucket
@@ -178,21 +183,21 @@ def _stars(prefixes: DataFrame) -> DataFrame:
             table = np.stack([np.asarray(c).astype(np.int64) for c in batch.columns])
             if held is not None:
                 table = np.concatenate((held, table), axis=1)
-            shingle, part, node, _ = table
+            shingle, part, split, node, n = table
             new = np.ones(len(node), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (part[1:] != part[:-1])
             if held is None and last == (shingle[0], part[0]):
                 new[0] = False
             first = np.maximum.accumulate(np.where(new, np.arange(len(node)), -1))
             pivots = np.where(first >= 0, node[first], pivot if pivot is not None else 0)
-            alone = new & np.append(new[1:], False)
-            pending = bool(new[-1])
+            alone = new & np.append(new[1:], False) & (split == 0)
+            pending = bool(new[-1]) and not split[-1]
             keep = ~alone
             if pending:
                 keep[-1] = False
             held = table[:, -1:].copy() if pending else None
             last, pivot = (shingle[-1], part[-1]), pivots[-1]
-            out = [table[0], table[1].astype(np.int32), pivots, table[2], table[3]]
+            out = [shingle, part.astype(np.int32), pivots, node, n]
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], ["shingle", "part", "pivot", "node", "n"])
 
     return dealt.mapInArrow(run, "shingle long, part int, pivot long, node long, n long")
