@@ -5,7 +5,11 @@ import json
 import pandas as pd
 import pytest
 
+from compare import compare, connect
 from tidemark.operators import extract, matching
+from tidemark.plans import registry
+
+registry.load()
 
 PROFILES = [
     ("a.md", "A", "spark sql python"),
@@ -116,6 +120,31 @@ def test_score_with_loses_only_the_failing_pair(postings, profiles):
     assert got["p1"]["error"] == got["p2"]["error"] == "RuntimeError: no answer"
 
 
+def test_score_with_finds_the_exact_top_two(spark):
+    """All terms of the best profile are terms of more profiles than a rare one has."""
+    rows = [(f"{i}.md", "L", "spark sql python" if i < 4 else f"spark own{i} more{i}") for i in range(8)]
+    known = spark.createDataFrame(rows, "filename string, role_label string, content string")
+    texts = [("all", "spark sql python own6"), ("frequent", "only spark and sql")]
+    posted = spark.createDataFrame(texts, "dedup_key string, description string")
+
+    def overlap(batch: pd.DataFrame) -> pd.Series:
+        wanted = [set(c.split()) for c in batch["content"]]
+        return pd.Series([len(w & set(d.split())) / len(w) for d, w in zip(batch["description"], wanted)])
+
+    got = by_key(matching.score_with(posted, known, overlap))
+    want = by_key(matching.best_and_runner_up(matching.term_scores(posted, known)))
+    columns = ("best_filename", "best_score", "runner_up_filename", "runner_up_score")
+    assert {k: [r[c] for c in columns] for k, r in got.items()} == {k: [r[c] for c in columns] for k, r in want.items()}
+    assert got["all"]["best_filename"] == "0.md" and set(got) == {"all", "frequent"}
+
+
+def test_registered_score_with_equals_the_sql_of_the_exact_top_two(spark):
+    sf = "/root/testdata/sf0.01"
+    sql = f"SELECT dedup_key, best_filename, best_score FROM ({registry.ORACLES['best_and_runner_up']})"
+    rows, problems = compare(registry.QUERIES["score_with"](spark, sf), connect(sf), sql)
+    assert not problems and rows > 0
+
+
 def job(i, **fields):
     return {"title": f"Job {i}", "url": f"/jobs/{i}", "job_id": str(i), "description": "d", "snippet": "s",
             "posted_date": "2024-01-15", "posted_time": "14:30", "location": None, **fields}

@@ -56,6 +56,11 @@ def posting_x_profile(postings: DataFrame, profiles: DataFrame, rare: int = RARE
     )
 
 
+def sharing_pairs(postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Every pair (dedup_key, filename) with a term in common, frequent or rare."""
+    return term_scores(postings, profiles).select("dedup_key", "filename")
+
+
 def by_posting(postings: DataFrame) -> DataFrame:
     """Posting texts spread by key: the one shuffle of a match, reused where it recurs."""
     return postings.select("dedup_key", "description").repartition("dedup_key")
@@ -241,13 +246,14 @@ def score_with(
     fn: Callable[[pd.DataFrame], pd.Series],
     pairs: DataFrame | None = None,
 ) -> DataFrame:
-    """Best and second profile of every posting by a caller's function over candidate pairs.
+    """Best and second profile of every posting by a caller's function over pairs.
 
-    ``fn(batch)`` returns a score per row of (dedup_key, filename, description, content). Pairs are those of
-    ``posting_x_profile`` unless given. When a batch fails its rows are tried one by one; a row that
+    ``fn(batch)`` returns a score per row of (dedup_key, filename, description, content). Pairs are all those
+    with a term in common (``sharing_pairs``) unless given: nothing is known about ``fn``, so none of them can be
+    ruled out before it has a score. When a batch fails its rows are tried one by one; a row that
     fails again has no score, and ``error`` tells why, the first one of a posting by profile name.
     """
-    chosen = (posting_x_profile(postings, profiles) if pairs is None else pairs).select("dedup_key", "filename")
+    chosen = (sharing_pairs(postings, profiles) if pairs is None else pairs).select("dedup_key", "filename")
     rows = chosen.join(postings.select("dedup_key", "description"), "dedup_key").join(
         profiles.select("filename", "content"), "filename"
     )
