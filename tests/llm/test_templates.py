@@ -31,6 +31,15 @@ def test_variable_words_are_generalised(docs):
     assert got[0][1] == 0 and all(got[i] == (f"own text {i}", 1) for i in (1, 2, 3)) and got[9][1] == 0
 
 
+def test_values_that_recur_stay_variable(docs):
+    line = "posted by {} from {} on 2024-01-02 at https://x.org with 12 comments so far today"
+    people, cities = ["anna", "boris", "carla", "dmitri"], ["oslo", "paris", "rome"]
+    rows = [(i, f"own text {i}\n" + line.format(people[i % 4], cities[i % 3])) for i in range(48)]
+    rows += [(100, line.format("newcomer", "lima")), (101, line.format("anna", "lima"))]
+    got = dropped(docs(rows))
+    assert got[0][1] == 0 and all(n == 1 for i, (_, n) in got.items() if i)
+
+
 def test_lines_that_share_too_little_stay(docs):
     rows = [(i, "the same start then " + " ".join(f"w{chr(97 + i)}{chr(97 + k)}" for k in range(9))) for i in range(6)]
     assert all(n == 0 for _, n in dropped(docs(rows)).values())

@@ -2,9 +2,10 @@
 
 A line of at least ``MIN_WORDS`` words is parsed as a log line: words with a digit, an at sign or an address
 become ``<*>``; its number of words and its ``DEPTH`` leading words name a leaf of a tree of fixed depth.
-Inside a leaf a place of the line is constant where two documents agree on the word and variable
-where not; a line becomes the template of its constants if they make up ``SIMILAR`` in 100 of it, else it stands
-for itself. A template that occurs in two or more documents is recurring: its first line (smallest
+Inside a leaf a word is constant at its place where two documents have it there. If ``SIMILAR`` in 100 of a
+line are constant, that many of them, those of the most lines, are its template and the rest is variable, else
+it stands for itself. Counts only order the words of a line, so a value of a variable field stays variable
+however often it occurs, as long as the words around it occur more often. A template that occurs in two or more documents is recurring: its first line (smallest
 document id, then place) stays and all others are dropped.
 
 Lines travel as hashes. Only leaves with different lines need words: each distinct line of those is
@@ -107,26 +108,29 @@ def _worded(docs: DataFrame, leaves: DataFrame) -> DataFrame:
 
 def _generalised(worded: DataFrame, lines: DataFrame) -> DataFrame:
     """(line, template): the template of every line whose constants are enough."""
-    placed = worded.join(lines.select("line", "low", "high"), "line").select(
-        "leaf", "line", "low", "high", F.posexplode("words").alias("place", "word")
+    placed = worded.join(lines.select("line", "low", "high", "often"), "line").select(
+        "leaf", "line", "low", "high", "often", F.posexplode("words").alias("place", "word")
     )
-    agreed = placed.groupBy("leaf", "place", "word").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    agreed = agreed.where("low != high").select("leaf", "place", "word", F.lit(True).alias("constant"))
-    parts = placed.join(agreed, ["leaf", "place", "word"], "left").groupBy("leaf", "line").agg(
-        F.count("*").alias("n"), F.count("constant").alias("n_constant"),
-        # an order-free digest of the constants and their places; the leaf holds the number of words
-        F.sum(F.when(F.col("constant"), F.xxhash64("place", "word").cast("decimal(38,0)"))).alias("constants"),
+    agreed = placed.groupBy("leaf", "place", "word").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("often").alias("n_word")
     )
-    return parts.where(f"100 * n_constant >= {SIMILAR} * n").select(
-        "line", F.xxhash64("leaf", "n_constant", "constants").alias("template")
+    agreed = agreed.where("low != high").select("leaf", "place", "word", "n_word")
+    constant = F.struct((-F.col("n_word")).alias("order"), "place", F.xxhash64("place", "word").alias("word"))
+    parts = placed.join(agreed, ["leaf", "place", "word"], "left").groupBy("leaf", "line").agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("n_word").isNotNull(), constant))).alias("constants")
     )
+    most = F.expr(f"CAST(({SIMILAR} * n + 99) DIV 100 AS INT)")
+    # an order-free digest of the constants and their places; the leaf holds the number of words
+    taken = F.array_sort(F.transform(F.slice("constants", 1, most), lambda c: c["word"]))
+    return parts.where(F.size("constants") >= most).select("line", F.xxhash64("leaf", taken).alias("template"))
 
 
 def recurring(docs: DataFrame) -> DataFrame:
     """(id, line_no) of the lines to drop from ``docs`` (id, text)."""
     parsed = stage(_parsed(docs), "templates-lines")
     lines = parsed.groupBy("leaf", "line").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "line_no")).alias("first")
+        F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "line_no")).alias("first"),
+        F.count("*").alias("often"),
     )
     lines = stage(lines, "templates-distinct")
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("low").alias("x"), F.max("high").alias("y"))
