@@ -6,6 +6,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry_points
@@ -87,6 +89,16 @@ def test_pieces_and_scores_of_every_document(spark, texts):
         assert (r.log_prob < 0) == (r.n_words > 0)
 
 
+def test_merged_ids_are_those_of_the_library(spark, texts):
+    library = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    got = {r.doc_id: r for r in queries.QUERIES["op10_pieces"](spark, SF).collect()}
+    rows = [(i, library.encode(t or "")) for i, t in texts.items()]
+    want = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    want = want.select("doc_id", F.size("ids").alias("n"), F.xxhash64("ids").alias("hash"))
+    assert {k: (r.n_merged, r.merged_xxhash64) for k, r in got.items()} == {r.doc_id: (r.n, r.hash) for r in want.collect()}
+    assert all(r.round_trip for r in got.values())
+
+
 def test_recurring_lines(spark, texts):
     rows = {r.doc_id: r for r in queries.QUERIES["op2_line_dedup"](spark, SF).collect()}
     where = {}
