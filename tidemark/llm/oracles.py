@@ -82,3 +82,41 @@ SELECT t.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(o.doc_id) AS compon
 FROM t LEFT JOIN n ON n.rid = t.rid JOIN r ON r.u = t.rid JOIN t o ON o.rid = r.v
 GROUP BY t.rid, t.doc_id, n.n
 """
+
+
+def _rounds(rounds: int) -> str:
+    """CTEs that assign every vector to the nearest centroid and replace the centroids, ``rounds`` times."""
+    out = []
+    for r in range(rounds):
+        out.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT rid, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT v.rid, m.c, list_sum(list_transform(list_zip(v.v, m.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM v, m{r} m) GROUP BY rid),
+s{r} AS (
+  SELECT c, i, sum(x) AS s, count(*) AS n FROM (
+    SELECT best.c AS c, unnest(v.v) AS x, unnest(range(1, 65)) AS i FROM v JOIN a{r} USING (rid)) GROUP BY c, i),
+m{r + 1} AS MATERIALIZED (
+  SELECT m.c, coalesce(t.m, m.m) AS m FROM m{r} m LEFT JOIN (
+    SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS m FROM s{r} GROUP BY c) t USING (c)),""")
+    return "".join(out)
+
+
+ORACLES["op11_centroids"] = rf"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY h, v) - 1)::INTEGER AS c, v AS m
+  FROM (SELECT sha256('1:' || vec_id::VARCHAR) AS h, v FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16)),
+{_rounds(3)}
+f AS MATERIALIZED (
+  SELECT rid, min({{'d': d, 'c': c}}) AS best FROM (
+    SELECT v.rid, m.c, list_sum(list_transform(list_zip(v.v, m.m), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d
+    FROM v, m3 m) GROUP BY rid),
+i AS (SELECT best.c AS c, sum(best.d)::BIGINT AS s, count(*) AS n FROM f GROUP BY 1)
+SELECT v.vec_id, f.best.c AS cluster, f.best.d AS distance, i.s AS cluster_inertia,
+       (SELECT sum(s)::BIGINT FROM i) AS inertia, sha256(array_to_string(m3.m, ',')) AS centroid_sha256, i.n AS n_cluster
+FROM v JOIN f USING (rid) JOIN i ON i.c = f.best.c JOIN m3 ON m3.c = i.c
+"""

@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, templates, warc
+from . import clustering, decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, templates, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read, text_of
 
@@ -129,3 +129,9 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("merged").cast("long").alias("n_merged"), F.xxhash64("merged").alias("merged_xxhash64"),
         ((F.col("text") == F.col("decoded")) & (F.col("text") == F.col("decoded_merged"))).alias("round_trip"),
     )
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after three rounds."""
+    return clustering.report(clustering.cluster(read(spark, sf_dir, "embeddings")))
