@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, templates, warc
+from . import clustering, decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, superminhash, templates, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read, text_of
 
@@ -135,3 +135,9 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster of every vector after three rounds."""
     return clustering.report(clustering.cluster(read(spark, sf_dir, "embeddings")))
+
+
+@query
+def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of at least 80 in 100 shared 4-word shingles."""
+    return superminhash.join(read(spark, sf_dir, "documents"))
