@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import clustering, decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, superminhash, templates, warc
+from . import clustering, decontaminate, html, jaccard, lm, pieces, pii, quality, sequences, spelling, superminhash, templates, warc
 from .oracles import ORACLES  # noqa: F401
 from .tables import read, text_of
 
@@ -141,3 +141,9 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of at least 80 in 100 shared 4-word shingles."""
     return superminhash.join(read(spark, sf_dir, "documents"))
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every frequent word."""
+    return spelling.variants(read(spark, sf_dir, "documents"))
