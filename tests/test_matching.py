@@ -1,11 +1,11 @@
 """Lexical scores, replies and the scoring hook."""
 
 import json
+import random
 
 import pandas as pd
 import pytest
 
-from compare import compare, connect
 from tidemark.operators import extract, matching
 from tidemark.plans import registry
 
@@ -70,15 +70,53 @@ def test_request_holds_the_whole_description_and_two_whole_profiles(spark, profi
     assert got["none"]["request"] == f"--- Job Description ---\n{long}"
 
 
-def test_candidates_stay_far_below_all_pairs(spark):
+@pytest.fixture(scope="module")
+def many(spark):
     """2,000 profiles that all share frequent terms, each with two of its own."""
     rows = [(f"{i:04d}.md", "L", f"common words everywhere own{i} also{i}") for i in range(2000)]
-    many = spark.createDataFrame(rows, "filename string, role_label string, content string")
+    return spark.createDataFrame(rows, "filename string, role_label string, content string")
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
     texts = [(f"p{i}", f"common words everywhere own{7 * i} also{7 * i + 1}") for i in range(100)]
-    pairs = matching.posting_x_profile(spark.createDataFrame(texts, "dedup_key string, description string"), many).collect()
-    assert {(r.dedup_key, r.filename, r.n_rare) for r in pairs} == {
-        (f"p{i}", f"{7 * i + k:04d}.md", 1) for i in range(100) for k in (0, 1)
+    return spark.createDataFrame(texts, "dedup_key string, description string")
+
+
+def test_pairs_of_a_least_score(many, texts):
+    pairs = matching.posting_x_profile(texts, many, least=0.7).collect()
+    assert {(r.dedup_key, r.filename, r.n_shared) for r in pairs} == {
+        (f"p{i}", f"{7 * i + k:04d}.md", 4) for i in range(100) for k in (0, 1)
     }
+    assert matching.posting_x_profile(texts.limit(3), many).count() == 3 * 2000
+
+
+def test_top_two_scores_far_fewer_than_all_pairs(many, texts):
+    offered, index = matching.posting_terms(texts), matching.profile_index(many)
+    scored = matching.candidates(offered, index, matching.second_bests(offered, index, many)).count()
+    assert scored == 200  # of 200,000
+    got = by_key(matching.top_two(texts, many))
+    assert len(got) == 100
+    for i in range(100):
+        r = got[f"p{i}"]
+        assert (r.best_filename, r.runner_up_filename, r.best_score) == (f"{7 * i:04d}.md", f"{7 * i + 1:04d}.md", 0.8)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_top_two_equals_all_pairs_on_random_texts(spark, seed):
+    """Words of very uneven frequency, short and long profiles, ties, postings that meet one profile or none."""
+    rng = random.Random(seed)
+    weights = [1 / (i + 1) for i in range(400)]
+    text = lambda n: " ".join(f"w{i}" for i in rng.choices(range(400), weights, k=n))
+    rows = [(f"{i:03d}.md", "L", text(rng.choice((1, 3, 20, 60)))) for i in range(150)] + [("lone.md", "L", "lonely"), ("no.md", "L", " ")]
+    known = spark.createDataFrame(rows, "filename string, role_label string, content string")
+    posted = [(str(i), text(rng.choice((1, 5, 40, 150)))) for i in range(80)] + [("x", "lonely"), ("y", "unheard"), ("z", "")]
+    posted = spark.createDataFrame(posted, "dedup_key string, description string")
+    got = sorted(map(tuple, matching.top_two(posted, known).collect()))
+    assert got == sorted(map(tuple, matching.best_and_runner_up(matching.term_scores(posted, known)).collect()))
+    offered, index = matching.posting_terms(posted), matching.profile_index(known)
+    pairs = matching.candidates(offered, index, matching.second_bests(offered, index, known))
+    assert len(got) > 75 and pairs.count() < matching.sharing_pairs(posted, known).count()
 
 
 def reply(**fields):
@@ -114,7 +152,7 @@ def test_score_with_loses_only_the_failing_pair(postings, profiles):
         return batch["content"].str.len() / 100
 
     got = by_key(matching.score_with(postings.coalesce(1), profiles, fn))
-    assert set(got) == {"p1", "p2"}
+    assert set(got) == {"p1", "p2", "p3"} and got["p3"]["best_filename"] is got["p3"]["error"] is None
     assert (got["p1"]["best_filename"], got["p1"]["best_score"], got["p1"]["runner_up_filename"]) == ("a.md", 0.16, None)
     assert (got["p2"]["best_filename"], got["p2"]["runner_up_filename"]) == ("a.md", "c.md")
     assert got["p1"]["error"] == got["p2"]["error"] == "RuntimeError: no answer"
@@ -138,11 +176,28 @@ def test_score_with_finds_the_exact_top_two(spark):
     assert got["all"]["best_filename"] == "0.md" and set(got) == {"all", "frequent"}
 
 
-def test_registered_score_with_equals_the_sql_of_the_exact_top_two(spark):
-    sf = "/root/testdata/sf0.01"
-    sql = f"SELECT dedup_key, best_filename, best_score FROM ({registry.ORACLES['best_and_runner_up']})"
-    rows, problems = compare(registry.QUERIES["score_with"](spark, sf), connect(sf), sql)
-    assert not problems and rows > 0
+@pytest.mark.parametrize("cell", [1, 3, 1000])
+def test_score_with_in_cells_of_any_size(spark, cell):
+    """Given pairs only, each text once in a cell; pairs of unknown names have no score."""
+    known = spark.createDataFrame([(f"{i}.md", "L", "c" * (i + 1)) for i in range(7)], "filename string, role_label string, content string")
+    posted = spark.createDataFrame([(f"p{i}", "d" * i) for i in range(9)], "dedup_key string, description string")
+    pairs = [(f"p{i}", f"{j}.md") for i in range(8) for j in range(8) if (i + j) % 3]
+    given = spark.createDataFrame(pairs + pairs[:5], "dedup_key string, filename string")
+
+    def fn(batch: pd.DataFrame) -> pd.Series:
+        if (batch["filename"] == "5.md").any():
+            raise RuntimeError("no answer")
+        return -(batch["content"].str.len() - batch["description"].str.len()).abs()
+
+    got = by_key(matching.score_with(posted, known, fn, given, cell))
+    assert set(got) == {f"p{i}" for i in range(9)}
+    for i in range(9):
+        own = [j for p, f in pairs if p == f"p{i}" and (j := int(f[0])) != 7]
+        best = sorted((abs(j + 1 - i), f"{j}.md") for j in own if j != 5)[:2]
+        r = got[f"p{i}"]
+        want = [(f, -float(d)) for d, f in best] + [(None, None)] * (2 - len(best))
+        assert [(r.best_filename, r.best_score), (r.runner_up_filename, r.runner_up_score)] == want
+        assert r.error == ("RuntimeError: no answer" if 5 in own else None)
 
 
 def job(i, **fields):

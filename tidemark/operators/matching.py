@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +14,10 @@ from ..functions.values import usage_cost
 
 THRESHOLD = 0.70  # fixed value: lowest score that is reported
 MAX_MISSING = 8  # fixed value: missing terms listed per match
-RARE = 3  # a term is rare when no more profiles have it
+LEVELS = 4  # parts of a profile's terms, from the rarest to the most frequent, that are joined apart
+SEEDS = 4  # profiles of a posting that are scored for its bound
+CELL = 256  # postings, and profiles, that a task of ``score_with`` is meant to hold
+CALL = 4096  # pairs of one call of a scoring function
 
 
 def profile_section() -> Column:
@@ -28,7 +32,7 @@ def match_input(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     Two profiles are chosen by shared terms, so requests do not grow with the number of profiles; a
     posting without a term in common with any has its description alone.
     """
-    named = best_and_runner_up(term_scores(postings, profiles))
+    named = top_two(postings, profiles)
     for side in ("best", "runner_up"):
         sections = profiles.select(F.col("filename").alias(f"{side}_filename"), profile_section().alias(f"_{side}"))
         named = named.join(sections, f"{side}_filename", "left")
@@ -40,20 +44,114 @@ def match_input(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-def posting_x_profile(postings: DataFrame, profiles: DataFrame, rare: int = RARE) -> DataFrame:
-    """Candidate pairs (dedup_key, filename) with the number of rare terms they share.
+def posting_terms(postings: DataFrame) -> DataFrame:
+    """(dedup_key, terms) spread by key: the one shuffle of a match, reused where it recurs in a plan.
 
-    Terms of many profiles tell profiles apart the least and would pair almost all of them with almost
-    all postings; a term of at most ``rare`` profiles makes at most that many pairs of a posting.
+    Its uses take terms apart with ``explode_outer``: for ``explode`` a filter on the number of terms is put before the
+    shuffle, which reads the texts twice and makes another shuffle of it.
+    """
+    keyed = postings.where(F.col("dedup_key").isNotNull())
+    return keyed.select("dedup_key", terms(F.col("description")).alias("terms")).repartition("dedup_key")
+
+
+def profile_terms(profiles: DataFrame) -> DataFrame:
+    return profiles.select("filename", terms(F.col("content")).alias("terms"))
+
+
+def profile_index(profiles: DataFrame) -> DataFrame:
+    """(term, filename, n_terms, rest, level) of all terms of all profiles.
+
+    Terms of a profile are ordered from those of the fewest profiles to those of the most; ``rest`` counts a term
+    and those after it. A posting whose rarest common term with a profile has ``rest`` r shares r terms at
+    most with it. ``level`` is r / n_terms in ``LEVELS`` steps, the rarest terms standing in the highest.
     """
     wanted = profile_terms(profiles).select("filename", F.explode("terms").alias("term"))
-    few = wanted.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") <= rare).select("term")
-    offered = by_posting(postings).select("dedup_key", F.explode(terms(F.col("description"))).alias("term"))
+    often = wanted.groupBy("term").agg(F.count("*").alias("n_profiles"))
+    ordered = wanted.join(often, "term").groupBy("filename").agg(
+        F.array_sort(F.collect_list(F.struct("n_profiles", "term"))).alias("ordered")
+    )
+    placed = ordered.select("filename", F.size("ordered").alias("n_terms"), F.posexplode("ordered").alias("pos", "at"))
+    rest = F.col("n_terms") - F.col("pos")
+    return placed.select("filename", "n_terms", F.col("at.term").alias("term"), rest.alias("rest")).withColumn(
+        "level", F.expr(f"({LEVELS} * rest + n_terms - 1) div n_terms")
+    )
+
+
+def exact_scores(pairs: DataFrame, offered: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Shared terms and score of the pairs (dedup_key, filename); ``offered`` are ``posting_terms``."""
+    wanted = profile_terms(profiles).withColumnRenamed("terms", "wanted")
     return (
-        offered.join(wanted.join(few, "term"), "term")
-        .groupBy("dedup_key", "filename")
-        .agg(F.count("*").alias("n_rare"))
+        pairs.join(offered, "dedup_key")
+        .join(wanted, "filename")
+        .select(
+            "dedup_key", "filename", F.size("wanted").alias("n_terms"),
+            F.size(F.array_intersect("terms", "wanted")).cast("bigint").alias("n_shared"),
+        )
+        .withColumn("score", F.col("n_shared") / F.col("n_terms"))
+    )
+
+
+def _ranked(scores: DataFrame, most: int = 2) -> DataFrame:
+    window = Window.partitionBy("dedup_key").orderBy(F.col("score").desc(), "filename")
+    return scores.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= most)
+
+
+def second_bests(offered: DataFrame, index: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(dedup_key, n_shared, n_terms) of a profile that scores no better than the second best of a posting.
+
+    Of the ``SEEDS`` profiles that share most of their rarer half of terms with the posting, scored exactly, the second.
+    Postings that meet fewer than two profiles this way are missing.
+    """
+    rare = offered.select("dedup_key", F.explode_outer("terms").alias("term")).join(
+        index.where(2 * F.col("level") > LEVELS).select("term", "filename", "n_terms"), "term"
     )
+    partial = rare.groupBy("dedup_key", "filename", "n_terms").agg(F.count("*").alias("n"))
+    seeds = _ranked(partial.withColumn("score", F.col("n") / F.col("n_terms")), SEEDS).select("dedup_key", "filename")
+    return _ranked(exact_scores(seeds, offered, profiles)).where("_rank = 2").select("dedup_key", "n_shared", "n_terms")
+
+
+def candidates(offered: DataFrame, index: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Pairs (dedup_key, filename) that may reach the bound n_shared / n_terms of their posting in ``bounds``.
+
+    A profile that reaches it has a common term with the posting whose ``rest`` reaches it: more frequent terms are
+    not joined. Postings without a bound are paired with every profile they share a term with.
+    """
+    own = offered.join(bounds.select("dedup_key", F.col("n_shared").alias("s"), F.col("n_terms").alias("of")), "dedup_key", "left")
+    least = F.expr(f"greatest(1L, coalesce(({LEVELS} * s + of - 1) div of, 1L))")
+    own = own.select(
+        "dedup_key", F.coalesce("s", F.lit(0)).alias("s"), F.coalesce("of", F.lit(1)).alias("of"),
+        F.sequence(least, F.lit(LEVELS).cast("bigint")).alias("levels"), F.explode_outer("terms").alias("term"),
+    )
+    own = own.select("dedup_key", "s", "of", "term", F.explode_outer("levels").alias("level"))
+    reached = F.col("rest") * F.col("of") >= F.col("s") * F.col("n_terms")
+    return own.join(index, ["term", "level"]).where(reached).select("dedup_key", "filename").distinct()
+
+
+def top_two(postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Best and second profile of every posting by shared terms, exact, without scoring all pairs.
+
+    Rare terms are joined first and give every posting a second-best score that any other profile has to reach;
+    terms so frequent in a profile that the rest of it cannot reach that score are never joined, and only pairs
+    that are left are scored. Postings that share no term with any profile have no row.
+    """
+    offered, index = posting_terms(postings), profile_index(profiles)
+    pairs = candidates(offered, index, second_bests(offered, index, profiles))
+    return best_and_runner_up(exact_scores(pairs, offered, profiles))
+
+
+def posting_x_profile(postings: DataFrame, profiles: DataFrame, least: float = 0.0) -> DataFrame:
+    """All pairs (dedup_key, filename) with a common term and a score of ``least`` or more, with their shared terms.
+
+    By default these are all pairs that share anything. A positive ``least`` leaves the more frequent terms of
+    each profile out of the join: a pair that reaches it meets in a rarer one.
+    """
+    if least <= 0:
+        return term_scores(postings, profiles).select("dedup_key", "filename", "n_shared")
+    offered, index = posting_terms(postings), profile_index(profiles)
+    rare = index.where(F.col("rest") / F.col("n_terms") >= least).select("term", "filename")
+    pairs = offered.select("dedup_key", F.explode_outer("terms").alias("term")).join(rare, "term")
+    scored = exact_scores(pairs.select("dedup_key", "filename").distinct(), offered, profiles)
+    return scored.where(F.col("score") >= least).select("dedup_key", "filename", "n_shared")
 
 
 def sharing_pairs(postings: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -61,15 +159,10 @@ def sharing_pairs(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     return term_scores(postings, profiles).select("dedup_key", "filename")
 
 
-def by_posting(postings: DataFrame) -> DataFrame:
-    """Posting texts spread by key: the one shuffle of a match, reused where it recurs."""
-    return postings.select("dedup_key", "description").repartition("dedup_key")
-
-
 def term_scores(postings: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Share of each profile's terms that a posting has, for pairs with a term in common.
+    """Share of each profile's terms that a posting has, for all pairs with a term in common.
 
-    An inner join on terms. Texts are spread by posting first, so that counting and ranking need
+    An inner join on terms. Terms are spread by posting first, so that counting and ranking need
     no shuffle of (posting, profile) pairs. Spark broadcasts the profile terms while they are
     below its size limit; above it both sides shuffle by term, and a frequent term is split by
     adaptive skew handling.
@@ -77,9 +170,7 @@ def term_scores(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     wanted = profile_terms(profiles).select(
         "filename", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")
     )
-    offered = by_posting(postings).select(
-        "dedup_key", F.explode(terms(F.col("description"))).alias("term")
-    )
+    offered = posting_terms(postings).select("dedup_key", F.explode_outer("terms").alias("term"))
     return (
         offered.join(wanted, "term")
         .groupBy("dedup_key", "filename", "n_terms")
@@ -90,8 +181,7 @@ def term_scores(postings: DataFrame, profiles: DataFrame) -> DataFrame:
 
 def best_and_runner_up(scores: DataFrame) -> DataFrame:
     """Two best profiles per posting side by side; ties go to the first file name."""
-    window = Window.partitionBy("dedup_key").orderBy(F.col("score").desc(), "filename")
-    top = scores.withColumn("_rank", F.row_number().over(window)).filter("_rank <= 2")
+    top = _ranked(scores)
 
     def at(rank: int, column: str) -> Column:
         return F.max(F.when(F.col("_rank") == rank, F.col(column)))
@@ -106,10 +196,6 @@ def best_and_runner_up(scores: DataFrame) -> DataFrame:
     )
 
 
-def profile_terms(profiles: DataFrame) -> DataFrame:
-    return profiles.select("filename", terms(F.col("content")).alias("terms"))
-
-
 def missing_keywords(posting_terms: Column, best_terms: Column) -> Column:
     """Posting terms the profile lacks, in alphabetical order."""
     return F.array_sort(F.array_except(posting_terms, best_terms))
@@ -121,7 +207,7 @@ def missing_top8(gaps: Column) -> Column:
 
 def match_scores(postings: DataFrame, profiles: DataFrame) -> DataFrame:
     """Lexical match without the gap list: what the store and the threshold need."""
-    return best_and_runner_up(term_scores(postings, profiles)).withColumn(
+    return top_two(postings, profiles).withColumn(
         "match_reason",
         F.format_string("shares %d of %d profile terms", "n_shared", "n_terms"),
     ).drop("n_shared", "n_terms")
@@ -134,13 +220,13 @@ def with_gaps(
     best = profile_terms(profiles).select(
         F.col("filename").alias("best_filename"), F.col("terms").alias("best_terms")
     )
-    gaps = missing_keywords(terms(F.col("description")), F.col("best_terms"))
+    gaps = missing_keywords(F.col("terms"), F.col("best_terms"))
     return (
-        by_posting(postings)
+        posting_terms(postings)
         .join(matches, "dedup_key")
         .join(best, "best_filename")
         .withColumn("missing_keywords", missing_top8(gaps) if top8 else gaps)
-        .drop("description", "best_terms")
+        .drop("terms", "best_terms")
     )
 
 
@@ -240,51 +326,87 @@ def reply_scores(replies: DataFrame) -> DataFrame:
     )
 
 
+def _tried(fn: Callable[[pd.DataFrame], pd.Series], batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Scores of a batch; one that fails is halved until the failing rows are found."""
+    try:
+        found = fn(batch)
+        if len(found) != len(batch):
+            raise ValueError("one score per row expected")
+        score = pd.Series(found).astype("float64").to_numpy()
+        yield batch[["dedup_key", "filename"]].assign(score=score, error=None)
+    except Exception as error:
+        if len(batch) == 1:
+            yield batch[["dedup_key", "filename"]].assign(score=float("nan"), error=f"{type(error).__name__}: {error}")
+        else:
+            half = len(batch) // 2
+            yield from _tried(fn, batch.iloc[:half])
+            yield from _tried(fn, batch.iloc[half:])
+
+
+def _cells(chosen: DataFrame, postings: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Rows (p, f, dedup_key, filename, filenames, text) of every cell: its postings with the profiles they are
+    paired with, and these profiles, each text once."""
+    by_cell = chosen.groupBy("p", "f", "dedup_key").agg(F.collect_list("filename").alias("filenames"))
+    texts = postings.select("dedup_key", F.col("description").alias("text"))
+    held = by_cell.join(texts, "dedup_key").select("p", "f", "dedup_key", F.lit(None).cast("string").alias("filename"), "filenames", "text")
+    needed = chosen.select("p", "f", "filename").distinct()
+    contents = profiles.select("filename", F.col("content").alias("text"))
+    known = needed.join(contents, "filename").select(
+        "p", "f", F.lit(None).cast("string").alias("dedup_key"), "filename", F.lit(None).cast("array<string>").alias("filenames"), "text"
+    )
+    return held.union(known)
+
+
 def score_with(
     postings: DataFrame,
     profiles: DataFrame,
     fn: Callable[[pd.DataFrame], pd.Series],
     pairs: DataFrame | None = None,
+    cell: int = CELL,
 ) -> DataFrame:
     """Best and second profile of every posting by a caller's function over pairs.
 
-    ``fn(batch)`` returns a score per row of (dedup_key, filename, description, content). Pairs are all those
-    with a term in common (``sharing_pairs``) unless given: nothing is known about ``fn``, so none of them can be
-    ruled out before it has a score. When a batch fails its rows are tried one by one; a row that
-    fails again has no score, and ``error`` tells why, the first one of a posting by profile name.
+    ``fn(batch)`` returns a score per row of (dedup_key, filename, description, content). Pairs (dedup_key, filename) are
+    given by the caller; without them they are all those with a term in common (``sharing_pairs``): nothing is
+    known about ``fn``, so none of them can be ruled out before it has a score.
+
+    A block join: postings and profiles are dealt into blocks of about ``cell`` by hashes of their names, and a task holds
+    the pairs of one block with one other and each of their texts once, however many pairs it is in. Two rows a
+    posting leave it. When a call fails, its rows are halved until the failing ones are found; these have
+    no score, and ``error`` tells why, the first one of a posting by profile name. A posting without a score
+    has a row without profiles.
     """
-    chosen = (sharing_pairs(postings, profiles) if pairs is None else pairs).select("dedup_key", "filename")
-    rows = chosen.join(postings.select("dedup_key", "description"), "dedup_key").join(
-        profiles.select("filename", "content"), "filename"
-    )
+    chosen = (sharing_pairs(postings, profiles) if pairs is None else pairs).select("dedup_key", "filename").distinct()
+    for name, column, table in (("p", "dedup_key", postings), ("f", "filename", profiles)):
+        blocks = F.greatest(F.lit(1), F.ceil(table.agg(F.count("*")).scalar() / cell))
+        chosen = chosen.withColumn(name, F.pmod(F.xxhash64(column), blocks))
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pandas()
+        known = rows[rows["filename"].notna()].set_index("filename")["text"]
+        own = rows[rows["dedup_key"].notna()].sort_values("dedup_key")
+        own = own[["dedup_key", "text", "filenames"]].explode("filenames").rename(columns={"text": "description", "filenames": "filename"})
+        own = own[own["filename"].isin(known.index)]
+        own["content"] = known.reindex(own["filename"]).to_numpy()
+        own = own[["dedup_key", "filename", "description", "content"]].reset_index(drop=True)
+        out = [part for at in range(0, len(own), CALL) for part in _tried(fn, own.iloc[at : at + CALL].reset_index(drop=True))]
+        found = pd.concat(out) if out else own.assign(score=0.0, error=None)[["dedup_key", "filename", "score", "error"]]
+        scored = found[found["score"].notna()].sort_values(["dedup_key", "score", "filename"], ascending=[True, False, True])
+        failed = found[found["error"].notna()].sort_values(["dedup_key", "filename"])
+        best = pd.concat([scored.groupby("dedup_key").head(2), failed.groupby("dedup_key").head(1)])
+        return pa.Table.from_pandas(best.astype({"score": "float64"}), schema=schema, preserve_index=False)
+
+    schema = pa.schema([("dedup_key", pa.string()), ("filename", pa.string()), ("score", pa.float64()), ("error", pa.string())])
+    found = _cells(chosen, postings, profiles).groupBy("p", "f").applyInArrow(run, "dedup_key string, filename string, score double, error string")
+    window = Window.partitionBy("dedup_key").orderBy(F.col("score").desc_nulls_last(), "filename")
+    ranked = found.withColumn("_rank", F.when(F.col("score").isNotNull(), F.row_number().over(window)))
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        found = fn(batch)
-        if len(found) != len(batch):
-            raise ValueError("one score per row expected")
-        score = pd.Series(found).astype("float64").to_numpy()
-        return batch[["dedup_key", "filename"]].assign(score=score, error=None)
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                yield run(batch)
-            except Exception:
-                for i in range(len(batch)):
-                    row = batch.iloc[i : i + 1]
-                    try:
-                        yield run(row)
-                    except Exception as error:
-                        failed = f"{type(error).__name__}: {error}"
-                        yield row[["dedup_key", "filename"]].assign(score=None, error=failed)
-
-    found = rows.mapInPandas(scored, "dedup_key string, filename string, score double, error string")
-    best = F.struct((-F.col("score")).alias("order"), "filename", "score")
-    top = found.groupBy("dedup_key").agg(
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("score").isNotNull(), best))), 1, 2).alias("top"),
+    def at(rank: int, column: str) -> Column:
+        return F.max(F.when(F.col("_rank") == rank, F.col(column)))
+
+    top = ranked.groupBy("dedup_key").agg(
+        at(1, "filename").alias("best_filename"), at(1, "score").alias("best_score"),
+        at(2, "filename").alias("runner_up_filename"), at(2, "score").alias("runner_up_score"),
         F.min_by("error", F.when(F.col("error").isNotNull(), F.col("filename"))).alias("error"),
     )
-    return top.select(
-        "dedup_key", F.get("top", F.lit(0))["filename"].alias("best_filename"), F.get("top", F.lit(0))["score"].alias("best_score"),
-        F.get("top", F.lit(1))["filename"].alias("runner_up_filename"), F.get("top", F.lit(1))["score"].alias("runner_up_score"), "error",
-    )
+    return postings.select("dedup_key").join(top, "dedup_key", "left")

@@ -407,22 +407,16 @@ def visited_pages(spark, sf):
 _SC = o.overlap("documents", "CAST(doc_id AS VARCHAR)", "text")
 
 
-_CANDIDATES = f"""{_SC},
-rare AS (SELECT term FROM pt GROUP BY term HAVING count(*) <= 3),
-cand AS (SELECT dedup_key, filename, count(*) AS n_rare FROM dt JOIN pt USING (term) JOIN rare USING (term) GROUP BY ALL)"""
-
-
-@query(f"WITH {_CANDIDATES} SELECT dedup_key, filename, n_rare FROM cand")
+@query(f"WITH {_SC} SELECT dedup_key, filename, n_shared FROM sc WHERE score >= 0.25")
 def posting_x_profile(spark, sf):
-    return matching.posting_x_profile(b.documents(spark, sf), b.profiles(spark, sf))
+    return matching.posting_x_profile(b.documents(spark, sf), b.profiles(spark, sf), least=0.25)
 
 
 @query(f"""
 WITH {_SC} SELECT dedup_key, best_filename, round(best_score, 9) AS best_score, runner_up_filename,
   round(runner_up_score, 9) AS runner_up_score FROM bm""")
 def best_and_runner_up(spark, sf):
-    scores = matching.term_scores(b.documents(spark, sf), b.profiles(spark, sf))
-    return matching.best_and_runner_up(scores).select(
+    return matching.top_two(b.documents(spark, sf), b.profiles(spark, sf)).select(
         "dedup_key", "best_filename", F.round("best_score", 9).alias("best_score"),
         "runner_up_filename", F.round("runner_up_score", 9).alias("runner_up_score"),
     )
@@ -492,20 +486,20 @@ def resolve_profile(spark, sf):
 
 
 @query(f"""
-WITH {_CANDIDATES},
-k AS (SELECT sc.*, row_number() OVER (PARTITION BY dedup_key ORDER BY score DESC, filename) AS r FROM sc JOIN cand USING (dedup_key, filename))
-SELECT dedup_key, filename AS best_filename, round(score, 9) AS best_score FROM k WHERE r = 1""")
+WITH {_SC} SELECT CAST(d.doc_id AS VARCHAR) AS dedup_key, best_filename, round(best_score, 9) AS best_score
+FROM documents d LEFT JOIN bm ON bm.dedup_key = CAST(d.doc_id AS VARCHAR)""")
 def score_with(spark, sf):
     import re
 
     import pandas as pd
 
     def overlap(batch: pd.DataFrame) -> pd.Series:
-        def terms(text: str) -> set[str]:
-            return set(re.findall(r"[^\W_]+", text.lower()))
+        def terms(name: str, text: str) -> dict[str, set[str]]:
+            own = batch.drop_duplicates(name)
+            return {k: set(re.findall(r"[^\W_]+", t.lower())) for k, t in zip(own[name], own[text])}
 
-        wanted = [terms(c) for c in batch["content"]]
-        return pd.Series([len(terms(d) & w) / len(w) for d, w in zip(batch["description"], wanted)])
+        offered, wanted = terms("dedup_key", "description"), terms("filename", "content")
+        return pd.Series([len(offered[k] & wanted[f]) / len(wanted[f]) for k, f in zip(batch["dedup_key"], batch["filename"])])
 
     return matching.score_with(b.documents(spark, sf), b.profiles(spark, sf), overlap).select(
         "dedup_key", "best_filename", F.round("best_score", 9).alias("best_score")
