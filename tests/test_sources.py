@@ -1,11 +1,12 @@
 """Targets, profiles, captures, tiers."""
 
 import json
+import os
 
 import pytest
 
 from tidemark.operators import capture
-from tidemark.sources import captures, profiles, schemas, targets
+from tidemark.sources import captures, profiles, schemas, staging, targets
 
 SITES = [
     {"name": "A", "url": "https://a.com", "scrape_tier": "http"},
@@ -103,3 +104,14 @@ def test_token_budget_is_inclusive(spark):
     texts = [("a", ""), ("b", "x" * 43), ("c", "x" * 44), ("d", "😀" * 43)]
     df = spark.createDataFrame(texts, "k string, text string")
     assert sorted(r["k"] for r in capture.token_budget(df, 10).collect()) == ["b", "d"]
+
+
+def test_staged_tables_are_deleted_and_others_are_not(spark, tmp_path):
+    table = staging.stage(spark.range(5), "numbers")
+    other = staging.stage(table.selectExpr("id * 2 AS id"), "others")
+    staging.discard(table)
+    assert sorted(r.id for r in other.collect()) == [0, 2, 4, 6, 8]
+    assert not os.path.exists(table.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("///", "/"))
+    spark.range(3).write.parquet(str(tmp_path / "mine"))
+    with pytest.raises(ValueError, match="not a staged table"):
+        staging.discard(spark.read.parquet(str(tmp_path / "mine")))
