@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import jaccard
+from tidemark.llm import jaccard, linking
 from tidemark.llm.components import components
 
 
@@ -76,8 +76,10 @@ def test_components_equal_all_pairs(docs, rows):
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
-def test_blocks_of_a_bucket_meet(docs, rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+@pytest.mark.parametrize("weight", [3000, 400])
+def test_blocks_of_a_bucket_meet(docs, rows, monkeypatch, weight):
+    """A task for each bucket, and blocks of buckets."""
+    monkeypatch.setattr(linking, "WEIGHT", weight)
     got = jaccard.join(docs(rows)).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
@@ -97,38 +99,56 @@ def test_a_near_copy_alone_in_every_part_is_linked(docs, monkeypatch):
         assert {r.component_id for r in jaccard.join(docs(rows)).collect()} == {0}
 
 
-def test_across_alone_finds_every_similar_pair_of_a_bucket(spark, docs, rows, monkeypatch):
-    """Without stars: all nodes in one bucket, each a component of its own."""
-    monkeypatch.setattr(jaccard, "BLOCK", 20)
-    own = [(i, t) for i, (_, t) in enumerate(rows)]
-    nodes = jaccard.describe(docs(own)).where("n > 0").dropDuplicates(["node"]).cache()
-    buckets = nodes.select(F.lit(1).cast("long").alias("shingle"), "node", "n", F.col("node").alias("root"))
-    buckets = buckets.withColumn("k", F.lit(nodes.count()))
-    got = {(r.a, r.b) for r in jaccard._across(buckets, nodes).collect()}
-    sets = {r.node: shingles(own[r.id][1]) for r in nodes.collect()}
-    want = set()
-    for a in sets:
-        for b in sets:
-            inter = len(sets[a] & sets[b])
-            if a < b and 100 * inter >= 80 * (len(sets[a]) + len(sets[b]) - inter):
-                want.add((a, b))
-    assert want <= got and len(got) < len(sets) * (len(sets) - 1) / 4
-
-
-def test_box_join_loses_no_allowed_pair():
+def test_the_tree_loses_no_allowed_point(monkeypatch):
     rng = np.random.default_rng(1)
-    base = rng.poisson(3, (6, jaccard.DIMS))
-    points = np.concatenate([np.maximum(b + rng.integers(-1, 2, (40, jaccard.DIMS)), 0) for b in base])
-    sizes = points.sum(axis=1)
-    every = np.arange(len(points))
-    i, j = jaccard.box_join(points, sizes, every, every)
-    got = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
-    assert len(got) == len(i)
-    for a in range(len(points)):
-        for b in range(a):
-            bound = 180 * np.minimum(points[a], points[b]).sum() >= 80 * (sizes[a] + sizes[b])
-            ratio = 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])
-            assert ((b, a) in got) == (bound and ratio)
+    for n, sides in ((40, 1), (40, 2), (3, 1)):
+        base = rng.poisson(3, (6, jaccard.DIMS))
+        points = np.concatenate([np.maximum(b + rng.integers(-1, 2, (n, jaccard.DIMS)), 0) for b in base])
+        sizes = points.sum(axis=1)
+        roots = rng.integers(0, 30, len(points))
+        side = 1 + np.arange(len(points)) % sides
+        got = jaccard.allowed(points, sizes, roots, side)
+        want = np.zeros(len(points), bool)
+        for a in range(len(points)):
+            for b in range(len(points)):
+                bound = 180 * np.minimum(points[a], points[b]).sum() >= 80 * (sizes[a] + sizes[b])
+                ratio = 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])
+                want[a] |= bound and ratio and roots[a] != roots[b] and (sides == 1 or side[a] != side[b])
+        assert (got == want).all()
+
+
+def test_the_tree_prunes_from_the_top():
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.multinomial(300, rng.dirichlet(np.ones(jaccard.DIMS) * 0.2), 200) for _ in range(20)])
+    tree = jaccard.Tree(points, points.sum(axis=1), np.arange(len(points)))
+    i, _ = jaccard.box_pairs(tree, tree)
+    assert len(tree.levels) > 1 and len(i) < len(tree.levels[0][1]) ** 2 / 4
+
+
+def test_a_group_of_near_copies_around_the_limit(docs):
+    """2,000 copies of which pairs are similar and others not: a chain of buckets, no row for each pair."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(rng, base, rng.randrange(1, 5))) for i in range(2000)]
+    table = docs(rows)
+    assert sorted(map(tuple, jaccard.join(table).collect())) == brute_by_index(rows)
+
+
+def brute_by_index(rows):
+    """As ``brute``, overlaps counted over an index of shingles."""
+    sets = [shingles(t) for _, t in rows]
+    names = {g: k for k, g in enumerate({g for s in sets for g in s})}
+    table = np.zeros((len(sets), len(names)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [names[g] for g in s]] = 1
+    inter, sizes = (table @ table.T).astype(int), table.sum(axis=1).astype(int)
+    linked = 100 * inter >= 80 * (sizes[:, None] + sizes - inter)
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(linked, root[None, :], len(rows)).min(axis=1)
+        if (least == root).all():
+            return [(d, int(n), int(r)) for (d, _), n, r in zip(rows, sizes, root)]
+        root = least
 
 
 def test_long_texts_hash_alike_in_pieces(monkeypatch):
@@ -160,6 +180,11 @@ def test_representatives(docs, rows):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == want
 
 
+def test_ids_of_other_types(spark):
+    table = spark.createDataFrame([("2024-01-02", "x y z"), ("2024-01-01", "x y z")], "d string, text string").selectExpr("to_date(d) AS doc_id", "text")
+    assert {str(r.component_id) for r in jaccard.join(table).collect()} == {"2024-01-01"}
+
+
 def test_empty_table(docs):
     assert jaccard.join(docs([(1, "a")]).limit(0)).count() == 0
     assert jaccard.join(docs([(1, None), (2, "")])).select("component_id").collect()[0][0] in (1, 2)

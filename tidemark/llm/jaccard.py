@@ -13,17 +13,20 @@ over the upper corners is too small for the smallest documents inside.
    Passages that many documents share are the most frequent shingles, so they are not among them.
 4. Every node of such a bucket is held against the bucket's smallest node: a star, linear in the bucket.
    Points bound, sets verify, links become components. A group of near copies ends here, without its pairs.
-5. Where a bucket of three or more nodes still holds two components, the remaining pairs across components are
-   found in it by packing the points into boxes, two blocks of ``BLOCK`` points at most in a task, and are
-   verified in the same way.
+5. Buckets of three or more nodes that still hold two components are dealt into tasks by ``linking``, a node
+   once for a chain of such buckets. A task packs the points into a tree of boxes, sort-tile-recursive, each with its
+   upper corner and its smallest and largest size, and prunes pairs of boxes from the top down. What leaves the task are
+   the nodes of which a pair across components is allowed, not the pairs. Their sets are sent to the same tasks, where
+   overlaps are counted exactly and the links of a spanning forest are returned.
 
 No link between different components is lost: a similar pair shares a bucket, and either has become one
-component or is among the pairs of step 5. No pair is emitted before its points allow it.
+component or is compared in step 5. No step has a row for each pair of a group.
 
 Edge cases: a missing or empty text has no shingles and is linked with nothing; fewer words than a
 shingle make one shingle. Equal texts are linked. Missing ids are kept and linked, but name no component
 (the component of such documents alone is missing). Rows that repeat an id are kept, each with its own
-shingles. Other columns play no part. An empty table gives an empty result.
+shingles. Ids may be of any type that Arrow carries and that has an order. Other columns play no part. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,53 +35,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..sources.staging import stage
+from ..sources.staging import discard, stage
+from . import linking
 from .components import components
-from .hashing import groups, mix, word_hashes
+from .hashing import groups, mix
+from .shingles import set_keys, sets_of, shingle_sets
 
 SHINGLE = 5
 OF = 100
 SIMILAR = 80  # of OF
 DIMS = 64
 SLOT_BITS = 18
-BLOOM_BITS = 20
 HOT = 20_000  # estimated documents of a shingle from which its bucket is dealt out in parts
-BLOCK = 2048
-BOX = 32
-_C = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
-
-
-def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of every text in order, and their number for each text."""
-    words, counts = word_hashes(texts)
-    ends = np.cumsum(counts)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    first = np.flatnonzero(np.arange(len(words)) + size <= ends[doc]) if len(words) else np.zeros(0, np.int64)
-    key = np.zeros(len(first), np.uint64)
-    for k in range(size):
-        key += words[first + k] * _C[k]
-    keys, owners = [mix(key)], [doc[first]]
-    for i in np.flatnonzero((counts > 0) & (counts < size)):
-        own = words[ends[i] - counts[i] : ends[i]]
-        weights = np.array(_C[size : size + len(own)], np.uint64)
-        keys.append(mix((own * weights).sum(keepdims=True) + np.uint64(len(own))))
-        owners.append(np.array([i]))
-    key, owner = np.concatenate(keys), np.concatenate(owners)
-    order = np.lexsort((key, owner))
-    key, owner = key[order], owner[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
-    return key[new], np.bincount(owner[new], minlength=len(texts)).astype(np.int64)
-
-
-def _nodes(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """A key of every set: the sum of its mixed hashes."""
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(keys ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
-    ends = np.cumsum(counts)
-    return mix(total[ends] - total[ends - counts] + counts.astype(np.uint64)).view(np.int64)
+BOX = 32  # points of a leaf of the tree
+FAN = 8  # boxes of a box one level up
+_CELLS = 1 << 22  # numbers that are compared at once
 
 
 def _slots(keys: np.ndarray, bits: int = SLOT_BITS) -> np.ndarray:
@@ -102,7 +77,7 @@ def _per_group(docs: DataFrame, make, schema: str) -> DataFrame:
 def describe(docs: DataFrame) -> DataFrame:
     """Rows of documents (id, n, node, point) and, apart from them, rows of the slot table (slot, slot_n)."""
     kind = docs.schema.fields[0].dataType
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
+    arrow = to_arrow_type(kind)
     fields = pa.schema(
         [("id", arrow), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("slot", pa.int64()), ("slot_n", pa.int64())]
     )
@@ -115,12 +90,12 @@ def describe(docs: DataFrame) -> DataFrame:
             if len(used):
                 yield pa.RecordBatch.from_arrays([*none, pa.array(used), pa.array(table[used])], schema=fields)
             return
-        keys, counts = shingle_sets(texts)
+        keys, counts = shingle_sets(texts, SHINGLE)
         table += np.bincount(_slots(keys), minlength=1 << SLOT_BITS)
         cell = np.repeat(np.arange(len(texts)), counts) * DIMS + (keys % np.uint64(DIMS)).astype(np.int64)
         points = np.bincount(cell, minlength=len(texts) * DIMS).astype("<u4").reshape(-1, DIMS)
         none = [pa.nulls(len(texts), pa.int64())] * 2
-        cols = [ids, pa.array(counts), pa.array(_nodes(keys, counts)), pa.array([p.tobytes() for p in points], pa.binary())]
+        cols = [ids, pa.array(counts), pa.array(set_keys(keys, counts)), pa.array([p.tobytes() for p in points], pa.binary())]
         yield pa.RecordBatch.from_arrays([*cols, *none], schema=fields)
 
     return _per_group(
@@ -139,8 +114,8 @@ def _prefixes(docs: DataFrame, table: np.ndarray) -> DataFrame:
         if texts is None:
             return
         counts_of, seen = held.value, state.setdefault("seen", set())
-        keys, counts = shingle_sets(texts)
-        nodes = _nodes(keys, counts)
+        keys, counts = shingle_sets(texts, SHINGLE)
+        nodes = set_keys(keys, counts)
         fresh = np.zeros(len(texts), bool)
         for i, (node, n) in enumerate(zip(nodes.tolist(), counts.tolist())):
             if n and node not in seen:
@@ -228,168 +203,97 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, set) of the nodes in ``pairs``, computed from the texts again.
-
-    A bitmap of fixed size keeps most other sets inside their tasks; the join that follows is exact.
-    """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    slot = F.shiftrightunsigned(F.col("node"), 64 - BLOOM_BITS)
-    bits = np.zeros(1 << BLOOM_BITS, bool)
-    bits[wanted.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
-    held = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def make(state, texts, ids):
-        if texts is None:
-            return
-        seen = state.setdefault("seen", set())
-        keys, counts = shingle_sets(texts)
-        nodes, ends = _nodes(keys, counts), np.cumsum(counts)
-        wanted_here = held.value[_slots(nodes.view(np.uint64), BLOOM_BITS)]
-        own = []
-        for i in np.flatnonzero(wanted_here & (counts > 0)).tolist():
-            if nodes[i] not in seen:
-                seen.add(nodes[i])
-                own.append(i)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(nodes[own]), pa.array([keys[ends[i] - counts[i] : ends[i]].tobytes() for i in own], pa.binary())],
-            ["node", "set"],
-        )
-
-    found = _per_group(docs, make, "node long, set binary")
-    return stage(found.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    one = sets.select(F.col("node").alias("a"), F.col("set").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("set").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.concatenate((x, y))
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                good.append(OF * inter >= SIMILAR * (len(x) + len(y) - inter))
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
-
-
-def box_join(points: np.ndarray, sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i in ``left``, j in ``right``) that sizes and points allow; each unordered pair once.
-
-    Points are packed into boxes by size and by their first coordinates; pairs of boxes whose upper corners cannot
-    reach the overlap that their smallest documents need are skipped whole.
-    """
-
-    def pack(own: np.ndarray):
-        order = own[np.lexsort((points[own, 2], points[own, 1], points[own, 0], sizes[own]))]
-        return [order[at : at + BOX] for at in range(0, len(order), BOX)]
-
-    same = left is right
-    a, b = pack(left), pack(right)
-    if not a or not b:
-        return np.zeros(0, int), np.zeros(0, int)
-    top_a, top_b = (np.stack([points[x].max(axis=0) for x in boxes]) for boxes in (a, b))
-    low_a, low_b = (np.array([sizes[x].min() for x in boxes]) for boxes in (a, b))
-    high_a, high_b = (np.array([sizes[x].max() for x in boxes]) for boxes in (a, b))
-    rows, cols = [], []
-    for i, box in enumerate(a):
-        fits = _possible(top_a[i], top_b, low_a[i] + low_b)
-        fits &= (OF * high_a[i] >= SIMILAR * low_b) & (OF * high_b >= SIMILAR * low_a[i])
-        for j in np.flatnonzero(fits):
-            if same and j < i:
-                continue
-            other = b[j]
-            total = sizes[box][:, None] + sizes[other]
-            good = _possible(points[box][:, None], points[other][None], total)
-            small, large = np.minimum(sizes[box][:, None], sizes[other]), np.maximum(sizes[box][:, None], sizes[other])
-            good &= OF * small >= SIMILAR * large
-            if same and i == j:
-                good &= np.triu(np.ones(good.shape, bool), 1)
-            x, y = np.nonzero(good)
-            rows.append(box[x])
-            cols.append(other[y])
-    return np.concatenate([np.zeros(0, int), *rows]), np.concatenate([np.zeros(0, int), *cols])
-
-
-def _mixed(placed: DataFrame) -> DataFrame:
-    """Rows of the buckets that still hold two components and a pair no star has looked at, with their size k.
-
-    ``placed`` has (shingle, part, node, n, root). Of buckets with the same nodes one is enough.
-    """
-    nodes = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("nodes")
-    buckets = placed.groupBy("shingle").agg(
-        F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("k"), F.max("part").alias("parts"), nodes
-    )
-    open_ = buckets.where("x != y AND (k > 2 OR parts > 0)").groupBy("k", "nodes").agg(F.min("shingle").alias("shingle"))
-    return placed.join(open_.select("shingle", "k"), "shingle").select("shingle", "node", "n", "root", "k")
-
-
-def _across(buckets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components inside a bucket that their points allow.
-
-    ``buckets`` has (shingle, node, n, root, k). A bucket of up to ``BLOCK`` nodes is one task. Nodes of a larger one
-    are dealt into bands of sizes, so that similar ones stand in the same or the next band, and bands into
-    blocks; two blocks meet in one task where their sizes allow it.
-    """
-    small = buckets.where(F.col("k") <= BLOCK).select(
-        F.col("shingle").alias("task"), F.lit(1).alias("side"), F.lit(True).alias("same"), "node", "n", "root"
-    )
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / SIMILAR)) + 1e-9)
-    own = buckets.where(F.col("k") > BLOCK).withColumn("band", band)
-    order = Window.partitionBy("shingle", "band").orderBy("n", "node")
-    own = own.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK))
-    blocks = own.groupBy("shingle", "band", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    first = blocks.select("shingle", *[F.col(c).alias(f"{c}1") for c in ("band", "block", "low", "high")])
-    second = blocks.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("band", "block", "low", "high")])
-    meet = first.join(second, "shingle").where(
-        f"((band1 = band2 AND block1 <= block2) OR band2 = band1 + 1) AND {OF} * high1 >= {SIMILAR} * low2"
-    )
-    meet = meet.select("shingle", "band1", "block1", "band2", "block2")
-    task = F.xxhash64("shingle", "band1", "block1", "band2", "block2").alias("task")
-    sides = []
-    for side in (1, 2):
-        keys = [F.col(f"band{side}").alias("band"), F.col(f"block{side}").alias("block")]
-        same = F.expr("band1 = band2 AND block1 = block2").alias("same")
-        sides.append(meet.select("shingle", *keys, task, F.lit(side).alias("side"), same))
-    both = sides[0].union(sides[1]).where("side = 1 OR NOT same")
-    large = both.join(own, ["shingle", "band", "block"]).select("task", "side", "same", "node", "n", "root")
-    sent = small.union(large).join(nodes.select("node", "point"), "node")
-    sent = sent.select("task", "side", "same", "node", "n", "root", "point")
-    sent = sent.repartition("task").sortWithinPartitions("task", "side")
-
-    def pairs(task: list[pa.Table]) -> pa.RecordBatch:
-        table = pa.concat_tables(task)
-        side, node, n, root = (table[c].to_numpy() for c in ("side", "node", "n", "root"))
-        points = _points(table["point"])
-        left = np.flatnonzero(side == 1)
-        right = left if table["same"][0].as_py() else np.flatnonzero(side == 2)
-        i, j = box_join(points, n, left, right)
-        cross = root[i] != root[j]
-        i, j = i[cross], j[cross]
-        return pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at = [], None
-        for batch in batches:
-            tasks = np.asarray(batch.column(0))
-            cuts = np.concatenate(([0], np.flatnonzero(tasks[1:] != tasks[:-1]) + 1, [len(tasks)])) if len(tasks) else []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if tasks[a] != at and held:
-                    yield pairs(held)
-                    held = []
-                at = tasks[a]
-                held.append(pa.Table.from_batches([batch.slice(a, b - a)]))
-        if held:
-            yield pairs(held)
-
-    found = sent.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+class Tree:
+    """Points packed into boxes, and boxes into boxes: by level the upper corner and the sizes that occur in each."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, own: np.ndarray):
+        order = own[np.argsort(sizes[own], kind="stable")]
+        slab = BOX * max(1, int(np.sqrt(len(own) / BOX)))
+        parts = []
+        for at in range(0, len(order), slab):
+            part = order[at : at + slab]
+            widest = points[part].var(axis=0).argsort()[-3:]
+            parts.append(part[np.lexsort(points[part][:, widest].T)])
+        self.order = np.concatenate(parts)
+        top, low, high = points[self.order], sizes[self.order], sizes[self.order]
+        self.levels, step = [], BOX
+        while not self.levels or len(low) > FAN:
+            cuts = np.arange(0, len(low), step)
+            top, low, high = np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+            self.levels.append((top, low, high))
+            step = FAN
+
+    def box(self, i: int) -> np.ndarray:
+        return self.order[i * BOX : (i + 1) * BOX]
+
+
+def box_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of leaves whose corners and sizes allow a similar pair of points, found from the top down."""
+    while len(a.levels) != len(b.levels):
+        short = a if len(a.levels) < len(b.levels) else b
+        top, low, high = short.levels[-1]
+        cuts = np.arange(0, len(low), FAN)
+        short.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a.levels[-1][1])), np.arange(len(b.levels[-1][1])), indexing="ij"))
+    for level in range(len(a.levels) - 1, -1, -1):
+        (top_a, low_a, high_a), (top_b, low_b, high_b) = a.levels[level], b.levels[level]
+        fits = (OF * high_a[i] >= SIMILAR * low_b[j]) & (OF * high_b[j] >= SIMILAR * low_a[i])
+        if a is b:
+            fits &= i <= j
+        i, j = i[fits], j[fits]
+        step = _CELLS // DIMS
+        fits = [_possible(top_a[i[k : k + step]], top_b[j[k : k + step]], low_a[i[k : k + step]] + low_b[j[k : k + step]]) for k in range(0, len(i), step)]
+        fits = np.concatenate([np.zeros(0, bool), *fits])
+        i, j = i[fits], j[fits]
+        if level:
+            x, y = (z.ravel() for z in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
+            i, j = (i[:, None] * FAN + x).ravel(), (j[:, None] * FAN + y).ravel()
+            inside = (i < len(a.levels[level - 1][1])) & (j < len(b.levels[level - 1][1]))
+            i, j = i[inside], j[inside]
+    return i, j
+
+
+def allowed(points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Whether each point has a partner of another component (and the other side, if there are two) that points allow."""
+    found = np.zeros(len(sizes), bool)
+    sides = [np.flatnonzero(side == s) for s in np.unique(side)]
+    a = Tree(points, sizes, sides[0])
+    b = a if len(sides) == 1 else Tree(points, sizes, sides[1])
+
+    def test(x: np.ndarray, y: np.ndarray) -> None:
+        for at in range(0, len(y), step := max(1, _CELLS // (DIMS * max(1, len(x))))):
+            other = y[at : at + step]
+            total = sizes[x][:, None] + sizes[other]
+            good = _possible(points[x][:, None], points[other][None], total)
+            small, large = np.minimum(sizes[x][:, None], sizes[other]), np.maximum(sizes[x][:, None], sizes[other])
+            good &= (OF * small >= SIMILAR * large) & (roots[x][:, None] != roots[other])
+            found[x] |= good.any(axis=1)
+            found[other] |= good.any(axis=0)
+
+    i, j = box_pairs(a, b)
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    for k in np.unique(i).tolist():
+        own = a.box(k)
+        partners = np.concatenate([b.box(m) for m in j[np.searchsorted(i, k) : np.searchsorted(i, k, "right")]])
+        test(own[~found[own]], partners)  # a point that has a partner needs no other
+        test(own, partners[~found[partners]])
+    return found
+
+
+def _allowed_nodes(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(task, side, node, root) of the nodes that may have a link to another component of their task."""
+    sent = dealt.select("task", "side", "node", "n", "root").join(nodes.select("node", "point"), "node")
+    sent = sent.select("task", "side", "node", "n", "root", "point").repartition("task").sortWithinPartitions("task")
+
+    def keep(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts)
+        side, n, root = (table[c].to_numpy() for c in ("side", "n", "root"))
+        good = allowed(_points(table["point"]), n, root, side)
+        table = table.select(["task", "side", "node", "root"]).filter(pa.array(good)).combine_chunks()
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], table.column_names)
+
+    return linking.by_task(sent, keep, "task long, side int, node long, root long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -409,15 +313,20 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     tops = pivots.groupBy("shingle").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")
     star = star.union(pivots.join(tops, "shingle").select("a", "b")).where("a != b").distinct()
     near = stage(_bounded(star, nodes), "jaccard-pairs")
-    links = stage(_verified(near, _sets(texts, near)), "jaccard-links")
+    sets = stage(sets_of(texts, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), SHINGLE), "jaccard-sets")
+    links = stage(linking.verified(near, sets, SIMILAR), "jaccard-links")
+    discard(near, sets)
     roots = stage(components(links), "jaccard-roots")
 
     root = F.coalesce("root", "node").alias("root")
-    placed = stars.join(roots, "node", "left").select("shingle", "part", "node", "n", root)
-    near = stage(_across(_mixed(placed), nodes), "jaccard-pairs")
-    if near.limit(1).count():
-        more = stage(_verified(near, _sets(texts, near)), "jaccard-links")
-        roots = stage(components(links.union(more)), "jaccard-roots")
+    placed = stars.join(roots, "node", "left").select(F.col("shingle").alias("bucket"), "node", "n", root, (F.col("part") > 0).alias("split"))
+    dealt = linking.tasks(linking.open_buckets(placed), SIMILAR)
+    dealt = stage(_allowed_nodes(dealt, nodes), "jaccard-allowed")
+    discard(stars, nodes)
+    sets = stage(sets_of(texts, dealt.select("node").distinct(), SHINGLE), "jaccard-sets")
+    more = stage(linking.joined(dealt, sets, SIMILAR), "jaccard-links")
+    discard(dealt, sets)
+    roots = stage(components(links.union(more)), "jaccard-roots")
 
     placed = rows.select("id", "n", "node").join(roots, "node", "left").select("id", "n", root)
     names = placed.where("n > 0").groupBy("root").agg(F.min("id").alias("component_id"))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.staging import stage
+from ..sources.staging import discard, stage
 from . import linking
 from .components import components
 from .hashing import groups, mix
@@ -140,6 +140,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingl
     )
     dealt = linking.tasks(linking.open_buckets(placed), share)
     more = stage(linking.joined(dealt, sets, share), "superminhash-links")
+    discard(buckets, star, sets)
     roots = stage(components(links.union(more)), "superminhash-roots")
 
     placed = rows.select("id", "n", "node").join(roots, "node", "left").select("id", "n", F.coalesce("root", "node").alias("root"))
