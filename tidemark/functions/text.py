@@ -7,6 +7,8 @@ import html.entities
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .markup import folded_text
+
 # Tags whose whole content is dropped, and the fence of a quoted reply.
 CONTENT_FREE_TAGS = ("nav", "footer", "header")
 FENCE = "```"
@@ -26,14 +28,19 @@ LD_SCRIPT = r"(?is)^<script\s(?:[^>]*[\s\"'/])?type\s*=\s*[\"']?application/ld\+
 SCRIPT_BODY = r"(?is)^<script[^>]*>(.*?)(?:</script[^>]*>)?\z"
 TIME_TAG = (
     r"(?s)<(?i:time)\s(?:[^>]*?[\s\"'/])?(?i:datetime)\s*=\s*"
-    r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>.*?</(?i:time)\s*>"
+    r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))[^>]*>.*?(?:</(?i:time)\s*>|\z)"
 )
 # Innermost block of its own kind: possessive groups run as loops, without recursion.
 _KINDS = "|".join(CONTENT_FREE_TAGS)
 DROPPED_BLOCK = (
     rf"<((?i:{_KINDS}))(?=[\s/>])[^>]*>[^<]*+(?:<(?!/?(?i:\1)[\s/>])[^<]*+)*+</(?i:\1)[^>]*>"
 )
+DROPPED_OPEN = rf"<(?i:{_KINDS})[\s/>]"
 DROPPED_CLOSE = rf"</(?i:{_KINDS})[\s/>]"
+MOST_BLOCKS = 8  # of which the innermost are taken out again and again
+# Elements that are left out as well, but mostly end without a closing tag of their own.
+RARE_HIDDEN = r"<(?i:template|rt|rp)[\s/>]"
+TAG_START = r"<(?:[!?]|/?[a-zA-Z])"
 ANY_TAG = r"<(?:[!?]|/?[a-zA-Z])(?:[^>=]++|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+>"
 
 ENTITY = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?"
@@ -188,8 +195,35 @@ def strip(text: Column) -> Column:
     return F.trim(text, F.lit(WHITE))
 
 
+def _last_is_closed(html: Column, name: str) -> Column:
+    """Whether the last tag that opens ``name`` has a closing one behind it."""
+    lowered = F.lower(html)
+    behind = F.substring_index(lowered, f"<{name}", -1)
+    return ~F.contains(lowered, F.lit(f"<{name}")) | F.contains(behind, F.lit(f"</{name}"))
+
+
+def well_nested(html: Column) -> Column:
+    """Whether expressions read the page as a parser does, and in time that grows with its length: every tag ends, menus and
+    the like are few and closed, and so is the last ``time`` element."""
+    tail = F.substring_index(html, ">", -1)
+    blocks = F.regexp_count(html, F.lit(DROPPED_OPEN))
+    calm = ~tail.rlike(TAG_START) & (blocks <= MOST_BLOCKS) & (blocks == F.regexp_count(html, F.lit(DROPPED_CLOSE)))
+    for name in (*CONTENT_FREE_TAGS, "time"):
+        calm = calm & _last_is_closed(html, name)
+    times = F.regexp_count(html, F.lit(r"<(?i:time)[\s/>]")) == F.regexp_count(html, F.lit(r"</(?i:time)[\s/>]"))
+    return calm & times & ~html.rlike(RARE_HIDDEN)
+
+
 def html_clean(html: Column) -> Column:
-    """Visible text of a page: one stripped text node per line, scripts and menus gone."""
+    """Visible text of a page: one stripped text node per line, scripts and menus gone.
+
+    Pages that do not nest go through one pass over their tags in Python, all others stay in the JVM.
+    """
+    nested = well_nested(html)
+    return F.when(nested, _nested_text(html)).otherwise(folded_text(F.when(~nested, html)))
+
+
+def _nested_text(html: Column) -> Column:
     marked = let(
         drop_scripts(html),
         lambda h: F.regexp_replace(drop_blocks(time_tag(h)), ANY_TAG, MARK),
@@ -204,11 +238,18 @@ def html_clean(html: Column) -> Column:
     )
 
 
+def _element(html: Column, name: str) -> Column:
+    """Content of the first ``name``; empty where it does not end. The end of the page ends the search."""
+    pattern = rf"(?is)<{name}[^>]*(?:>(.*?)(</{name}\s*>|\z)|\z)"
+    closed = F.regexp_extract(html, pattern, 2) != ""
+    return F.when(closed, F.regexp_extract(html, pattern, 1)).otherwise(F.lit(""))
+
+
 def html_title(html: Column) -> Column:
     """Text of ``<title>``, else of the first ``<h1>``, else an empty string."""
     raw = F.coalesce(
-        F.nullif(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1), F.lit("")),
-        F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1\s*>", 1),
+        F.nullif(_element(html, "title"), F.lit("")),
+        _element(html, "h1"),
     )
     return let(F.regexp_replace(raw, ANY_TAG, ""), lambda t: strip(unescape(t)))
 

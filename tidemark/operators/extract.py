@@ -16,8 +16,12 @@ from ..functions.values import (
 )
 
 MAX_POSTINGS = 50  # fixed value: postings taken from one page
-ANCHOR = r"(?is)<a\s(?:[^>]*?[\s\"'/])?href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)[^>]*>.*?</a\s*>"
-HREF = r"(?is)^<a\s(?:[^>]*?[\s\"'/])?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+# An anchor ends at its closing tag, at the next anchor or with the page; attributes before ``href`` hold no tags.
+ANCHOR = (
+    r"(?is)<a\s(?:[^<>]*?[\s\"'/])?href\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+)[^<>]*>"
+    r"[^<]*+(?:<(?!/?a[\s/>])[^<]*+)*+"
+)
+HREF = r"(?is)^<a\s(?:[^<>]*?[\s\"'/])?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+))"
 DATE_LINE = r"(?m)^datePosted: (\S+)"
 ISO_STAMP = r"(?m)^(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}(?::\d{2})?)"
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let, strip_fences, terms
 from ..functions.values import usage_cost
 
+# Python workers get these functions with the plan and need not find the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 THRESHOLD = 0.70  # fixed value: lowest score that is reported
 MAX_MISSING = 8  # fixed value: missing terms listed per match
 LEVELS = 4  # parts of a profile's terms, from the rarest to the most frequent, that are joined apart
