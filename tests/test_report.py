@@ -68,7 +68,7 @@ def test_oversized_block_stays_whole_in_its_own_part(spark):
 
 
 def texts(pieces):
-    return [r["text"] for r in report.messages(pieces).orderBy("part_no").collect()]
+    return [r["text"] for r in report.messages(pieces).orderBy("part_no").collect()]  # parts of ordinary size: one row each
 
 
 def test_digest_without_matches(spark):
@@ -121,13 +121,61 @@ def test_every_part_of_a_digest_has_its_header_and_whole_companies(spark):
     assert firms == [f"Firm {i:02d}" for i in range(33)]
 
 
-def test_very_long_company_is_kept_as_pieces(spark):
+def test_very_long_company_is_read_in_pieces(spark):
     rows = [match("Big", 1, pos=i, title="x" * 300) for i in range(200)] + [match("Small", 2)]
     pieces = report.digest(spark.createDataFrame(rows, MATCH), summary(spark, 201), errors(spark), stale_rows(spark))
-    parts = {r["part_no"]: r for r in report.messages(pieces).collect()}
-    assert parts[1]["text"] is None and parts[1]["chars"] > 64_000
-    assert parts[2]["text"].count("View Job") == 1
-    assert pieces.filter("part_no = 1 and is_line = 1").count() == 200
+    ordered = report.messages(pieces).orderBy(*report.PIECE_ORDER).collect()
+    parts = {}
+    for r in ordered:
+        parts.setdefault(r["part_no"], []).append(r["text"])
+    assert len(parts[1]) == 202 and len("".join(parts[1])) > 64_000 and "".join(parts[1]).count("View Job") == 200
+    assert len(parts[2]) == 1 and parts[2][0].count("View Job") == 1
+    whole = report.messages(pieces, most=10**9).where("part_no = 1").collect()
+    assert [r["text"] for r in whole] == ["".join(parts[1])] and whole[0]["chars"] == len(whole[0]["text"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_transfers_combine_in_any_order(seed):
+    """Runs of blocks put together pairwise, from the left or from the right, do what the plain loop does."""
+    rng = random.Random(seed)
+    header, limit = 100, 1000
+    lengths = [rng.choice((5, 60, 300, 700, 899, 900, 901, 1500)) for _ in range(60)]
+
+    def one(n):
+        return report.Transfer([n, float("inf")], [1, 0], [n, n]) if n <= limit - header - 1 else report.Transfer([n], [1], [n])
+
+    def left(runs):
+        whole = runs[0]
+        for run in runs[1:]:
+            whole = whole.then(run, header, limit)
+        return whole
+
+    def halves(runs):
+        middle = len(runs) // 2
+        return runs[0] if len(runs) == 1 else halves(runs[:middle]).then(halves(runs[middle:]), header, limit)
+
+    singles = [one(n) for n in lengths]
+    for carried in (header + 1, 400, limit, limit + 1):
+        used, parts = carried, 0
+        for n in lengths:
+            used, parts = (header + n, parts + 1) if used + n > limit else (used + n, parts)
+        assert left(singles).after(carried, header, limit) == halves(singles).after(carried, header, limit) == (used, parts)
+    assert len(halves(singles).reach) <= 200
+
+
+def test_packing_has_no_task_for_all(spark):
+    """Runs of many chunks: numbers of partitions do not grow with the blocks."""
+    rng = random.Random(9)
+    lengths = [rng.randint(200, 2500) for _ in range(3000)]
+    rows = [(f"c{i:06d}", i, 0, 0, n) for i, n in enumerate(lengths)]
+    blocks = spark.createDataFrame(rows, "company string, site_ord bigint, page_num int, pos int, block_len bigint")
+    chunks = report.in_chunks(blocks, 20)
+    assert chunks.select("chunk").distinct().count() >= 150
+    by_chunk = [r.chunk for r in chunks.orderBy("site_ord").collect()]
+    assert by_chunk == sorted(by_chunk)
+    plan = report.message_pack(blocks, 100, 4000, 20)
+    assert "SinglePartition" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert [r["part_no"] for r in sorted(plan.collect())] == greedy(lengths, 100, 4000)
 
 
 def test_html_is_escaped_on_request(spark):

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import cost_str, run_time_str, score_pct
 from ..sources.staging import stage
 
+# Python workers get these functions with the plan and need not find the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_PART_CHARS = 4000  # fixed value: characters of one message
+WITHIN_BITS = 18  # of a chunk's number: its place within its partition
+LEVEL_BITS, LEVELS = 12, 3  # chunks of a run of the lowest level, and levels that hold all numbers of chunks
 CHUNK_BLOCKS = 4096  # company blocks packed by one task
 BLOCK_ORDER = ["site_ord", "page_num", "pos"]
 
@@ -226,11 +232,58 @@ def _walk(opening: np.ndarray, first: int) -> list[int]:
 
 
 def in_chunks(blocks: DataFrame, rows: int = CHUNK_BLOCKS) -> DataFrame:
-    """Number ordered ranges of about ``rows`` blocks; written, so that the numbers are fixed."""
-    blocks = stage(blocks, "blocks")
-    n = blocks.count() // rows + 1
-    ranges = blocks.repartitionByRange(n, *BLOCK_ORDER)
-    return stage(ranges.withColumn("chunk", F.spark_partition_id().cast("bigint")), "chunks")
+    """Number ordered ranges of at most ``rows`` blocks, in as many partitions as a shuffle has.
+
+    Numbers grow along the order: the partition's, then the range's within its sorted partition. Written, so
+    that the numbers are fixed.
+    """
+    ranges = blocks.repartitionByRange(*BLOCK_ORDER).sortWithinPartitions(*BLOCK_ORDER)
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    chunk = F.shiftleft(F.spark_partition_id().cast("bigint"), WITHIN_BITS) + F.floor(within / rows)
+    return stage(ranges.withColumn("chunk", chunk), "chunks")
+
+
+class Transfer:
+    """What a run of blocks does to the part that is open where it begins.
+
+    Row i holds when the part is carried on by ``reach[i - 1]`` characters but not by ``reach[i]``: that many parts are then
+    opened in the run, and the last part holds ``tail`` characters of it. Rows that no carried length can reach
+    are left out, so there are no more than blocks that fit into one part.
+    """
+
+    def __init__(self, reach, opened, tail):
+        self.reach, self.opened, self.tail = np.asarray(reach, float), np.asarray(opened, np.int64), np.asarray(tail, np.int64)
+
+    def after(self, carried: int, header: int, limit: int) -> tuple[int, int]:
+        """(characters of the open part, parts opened) behind the run."""
+        i = int(np.searchsorted(self.reach, limit - carried, side="right"))
+        return (header + int(self.tail[i]), int(self.opened[i])) if self.opened[i] else (carried + int(self.tail[i]), 0)
+
+    def then(self, other: Transfer, header: int, limit: int) -> Transfer:
+        """Both runs one behind the other; the order in which runs are put together plays no part."""
+        reach, opened, tail = [], [], []
+        for r, n, t in zip(self.reach, self.opened, self.tail):
+            if n:
+                open_, more = other.after(header + int(t), header, limit)
+                reach.append(r), opened.append(n + more), tail.append(open_ - header)
+            else:  # all of the first run goes on with the part that is open
+                reach += (other.reach + t).tolist()
+                opened += other.opened.tolist()
+                tail += np.where(other.opened > 0, other.tail, other.tail + t).tolist()
+        last = int(np.searchsorted(reach, limit - header - 1, side="right")) + 1
+        return Transfer(reach[:last], opened[:last], tail[:last])
+
+    def frame(self, **names) -> pd.DataFrame:
+        return pd.DataFrame({**names, "row": range(len(self.reach)), "reach": self.reach, "opened": self.opened, "tail": self.tail})
+
+
+_TRANSFER = "row bigint, reach double, opened bigint, tail bigint"
+
+
+def _transfers(rows: pd.DataFrame) -> list[tuple[int, Transfer]]:
+    """(run, transfer) in order."""
+    ordered = rows.sort_values(["run", "row"])
+    return [(int(run), Transfer(own["reach"], own["opened"], own["tail"])) for run, own in ordered.groupby("run")]
 
 
 def message_pack(
@@ -240,10 +293,10 @@ def message_pack(
 
     ``blocks(company, site_ord, page_num, pos, block_len)``: a part is closed before the block
     that would make it longer than ``limit``; a single longer block stays whole in a part of its
-    own. Greedy packing is sequential, so it is done in three steps over lengths only: each chunk
-    of blocks tabulates, for every place its first split can fall, how it would end; these small
-    tables are chained; each chunk then packs its blocks from its known start. No task holds more
-    than one chunk or a few rows per chunk.
+    own. Greedy packing is sequential, but what a run of blocks does to the open part is a small table, and
+    tables of neighbours combine: chunks are combined into runs of up to 2**LEVEL_BITS, these again, and from
+    the top the part that is open is handed down to where each chunk begins. Then chunks are packed on their
+    own. Only lengths are read; no task holds more than one chunk or the tables of one run.
     """
     blocks = in_chunks(blocks, chunk_rows)
 
@@ -257,45 +310,47 @@ def message_pack(
         for split in range(last + 1):
             opened = _walk(opening, split)
             tail = ends[-1] - (ends[opened[-1]] - lengths[opened[-1]]) if opened else ends[-1]
-            reach = int(ends[split]) if split < len(lengths) else None
-            rows.append((key[0], split, reach, len(opened), int(tail)))
-        frame = pd.DataFrame(rows, columns=["chunk", "split", "reach", "opened", "tail"])
-        return frame.astype({"reach": "Int64"})
-
-    table = blocks.groupBy("chunk").applyInPandas(
-        outcomes, "chunk bigint, split bigint, reach bigint, opened bigint, tail bigint"
-    )
-
-    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carried, parts, current, found = 0, 0, None, True
-        for pdf in batches:
-            for chunk, split, reach, opened, tail in pdf.itertuples(index=False):
-                if chunk != current:
-                    yield pd.DataFrame({"chunk": [chunk], "carried": [carried], "parts": [parts]})
-                    current, found = chunk, False
-                # Nothing carried: the first block of the run always opens the first part.
-                if not found and (carried == 0 or pd.isna(reach) or carried + reach > limit):
-                    carried = header_len + tail if opened else carried + tail
-                    parts, found = parts + opened, True
-
-    starts = (
-        table.repartition(1)
-        .sortWithinPartitions("chunk", "split")
-        .mapInPandas(chained, "chunk bigint, carried bigint, parts bigint")
-    )
+            rows.append((float(ends[split]) if split < len(lengths) else np.inf, len(opened), int(tail)))
+        return Transfer(*zip(*rows)).frame(run=key[0])
+
+    def combined(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        (_, whole), *rest = _transfers(pdf)
+        for _, one in rest:
+            whole = whole.then(one, header_len, limit)
+        return whole.frame(run=key[0])
+
+    def handed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        carried, parts, out = int(right["carried"].iloc[0]), int(right["parts"].iloc[0]), []
+        for run, one in _transfers(left):
+            out.append((run, carried, parts))
+            carried, opened = one.after(carried, header_len, limit)
+            parts += opened
+        return pd.DataFrame(out, columns=["run", "carried", "parts"])
+
+    above = F.shiftright("run", LEVEL_BITS)
+    levels = [blocks.groupBy(F.col("chunk").alias("run")).applyInPandas(outcomes, f"run bigint, {_TRANSFER}")]
+    for _ in range(LEVELS - 1):
+        levels.append(levels[-1].groupBy(above.alias("run")).applyInPandas(combined, f"run bigint, {_TRANSFER}"))
+    # Before the first block the open part counts as full.
+    starts = blocks.sparkSession.createDataFrame([(0, limit + 1, 0)], "run bigint, carried bigint, parts bigint")
+    for level in reversed(levels):
+        starts = (
+            level.withColumn("above", above).groupBy("above").cogroup(starts.groupBy("run"))
+            .applyInPandas(handed, "run bigint, carried bigint, parts bigint")
+        )
 
     def packed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values(BLOCK_ORDER)
         lengths = left["block_len"].to_numpy()
         carried, parts = int(right["carried"].iloc[0]), int(right["parts"].iloc[0])
-        first = _first_split(np.cumsum(lengths), carried, limit) if carried else 0
+        first = _first_split(np.cumsum(lengths), carried, limit)
         opened = _walk(_openings(lengths, header_len, limit), first)
         part = parts + np.searchsorted(np.array(opened), np.arange(len(left)), side="right")
         return pd.DataFrame({"company": left["company"], "part_no": part})
 
     return (
         blocks.groupBy("chunk")
-        .cogroup(starts.groupBy("chunk"))
+        .cogroup(starts.groupBy("run"))
         .applyInPandas(packed, "company string, part_no bigint")
     )
 
@@ -410,17 +465,17 @@ PIECE_ORDER = ["part_no", "section", "block_ord", "is_line", "line_ord"]
 
 
 def messages(pieces: DataFrame, most: int = 16 * MAX_PART_CHARS) -> DataFrame:
-    """Part texts. Parts above ``most`` characters keep NULL here and are read as pieces."""
-    sizes = stage(
-        pieces.groupBy("part_no").agg(F.sum(F.length("text")).alias("chars")), "part-sizes"
-    )
+    """Texts of all parts, to be read in ``PIECE_ORDER``: a part of up to ``most`` characters is one row without a place, a
+    longer one is the rows of its pieces, which put together in order are its text."""
+    sizes = pieces.groupBy("part_no").agg(F.sum(F.length("text")).alias("chars"))
+    sized = pieces.join(sizes, "part_no")
+    places = [F.lit(None).cast(pieces.schema[c].dataType).alias(c) for c in PIECE_ORDER[1:]]
     ordered = F.array_sort(F.collect_list(F.struct(*PIECE_ORDER[1:], "text")))
-    texts = (
-        pieces.join(sizes.filter(F.col("chars") <= most).select("part_no"), "part_no", "left_semi")
-        .groupBy("part_no")
-        .agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"))
+    whole = sized.where(F.col("chars") <= most).groupBy("part_no", "chars").agg(
+        F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text")
     )
-    return sizes.join(texts, "part_no", "left")
+    rest = sized.where(F.col("chars") > most).select(*PIECE_ORDER, "chars", "text")
+    return whole.select("part_no", *places, "chars", "text").union(rest)
 
 
 def digest_out(pieces: DataFrame, path: str, dry_run: bool = False) -> DataFrame:
