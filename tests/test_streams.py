@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from tidemark.operators import incremental as inc
-from tidemark.sources import schemas, stores
+from tidemark.sources import keystore, schemas
 from tidemark.streaming import streams
 
 POSTING = "site_ord bigint, page_num int, pos int, dedup_key string, dedup_type string, title string, url string, company string"
@@ -30,7 +30,7 @@ def test_dedup_over_batches(spark, tmp_path):
     for batch in ([("a",), ("a",), ("b",)], [("b",), ("c",)]):
         arrive(spark, batch, "dedup_key string", src)
         streams.stream_dedup(streams.arriving(spark, "dedup_key string", src), state, out)
-    assert sorted(r["dedup_key"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    assert sorted(r["dedup_key"] for r in keystore.read(spark, out, "dedup_key string").collect()) == ["a", "b", "c"]
 
 
 def posting(ord_, key):
@@ -40,17 +40,17 @@ def posting(ord_, key):
 def test_upsert_over_batches_and_after_a_lost_commit(spark, tmp_path):
     src, state, store = (str(tmp_path / n) for n in ("src", "state", "store"))
     now = F.lit(datetime.datetime(2024, 2, 1))
-    stores.append_seen(spark.createDataFrame([("old", "job_id", "t", "u", "c", 0.5, None)], schemas.SEEN), store, "before")
+    keystore.append_new(spark, store, spark.createDataFrame([("old", "job_id", "t", "u", "c", 0.5, None)], schemas.SEEN), "before", 0)
     arrive(spark, [posting(2, "a"), posting(1, "a"), posting(3, "old")], POSTING, src)
     streams.stream_upsert(streams.arriving(spark, POSTING, src), store, state, now)
     want = [("a", "t1"), ("old", "t")]
-    assert sorted((r["dedup_key"], r["title"]) for r in stores.read_seen(spark, store).collect()) == want
+    assert sorted((r["dedup_key"], r["title"]) for r in keystore.read(spark, store, schemas.SEEN).collect()) == want
     # The batch was written but its checkpoint got lost: a new one repeats it.
     streams.stream_upsert(streams.arriving(spark, POSTING, src), store, str(tmp_path / "state2"), now)
-    assert sorted((r["dedup_key"], r["title"]) for r in stores.read_seen(spark, store).collect()) == want
+    assert sorted((r["dedup_key"], r["title"]) for r in keystore.read(spark, store, schemas.SEEN).collect()) == want
     arrive(spark, [posting(1, "a"), posting(4, "z")], POSTING, src)
     streams.stream_upsert(streams.arriving(spark, POSTING, src), store, state, now)
-    assert sorted(r["dedup_key"] for r in stores.read_seen(spark, store).collect()) == ["a", "old", "z"]
+    assert sorted(r["dedup_key"] for r in keystore.read(spark, store, schemas.SEEN).collect()) == ["a", "old", "z"]
 
 
 def test_upsert_keeps_what_other_streams_wrote(spark, tmp_path):
@@ -59,10 +59,10 @@ def test_upsert_keeps_what_other_streams_wrote(spark, tmp_path):
         arrive(spark, [posting(i, k) for i, k in enumerate(keys)], POSTING, tmp_path / name)
         arrived = streams.arriving(spark, POSTING, str(tmp_path / name))
         streams.stream_upsert(arrived, store, str(tmp_path / f"state-{name}"), now)
-    assert sorted(r["dedup_key"] for r in stores.read_seen(spark, store).collect()) == ["a", "b", "x", "y", "z"]
+    assert sorted(r["dedup_key"] for r in keystore.read(spark, store, schemas.SEEN).collect()) == ["a", "b", "x", "y", "z"]
     # the same files under a new checkpoint add nothing and lose nothing
     streams.stream_upsert(streams.arriving(spark, POSTING, str(tmp_path / "one")), store, str(tmp_path / "again"), now)
-    assert sorted(r["dedup_key"] for r in stores.read_seen(spark, store).collect()) == ["a", "b", "x", "y", "z"]
+    assert sorted(r["dedup_key"] for r in keystore.read(spark, store, schemas.SEEN).collect()) == ["a", "b", "x", "y", "z"]
 
 
 def test_health_of_late_runs(spark, tmp_path):
@@ -90,3 +90,15 @@ def test_health_over_batches(spark, tmp_path):
     got = sorted(map(tuple, streams.latest_health(spark, out).collect()))
     want = inc.zero_streak(spark.createDataFrame(runs, schemas.RUNS))
     assert got == sorted(map(tuple, want.collect()))
+
+
+def test_scores_reach_the_store(spark, tmp_path):
+    src, state, store = (str(tmp_path / n) for n in ("src", "state", "store"))
+    arrive(spark, [posting(1, "a"), posting(2, "b"), posting(3, "a")], POSTING, src)
+
+    def score(new):
+        return new.where("dedup_key = 'a'").select("dedup_key", (F.col("site_ord") / 2).alias("best_score"))
+
+    streams.stream_upsert(streams.arriving(spark, POSTING, src), store, state, F.lit(datetime.datetime(2024, 2, 1)), score)
+    got = keystore.read(spark, store, schemas.SEEN).collect()
+    assert {r["dedup_key"]: r["match_score"] for r in got} == {"a": 0.5, "b": None}

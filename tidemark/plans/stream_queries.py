@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import html_clean
 from ..functions.urls import site_of
 from ..functions.values import dedup_key, dedup_type
-from ..sources import staging, stores
+from ..sources import keystore, schemas, staging
 from ..streaming import streams
 from . import bindings as b
 from . import oracle as o
@@ -52,7 +52,7 @@ def _stream_postings(spark, sf):
 def stream_dedup(spark, sf):
     state, out = staging.new_folder(spark, "state"), staging.new_folder(spark, "keys")
     streams.stream_dedup(_stream_postings(spark, sf).select("dedup_key"), state, out)
-    return spark.read.parquet(out).select("dedup_key")
+    return keystore.read(spark, out, "dedup_key string")
 
 
 @query(f"""
@@ -77,7 +77,7 @@ SELECT dedup_key, 'https://stored.example.com/' || dedup_key AS url, 'stored' AS
 UNION ALL SELECT dedup_key, url, company FROM n WHERE dedup_key NOT IN (SELECT dedup_key FROM seen)""")
 def stream_upsert(spark, sf):
     store, state = staging.new_folder(spark, "seen"), staging.new_folder(spark, "state")
-    stores.append_seen(b.seen_store(spark, sf), store, "before")
+    keystore.append_new(spark, store, b.seen_store(spark, sf), "before", 0)
     now = F.lit("2024-02-01 06:00:00").cast("timestamp")
     streams.stream_upsert(_stream_postings(spark, sf), store, state, now)
-    return stores.read_seen(spark, store).select("dedup_key", "url", "company")
+    return keystore.read(spark, store, schemas.SEEN).select("dedup_key", "url", "company")

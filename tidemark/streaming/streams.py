@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incremental
-from ..sources import schemas, stores
-from ..sources.stores import append_seen
+from ..sources import keystore, schemas
 
 
 def arriving(spark: SparkSession, schema, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -42,44 +41,43 @@ def stream_captures(
     drain(read(arrived), checkpoint, out)
 
 
-def _batch_folder(spark: SparkSession, checkpoint: str, batch_id: int) -> str:
-    """Name of a batch of this stream alone: another stream, or a new checkpoint, has another id."""
-    stream = spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
-    return f"stream-{stream}-{batch_id}"
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Name of this stream alone: another stream, or a new checkpoint, has another id."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
 
 
 def stream_dedup(postings: DataFrame, checkpoint: str, out: str) -> None:
-    """Write each key of ``postings`` once under ``out``; which duplicate comes through is not determined.
+    """Write each key of ``postings`` once to the key store ``out``; which duplicate comes through is not determined.
 
-    What has been written is the memory, so no state grows in the executors. Rows carry ``run_id``.
+    What has been written is the memory, so no state grows in the executors, and a batch reads only the
+    buckets that its keys may be in (``sources.keystore``).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folder = _batch_folder(spark, checkpoint, batch_id)
-        known = stores.read_rows(spark, batch.schema, out).filter(F.col("run_id") != folder)
-        fresh = batch.dropDuplicates(["dedup_key"])
-        fresh = fresh.join(incremental.known_keys(fresh, known), "dedup_key", "left_anti").select(*batch.columns)
-        append_seen(fresh, out, folder)
+        keystore.append_new(spark, out, batch.dropDuplicates(["dedup_key"]), _stream_id(spark, checkpoint), batch_id)
 
     drain(postings, checkpoint, each=write)
 
 
-def stream_upsert(postings: DataFrame, store: str, checkpoint: str, run_at: Column) -> None:
-    """Add each batch's new postings to the store at ``store``, first occurrence first.
+def stream_upsert(
+    postings: DataFrame, store: str, checkpoint: str, run_at: Column, score: Callable[[DataFrame], DataFrame] | None = None
+) -> None:
+    """Add each batch's new postings to the key store at ``store``, first occurrence first.
 
-    A batch writes a folder of its stream and number, and ignores that folder when it looks keys up, so
-    a batch that is repeated after a failure gives the same store, and no stream touches what another
-    wrote. A store that does not exist yet is empty.
+    ``score(new)`` gives (dedup_key, best_score) of the new postings of a batch; without it, or without a row, the
+    stored score is NULL. A batch that is repeated after a failure is known by its stream and number, and no
+    stream touches what another wrote. A store that does not exist yet is empty.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        folder = _batch_folder(spark, checkpoint, batch_id)
-        known = stores.read_seen(spark, store, without=folder)
-        new = incremental.new_first_occurrence(batch, incremental.known_keys(batch, known))
-        no_scores = spark.createDataFrame([], "dedup_key string, best_score double")
-        append_seen(incremental.seen_rows(new, no_scores, run_at), store, folder)
+
+        def rows(new: DataFrame) -> DataFrame:
+            scores = score(new) if score else spark.createDataFrame([], "dedup_key string, best_score double")
+            return incremental.seen_rows(new, scores, run_at)
+
+        keystore.append_new(spark, store, incremental.first_occurrence(batch), _stream_id(spark, checkpoint), batch_id, rows)
 
     drain(postings, checkpoint, each=upsert)
 
