@@ -107,14 +107,18 @@ def test_the_tree_loses_no_allowed_point(monkeypatch):
         sizes = points.sum(axis=1)
         roots = rng.integers(0, 30, len(points))
         side = 1 + np.arange(len(points)) % sides
-        got = jaccard.allowed(points, sizes, roots, side)
-        want = np.zeros(len(points), bool)
+        got = jaccard.allowed(points, sizes, roots, side, [None] * len(points))
+        want, root = np.zeros(len(points), bool), np.arange(len(points))
         for a in range(len(points)):
             for b in range(len(points)):
                 bound = 180 * np.minimum(points[a], points[b]).sum() >= 80 * (sizes[a] + sizes[b])
                 ratio = 100 * min(sizes[a], sizes[b]) >= 80 * max(sizes[a], sizes[b])
-                want[a] |= bound and ratio and roots[a] != roots[b] and (sides == 1 or side[a] != side[b])
-        assert (got == want).all()
+                if bound and ratio and roots[a] != roots[b] and (sides == 1 or side[a] != side[b]):
+                    want[a] = True
+                    root[root == root[a]] = root[b]
+        assert ((got >= 0) == want).all()
+        chains = {(int(g), int(r)) for g, r, w in zip(got, root, want) if w}
+        assert len(chains) == len({g for g, _ in chains}) == len({r for _, r in chains})
 
 
 def test_the_tree_prunes_from_the_top():
@@ -125,6 +129,28 @@ def test_the_tree_prunes_from_the_top():
     assert len(tree.levels) > 1 and len(i) < len(tree.levels[0][1]) ** 2 / 4
 
 
+def test_finer_points_bound_overlaps_and_tell_long_documents_apart():
+    rng = np.random.default_rng(3)
+    make = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    fine = lambda keys: np.frombuffer(jaccard._fine(keys), "<u4")
+    for n, m in ((1024, 1200), (3000, 3100), (6000, 7000), (20000, 16500)):
+        a = make(n)
+        near = np.concatenate((a[: int(0.9 * n)], make(max(0, m - int(0.9 * n)))))
+        inter, total = len(np.intersect1d(a, near)), n + len(near)
+        groups = min(len(fine(a)), len(fine(near)))
+        assert np.minimum(jaccard._folded(fine(a), groups), jaccard._folded(fine(near), groups)).sum() >= inter
+        assert jaccard._finely(fine(a), fine(near), total) or 100 * inter < 80 * (total - inter)
+        assert not jaccard._finely(fine(a), fine(make(m)), n + m) and jaccard._finely(fine(a), None, n + m)
+
+
+def test_long_documents_of_a_size_with_a_shared_passage(docs):
+    rng = random.Random(9)
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(i, " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(3000)), shared])) for i in range(20)]
+    rows += [(100 + i, edited(rng, t.split(), 40)) for i, t in rows[:5]] + [(200 + i, edited(rng, t.split(), 90)) for i, t in rows[:5]]
+    assert sorted(map(tuple, jaccard.join(docs(rows)).collect())) == brute_by_index(rows)
+
+
 def test_a_group_of_near_copies_around_the_limit(docs):
     """2,000 copies of which pairs are similar and others not: a chain of buckets, no row for each pair."""
     rng = random.Random(8)
@@ -147,7 +173,7 @@ def brute_by_index(rows):
     while True:
         least = np.where(linked, root[None, :], len(rows)).min(axis=1)
         if (least == root).all():
-            return [(d, int(n), int(r)) for (d, _), n, r in zip(rows, sizes, root)]
+            return [(d, int(n), rows[r][0]) for (d, _), n, r in zip(rows, sizes, root)]
         root = least
 
 

@@ -43,7 +43,47 @@ def test_long_words_merge_alike():
     model = pieces.Model(PATH)
     for word in ["▁" + "".join(w.split()) for w in some(60, 8)]:
         if word != "▁":
-            assert model._merge_long(word) == model._merge([word])[0]
+            assert model._merge_long(word) == model._merge(model._by_start([word]))[0]
+
+
+def plain_viterbi(model, word):
+    """Pieces of the best segmentation, of equals the one that takes the longest last piece."""
+    best, back = [0.0] + [float("-inf")] * len(word), [0] * (len(word) + 1)
+    for end in range(1, len(word) + 1):
+        for begin in range(max(0, end - model.longest), end):
+            piece = model.by_text.get(word[begin:end])
+            score = model.scores[piece] if piece is not None else model.unknown_score if end - begin == 1 else float("-inf")
+            if best[begin] + score > best[end]:
+                best[end], back[end] = best[begin] + score, begin
+    ids, end = [], len(word)
+    while end:
+        piece = model.by_text.get(word[back[end] : end])
+        ids = ([piece] if piece is not None else [model.byte_ids[b] for b in word[back[end] : end].encode()]) + ids
+        end = back[end]
+    return ids
+
+
+def test_both_ways_at_once_give_the_ids_of_each(spark):
+    model, both = pieces.Model(PATH), pieces.Encoder(PATH, "both")
+    texts = TEXTS + some(80, 9)
+    viterbi, merged = both.encode_ways(texts)
+    assert [x.tolist() for x in merged] == [x.tolist() for x in pieces.Encoder(PATH, "merge").encode(texts)]
+    for text, ids in zip(texts, viterbi):
+        words = both.cut.findall("▁" + text.replace(" ", "▁")) if text else []
+        assert ids.tolist() == [i for w in words for i in plain_viterbi(model, w)], text
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "ids long, text string")
+    rows = pieces.encode_and_check(df, PATH).collect()
+    assert all(r.round_trip for r in rows) and rows[0].asDict().keys() == {"ids", "text", "_ids", "merged", "round_trip"}
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT_BYTES", 3000)
+    coder = pieces.Encoder(PATH, "both")
+    want = pieces.Encoder(PATH).encode(some(50, 10))
+    for _ in range(2):
+        for text, ids in zip(some(50, 10), want):
+            assert coder.encode_ways([text])[1][0].tolist() == ids.tolist()
+            assert coder.held < 3000 + 100 * 400
 
 
 def test_viterbi_finds_the_highest_score(monkeypatch):
@@ -51,7 +91,7 @@ def test_viterbi_finds_the_highest_score(monkeypatch):
     words = sorted({"▁" + w for t in some(60, 5) for w in t.split(" ") if w} | {"▁", "▁▁▁", "zq", "漢字" * 9})
     for cells in (2_000_000, 64):  # in one table, and in parts of a few positions
         monkeypatch.setattr(pieces, "_CELLS", cells)
-        for word, ids in zip(words, model.encode_words(words, "viterbi")):
+        for word, (ids,) in zip(words, model.encode_words(words, "viterbi")):
             assert b"".join(model.raw[i] for i in ids).decode() == word
             raw = model._viterbi([word])[0]
             total = sum(model.scores[i] if i >= 0 else model.unknown_score for i in raw)

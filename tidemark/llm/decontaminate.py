@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .hashing import parts
 from .tables import unused
 
 WINDOW = 13
@@ -57,9 +58,9 @@ class WindowSet:
                 size = min(window, len(ids))
                 found.setdefault(size, []).append((np.lib.stride_tricks.sliding_window_view(ids, size), at))
         self.sizes = {}
-        for size, parts in found.items():
-            rows = np.concatenate([p for p, _ in parts])
-            owner = np.concatenate([np.full(len(p), at) for p, at in parts])
+        for size, own in found.items():
+            rows = np.concatenate([p for p, _ in own])
+            owner = np.concatenate([np.full(len(p), at) for p, at in own])
             keys = self._keys(rows.T, size)
             order = np.argsort(keys, kind="stable")
             self.sizes[size] = (keys[order], rows[order], owner[order])
@@ -120,11 +121,11 @@ def cut_spans(text: str, hit: np.ndarray) -> str:
     table = np.frombuffer(data.translate(_TABLE), np.uint8) != 32
     begin, end = _runs(table)
     first, last = _runs(hit)
-    parts, at = [], 0
+    left, at = [], 0
     for a, b in zip(first, last):
-        parts.append(data[at : begin[a]])
+        left.append(data[at : begin[a]])
         at = end[b - 1]
-    return b"".join([*parts, data[at:]]).decode()
+    return b"".join([*left, data[at:]]).decode()
 
 
 def decontaminate(
@@ -172,7 +173,8 @@ def decontaminate(
                 ready[k] = WindowSet(held[k].value, window)
             return ready[k]
 
-        for batch in batches:
+        # about a megabyte of text at a time, as its words take several times that
+        for batch in (whole.slice(a, b - a) for whole in batches for a, b in parts(whole.column(place))):
             texts = batch.column(place).to_pylist()
             split = [words(t) for t in texts]
             hits = [np.zeros(len(w), bool) for w in split]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -87,3 +89,16 @@ def groups(texts: list[str | None], most: int = PIECE):
             begin, size = i + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def parts(column: pa.Array, most: int = PIECE):
+    """Index ranges of a column of texts with about ``most`` bytes each, without reading the texts."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    begin = size = 0
+    for i, n in enumerate(sizes.tolist()):
+        size += n
+        if size >= most:
+            yield begin, i + 1
+            begin, size = i + 1, 0
+    if begin < len(sizes):
+        yield begin, len(sizes)

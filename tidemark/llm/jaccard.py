@@ -3,7 +3,9 @@
 A document's shingles are hashed to 64 bits. Hashing them once more into ``DIMS`` groups gives a vector of
 counts, a point: the overlap of two documents is at most the sum of the smaller of each pair of counts,
 so a pair whose sum is too small needs no comparison, nor does a pair of boxes around points whose sum
-over the upper corners is too small for the smallest documents inside.
+over the upper corners is too small for the smallest documents inside. ``DIMS`` groups tell unrelated documents apart
+up to some 1,600 shingles; documents of ``FINE`` and more have a finer point as well, with about ``PER_CELL``
+shingles a group, which pairs that pass the first bound have to pass too.
 
 1. ``describe``: one pass over the texts gives every document's number of shingles, a key of the set, its point,
    and a table of fixed size with how often shingles fall into each of its slots, over all documents.
@@ -16,8 +18,9 @@ over the upper corners is too small for the smallest documents inside.
 5. Buckets of three or more nodes that still hold two components are dealt into tasks by ``linking``, a node
    once for a chain of such buckets. A task packs the points into a tree of boxes, sort-tile-recursive, each with its
    upper corner and its smallest and largest size, and prunes pairs of boxes from the top down. What leaves the task are
-   the nodes of which a pair across components is allowed, not the pairs. Their sets are sent to the same tasks, where
-   overlaps are counted exactly and the links of a spanning forest are returned.
+   the nodes of which a pair across components is allowed, with the chain of allowed pairs they are in, not the pairs.
+   Their sets are sent once for a chain to one task, where overlaps are counted exactly and the links of a spanning
+   forest are returned.
 
 No link between different components is lost: a similar pair shares a bucket, and either has become one
 component or is compared in step 5. No step has a row for each pair of a group.
@@ -53,6 +56,8 @@ SLOT_BITS = 18
 HOT = 20_000  # estimated documents of a shingle from which its bucket is dealt out in parts
 BOX = 32  # points of a leaf of the tree
 FAN = 8  # boxes of a box one level up
+FINE = 1024  # shingles from which a document has a finer point as well
+PER_CELL = 12  # shingles of a cell of it, at most, on average
 _CELLS = 1 << 22  # numbers that are compared at once
 
 
@@ -75,18 +80,21 @@ def _per_group(docs: DataFrame, make, schema: str) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Rows of documents (id, n, node, point) and, apart from them, rows of the slot table (slot, slot_n)."""
+    """Rows of documents (id, n, node, point, fine) and, apart from them, rows of the slot table (slot, slot_n)."""
     kind = docs.schema.fields[0].dataType
     arrow = to_arrow_type(kind)
     fields = pa.schema(
-        [("id", arrow), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("slot", pa.int64()), ("slot_n", pa.int64())]
+        [
+            ("id", arrow), ("n", pa.int64()), ("node", pa.int64()), ("point", pa.binary()), ("fine", pa.binary()),
+            ("slot", pa.int64()), ("slot_n", pa.int64()),
+        ]
     )
 
     def make(state, texts, ids):
         table = state.setdefault("table", np.zeros(1 << SLOT_BITS, np.int64))
         if texts is None:
             used = np.flatnonzero(table)
-            none = [pa.nulls(len(used), f.type) for f in list(fields)[:4]]
+            none = [pa.nulls(len(used), f.type) for f in list(fields)[:5]]
             if len(used):
                 yield pa.RecordBatch.from_arrays([*none, pa.array(used), pa.array(table[used])], schema=fields)
             return
@@ -96,10 +104,13 @@ def describe(docs: DataFrame) -> DataFrame:
         points = np.bincount(cell, minlength=len(texts) * DIMS).astype("<u4").reshape(-1, DIMS)
         none = [pa.nulls(len(texts), pa.int64())] * 2
         cols = [ids, pa.array(counts), pa.array(set_keys(keys, counts)), pa.array([p.tobytes() for p in points], pa.binary())]
+        ends = np.cumsum(counts)
+        fine = [_fine(keys[end - n : end]) if n >= FINE else None for n, end in zip(counts.tolist(), ends.tolist())]
+        cols.append(pa.array(fine, pa.binary()))
         yield pa.RecordBatch.from_arrays([*cols, *none], schema=fields)
 
     return _per_group(
-        docs, make, f"id {kind.simpleString()}, n long, node long, point binary, slot long, slot_n long"
+        docs, make, f"id {kind.simpleString()}, n long, node long, point binary, fine binary, slot long, slot_n long"
     )
 
 
@@ -183,24 +194,50 @@ def _possible(points_a: np.ndarray, points_b: np.ndarray, sizes: np.ndarray) ->
     return (OF + SIMILAR) * np.minimum(points_a, points_b).sum(axis=-1) >= SIMILAR * sizes
 
 
+def _fine(keys: np.ndarray) -> bytes:
+    """Counts of a long document's shingles in a power of two of groups."""
+    groups_ = 1 << int(np.ceil(np.log2(len(keys) / PER_CELL)))
+    return np.bincount((keys & np.uint64(groups_ - 1)).astype(np.int64), minlength=groups_).astype("<u4").tobytes()
+
+
+def _folded(fine: np.ndarray, groups_: int) -> np.ndarray:
+    """Counts in fewer groups; the low bits of a group's number name the larger one."""
+    return fine.reshape(-1, groups_).sum(axis=0, dtype=np.int64)
+
+
+def _finely(a: np.ndarray | None, b: np.ndarray | None, sizes: int) -> bool:
+    """Whether finer points allow a pair; documents that have none are allowed."""
+    if a is None or b is None:
+        return True
+    groups_ = min(len(a), len(b))
+    return bool(_possible(_folded(a, groups_), _folded(b, groups_), sizes))
+
+
+def _fines(column) -> list[np.ndarray | None]:
+    return [np.frombuffer(v.as_buffer(), "<u4") if v.is_valid else None for v in column]
+
+
 def _points(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, DIMS).astype(np.int64)
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that their points allow."""
-    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"))
+    one = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("point").alias("pa"), F.col("fine").alias("fa"))
+    two = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("point").alias("pb"), F.col("fine").alias("fb"))
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     joined = pairs.join(one, "a").join(two, "b").where(OF * small >= SIMILAR * large)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, na, nb, pa_, pb = batch.columns
-            good = _possible(_points(pa_), _points(pb), np.asarray(na) + np.asarray(nb))
+            a, b, na, nb, pa_, pb, fa, fb = batch.columns
+            sizes = np.asarray(na) + np.asarray(nb)
+            good = _possible(_points(pa_), _points(pb), sizes)
+            for i in np.flatnonzero(good).tolist():
+                good[i] = _finely(*_fines([fa[i], fb[i]]), sizes[i])
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(good))
 
-    return joined.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "pa", "pb", "fa", "fb").mapInArrow(run, "a long, b long")
 
 
 class Tree:
@@ -253,61 +290,69 @@ def box_pairs(a: Tree, b: Tree) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
-def allowed(points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, side: np.ndarray) -> np.ndarray:
-    """Whether each point has a partner of another component (and the other side, if there are two) that points allow."""
-    found = np.zeros(len(sizes), bool)
+def allowed(
+    points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, side: np.ndarray, fines: list[np.ndarray | None]
+) -> np.ndarray:
+    """For each point the number of another that chains of allowed pairs lead to, the same one for all of a chain; -1
+    where there is no allowed pair. Pairs are of different roots (and sides, if there are two)."""
+    label, met = np.arange(len(sizes)), np.zeros(len(sizes), bool)
     sides = [np.flatnonzero(side == s) for s in np.unique(side)]
     a = Tree(points, sizes, sides[0])
     b = a if len(sides) == 1 else Tree(points, sizes, sides[1])
 
     def test(x: np.ndarray, y: np.ndarray) -> None:
-        for at in range(0, len(y), step := max(1, _CELLS // (DIMS * max(1, len(x))))):
-            other = y[at : at + step]
-            total = sizes[x][:, None] + sizes[other]
-            good = _possible(points[x][:, None], points[other][None], total)
-            small, large = np.minimum(sizes[x][:, None], sizes[other]), np.maximum(sizes[x][:, None], sizes[other])
-            good &= (OF * small >= SIMILAR * large) & (roots[x][:, None] != roots[other])
-            found[x] |= good.any(axis=1)
-            found[other] |= good.any(axis=0)
+        apart = label[x][:, None] != label[y]  # what hangs together already needs no test
+        x, y = x[apart.any(axis=1)], y[apart.any(axis=0)]
+        good = _possible(points[x][:, None], points[y][None], sizes[x][:, None] + sizes[y])
+        small, large = np.minimum(sizes[x][:, None], sizes[y]), np.maximum(sizes[x][:, None], sizes[y])
+        good &= (OF * small >= SIMILAR * large) & (roots[x][:, None] != roots[y])
+        for i, near in zip(x.tolist(), good):
+            for j in y[near].tolist():
+                if label[j] != label[i] and _finely(fines[i], fines[j], sizes[i] + sizes[j]):
+                    met[i] = met[j] = True
+                    label[label == label[j]] = label[i]
 
     i, j = box_pairs(a, b)
     order = np.argsort(i, kind="stable")
     i, j = i[order], j[order]
+    step = max(BOX, _CELLS // (DIMS * BOX))
     for k in np.unique(i).tolist():
-        own = a.box(k)
         partners = np.concatenate([b.box(m) for m in j[np.searchsorted(i, k) : np.searchsorted(i, k, "right")]])
-        test(own[~found[own]], partners)  # a point that has a partner needs no other
-        test(own, partners[~found[partners]])
-    return found
+        for at in range(0, len(partners), step):
+            test(a.box(k), partners[at : at + step])
+    joined = np.bincount(label, weights=met, minlength=len(label)) > 0
+    return np.where(joined[label], label, -1)
 
 
 def _allowed_nodes(dealt: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(task, side, node, root) of the nodes that may have a link to another component of their task."""
-    sent = dealt.select("task", "side", "node", "n", "root").join(nodes.select("node", "point"), "node")
-    sent = sent.select("task", "side", "node", "n", "root", "point").repartition("task").sortWithinPartitions("task")
+    """(task, side, node, n, root, mate) of the nodes that may have a link to another component of their task; chains of
+    allowed pairs have the same ``mate``."""
+    sent = dealt.select("task", "side", "node", "n", "root").join(nodes.select("node", "point", "fine"), "node")
+    sent = sent.select("task", "side", "node", "n", "root", "point", "fine").repartition("task").sortWithinPartitions("task")
 
     def keep(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts)
-        side, n, root = (table[c].to_numpy() for c in ("side", "n", "root"))
-        good = allowed(_points(table["point"]), n, root, side)
-        table = table.select(["task", "side", "node", "root"]).filter(pa.array(good)).combine_chunks()
-        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in table.columns], table.column_names)
+        table = pa.Table.from_batches(parts).combine_chunks()
+        side, node, n, root = (table[c].to_numpy() for c in ("side", "node", "n", "root"))
+        mate = allowed(_points(table["point"]), n, root, side, _fines(table["fine"]))
+        cols = [table[c].combine_chunks() for c in ("task", "side", "node", "n", "root")]
+        found = pa.RecordBatch.from_arrays([*cols, pa.array(node[mate])], ["task", "side", "node", "n", "root", "mate"])
+        return found.filter(pa.array(mate >= 0))
 
-    return linking.by_task(sent, keep, "task long, side int, node long, root long")
+    return linking.by_task(sent, keep, "task long, side int, node long, n long, root long, mate long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Of every document: ``id_col``, n_shingles (long) and component_id, the smallest id that links lead to."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = stage(describe(texts), "jaccard-documents")
-    rows = found.where("slot IS NULL").select("id", "n", "node", "point")
+    rows = found.where("slot IS NULL").select("id", "n", "node", "point", "fine")
     counted = found.where("slot IS NOT NULL").groupBy("slot").agg(F.sum("slot_n").alias("n")).toPandas()
     table = np.zeros(1 << SLOT_BITS, np.int64)
     table[counted["slot"].to_numpy(np.int64)] = counted["n"].to_numpy(np.int64)
 
     stars = stage(_stars(_prefixes(texts, table)), "jaccard-buckets")
     nodes = rows.join(stars.select("node").distinct(), "node", "left_semi")
-    nodes = stage(nodes.dropDuplicates(["node"]).select("node", "n", "point"), "jaccard-nodes")
+    nodes = stage(nodes.dropDuplicates(["node"]).select("node", "n", "point", "fine"), "jaccard-nodes")
     star = stars.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     pivots = stars.groupBy("shingle", "part").agg(F.min("pivot").alias("b"))
     tops = pivots.groupBy("shingle").agg(F.min("b").alias("a"), F.count("*").alias("k")).where("k > 1")
@@ -323,6 +368,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     dealt = linking.tasks(linking.open_buckets(placed), SIMILAR)
     dealt = stage(_allowed_nodes(dealt, nodes), "jaccard-allowed")
     discard(stars, nodes)
+    dealt = stage(linking.regrouped(dealt), "jaccard-tasks")
     sets = stage(sets_of(texts, dealt.select("node").distinct(), SHINGLE), "jaccard-sets")
     more = stage(linking.joined(dealt, sets, SIMILAR), "jaccard-links")
     discard(dealt, sets)

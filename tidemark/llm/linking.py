@@ -113,6 +113,23 @@ def tasks(buckets: DataFrame, share: int) -> DataFrame:
     return whole.union(single).union(_blocks(rest.where(F.col("weight") > WEIGHT), share))
 
 
+def regrouped(dealt: DataFrame) -> DataFrame:
+    """Tasks (task, side, node, root) by chains of possible pairs, a node once, where the chain is no longer than ``WEIGHT``.
+
+    ``dealt`` has (task, side, node, n, root, mate): within a task, possible pairs have the same ``mate``. Nodes of longer
+    chains stay in the tasks they are in.
+    """
+    chains = components(dealt.select(F.col("node").alias("a"), F.col("mate").alias("b")).distinct())
+    chained = dealt.join(chains.select("node", F.col("root").alias("chain")), "node")
+    nodes = chained.select("chain", "node", "n", "root").distinct()
+    size = nodes.groupBy("chain").agg(F.sum("n").alias("sum"))
+    whole = nodes.join(size.where(F.col("sum") <= WEIGHT).select("chain"), "chain")
+    rest = chained.join(size.where(F.col("sum") > WEIGHT).select("chain"), "chain")
+    return whole.select(F.xxhash64("chain").alias("task"), F.lit(1).alias("side"), "node", "root").union(
+        rest.select("task", "side", "node", "root")
+    )
+
+
 def forest(sets: list[np.ndarray], roots: np.ndarray, side: np.ndarray, share: int) -> list[tuple[int, int]]:
     """Index pairs of similar sets that join all components of ``sets`` which links join.
 

@@ -33,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .hashing import parts
 from .tables import unused
 
 SPACE = "▁"
-KEPT_WORDS = 600_000
+KEPT_BYTES = 128 << 20  # of words that a task remembers with their ids
+_ENTRY = 250  # bytes that an entry takes beside its letters and ids
 LONG_WORD = 64
 _CELLS = 2_000_000  # of the score table at once
 _BASE = np.uint64(0x100000001B3)
@@ -124,6 +126,49 @@ class Model:
             found[row[same], col[same]] = ids[at[row[same], col[same]]]
         return found
 
+    def _by_start(self, words: list[str]) -> np.ndarray:
+        """The piece (or -1) at every start and of every size in words of one length."""
+        length = len(words[0])
+        most = min(self.longest, length)
+        chars = np.array([[ord(c) for c in w] for w in words], np.uint32)
+        which = np.full((len(words), length, most + 1), -1, np.int32)
+        key = np.zeros((len(words), length), np.uint64)
+        for size in range(1, most + 1):
+            begin = np.arange(length - size + 1)
+            key = key[:, : len(begin)] * _BASE + chars[:, size - 1 : size - 1 + len(begin)]
+            if size in self.tables:
+                which[:, begin, size] = self._probe(chars, key, begin, size)
+        return which
+
+    def _short(self, which: np.ndarray) -> list[list[int]]:
+        """As ``_viterbi``, from the pieces by start."""
+        n, length, most = which.shape[0], which.shape[1], which.shape[2] - 1
+        score = np.where(which >= 0, self.scores[which], -np.inf)
+        score[:, :, 1][which[:, :, 1] < 0] = self.unknown_score
+        best = np.full((n, length + 1), -np.inf)
+        best[:, 0] = 0
+        back, piece = np.zeros((n, length + 1), np.int16), np.zeros((n, length + 1), np.int32)
+        rows = np.arange(n)
+        for end in range(1, length + 1):
+            sizes = np.arange(min(most, end), 0, -1)  # of equals the longest
+            total = best[:, end - sizes] + score[:, end - sizes, sizes]
+            take = sizes[total.argmax(axis=1)]
+            best[:, end] = total.max(axis=1)
+            back[:, end] = take
+            piece[:, end] = which[rows, end - take, take]
+        return self._traced(back, piece)
+
+    @staticmethod
+    def _traced(back: np.ndarray, piece: np.ndarray) -> list[list[int]]:
+        out: list[list[int]] = []
+        for size, own in zip(back.tolist(), piece.tolist()):
+            at, ids = len(size) - 1, []
+            while at:
+                ids.append(own[at] if own[at] >= 0 else -at)
+                at -= size[at]
+            out.append(ids[::-1])
+        return out
+
     def _viterbi(self, words: list[str]) -> list[list[int]]:
         """Best pieces of words of one length; a character of no piece is -1 - its position."""
         n, length, most = len(words), len(words[0]), min(self.longest, len(words[0]))
@@ -160,27 +205,11 @@ class Model:
                 best[:, end + 1] = total[rows, take]
                 back[:, end + 1] = sizes - take
                 piece[:, end + 1] = which[rows, end - low, most - sizes + take]
-        out: list[list[int]] = []
-        for row in range(n):
-            at, ids, size, own = length, [], back[row].tolist(), piece[row].tolist()
-            while at:
-                ids.append(own[at] if own[at] >= 0 else -at)
-                at -= size[at]
-            out.append(ids[::-1])
-        return out
+        return self._traced(back, piece)
 
-    def _merge(self, words: list[str]) -> list[list[int]]:
+    def _merge(self, which: np.ndarray) -> list[list[int]]:
         """Pieces of words of one length by merging the best pair, the leftmost of equals, again and again."""
-        n, length = len(words), len(words[0])
-        most = min(self.longest, length)
-        chars = np.array([[ord(c) for c in w] for w in words], np.uint32)
-        which = np.full((n, length, most + 1), -1, np.int32)  # by start and size
-        key = np.zeros((n, length), np.uint64)
-        for size in range(1, most + 1):
-            begin = np.arange(length - size + 1)
-            key = key[:, : len(begin)] * _BASE + chars[:, size - 1 : size - 1 + len(begin)]
-            if size in self.tables:
-                which[:, begin, size] = self._probe(chars, key, begin, size)
+        n, length, most = which.shape[0], which.shape[1], which.shape[2] - 1
         score = np.where(which >= 0, self.scores[which], -np.inf)
         size = np.ones((n, length + 1), np.int64)  # of the segment that starts here; 0 inside of one
         size[:, length] = most  # no pair reaches over the end
@@ -233,24 +262,28 @@ class Model:
             offer(left)
         return [self.by_text.get(p, -1 - at) for at, p in enumerate(part) if p is not None]
 
-    def encode_words(self, words: list[str], how: str | None = None) -> list[list[int]]:
-        """Ids of words in which spaces are U+2581 already."""
+    def encode_words(self, words: list[str], how: str | None = None) -> list[tuple[list[int], ...]]:
+        """Ids of words in which spaces are U+2581 already, for each way in ``how`` (both: Viterbi, then merges)."""
         how = how or self.kind
-        out: list[list[int]] = [[] for _ in words]
+        ways = {"both": ("viterbi", "merge")}.get(how, (how,))
+        out: list[tuple[list[int], ...]] = [([],) * len(ways) for _ in words]
         by_length: dict[int, list[int]] = {}
         for i, word in enumerate(words):
             if word:
                 by_length.setdefault(len(word), []).append(i)
+
+        def step(part: list[str]) -> list[list[list[int]]]:
+            if len(part[0]) > LONG_WORD:
+                return [self._viterbi(part) if way == "viterbi" else [self._merge_long(w) for w in part] for way in ways]
+            which = self._by_start(part)  # one probe of the pieces for all ways
+            return [self._short(which) if way == "viterbi" else self._merge(which) for way in ways]
+
         for length, own in by_length.items():
-            if how == "merge" and length > LONG_WORD:
-                step = lambda part: [self._merge_long(w) for w in part]
-            else:
-                step = {"viterbi": self._viterbi, "merge": self._merge}[how]
             most = max(1, _CELLS // (length * min(self.longest, length)))
             for at in range(0, len(own), most):
                 part = own[at : at + most]
-                for i, ids in zip(part, step([words[i] for i in part])):
-                    out[i] = ids if min(ids) >= 0 else self._bytes(words[i], ids)
+                for i, *found in zip(part, *step([words[i] for i in part])):
+                    out[i] = tuple(ids if min(ids) >= 0 else self._bytes(words[i], ids) for ids in found)
         return out
 
     def _bytes(self, word: str, ids: list[int]) -> list[int]:
@@ -269,24 +302,39 @@ class Model:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+@lru_cache(maxsize=2)
+def model_at(path: str) -> Model:
+    return Model(path)
+
+
 class Encoder:
-    """A model with the ids of words met before."""
+    """A model with the ids of words met before; ``how`` is viterbi, merge, both, or None for what the model states."""
 
     def __init__(self, path: str, how: str | None = None):
-        self.model, self.how = Model(path), how
-        self.words: dict[str, bytes] = {}
+        self.model, self.how = model_at(path), how
+        self.words: dict[str, tuple[bytes, ...]] = {}
+        self.held = 0
         breaks = "\n" if "\n" not in self.model.alphabet else ""
         self.cut = re.compile(f"\n|{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" if breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.words) > KEPT_WORDS:
-            self.words = {}
+    def encode_ways(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """Ids of all texts, a list for each way."""
+        if self.held > KEPT_BYTES:
+            self.words, self.held = {}, 0
         known = self.words
         front = SPACE if self.model.prefix else ""
         split = [self.cut.findall(front + t.replace(" ", SPACE)) if t else [] for t in texts]
         fresh = list({w for words in split for w in words if w not in known})
-        known.update(zip(fresh, (np.array(i, np.int32).tobytes() for i in self.model.encode_words(fresh, self.how))))
-        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
+        for word, ways in zip(fresh, self.model.encode_words(fresh, self.how)):
+            known[word] = tuple(np.array(ids, np.int32).tobytes() for ids in ways)
+            self.held += _ENTRY + 4 * len(word) + sum(map(len, known[word]))
+        rows = [list(map(known.__getitem__, words)) for words in split]
+        return [
+            [np.frombuffer(b"".join([r[way] for r in row]), np.int32) for row in rows] for way in range(2 if self.how == "both" else 1)
+        ]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.encode_ways(texts)[0]
 
 
 @lru_cache(maxsize=2)
@@ -294,41 +342,64 @@ def encoder(path: str, how: str | None = None) -> Encoder:
     return Encoder(path, how)
 
 
-def _lists(parts: list[np.ndarray]) -> pa.ListArray:
-    offsets = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *parts]))
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *rows]))
 
 
-def _added(df: DataFrame, column: str, make, name: str, kind: T.DataType) -> DataFrame:
-    """``df`` with a column that ``make`` derives from ``column``, 256 rows at a time."""
-    names = list(df.columns)
-    place = names.index(column)
-    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
-    schema = T.StructType([*plain.schema.fields, T.StructField("made", kind)])
+def _added(df: DataFrame, column: str, make, names: list[str], kinds: list[T.DataType]) -> DataFrame:
+    """``df`` with columns that ``make`` derives from ``column``, about a megabyte at a time."""
+    taken = list(df.columns)
+    place = taken.index(column)
+    plain = df.toDF(*[f"c{i}" for i in range(len(taken))])
+    schema = T.StructType([*plain.schema.fields, *(T.StructField(f"made{i}", kind) for i, kind in enumerate(kinds))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([*batch.columns, make(batch.column(place))], schema.names)
+            column = whole.column(place)
+            texts = pa.types.is_string(column.type)
+            for a, b in parts(column) if texts else ((at, at + 256) for at in range(0, whole.num_rows, 256)):
+                batch = whole.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch.column(place))], schema.names)
 
-    return plain.mapInArrow(run, schema).toDF(*names, unused(name, names))
+    added = []
+    for name in names:
+        added.append(unused(name, taken + added))
+    return plain.mapInArrow(run, schema).toDF(*taken, *added)
+
+
+_IDS = T.ArrayType(T.IntegerType())
 
 
 def encode(df: DataFrame, model: str, text_col: str = "text", name: str = "ids", how: str | None = None) -> DataFrame:
     """``df`` with the ids (array of int) of its whole texts; ``how`` is viterbi, merge or what the model states."""
 
-    def make(texts: pa.Array) -> pa.Array:
-        return _lists(encoder(model, how).encode([t or "" for t in texts.to_pylist()]))
+    def make(texts: pa.Array) -> list[pa.Array]:
+        return [_lists(encoder(model, how).encode([t or "" for t in texts.to_pylist()]))]
 
-    return _added(df, text_col, make, name, T.ArrayType(T.IntegerType()))
+    return _added(df, text_col, make, [name], [_IDS])
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
     """``df`` with the text of its ids; missing ids decode to the empty text."""
 
-    def make(ids: pa.Array) -> pa.Array:
-        text = encoder(model).model.decode
-        return pa.array([text(i or ()) for i in ids.to_pylist()], pa.string())
+    def make(ids: pa.Array) -> list[pa.Array]:
+        text = model_at(model).decode
+        return [pa.array([text(i or ()) for i in ids.to_pylist()], pa.string())]
+
+    return _added(df, ids_col, make, [name], [T.StringType()])
+
+
+def encode_and_check(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
+    """``df`` with ids (Viterbi), merged (merges, as the model's library gives them for a merge table), and round_trip:
+    whether both decode to the text. One pass: the pieces of a word are probed once for both ways."""
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        own = [t or "" for t in texts.to_pylist()]
+        coded = encoder(model, "both")
+        ways = coded.encode_ways(own)
+        text = coded.model.decode
+        same = [all(text(way[i].tolist()) == t for way in ways) for i, t in enumerate(own)]
+        return [*map(_lists, ways), pa.array(same, pa.bool_())]
 
-    return _added(df, ids_col, make, name, T.StringType())
+    return _added(df, text_col, make, ["ids", "merged", "round_trip"], [_IDS, _IDS, T.BooleanType()])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import groups, mix, word_hashes
+from .hashing import mix, parts, word_hashes
 
 SLOT_BITS = 20
 _C = [np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64)) for k in range(64)]
@@ -58,9 +58,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in groups(texts):
-                keys, counts = shingle_sets(texts[a:b], shingle)
+            for a, b in parts(batch.column(0)):
+                keys, counts = shingle_sets(batch.column(0).slice(a, b - a).to_pylist(), shingle)
                 nodes, ends = set_keys(keys, counts), np.cumsum(counts)
                 here = held.value[(nodes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
                 own = []

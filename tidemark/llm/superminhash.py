@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..sources.staging import discard, stage
 from . import linking
 from .components import components
-from .hashing import groups, mix
+from .hashing import mix, parts
 from .shingles import set_keys, sets_of, shingle_sets
 
 SHINGLE = 4
@@ -82,10 +82,10 @@ def signatures(keys: np.ndarray, counts: np.ndarray, size: int = SIZE) -> np.nda
 
 def bands(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
     """A key of every ``rows`` places in order; the band's number is part of it."""
-    parts = signature.reshape(len(signature), signature.shape[1] // rows, rows)
-    key = np.broadcast_to(mix(np.arange(1, parts.shape[1] + 1, dtype=np.uint64)), parts.shape[:2]).copy()
+    own = signature.reshape(len(signature), signature.shape[1] // rows, rows)
+    key = np.broadcast_to(mix(np.arange(1, own.shape[1] + 1, dtype=np.uint64)), own.shape[:2]).copy()
     for r in range(rows):
-        key = mix(key + parts[:, :, r])
+        key = mix(key + own[:, :, r])
     return key
 
 
@@ -96,9 +96,8 @@ def describe(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in groups(texts):
-                keys, counts = shingle_sets(texts[a:b], shingle)
+            for a, b in parts(batch.column(1)):
+                keys, counts = shingle_sets(batch.column(1).slice(a, b - a).to_pylist(), shingle)
                 nodes = set_keys(keys, counts)
                 fresh = np.zeros(len(counts), bool)
                 for i in np.flatnonzero(counts).tolist():
