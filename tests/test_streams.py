@@ -1,11 +1,13 @@
 """Streams over files that arrive in several batches equal the batch results."""
 
 import datetime
+import os
+import random
 
 from pyspark.sql import functions as F
 
 from tidemark.operators import incremental as inc
-from tidemark.sources import keystore, schemas
+from tidemark.sources import keystore, schemas, snapshots
 from tidemark.streaming import streams
 
 POSTING = "site_ord bigint, page_num int, pos int, dedup_key string, dedup_type string, title string, url string, company string"
@@ -92,6 +94,28 @@ def test_health_over_batches(spark, tmp_path):
     assert got == sorted(map(tuple, want.collect()))
 
 
+def test_health_reads_its_state_and_not_the_history(spark, tmp_path):
+    """Runs of 60 days in ten batches, shuffled so that zeros and successes come late, some twice."""
+    src, state, out = (str(tmp_path / n) for n in ("src", "state", "out"))
+    rng = random.Random(4)
+    first = datetime.datetime(2024, 1, 1)
+    runs = [(f"s{s}", first + datetime.timedelta(hours=7 * d + s), rng.choice((0, 0, 0, s))) for d in range(200) for s in range(5)]
+    rng.shuffle(runs)
+    for k in range(10):
+        arrive(spark, runs[100 * k : 100 * k + 120], schemas.RUNS, src)
+        streams.drain_health(streams.arriving(spark, schemas.RUNS, src), state, out)
+        kept = snapshots.newest(spark, out, schemas.RUNS)
+        seen = sorted(set(runs[: 100 * k + 120]))
+        want = {}
+        for site in {r[0] for r in seen}:
+            own = [r for r in seen if r[0] == site]
+            last = max((r[1] for r in own if r[2]), default=None)
+            want[site] = (sum(last is None or r[1] > last for r in own), last)
+        assert {r[0]: (r[1], r[2]) for r in streams.latest_health(spark, out).collect()} == want
+        assert kept.count() == sum(n for n, _ in want.values()) + sum(last is not None for _, last in want.values())
+    assert len([d for d in os.listdir(out) if d.isdigit()]) <= snapshots.KEPT + 1
+
+
 def test_scores_reach_the_store(spark, tmp_path):
     src, state, store = (str(tmp_path / n) for n in ("src", "state", "store"))
     arrive(spark, [posting(1, "a"), posting(2, "b"), posting(3, "a")], POSTING, src)

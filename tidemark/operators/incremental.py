@@ -171,28 +171,47 @@ def health_upsert(old: DataFrame, counts: DataFrame, run_at: Column) -> DataFram
     )
 
 
+def streak_days(runs: DataFrame) -> DataFrame:
+    """(site_name, day, last_success_at, zeros) of a run history: the last success of a day, and the runs without one after it."""
+    ok = F.col("job_count") > 0
+    daily = runs.groupBy("site_name", F.to_date("run_at").alias("day")).agg(
+        F.max(F.when(ok, F.col("run_at"))).alias("last_success_at"),
+        F.collect_list(F.col("run_at")).alias("times"),
+    )
+    after = F.filter("times", lambda t: F.col("last_success_at").isNull() | (t > F.col("last_success_at")))
+    return daily.select("site_name", "day", "last_success_at", F.size(after).alias("zeros"))
+
+
 def zero_streak(runs: DataFrame) -> DataFrame:
-    """Per site, from a run history: zero runs since the last success, and that success.
+    """Per site, from a run history: runs since the last success (zero runs), and that success.
 
-    Two partial aggregates and a join by site with a written table of one row per site; history
-    is never sorted per site.
+    History is read once. Days are mergeable: of two spans, one before the other, the later one's success ends the
+    streak of the earlier. A task folds the days of a site, which are as many as the calendar has, not its runs.
     """
-    success = F.col("job_count") > 0
-    last = stage(
-        runs.groupBy("site_name").agg(
-            F.max(F.when(success, F.col("run_at"))).alias("last_success_at")
-        ),
-        "last-success",
-    )
-    after = F.col("last_success_at").isNull() | (F.col("run_at") > F.col("last_success_at"))
-    return (
-        runs.join(last, "site_name")
-        .groupBy("site_name")
-        .agg(
-            F.count_if(after).cast("int").alias("consecutive_zeros"),
-            F.max("last_success_at").alias("last_success_at"),
+    days = F.array_sort(F.collect_list(F.struct("day", "last_success_at", "zeros")))
+    start = F.struct(F.lit(0).alias("zeros"), F.lit(None).cast("timestamp").alias("last_success_at"))
+
+    def later(state: Column, day: Column) -> Column:
+        carried = F.when(day["last_success_at"].isNull(), state["zeros"]).otherwise(F.lit(0))
+        return F.struct(
+            (carried + day["zeros"]).alias("zeros"),
+            F.coalesce(day["last_success_at"], state["last_success_at"]).alias("last_success_at"),
         )
-    )
+
+    folded = streak_days(runs).groupBy("site_name").agg(F.aggregate(days, start, later).alias("s"))
+    return folded.select("site_name", F.col("s.zeros").alias("consecutive_zeros"), F.col("s.last_success_at").alias("last_success_at"))
+
+
+def health_state(old: DataFrame, runs: DataFrame) -> DataFrame:
+    """(site_name, run_at, job_count) that decide a site's health, from the same of before and runs that came since.
+
+    A site keeps its last success and the runs without one after it: a late success drops those it follows, a
+    late zero before the last success is dropped itself. However long a history is, what it keeps is the
+    streak. Runs that come twice are one.
+    """
+    both = old.unionByName(runs.select(*old.columns)).distinct()
+    last = both.groupBy("site_name").agg(F.max(F.when(F.col("job_count") > 0, F.col("run_at"))).alias("last"))
+    return both.join(last, "site_name").where("last IS NULL OR run_at >= last").drop("last")
 
 
 def stale_sites(health: DataFrame, after: int = STALE_AFTER) -> DataFrame:

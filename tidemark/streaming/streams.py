@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import incremental
-from ..sources import keystore, schemas
+from ..sources import keystore, schemas, snapshots
 
 
 def arriving(spark: SparkSession, schema, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -83,10 +83,20 @@ def stream_upsert(
 
 
 def drain_health(runs: DataFrame, checkpoint: str, out: str) -> None:
-    """Add arrived runs (site_name, run_at, job_count) to the history under ``out``."""
-    drain(runs, checkpoint, out)
+    """Merge arrived runs (site_name, run_at, job_count) into the health state under ``out``.
+
+    A batch reads the newest state, not the history, and writes the next (``incremental.health_state``). Runs that
+    come twice count once, so a batch that is repeated after a failure changes nothing.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        old = snapshots.newest(spark, out, schemas.RUNS)
+        snapshots.write_next(incremental.health_state(old, batch), out)
+
+    drain(runs, checkpoint, each=merge)
 
 
 def latest_health(spark: SparkSession, out: str) -> DataFrame:
-    """Zero counter and last success per site over the history, in whatever order runs arrived."""
-    return incremental.zero_streak(spark.read.schema(schemas.RUNS).parquet(out))
+    """Zero counter and last success per site, in whatever order runs arrived."""
+    return incremental.zero_streak(snapshots.newest(spark, out, schemas.RUNS))
