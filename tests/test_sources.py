@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import capture
 from tidemark.sources import captures, profiles, schemas, staging, targets
@@ -78,6 +79,8 @@ def test_tier_fallback_and_status(spark, tmp_path):
     assert reasons == [None, None, "HTTP 403", None, "timeout", "connection error", None, None, None]
     tiers = {r[0]: r[1] for r in captures.tier_recommend(caps.filter("page_num = 1")).collect()}
     assert tiers == {"A": "playwright", "B": "http"}
+    shown = spark.createDataFrame([("F", 0, "u", "http", 403, "no"), ("F", 0, "u", "playwright", 403, "y" * 201)], schemas.CAPTURES)
+    assert captures.tier_recommend(shown).first()["recommended_tier"] == "playwright"
     only_failed = spark.createDataFrame([("F", 0, "u", "http", 503, None), ("F", 0, "u", "playwright", 200, "short")], schemas.CAPTURES)
     assert captures.tier_recommend(only_failed).first()["recommended_tier"] == "failed"
 
@@ -115,3 +118,35 @@ def test_staged_tables_are_deleted_and_others_are_not(spark, tmp_path):
     spark.range(3).write.parquet(str(tmp_path / "mine"))
     with pytest.raises(ValueError, match="not a staged table"):
         staging.discard(spark.read.parquet(str(tmp_path / "mine")))
+
+
+def test_the_browser_tier_counts_by_its_content(spark):
+    rows = [
+        ("A", 0, "u", "http", 403, "no"), ("A", 0, "u", "playwright", 403, "shown all the same"),
+        ("A", 1, "u", "http", 500, None), ("A", 1, "u", "playwright", 200, None),
+        ("A", 2, "u", "http", 204, None), ("A", 2, "u", "playwright", 200, "not needed"),
+        ("A", 3, "u", "playwright", None, "no first try"),
+    ]
+    caps = spark.createDataFrame(rows, schemas.CAPTURES)
+    sites = spark.createDataFrame([("A", "u", "http", None)], schemas.TARGETS_RAW)
+    got = {r["page_num"]: (r["tier_used"], r["html"]) for r in capture.tier_fallback(caps, targets.site_targets(sites)).collect()}
+    assert got == {0: ("playwright", "shown all the same"), 2: ("http", ""), 3: ("playwright", "no first try")}
+    reasons = [r["reason"] for r in captures.capture_status(caps).orderBy("page_num", "tier").collect()]
+    assert reasons == ["HTTP 403", None, "HTTP 500", "browser error", None, None, None]
+
+
+def test_captures_in_buckets_shuffle_no_html(spark, tmp_path):
+    rows = [(f"s{i % 7}", i // 7, "u", t, 200 if (i + k) % 3 else 503, f"{t}{i}") for i in range(60) for k, t in enumerate(("http", "playwright"))]
+    plain = spark.createDataFrame(rows, schemas.CAPTURES).withColumn("scrape_tier", F.lit("http"))
+    captures.write_bucketed(plain, "bucketed_captures", 4, str(tmp_path / "bucketed"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        chosen = capture.tier_fallback(spark.table("bucketed_captures"))
+        got = sorted(map(tuple, chosen.select("site_name", "page_num", "tier_used", "html").collect()))
+        assert "Exchange" not in chosen._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.sql("DROP TABLE bucketed_captures")
+    assert got == sorted(map(tuple, capture.tier_fallback(plain).select("site_name", "page_num", "tier_used", "html").collect()))
+    assert len(got) == 60

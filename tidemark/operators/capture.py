@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import html_clean, html_title
 from ..functions.urls import page_url
 from ..functions.values import estimated_tokens
-from ..sources.captures import answered, capture_status
+from ..sources.captures import FLAG, answered, rendered
 
 TOKEN_BUDGET = 150_000  # fixed value: estimated tokens of one page
 PAGE_RANGE = 1024  # page numbers generated per row
@@ -71,21 +71,21 @@ def tier_fallback(captures: DataFrame, targets: DataFrame | None = None) -> Data
 
     ``targets`` may be left out for captures from ``in_scope``. Rows of the first tier flow
     through without a shuffle; only the fallback tier is compared, by page, with the pages the
-    first tier answered.
+    first tier answered, which are found by their status and read no HTML. Captures in buckets by page
+    (``sources.captures.write_bucketed``) are compared where they are.
     """
     if targets is not None:
         tiers = targets.select(F.col("name").alias("site_name"), "scrape_tier")
         captures = captures.join(tiers, "site_name")
-    # The outcome is in the status alone: failures and the look-up of pages read no HTML.
-    usable = captures.filter(answered())
-    first = usable.filter((F.col("scrape_tier") == "http") & (F.col("tier") == "http"))
-    second = usable.filter(F.col("tier") == "playwright").join(
+    first = captures.filter((F.col("scrape_tier") == "http") & (F.col("tier") == "http") & answered())
+    second = captures.filter((F.col("tier") == "playwright") & rendered(captures)).join(
         first.select("site_name", "page_num"), ["site_name", "page_num"], "left_anti"
     )
     return (
-        capture_status(first.unionByName(second))
+        first.withColumn("html", F.coalesce("html", F.lit("")))
+        .unionByName(second)
         .withColumnRenamed("tier", "tier_used")
-        .drop("scrape_tier", "status", "reason")
+        .drop("scrape_tier", "status", FLAG)
     )
 
 

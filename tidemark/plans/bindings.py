@@ -121,18 +121,21 @@ def dated_html() -> Column:
 
 
 def captures(pages: DataFrame, html: Column) -> DataFrame:
-    """Both tiers' attempts per page; http fails on every 6th page, both on every 30th."""
+    """Both tiers' attempts per page; http fails on every 6th page, both on every 30th. On every 18th the browser shows a
+    page that was sent with status 403."""
+    lost = F.col("page_id") % 30 == 0
     attempts = F.array(
         F.struct(
-            F.lit("http").alias("tier"), F.when(F.col("page_id") % 6 == 0, 503).otherwise(200).alias("status")
+            F.lit("http").alias("tier"), F.when(F.col("page_id") % 6 == 0, 503).otherwise(200).alias("status"), F.col("html")
         ),
         F.struct(
             F.lit("playwright").alias("tier"),
-            F.when(F.col("page_id") % 30 == 0, 0).otherwise(200).alias("status"),
+            F.when(lost, 0).when(F.col("page_id") % 18 == 0, 403).otherwise(200).alias("status"),
+            F.when(~lost, F.col("html")).alias("html"),
         ),
     )
     return pages.withColumn("html", html).withColumn("attempt", F.explode(attempts)).select(
-        "site_name", "page_num", "url", "attempt.tier", "attempt.status", "html"
+        "site_name", "page_num", "url", "attempt.tier", "attempt.status", "attempt.html"
     )
 
 

@@ -69,7 +69,8 @@ _CAPS = f"""{o.PG},
 cap AS (
   SELECT page_id, site_name, page_num, url, 'http' AS tier, CASE WHEN page_id % 6 = 0 THEN 503 ELSE 200 END AS status, html FROM pg
   UNION ALL
-  SELECT page_id, site_name, page_num, url, 'playwright', CASE WHEN page_id % 30 = 0 THEN 0 ELSE 200 END, html FROM pg)"""
+  SELECT page_id, site_name, page_num, url, 'playwright', CASE WHEN page_id % 30 = 0 THEN 0 WHEN page_id % 18 = 0 THEN 403 ELSE 200 END,
+         CASE WHEN page_id % 30 <> 0 THEN html END FROM pg)"""
 
 
 def _captures(spark, sf):
@@ -85,7 +86,7 @@ def page_captures(spark, sf):
 
 
 @query(f"""
-WITH {_CAPS} SELECT site_name, page_num, tier, CASE WHEN status = 200 THEN length(html) ELSE 0 END AS html_chars,
+WITH {_CAPS} SELECT site_name, page_num, tier, CASE WHEN status = 200 OR tier = 'playwright' THEN coalesce(length(html), 0) ELSE 0 END AS html_chars,
   CASE status WHEN 503 THEN 'HTTP 503' WHEN 0 THEN 'timeout' END AS reason FROM cap""")
 def capture_status(spark, sf):
     return cap.capture_status(_captures(spark, sf)).select(
@@ -97,7 +98,7 @@ def capture_status(spark, sf):
 @query(f"""
 WITH {_CAPS}
 SELECT site_name, CASE WHEN bool_or(tier = 'http' AND status = 200) THEN 'http'
-  WHEN bool_or(tier = 'playwright' AND status = 200 AND length(html) > 200) THEN 'playwright' ELSE 'failed' END AS recommended_tier
+  WHEN bool_or(tier = 'playwright' AND length(html) > 200) THEN 'playwright' ELSE 'failed' END AS recommended_tier
 FROM cap GROUP BY site_name""")
 def tier_recommend(spark, sf):
     return cap.tier_recommend(_captures(spark, sf))
