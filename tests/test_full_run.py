@@ -67,7 +67,9 @@ def test_two_runs(spark, inputs):
     assert set(seen) == {"1", "2", "20", "21"} and seen["1"] == 1.0 and seen["21"] == pytest.approx(1 / 3)
     (message,) = report.messages(fr.digest_of(first)).collect()
     assert "2 new match(es)" in message["text"] and "⚠️ Failed: Down" in message["text"]
-    assert first["failures"].count() == 1
+    # A page that could not be loaded is part of the site's result and no alert.
+    assert first["failures"].count() == 0
+    assert sorted(tuple(r) for r in first["quarantine"].collect()) == [("Down", 0, None, "capture", "no usable capture")]
 
     again = {**inputs, "seen": inc.seen_upsert(inputs["seen"], first["seen_new"]), "health": first["health_next"]}
     second = fr.full_run(**again, run_at=RUN_AT + datetime.timedelta(hours=2))
@@ -116,6 +118,46 @@ def test_run_on_replies(spark, inputs):
     assert seen == {"One": 0.9, "Two": None, "Three": None}
 
 
+def test_quarantine_of_a_run_on_replies(spark, inputs):
+    """Every row that a step found is kept or has a reason; alerts come from bad scores alone."""
+    long = ("Late", 1, "https://late.com/jobs/21", "playwright", 200, page("x" * 700_000))
+    blank = ("Acme", 2, "https://acme.com/jobs/1", "http", 200, "<p> </p>")
+    captured = spark.createDataFrame([*CAPTURES[:3], blank, *CAPTURES[4:7], long], schemas.CAPTURES)
+    jobs = [{"title": f"T{i}", "url": f"/j/{i}", "job_id": str(i), "description": "d"} for i in range(6)]
+    replies = [
+        ("Acme", 0, json.dumps({"jobs": jobs}), 1000, 100), ("Acme", 0, "[not the one", 1000, 100),
+        ("Acme", 1, json.dumps({"jobs": jobs[5:]}), 1000, 100), ("Acme", 2, json.dumps({"jobs": jobs}), 10, 10),
+        ("Late", 0, "no json", 1000, 100),
+    ]
+    replies = spark.createDataFrame(replies, "site_name string, page_num int, text string, input_tokens bigint, output_tokens bigint")
+    answer = lambda **f: json.dumps({"best_resume_filename": "a.md", "best_score": 0.9, **f})
+    answers = [("0", answer()), ("1", answer(best_score=None)), ("2", answer(best_resume_filename="zz.md")), ("3", "{"), ("5", answer(best_score="high"))]
+    answers = spark.createDataFrame([(k, t, 10, 1) for k, t in answers], "dedup_key string, text string, input_tokens bigint, output_tokens bigint")
+    given = {**inputs, "captures": captured}
+    out = fr.run_on_replies(**given, run_at=RUN_AT, replies=replies, match_replies=answers, most=5)
+    put_aside = {tuple(r) for r in out["quarantine"].collect()}
+    assert put_aside == {
+        ("Acme", 2, None, "request", "empty page"), ("Acme", 0, 5, "extract", "beyond the cap"),
+        ("Acme", 0, 1, "match", "bad score"), ("Acme", 0, 2, "match", "unknown profile"), ("Acme", 0, 3, "match", "unreadable reply"),
+        ("Acme", 0, 4, "match", "no reply"), ("Acme", 1, 0, "match", "bad score"),
+        ("Late", 0, None, "extract", "unreadable reply"), ("Down", 0, None, "capture", "no usable capture"),
+    }
+    # the reply to Acme's empty page is not read, two replies to a page do not double it
+    assert out["new_postings"].count() == 6 and out["site_results"].where("site_name = 'Acme'").first()["jobs_found"] == 6
+    assert out["new_postings"].count() == out["matches"].count() + sum(step == "match" for *_, step, _ in put_aside)
+    (alert,) = out["failures"].collect()
+    assert "ValueError: 2 posting(s) with a score that is null or not a number" in alert["alert"] and "processing Acme" in alert["alert"]
+    _, _, quarantined = fr.discover_replies(captured, inputs["targets"], replies)
+    assert ("Late", 1, None, "request", "above the token budget") in {tuple(r) for r in quarantined.collect()}
+
+
+def test_very_long_pages_are_read_without_a_model(spark, inputs):
+    long = ("Late", 3, "https://late.com/jobs/77", "playwright", 200, page("x" * 700_000))
+    captured = spark.createDataFrame([*CAPTURES, long], schemas.CAPTURES)
+    _, postings = fr.discover(captured, inputs["targets"])
+    assert {r["job_id"] for r in postings.where("site_name = 'Late'").collect()} == {"20", "21", "22", "77"}
+
+
 def test_job_writes_stores_and_gates_only_the_digest(spark, inputs, tmp_path):
     from tidemark import job
 

@@ -324,7 +324,7 @@ def reply_scores(replies: DataFrame) -> DataFrame:
     key = Window.partitionBy("dedup_key")
     best = key.orderBy(F.col("best_score").desc_nulls_last(), "best_filename", "match_reason", "runner_up_filename")
     return (
-        parsed.withColumn("cost_usd", F.sum("cost_usd").over(key))
+        parsed.withColumns({"cost_usd": F.sum("cost_usd").over(key), "unreadable": F.col("best_filename").isNull()})
         .withColumn("_rank", F.row_number().over(best))
         .where("_rank = 1")
         .drop("_rank", "input_tokens", "output_tokens")

@@ -6,8 +6,9 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from ..operators import quarantine as held_back
 from ..operators import report
-from ..sources import staging
+from ..sources import schemas, staging
 from ..sources.targets import site_targets
 from . import bindings as b
 from . import full_run as fr
@@ -119,6 +120,108 @@ def full_run(spark, sf):
     )
 
 
+# A run on a model's replies: pages without a reply, replies cut off or fenced, match replies of every kind.
+
+NO_REPLY_EVERY = 13
+
+
+def reply_run(spark, sf):
+    pages = b.numbered_pages(spark, sf, "html")
+    numbers = pages.select(F.col("page_id").cast("string").alias("request_id"), "site_name", "page_num")
+    replies = b.extraction_replies(spark, sf).drop("site_name", "url").where(F.col("request_id").cast("bigint") % NO_REPLY_EVERY != 0)
+    return fr.run_on_replies(
+        b.captures(pages, F.col("html")),
+        site_targets(b.targets_raw(spark, sf)),
+        b.profiles(spark, sf),
+        spark.createDataFrame([], schemas.SEEN),
+        spark.createDataFrame([], schemas.HEALTH),
+        RUN_AT,
+        replies.join(numbers, "request_id").drop("request_id"),
+        b.match_replies(spark, sf),
+    )
+
+
+REPLY_RUN = f"""{o.PG}, {o.TG}, {o.EXPECTED}, {o.PARSED_MATCH}, {o.REPLIES},
+r AS (SELECT CAST(request_id AS BIGINT) AS page_id, {o.unfenced('text')} AS t, input_tokens, output_tokens FROM replies
+      WHERE CAST(request_id AS BIGINT) % {NO_REPLY_EVERY} <> 0),
+rd AS (
+  SELECT ex.name AS site_name, ex.site_ord, ex.page_num, pg.page_id, pg.url AS base, {o.clean('pg.html')} AS text, r.t,
+         coalesce(json_valid(r.t), false) AS ok, r.input_tokens, r.output_tokens,
+         CASE WHEN ex.scrape_tier = 'http' AND pg.page_id % 6 <> 0 THEN 'http' WHEN pg.page_id % 30 <> 0 THEN 'playwright' END AS tier_used,
+         CASE WHEN param IS NULL THEN ex.url ELSE {o.with_param('ex.url', 'param', 'CAST(ex.page_num * step AS VARCHAR)')} END AS page_url
+  FROM ex LEFT JOIN pg ON pg.site_name = ex.name AND pg.page_num = ex.page_num LEFT JOIN r ON r.page_id = pg.page_id),
+pa AS (
+  SELECT *, tier_used IS NULL AS failed,
+         CASE WHEN text = '' THEN 'empty page' WHEN length(text) // 4 > 150000 THEN 'above the token budget' END AS not_asked FROM rd),
+pb AS (
+  SELECT *, CASE WHEN NOT failed AND not_asked IS NULL THEN
+           CASE WHEN t IS NULL THEN 'no reply' WHEN NOT ok THEN 'unreadable reply' ELSE 'kept' END END AS answer FROM pa),
+js AS (
+  SELECT site_name, site_ord, page_num, base, unnest(json_extract(t, '$.jobs[*]')) AS job,
+         CAST(generate_subscripts(json_extract(t, '$.jobs[*]'), 1) - 1 AS INTEGER) AS pos FROM pb WHERE answer = 'kept'),
+jd AS (
+  SELECT pb.*, failed OR NOT EXISTS (SELECT 1 FROM js WHERE js.site_name = pb.site_name AND js.page_num = pb.page_num) AS ends FROM pb),
+je AS (
+  SELECT *, coalesce(bool_or(ends) OVER (PARTITION BY site_name ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS past
+  FROM jd),
+visited AS (SELECT * FROM je WHERE NOT past AND NOT failed),
+found AS (
+  SELECT js.*, job->>'$.job_id' AS job_id, CASE WHEN job->>'$.url' = '' THEN js.base
+           ELSE regexp_extract(js.base, '^[a-z]+://[^/]+') || (job->>'$.url') END AS url
+  FROM js JOIN visited USING (site_name, page_num)),
+new AS (
+  SELECT *, coalesce(job_id, substr(sha256(url), 1, 16)) AS dedup_key FROM found
+  QUALIFY row_number() OVER (PARTITION BY coalesce(job_id, substr(sha256(url), 1, 16)) ORDER BY site_ord, page_num, pos) = 1),
+pf AS (SELECT printf('profile_%05d.md', item_id) AS filename FROM benchmark),
+matched AS (
+  SELECT new.site_name, p.best_score, p.input_tokens, p.output_tokens,
+         CASE WHEN p.dedup_key IS NULL THEN 'no reply' WHEN NOT p.ok THEN 'unreadable reply' WHEN p.best_score IS NULL THEN 'bad score'
+              WHEN p.best_filename NOT IN (SELECT filename FROM pf) THEN 'unknown profile' ELSE 'kept' END AS answer
+  FROM new LEFT JOIN parsed p USING (dedup_key))"""
+
+
+@query(f"""
+WITH {REPLY_RUN}
+SELECT tg.name AS site_name,
+  (SELECT count(*) FROM found WHERE found.site_name = tg.name) AS jobs_found,
+  (SELECT count(*) FROM new WHERE new.site_name = tg.name) AS new_jobs,
+  (SELECT count(*) FROM matched m WHERE m.site_name = tg.name AND answer = 'kept' AND best_score >= 0.70) AS n_matches,
+  round(coalesce((SELECT sum(CASE WHEN ok THEN input_tokens * 0.8 / 1000000 + output_tokens * 4.0 / 1000000 ELSE 0 END)
+                  FROM visited v WHERE v.site_name = tg.name AND v.not_asked IS NULL), 0)
+      + coalesce((SELECT sum(input_tokens * 3.0 / 1000000 + output_tokens * 15.0 / 1000000)
+                  FROM matched m WHERE m.site_name = tg.name), 0), 6) AS cost_usd,
+  (SELECT 'All scraping tiers failed for ' || pa.site_name || ' (' || page_url || ')' FROM pa
+   WHERE pa.site_name = tg.name AND page_num = 0 AND failed) AS error
+FROM tg""")
+def run_on_replies(spark, sf):
+    return reply_run(spark, sf)["site_results"].select(
+        "site_name", "jobs_found", "new_jobs", "n_matches", F.round("cost_usd", 6).alias("cost_usd"), "error"
+    )
+
+
+@query(f"""
+WITH {REPLY_RUN}
+SELECT 'capture' AS step, 'kept' AS reason, count(*) AS n FROM visited HAVING count(*) > 0
+UNION ALL SELECT 'capture', 'no usable capture', count(*) FROM je WHERE NOT past AND failed HAVING count(*) > 0
+UNION ALL SELECT 'request', coalesce(not_asked, 'kept'), count(*) FROM visited GROUP BY ALL
+UNION ALL SELECT 'extract', answer, count(*) FROM visited WHERE answer IS NOT NULL GROUP BY ALL
+UNION ALL SELECT 'match', answer, count(*) FROM matched GROUP BY ALL""")
+def quarantine(spark, sf):
+    """What every step has found: kept rows and, by reason, those put aside."""
+    outputs = reply_run(spark, sf)
+    visited, aside = outputs["visited"], outputs["quarantine"]
+    used = outputs["scores"].where("best_label IS NOT NULL AND best_score IS NOT NULL").join(outputs["new_postings"], "dedup_key", "left_semi")
+
+    def left(step, rows, *before):
+        # what a step keeps is what reached it without what it put aside itself
+        gone = aside.where(F.col("step").isin(*before)).groupBy().agg(F.count("*").alias("gone"))
+        return rows.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit("kept").alias("reason"), (F.col("n") - gone.scalar()).alias("n"))
+
+    kept = left("capture", visited).unionByName(left("request", visited, "request"))
+    kept = kept.unionByName(left("extract", visited, "request", "extract")).unionByName(left("match", used))
+    return held_back.counts(aside).unionByName(kept).where("n > 0")
+
+
 # A digest over matches taken from ``pages`` and stale sites from ``events``.
 from .scalar_queries import MATCH_ROWS  # noqa: E402
 from .table_queries import PACKED  # noqa: E402
