@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 from pyspark.sql import functions as F
@@ -43,7 +44,7 @@ def test_long_words_merge_alike():
     model = pieces.Model(PATH)
     for word in ["▁" + "".join(w.split()) for w in some(60, 8)]:
         if word != "▁":
-            assert model._merge_long(word) == model._merge(model._by_start([word]))[0]
+            assert model._merge_long(word) == model._merge(model._by_start([word]))[0].tolist()
 
 
 def plain_viterbi(model, word):
@@ -91,9 +92,9 @@ def test_viterbi_finds_the_highest_score(monkeypatch):
     words = sorted({"▁" + w for t in some(60, 5) for w in t.split(" ") if w} | {"▁", "▁▁▁", "zq", "漢字" * 9})
     for cells in (2_000_000, 64):  # in one table, and in parts of a few positions
         monkeypatch.setattr(pieces, "_CELLS", cells)
-        for word, (ids,) in zip(words, model.encode_words(words, "viterbi")):
-            assert b"".join(model.raw[i] for i in ids).decode() == word
-            raw = model._viterbi([word])[0]
+        for word, ids in zip(words, model.encode_words(words, "viterbi")[0]):
+            assert b"".join(model.raw[i] for i in np.frombuffer(ids, "<i4")).decode() == word
+            raw = model._viterbi([word])[0].tolist()
             total = sum(model.scores[i] if i >= 0 else model.unknown_score for i in raw)
             assert total == best_score(model, word), word
 

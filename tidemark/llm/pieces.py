@@ -37,8 +37,8 @@ from .hashing import parts
 from .tables import unused
 
 SPACE = "▁"
-KEPT_BYTES = 128 << 20  # of words that a task remembers with their ids
-_ENTRY = 250  # bytes that an entry takes beside its letters and ids
+KEPT_BYTES = 320 << 20  # of words that a task remembers with their ids
+_ENTRY = 350  # bytes that a word takes beside its letters and ids
 LONG_WORD = 64
 _CELLS = 2_000_000  # of the score table at once
 _BASE = np.uint64(0x100000001B3)
@@ -70,6 +70,11 @@ def _message(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def _letters(words: list[str]) -> np.ndarray:
+    """Code points of words of one length, a row each."""
+    return np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), -1)
+
+
 class Model:
     def __init__(self, path: str):
         with open(path, "rb") as file:
@@ -130,7 +135,7 @@ class Model:
         """The piece (or -1) at every start and of every size in words of one length."""
         length = len(words[0])
         most = min(self.longest, length)
-        chars = np.array([[ord(c) for c in w] for w in words], np.uint32)
+        chars = _letters(words)
         which = np.full((len(words), length, most + 1), -1, np.int32)
         key = np.zeros((len(words), length), np.uint64)
         for size in range(1, most + 1):
@@ -140,7 +145,7 @@ class Model:
                 which[:, begin, size] = self._probe(chars, key, begin, size)
         return which
 
-    def _short(self, which: np.ndarray) -> list[list[int]]:
+    def _short(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``_viterbi``, from the pieces by start."""
         n, length, most = which.shape[0], which.shape[1], which.shape[2] - 1
         score = np.where(which >= 0, self.scores[which], -np.inf)
@@ -159,20 +164,25 @@ class Model:
         return self._traced(back, piece)
 
     @staticmethod
-    def _traced(back: np.ndarray, piece: np.ndarray) -> list[list[int]]:
-        out: list[list[int]] = []
-        for size, own in zip(back.tolist(), piece.tolist()):
-            at, ids = len(size) - 1, []
-            while at:
-                ids.append(own[at] if own[at] >= 0 else -at)
-                at -= size[at]
-            out.append(ids[::-1])
-        return out
-
-    def _viterbi(self, words: list[str]) -> list[list[int]]:
-        """Best pieces of words of one length; a character of no piece is -1 - its position."""
+    def _traced(back: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words one after the other and their numbers, from the last piece of each to the first."""
+        n, length = back.shape[0], back.shape[1] - 1
+        at, rows = np.full(n, length, np.int64), np.arange(n)
+        ids, used = np.zeros((n, length), np.int32), np.zeros((n, length), bool)
+        while len(rows):
+            own = at[rows]
+            size, found = back[rows, own], piece[rows, own]
+            ids[rows, own - size] = np.where(found >= 0, found, -own)
+            used[rows, own - size] = True
+            at[rows] = own - size
+            rows = rows[at[rows] > 0]
+        return ids[used], used.sum(axis=1)
+
+    def _viterbi(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Best pieces of words of one length, one word after the other, and their numbers; a character of no piece is
+        -1 - its position."""
         n, length, most = len(words), len(words[0]), min(self.longest, len(words[0]))
-        chars = np.array([[ord(c) for c in w] for w in words], np.uint32)
+        chars = _letters(words)
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
         back, piece = np.zeros((n, length + 1), np.int16), np.zeros((n, length + 1), np.int32)
@@ -207,8 +217,8 @@ class Model:
                 piece[:, end + 1] = which[rows, end - low, most - sizes + take]
         return self._traced(back, piece)
 
-    def _merge(self, which: np.ndarray) -> list[list[int]]:
-        """Pieces of words of one length by merging the best pair, the leftmost of equals, again and again."""
+    def _merge(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of words of one length by merging the best pair, the leftmost of equals, again and again; as ``_viterbi``."""
         n, length, most = which.shape[0], which.shape[1], which.shape[2] - 1
         score = np.where(which >= 0, self.scores[which], -np.inf)
         size = np.ones((n, length + 1), np.int64)  # of the segment that starts here; 0 inside of one
@@ -227,12 +237,10 @@ class Model:
             active, at, rows = active[good], at[good], rows[good]
             size[active, follow[rows, at]] = 0
             size[active, at] = both[rows, at]
-        out = []
-        for row in range(n):
-            begin = np.flatnonzero(size[row, :length]).tolist()
-            ids = which[row, begin, size[row, begin]].tolist()
-            out.append([i if i >= 0 else -1 - b for i, b in zip(ids, begin)])
-        return out
+        used = size[:, :length] > 0
+        row, begin = np.nonzero(used)
+        ids = which[row, begin, size[row, begin]]
+        return np.where(ids >= 0, ids, -1 - begin).astype(np.int32), used.sum(axis=1)
 
     def _merge_long(self, word: str) -> list[int]:
         """The same for one long word, with a heap of pairs."""
@@ -262,28 +270,38 @@ class Model:
             offer(left)
         return [self.by_text.get(p, -1 - at) for at, p in enumerate(part) if p is not None]
 
-    def encode_words(self, words: list[str], how: str | None = None) -> list[tuple[list[int], ...]]:
-        """Ids of words in which spaces are U+2581 already, for each way in ``how`` (both: Viterbi, then merges)."""
+    def encode_words(self, words: list[str], how: str | None = None) -> list[list[bytes]]:
+        """Ids (as little-endian 32-bit integers) of words in which spaces are U+2581 already, a list for each way in
+        ``how`` (both: Viterbi, then merges)."""
         how = how or self.kind
         ways = {"both": ("viterbi", "merge")}.get(how, (how,))
-        out: list[tuple[list[int], ...]] = [([],) * len(ways) for _ in words]
+        out: list[list[bytes]] = [[b""] * len(words) for _ in ways]
         by_length: dict[int, list[int]] = {}
         for i, word in enumerate(words):
             if word:
                 by_length.setdefault(len(word), []).append(i)
 
-        def step(part: list[str]) -> list[list[list[int]]]:
-            if len(part[0]) > LONG_WORD:
-                return [self._viterbi(part) if way == "viterbi" else [self._merge_long(w) for w in part] for way in ways]
-            which = self._by_start(part)  # one probe of the pieces for all ways
-            return [self._short(which) if way == "viterbi" else self._merge(which) for way in ways]
+        def step(part: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+            if len(part[0]) <= LONG_WORD:
+                which = self._by_start(part)  # one probe of the pieces for all ways
+                return [self._short(which) if way == "viterbi" else self._merge(which) for way in ways]
+            merged = [self._merge_long(w) for w in part] if "merge" in ways else []
+            flat = np.array([i for ids in merged for i in ids], np.int32), np.array([len(ids) for ids in merged])
+            return [self._viterbi(part) if way == "viterbi" else flat for way in ways]
 
         for length, own in by_length.items():
             most = max(1, _CELLS // (length * min(self.longest, length)))
             for at in range(0, len(own), most):
                 part = own[at : at + most]
-                for i, *found in zip(part, *step([words[i] for i in part])):
-                    out[i] = tuple(ids if min(ids) >= 0 else self._bytes(words[i], ids) for ids in found)
+                for found, (flat, counts) in zip(out, step([words[i] for i in part])):
+                    ends = np.cumsum(counts)
+                    data, stops = flat.astype("<i4").tobytes(), (4 * ends).tolist()
+                    for i, begin, end in zip(part, [0, *stops], stops):
+                        found[i] = data[begin:end]
+                    if (flat < 0).any():
+                        for k in np.unique(np.searchsorted(ends, np.flatnonzero(flat < 0), side="right")).tolist():
+                            ids = self._bytes(words[part[k]], flat[ends[k] - counts[k] : ends[k]].tolist())
+                            found[part[k]] = np.array(ids, "<i4").tobytes()
         return out
 
     def _bytes(self, word: str, ids: list[int]) -> list[int]:
@@ -312,7 +330,7 @@ class Encoder:
 
     def __init__(self, path: str, how: str | None = None):
         self.model, self.how = model_at(path), how
-        self.words: dict[str, tuple[bytes, ...]] = {}
+        self.words: list[dict[str, bytes]] = [{} for _ in range(2 if how == "both" else 1)]
         self.held = 0
         breaks = "\n" if "\n" not in self.model.alphabet else ""
         self.cut = re.compile(f"\n|{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" if breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -320,18 +338,15 @@ class Encoder:
     def encode_ways(self, texts: list[str]) -> list[list[np.ndarray]]:
         """Ids of all texts, a list for each way."""
         if self.held > KEPT_BYTES:
-            self.words, self.held = {}, 0
-        known = self.words
+            self.words, self.held = [{} for _ in self.words], 0
         front = SPACE if self.model.prefix else ""
         split = [self.cut.findall(front + t.replace(" ", SPACE)) if t else [] for t in texts]
-        fresh = list({w for words in split for w in words if w not in known})
-        for word, ways in zip(fresh, self.model.encode_words(fresh, self.how)):
-            known[word] = tuple(np.array(ids, np.int32).tobytes() for ids in ways)
-            self.held += _ENTRY + 4 * len(word) + sum(map(len, known[word]))
-        rows = [list(map(known.__getitem__, words)) for words in split]
-        return [
-            [np.frombuffer(b"".join([r[way] for r in row]), np.int32) for row in rows] for way in range(2 if self.how == "both" else 1)
-        ]
+        fresh = list(set().union(*split).difference(self.words[0]))
+        for known, found in zip(self.words, self.model.encode_words(fresh, self.how)):
+            known.update(zip(fresh, found))
+            self.held += sum(map(len, found))
+        self.held += _ENTRY * len(fresh) + 2 * sum(map(len, fresh))
+        return [[np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split] for known in self.words]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return self.encode_ways(texts)[0]
