@@ -5,16 +5,19 @@ become ``<*>``; its number of words and its ``DEPTH`` leading words name a leaf
 Inside a leaf a word is constant at its place where two documents have it there. If ``SIMILAR`` in 100 of a
 line are constant, that many of them, those of the most lines, are its template and the rest is variable, else
 it stands for itself. Counts only order the words of a line, so a value of a variable field stays variable
-however often it occurs, as long as the words around it occur more often. A template that occurs in two or more documents is recurring: its first line (smallest
-document id, then place) stays and all others are dropped.
+however often it occurs, as long as the words around it occur more often. A shorter line, which has too few words to
+tell fields from text, is its own template, as it stands but for white space. A template that occurs in two or more
+documents is recurring: its first line (smallest document id, then place) stays and all others are dropped.
 
-Lines travel as hashes. Only leaves with different lines need words: each distinct line of those is
-sent once a task, and counted by place and word with partial sums. A leaf, however hot, is never gathered.
+Lines travel as hashes. Only leaves with different lines need words, and these travel as hashes of leaf, place and
+word: each distinct line of such a leaf is sent once a task, and its words are counted with partial sums. A leaf,
+however hot, is never gathered. Written tables are deleted once what is made of them is written.
 
 Edge cases: a missing or empty text has no lines to drop and is returned as it is, and so is a text of which
-nothing is dropped. Documents without an id are returned as they are and make nothing recur. Rows that
-repeat an id are one document. Lines repeated inside one document alone stay. Other columns are carried
-along. An empty table gives an empty result.
+nothing is dropped. A line without a word stays. Documents without an id are returned as they are and make nothing
+recur. Rows that repeat id and text are one document; rows that repeat an id with another text are documents of
+their own. Lines repeated inside one document alone stay. Other columns are carried along. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -27,25 +30,25 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..sources.staging import stage
+from ..sources.staging import discard, stage
+from .hashing import parts
 from .tables import unused
 
 MIN_WORDS = 8
 DEPTH = 2
 SIMILAR = 75  # of 100
 LEAF_BITS = 20
+SEEN = 1 << 19  # lines that a task remembers to have sent
 WILD = "<*>"
 _VARIABLE = re.compile(r"[^ ]*(?:[0-9@]|://)[^ ]*")
+_HINT = re.compile(r"[0-9@]|://")
 
 
-def masked(line: str) -> list[str]:
+def masked(words: list[str]) -> list[str]:
     """Words of a line, variable ones as ``WILD``."""
-    words = line.split()
-    if len(words) < MIN_WORDS:
-        return []
-    return _VARIABLE.sub(WILD, " ".join(words)).split(" ")
+    line = " ".join(words)
+    return _VARIABLE.sub(WILD, line).split(" ") if _HINT.search(line) else words
 
 
 def _hash(words: list[str], seed: int = 0) -> int:
@@ -54,97 +57,110 @@ def _hash(words: list[str], seed: int = 0) -> int:
 
 
 def leaf_of(words: list[str]) -> int:
-    return _hash([str(len(words)), *words[:DEPTH]], 1)
+    """Leaf of a line: of its number of words, and of the leading ones, masked."""
+    return _hash([str(len(words)), *(WILD if _VARIABLE.fullmatch(w) else w for w in words[:DEPTH])], 1)
 
 
 def _parsed(docs: DataFrame) -> DataFrame:
-    """(id, line_no, leaf, line) of the lines that are long enough."""
+    """(id, doc, line_no, leaf, line) of all lines with a word; a short line is a leaf of its own."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, line_no, leaf, line = [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                for k, one in enumerate((text or "").split("\n")):
-                    if words := masked(one):
-                        row.append(i)
-                        line_no.append(k)
-                        leaf.append(leaf_of(words))
-                        line.append(_hash(words))
-            ids = batch.column(0).take(pa.array(row, pa.int64()))
-            cols = [ids, *(pa.array(x, pa.int64()) for x in (line_no, leaf, line))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "line_no", "leaf", "line"])
-
-    return docs.where("id IS NOT NULL").mapInArrow(run, f"id {kind}, line_no long, leaf long, line long")
+        for whole in batches:
+            for a, b in parts(whole.column(2)):
+                batch = whole.slice(a, b - a)
+                row, line_no, leaf, line = [], [], [], []
+                for i, text in enumerate(batch.column(2).to_pylist()):
+                    for k, one in enumerate((text or "").split("\n")):
+                        if words := one.split():
+                            long = len(words) >= MIN_WORDS
+                            found = _hash(masked(words)) if long else _hash(words, 2)
+                            row.append(i), line_no.append(k), line.append(found)
+                            leaf.append(leaf_of(words) if long else found)
+                at = pa.array(row, pa.int64())
+                cols = [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x, pa.int64()) for x in (line_no, leaf, line))]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "doc", "line_no", "leaf", "line"])
+
+    return docs.where("id IS NOT NULL").select("id", "doc", "text").mapInArrow(
+        run, f"id {kind}, doc long, line_no long, leaf long, line long"
+    )
 
 
 def _worded(docs: DataFrame, leaves: DataFrame) -> DataFrame:
-    """(leaf, line, words) of the distinct lines of ``leaves``; a bitmap of fixed size goes before the exact join."""
+    """(leaf, line, keys) of the distinct lines of ``leaves``, a key for each leaf, place and word; a bitmap of fixed size
+    goes before the exact join."""
     bits = np.zeros(1 << LEAF_BITS, bool)
     slot = F.shiftrightunsigned(F.col("leaf"), 64 - LEAF_BITS)
     bits[leaves.select(slot.alias("s")).distinct().toPandas()["s"].to_numpy(np.int64)] = True
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = set()
+        seen: set[int] = set()
         for batch in batches:
-            out = []
-            for text in batch.column(0).to_pylist():
-                for one in (text or "").split("\n"):
-                    if words := masked(one):
+            for a, b in parts(batch.column(0)):
+                leaves_, lines, ends, keys = [], [], [0], []
+                for text in batch.column(0).slice(a, b - a).to_pylist():
+                    for one in (text or "").split("\n"):
+                        words = one.split()
+                        if len(words) < MIN_WORDS:
+                            continue
                         leaf = leaf_of(words)
-                        if held.value[(leaf % (1 << 64)) >> (64 - LEAF_BITS)]:
-                            line = _hash(words)
-                            if line not in seen:
-                                seen.add(line)
-                                out.append((leaf, line, words))
-            cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())]
-            words = pa.array([o[2] for o in out], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*cols, words], ["leaf", "line", "words"])
-
-    found = docs.where("id IS NOT NULL").select("text").mapInArrow(run, "leaf long, line long, words array<string>")
+                        if not held.value[(leaf % (1 << 64)) >> (64 - LEAF_BITS)]:
+                            continue
+                        words = masked(words)
+                        line = _hash(words)
+                        if line in seen:
+                            continue
+                        if len(seen) < SEEN:  # beyond, a line may be sent again, which changes nothing
+                            seen.add(line)
+                        leaves_.append(leaf), lines.append(line)
+                        keys += [xxhash.xxh3_64_intdigest(f"{leaf} {k} {w}") for k, w in enumerate(words)]
+                        ends.append(len(keys))
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(keys, np.uint64).view(np.int64)))
+                cols = [pa.array(leaves_, pa.int64()), pa.array(lines, pa.int64()), listed]
+                yield pa.RecordBatch.from_arrays(cols, ["leaf", "line", "keys"])
+
+    found = docs.where("id IS NOT NULL").select("text").mapInArrow(run, "leaf long, line long, keys array<long>")
     return found.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["line"])
 
 
 def _generalised(worded: DataFrame, lines: DataFrame) -> DataFrame:
     """(line, template): the template of every line whose constants are enough."""
-    placed = worded.join(lines.select("line", "low", "high", "often"), "line").select(
-        "leaf", "line", "low", "high", "often", F.posexplode("words").alias("place", "word")
-    )
-    agreed = placed.groupBy("leaf", "place", "word").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("often").alias("n_word")
-    )
-    agreed = agreed.where("low != high").select("leaf", "place", "word", "n_word")
-    constant = F.struct((-F.col("n_word")).alias("order"), "place", F.xxhash64("place", "word").alias("word"))
-    parts = placed.join(agreed, ["leaf", "place", "word"], "left").groupBy("leaf", "line").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("n_word").isNotNull(), constant))).alias("constants")
-    )
+    counted = worded.join(lines.select("line", "low", "high", "often"), "line").select("low", "high", "often", F.explode("keys").alias("key"))
+    agreed = counted.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("often").alias("n_word"))
+    agreed = agreed.where("low != high").select("key", "n_word")
+    placed = worded.select("leaf", "line", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(agreed, "key")
+    constants = F.array_sort(F.collect_list(F.struct((-F.col("n_word")).alias("order"), "key")))
+    found = placed.groupBy("leaf", "line", "n").agg(constants.alias("constants"))
     most = F.expr(f"CAST(({SIMILAR} * n + 99) DIV 100 AS INT)")
     # an order-free digest of the constants and their places; the leaf holds the number of words
-    taken = F.array_sort(F.transform(F.slice("constants", 1, most), lambda c: c["word"]))
-    return parts.where(F.size("constants") >= most).select("line", F.xxhash64("leaf", taken).alias("template"))
+    taken = F.array_sort(F.transform(F.slice("constants", 1, most), lambda c: c["key"]))
+    return found.where(F.size("constants") >= most).select("line", F.xxhash64("leaf", taken).alias("template"))
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """(id, line_no) of the lines to drop from ``docs`` (id, text)."""
+    """(id, doc, line_no) of the lines to drop from ``docs`` (id, doc, text), as a written table."""
     parsed = stage(_parsed(docs), "templates-lines")
     lines = parsed.groupBy("leaf", "line").agg(
-        F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "line_no")).alias("first"),
+        F.min("doc").alias("low"), F.max("doc").alias("high"), F.min(F.struct("id", "doc", "line_no")).alias("first"),
         F.count("*").alias("often"),
     )
     lines = stage(lines, "templates-distinct")
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("low").alias("x"), F.max("high").alias("y"))
-    mixed = leaves.where("n > 1 AND x != y").select("leaf")
-    general = _generalised(stage(_worded(docs, mixed), "templates-words"), lines)
-    named = lines.join(general, "line", "left").select(
+    worded = stage(_worded(docs, leaves.where("n > 1 AND x != y").select("leaf")), "templates-words")
+    named = lines.join(_generalised(worded, lines), "line", "left").select(
         "line", F.coalesce("template", "line").alias("template"), "low", "high", "first"
     )
     named = stage(named, "templates-named")
+    discard(lines, worded)
     known = named.groupBy("template").agg(
         F.min("low").alias("x"), F.max("high").alias("y"), F.min("first").alias("first")
     ).where("x != y")
     bad = named.join(known.select("template", F.col("first").alias("kept")), "template").select("line", "kept")
-    return parsed.join(bad, "line").where("NOT (id = kept.id AND line_no = kept.line_no)").select("id", "line_no")
+    drops = parsed.join(bad, "line").where("NOT (id = kept.id AND doc = kept.doc AND line_no = kept.line_no)")
+    drops = stage(drops.select("id", "doc", "line_no"), "templates-drops")
+    discard(parsed, named)
+    return drops
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = False) -> DataFrame:
@@ -155,26 +171,20 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = list(docs.columns)
     at, text_at = names.index(id_col), names.index(text_col)
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    narrow = plain.select(F.col(f"c{at}").alias("id"), F.col(f"c{text_at}").alias("text"))
-    drops = recurring(narrow).groupBy("id").agg(F.collect_set("line_no").alias("drops"))
-    joined = plain.join(drops, plain[f"c{at}"] == drops["id"], "left").select(*plain.columns, "drops")
-    schema = T.StructType([*plain.schema.fields, T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for text, gone in zip(batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist()):
-                lines = text.split("\n") if text else []
-                gone = set(gone or ())
-                n_lines.append(len(lines))
-                n_dropped.append(len(gone))
-                texts.append("\n".join(x for k, x in enumerate(lines) if k not in gone) if gone else text)
-            columns = list(batch.columns[: len(names)])
-            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    done = joined.mapInArrow(cut, schema)
+    id_, text = F.col(f"c{at}"), F.col(f"c{text_at}")
+    keyed = plain.withColumn("doc", F.xxhash64(id_, text))
+    drops = recurring(keyed.select(id_.alias("id"), "doc", text.alias("text")))
+    drops = drops.groupBy("id", "doc").agg(F.collect_set(F.col("line_no").cast("int")).alias("drops"))
+    same = (id_ == drops["id"]) & (keyed["doc"] == drops["doc"])
+    joined = keyed.join(drops, same, "left").select(*plain.columns, "drops")
+    lines = F.split(text, "\n", -1)
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
+    cut = F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+    done = joined.select(
+        *[F.when(F.col("drops").isNull(), text).otherwise(cut).alias(c) if c == f"c{text_at}" else F.col(c) for c in plain.columns],
+        F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(lines)).cast("long").alias("a"),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("b"),
+    )
     if not counts:
         return done.drop("a", "b").toDF(*names)
     first = unused("n_lines", names)
