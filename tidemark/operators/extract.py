@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ANY_TAG, let, strip, strip_fences, unescape
+from ..functions.markup import listed_items
+from ..functions.text import ANY_TAG, html_clean, html_title, let, strip, strip_fences, unescape
 from ..functions.urls import resolve_url
 from ..functions.values import (
     dedup_key,
@@ -52,7 +53,7 @@ def extract_postings(pages: DataFrame, keep: list[str] | None = None) -> DataFra
         *keep,
         "site_name",
         "page_num",
-        F.lit(0).alias("pos"),
+        F.col("pos") if "pos" in pages.columns else F.lit(0).alias("pos"),
         "title",
         "url",
         F.col("site_name").alias("company"),
@@ -64,6 +65,28 @@ def extract_postings(pages: DataFrame, keep: list[str] | None = None) -> DataFra
     return with_keys(postings)
 
 
+def listing_postings(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """A posting for each item of a listing page, in page order; a page without a listing is one posting.
+
+    Items are children of one element that look alike and have links of their own (``functions.markup.page_items``): the link
+    is the posting's URL, dates and the ID are read from the item as from a detail page.
+    """
+    items = pages.withColumn("items", listed_items(F.col("html")))
+    single = F.array(F.struct(F.lit("").alias("href"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("text")))
+    each = items.select(
+        *[F.col(c) for c in pages.columns], F.posexplode(F.when(F.size("items") > 0, F.col("items")).otherwise(single)).alias("pos", "item")
+    )
+    whole = F.col("item.text").isNull()
+    read = each.withColumns(
+        {
+            "title": F.when(whole, html_title(F.col("html"))).otherwise(F.col("item.title")),
+            "text": F.when(whole, html_clean(F.when(whole, F.col("html")))).otherwise(F.col("item.text")),
+            "url": F.when(whole, F.col("url")).otherwise(resolve_url(F.col("item.href"), F.col("url"))),
+        }
+    )
+    return extract_postings(read.drop("html", "item"), keep)
+
+
 def link_postings(pages: DataFrame) -> DataFrame:
     """Every anchor of a page with its text and absolute URL, in page order."""
 

@@ -22,6 +22,17 @@ PAGE = ["site_name", "page_num"]
 POSTING = [*PAGE, "pos"]
 
 
+def discover_listings(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages read, and a posting for each item of the listings on them (``extract.listing_postings``)."""
+    chosen = capture.tier_fallback(capture.in_scope(captures, targets))
+    read = extract.listing_postings(chosen, keep=["tier_used"]).withColumns(
+        {"readable": F.col("description") != "", "input_tokens": estimated_tokens(F.col("description"))}
+    )
+    detail = stage(read, "listings")
+    pages = detail.groupBy(*PAGE, "tier_used").agg(F.max("readable").alias("readable"), F.sum("input_tokens").alias("input_tokens"))
+    return pages, detail.filter("readable").drop("readable", "tier_used")
+
+
 def discover(captures: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pages read, and their postings by the rule-based reader, which needs no token budget: it asks no model. An empty page
     has no posting.
@@ -224,9 +235,10 @@ def digest_of(outputs: dict[str, DataFrame], title: str = "Posting digest") -> D
 
 def full_run(
     captures: DataFrame, targets: DataFrame, profiles: DataFrame, seen: DataFrame,
-    health: DataFrame, run_at: datetime.datetime, **options,
+    health: DataFrame, run_at: datetime.datetime, reader: Callable = discover, **options,
 ) -> dict[str, DataFrame]:
-    pages, postings = discover(captures, targets)
+    """A run on captures by a rule-based ``reader``: ``discover`` for detail pages, ``discover_listings`` for listings."""
+    pages, postings = reader(captures, targets)
     return run(targets, pages, postings, profiles, seen, health, run_at, **options)
 
 

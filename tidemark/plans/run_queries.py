@@ -222,6 +222,46 @@ def quarantine(spark, sf):
     return held_back.counts(aside).unionByName(kept).where("n > 0")
 
 
+# A run on listing pages: the list of links on every page stands in a section instead of a menu.
+
+LINK_RUN = rf"""{o.PG}, {o.TG}, {o.EXPECTED},
+li AS (
+  SELECT site_name, page_num, page_id, url AS base, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS items FROM pg),
+it AS (SELECT *, unnest(items) AS item, CAST(generate_subscripts(items, 1) - 1 AS INTEGER) AS pos FROM li WHERE len(items) >= 3),
+po AS (
+  SELECT site_name, page_num, pos, trim(regexp_extract(item, '>([^<]*)</a>', 1)) AS title,
+         regexp_extract(base, '^[a-z]+://[^/]+') || regexp_extract(item, 'href="([^"]*)"', 1) AS url FROM it
+  UNION ALL SELECT site_name, page_num, 0, NULL, base FROM li WHERE len(items) < 3),
+rd AS (
+  SELECT ex.name AS site_name, ex.site_ord, ex.page_num,
+         pg.page_id IS NULL OR NOT (ex.scrape_tier = 'http' AND pg.page_id % 6 <> 0 OR pg.page_id % 30 <> 0) AS failed
+  FROM ex LEFT JOIN pg ON pg.site_name = ex.name AND pg.page_num = ex.page_num),
+je AS (
+  SELECT *, coalesce(bool_or(failed) OVER (PARTITION BY site_name ORDER BY page_num ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS past
+  FROM rd),
+found AS (
+  SELECT po.*, site_ord, nullif(regexp_extract(url, '/(\d+)', 1), '') AS job_id
+  FROM po JOIN je USING (site_name, page_num) WHERE NOT past AND NOT failed),
+new AS (
+  SELECT *, coalesce(job_id, substr(sha256(url), 1, 16)) AS dedup_key FROM found
+  QUALIFY row_number() OVER (PARTITION BY coalesce(job_id, substr(sha256(url), 1, 16)) ORDER BY site_ord, page_num, pos) = 1)"""
+
+
+@query(f"WITH {LINK_RUN} SELECT dedup_key, site_name, page_num, pos, CASE WHEN title IS NOT NULL THEN title END AS title, url FROM new")
+def run_on_links(spark, sf):
+    html = F.replace(F.replace(F.col("html"), F.lit("<nav>"), F.lit("<section>")), F.lit("</nav>"), F.lit("</section>"))
+    outputs = fr.full_run(
+        b.captures(b.numbered_pages(spark, sf, "html"), html),
+        site_targets(b.targets_raw(spark, sf)),
+        b.profiles(spark, sf),
+        spark.createDataFrame([], schemas.SEEN),
+        spark.createDataFrame([], schemas.HEALTH),
+        RUN_AT,
+        reader=fr.discover_listings,
+    )
+    return outputs["new_postings"].select("dedup_key", "site_name", "page_num", "pos", "title", "url")
+
+
 # A digest over matches taken from ``pages`` and stale sites from ``events``.
 from .scalar_queries import MATCH_ROWS  # noqa: E402
 from .table_queries import PACKED  # noqa: E402
