@@ -190,6 +190,46 @@ def test_job_writes_stores_and_gates_only_the_digest(spark, inputs, tmp_path):
     assert health == {"Acme": 0, "Down": 2, "Late": 0}
 
 
+def test_job_on_replies_and_alerts(spark, inputs, tmp_path):
+    from tidemark import job
+
+    inputs["captures"].write.parquet(str(tmp_path / "captures"))
+    sites = [{"name": s[1], "url": s[2], "scrape_tier": s[3], "pagination": {"param": s[4], "step": s[5], "max_pages": s[6]}} for s in SITES]
+    (tmp_path / "targets.json").write_text("\n".join(json.dumps(s) for s in sites))
+    (tmp_path / "profiles").mkdir()
+    (tmp_path / "profiles" / "a.md").write_text("spark sql python")
+    posts = json.dumps({"jobs": [{"title": "One", "url": "/j/1", "job_id": "1"}, {"title": "Two", "url": "", "job_id": "2"}]})
+    (tmp_path / "replies").mkdir()
+    (tmp_path / "replies" / "r.json").write_text(json.dumps({"site_name": "Acme", "page_num": 0, "text": posts, "input_tokens": 10, "output_tokens": 1}))
+    (tmp_path / "answers").mkdir()
+    answers = [("1", {"best_resume_filename": "a.md", "best_score": 0.8}), ("2", {"best_resume_filename": "a.md", "best_score": None})]
+    (tmp_path / "answers" / "r.json").write_text(
+        "\n".join(json.dumps({"dedup_key": k, "text": json.dumps(t), "input_tokens": 10, "output_tokens": 1}) for k, t in answers)
+    )
+
+    def arguments(*more, **other):
+        paths = {"captures": "captures", "targets": "targets.json", "profiles": "profiles", "seen": "seen", "health-in": "h0",
+                 "health-out": "h1", "digest": "digest", "quarantine": "aside", **other}
+        return job.parse([x for k, v in paths.items() for x in (f"--{k}", str(tmp_path / v))] + ["--run-id", "r1", *more])
+
+    replies = ["--replies", str(tmp_path / "replies"), "--match-replies", str(tmp_path / "answers")]
+    assert job.main(spark, arguments(*replies), RUN_AT) == 1
+    assert {r["title"]: r["match_score"] for r in stores.read_seen(spark, str(tmp_path / "seen")).collect()} == {"One": 0.8, "Two": None}
+    (alert,) = spark.read.parquet(str(tmp_path / "digest-alerts")).collect()
+    assert "processing Acme" in alert["alert"]
+    aside = {(r["site_name"], r["step"], r["reason"]) for r in spark.read.parquet(str(tmp_path / "aside")).collect()}
+    assert ("Acme", "match", "bad score") in aside and ("Late", "extract", "no reply") in aside
+    # a run that cannot start
+    (tmp_path / "twice.json").write_text("\n".join(json.dumps(s) for s in [*sites, sites[0]]))
+    with pytest.raises(ValueError, match="name used 2 times"):
+        job.main(spark, arguments(targets="twice.json", digest="other"), RUN_AT)
+    (alert,) = spark.read.parquet(str(tmp_path / "other-alerts")).collect()
+    assert "ValueError: Acme: name used 2 times" in alert["alert"] and "job startup" in alert["alert"]
+    with pytest.raises(ValueError):
+        job.main(spark, arguments("--dry-run", targets="twice.json", digest="third"), RUN_AT)
+    assert not (tmp_path / "third-alerts").exists()
+
+
 def test_other_session_zones_are_refused(spark, inputs):
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import capture
-from tidemark.sources import captures, profiles, schemas, staging, targets
+from tidemark.sources import captures, profiles, replies, schemas, staging, targets
 
 SITES = [
     {"name": "A", "url": "https://a.com", "scrape_tier": "http"},
@@ -54,6 +54,24 @@ def test_profiles_folder(spark, tmp_path):
         profiles.read_profiles(spark, str(empty))
 
 
+def test_profiles_are_written_and_read(spark, tmp_path):
+    rows = [(f"p_{i:03d}.md", f"text {i}\nwith \u00e9 and {'x' * i}\n") for i in range(40)]
+    table = spark.createDataFrame(rows, "filename string, content string").repartition(5)
+    assert profiles.write_profiles(table, str(tmp_path / "out")) == 40
+    profiles.write_profiles(table.limit(3), f"file://{tmp_path}/out")  # once more, over what is there
+    back = profiles.read_profiles(spark, str(tmp_path / "out"))
+    assert sorted((r.filename, r.content) for r in back.collect()) == rows and back.first()["role_label"].startswith("P ")
+    assert not [f for f in os.listdir(tmp_path / "out") if f.startswith(".") and not f.endswith(".crc")]
+    with pytest.raises(Exception, match="no name of a .md file"):
+        profiles.write_profiles(spark.createDataFrame([("../x.md", "t")], "filename string, content string"), str(tmp_path))
+
+
+def test_replies_are_written_and_read(spark, tmp_path):
+    rows = [("1", '{"jobs": []}', 10, 2), ("2", "line\n\u00e9 \"quoted\"", None, 0), ("3", None, 1, 1)]
+    replies.write_replies(spark.createDataFrame(rows, schemas.REPLIES), str(tmp_path / "replies"))
+    assert sorted(map(tuple, replies.read_replies(spark, str(tmp_path / "replies")).collect())) == rows
+
+
 CAPTURED = [
     ("A", 0, "u", "http", 200, "a-http"), ("A", 0, "u", "playwright", 200, "a-pw"),
     ("A", 1, "u", "http", 403, "x"), ("A", 1, "u", "playwright", 200, "a1-pw" + "x" * 300),

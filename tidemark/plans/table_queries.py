@@ -8,7 +8,7 @@ from ..functions.values import usage_cost as cost_of
 from ..operators import capture, extract, incremental, matching, report
 from ..sources import captures as cap
 from ..sources import profiles as prof
-from ..sources import replies, stores, targets
+from ..sources import replies, staging, stores, targets
 from . import bindings as b
 from . import oracle as o
 from .registry import query
@@ -53,7 +53,9 @@ def invalid_targets(spark, sf):
 SELECT printf('profile_%05d.md', item_id) AS filename, 'Profile ' || printf('%05d', item_id) AS role_label,
        text AS content FROM benchmark""")
 def profiles(spark, sf):
-    return b.profiles(spark, sf)
+    folder = staging.new_folder(spark, "profiles")
+    prof.write_profiles(b.profiles(spark, sf), folder)
+    return prof.read_profiles(spark, folder)
 
 
 @query("""
@@ -80,8 +82,10 @@ def _captures(spark, sf):
 @query(f"""
 WITH {_CAPS} SELECT site_name, page_num, url, tier, status, sha256(html) AS html_sha256 FROM cap""")
 def page_captures(spark, sf):
-    return _captures(spark, sf).withColumn("html", F.sha2("html", 256)).withColumnRenamed(
-        "html", "html_sha256"
+    folder = staging.new_folder(spark, "captures")
+    cap.write_captures(_captures(spark, sf), folder)
+    return cap.read_captures(spark, folder).select(
+        "site_name", "page_num", "url", "tier", "status", F.sha2("html", 256).alias("html_sha256")
     )
 
 
@@ -141,9 +145,9 @@ def token_budget(spark, sf):
 
 @query(f"WITH {o.REPLIES} SELECT request_id, text, input_tokens, output_tokens FROM replies")
 def model_replies(spark, sf):
-    return b.extraction_replies(spark, sf).select(
-        "request_id", "text", "input_tokens", "output_tokens"
-    )
+    folder = staging.new_folder(spark, "replies")
+    replies.write_replies(b.extraction_replies(spark, sf), folder)
+    return replies.read_replies(spark, folder)
 
 
 # Extraction

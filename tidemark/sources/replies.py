@@ -10,3 +10,8 @@ from . import schemas
 def read_replies(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema(schemas.REPLIES)
     return reader.parquet(path) if path.rstrip("/").endswith(".parquet") else reader.json(path)
+
+
+def write_replies(replies: DataFrame, path: str) -> None:
+    """Replies as JSON lines."""
+    replies.select("request_id", "text", "input_tokens", "output_tokens").write.json(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
@@ -56,8 +56,13 @@ def valid_targets(raw: DataFrame) -> DataFrame:
     return raw.filter(F.col("scrape_tier").isin(*TIERS))
 
 
-def invalid_targets(raw: DataFrame) -> DataFrame:
-    """Entries with an unknown tier, and names or URL hosts used more than once."""
+def _repeated(raw: DataFrame, key: Column, label: str) -> DataFrame:
+    counted = raw.groupBy(key.alias("name")).agg(F.count("*").alias("n")).filter("n > 1")
+    return counted.select("name", F.format_string(f"{label} used %d times", "n").alias("problem"))
+
+
+def refused(raw: DataFrame) -> DataFrame:
+    """Entries that no run can use: an unknown tier, or a name that stands twice."""
     bad_tier = raw.filter(
         F.col("scrape_tier").isNull() | ~F.col("scrape_tier").isin(*TIERS)
     ).select(
@@ -69,18 +74,13 @@ def invalid_targets(raw: DataFrame) -> DataFrame:
         ).alias("problem"),
     )
 
-    def repeated(key, label: str) -> DataFrame:
-        return (
-            raw.groupBy(key.alias("name"))
-            .agg(F.count("*").alias("n"))
-            .filter("n > 1")
-            .select("name", F.format_string(f"{label} used %d times", "n").alias("problem"))
-        )
+    return bad_tier.unionByName(_repeated(raw, F.col("name"), "name"))
 
+
+def invalid_targets(raw: DataFrame) -> DataFrame:
+    """Entries that are refused, and URL hosts used more than once."""
     host = F.regexp_extract("url", r"//([^/?#]+)", 1)
-    return bad_tier.unionByName(repeated(F.col("name"), "name")).unionByName(
-        repeated(host, "host")
-    )
+    return refused(raw).unionByName(_repeated(raw, host, "host"))
 
 
 def require_sites(targets: DataFrame) -> DataFrame:
