@@ -42,6 +42,46 @@ def test_comments_as_articles_and_article_headers():
     assert html.main_text(page(art, NOISE[0], comment)) == TEXT
 
 
+@pytest.mark.parametrize("case", range(9))
+def test_layouts_whose_text_was_lost(case):
+    paras = [BODY.format(i) for i in range(10)]
+    body = "".join(f"<p>{p}</p>" for p in paras)
+    text, long = "\n".join(paras), "code " * 1000
+    html_, want = [
+        (f'<main>{body}</main><article class="card"><p>A teaser</p></article>', text),
+        (f"<article>{body[: len(body) // 2 + 60]}</article><article>{body}</article>", None),
+        (f"<div>{body}<pre>{long}</pre>{body}</div>", f"{text}\n{long.strip()}\n{text}"),
+        (f"<blockquote>{long}</blockquote>{body}", f"{long.strip()}\n{text}"),
+        (f"<h1>Title</h1><p>Short.</p>{body}<p>End.</p>", f"Title\nShort.\n{text}\nEnd."),
+        (f'<section class="social-history">{body}</section><section id="search-methods"><p>{paras[0]}</p></section>', f"{text}\n{paras[0]}"),
+        (f'<form action="/"><div>{body}</div></form>', text),
+        (f'<fieldset>{body}</fieldset><div class="cookie-banner">We use cookies.</div>', text),
+        (f'<div class="site-footer">x y z</div><div class="notice-period">{body}</div><ul class="main-nav"><li>Home</li></ul>', text),
+    ][case]
+    got = html.main_text(page(html_, NOISE[0], NOISE[7]))
+    if want is None:  # both articles are there
+        assert got.count(paras[0]) == 2 and got.endswith(text)
+    else:
+        assert got == want
+
+
+def test_generated_pages_give_back_their_article():
+    """Articles of blocks in several layouts, with noise before, after and between them."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9)))
+    for _ in range(150):
+        blocks = [" ".join(word() for _ in range(rng.choice((3, 30, 60, 120)))) for _ in range(rng.randrange(4, 15))]
+        blocks.insert(1, " ".join(word() for _ in range(80)))
+        marked = [f"<{t}>{b}</{t}>" for b, t in zip(blocks, (rng.choice(("p", "p", "h2", "blockquote", "pre")) for _ in blocks))]
+        wrap = rng.choice(("<article>{}</article>", "<main>{}</main>", '<div class="post">{}</div>', "<main><article>{}</article></main>"))
+        inner = "".join(m + (rng.choice(NOISE[1:6]) if rng.random() < 0.15 else "") for m in marked) if "article" in wrap or "main" in wrap else "".join(marked)
+        noise = rng.sample(NOISE, 4)
+        got = html.main_text(page(wrap.format(inner), "".join(noise[:2]), "".join(noise[2:])))
+        assert got.replace("\nThe Site Name", "") == "\n".join(blocks), (wrap, got)
+
+
 def test_white_space_references_and_inline_markup():
     art = "<article><p> A &amp; B&nbsp;&#233;\n\t <b>bo<i>ld</i></b>\r\n<br>next<a href=x> link</a> </p><div>one<p>two<p>three</div>four</article>"
     assert html.main_text(page(art)) == "A & B é bold next link\none\ntwo\nthree\nfour"

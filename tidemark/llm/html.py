@@ -1,10 +1,12 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser streams events; each block of a page (a paragraph, heading, list item, cell)
-becomes one line with its text, its number of tags and its container. The ratio of characters to tags is
-smoothed along the lines with a Gaussian and split into two clusters; lines of the high cluster say which
-container holds the article, and every line of that container belongs to the text, short ones too.
-Menus, notices, adverts and the like inside or outside of it are left out by element, role and class.
+becomes one line with its text, its number of tags and its container. The logarithm of the ratio of characters to tags,
+which from ``FULL`` on tells nothing more, is smoothed along the lines with a Gaussian and split into two clusters; lines of the high cluster say which containers
+hold the article: all ``article`` elements with such lines if most of these stand in them, else ``main``, else the lowest
+element that holds all of them. Every line of these belongs to the text, short ones too. Menus, notices, adverts and the
+like inside or outside of it are left out by element, role, and names of class and id that consist of such words alone.
+A form or an element with such a name or role that holds more than half of the page's text is read all the same.
 
 Edge cases: a missing or empty page has the empty text, as has one without any text. Unclosed tags end
 with their parent, an unclosed script or comment ends with the page. Missing ids or URLs and repeated
@@ -24,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, RADIUS = 1.0, 3
+FULL = 80  # characters a tag from which a line is as much text as any
+SLACK = 1.5  # in logarithms: lines so near to the best belong to the high cluster as well
 FEED = 1 << 16
 
 # Fixed sets of the markup language.
@@ -35,9 +39,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 UNREAD = frozenset(
-    "aside button canvas dialog fieldset footer form head iframe menu nav noscript object script select style svg "
-    "template textarea title".split()
+    "button canvas head iframe noscript object script select style svg template textarea title".split()
 )
+ASIDE = frozenset("aside dialog footer menu nav".split())
+FORMS = frozenset("form fieldset".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search".split())
 WHOLE = frozenset("html body main".split())
 #: What an open element of a kind ends with: the start of one of these.
@@ -45,6 +50,11 @@ ENDED_BY = {
     "p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option", "optgroup"},
 }
+#: Words that say where a labelled element stands or what it looks like, and not what it is about.
+PLACES = frozenset(
+    "area article bar block body bottom box container entry global inner item items left link links list main outer page panel "
+    "post posts primary right secondary section site top wrap wrapper".split()
+)
 #: Words of class and id names.
 LABELS = frozenset(
     "ad ads adbox advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist "
@@ -53,15 +63,18 @@ LABELS = frozenset(
     "recommended related replies responses search share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar topbar widget widgets".split()
 )
+#: Of these, what readers write, often longer than the article.
+OPINIONS = frozenset("comment comments commentlist discussion disqus replies reply responses".split())
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def _labels(attrs: dict[str, str | None]) -> set[str]:
+    """Labels in names of class and id that have no other words than labels and places."""
     found = set()
     for name in (attrs.get("class") or "").split() + [attrs.get("id") or ""]:
         parts = [p.lower() for p in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", name)]
-        if parts and parts[0] not in ("has", "with", "no", "without"):
-            found |= set(parts)
+        if all(p in LABELS or p in PLACES or p == "header" or p.isdigit() for p in parts):
+            found |= {p for p in parts if p not in PLACES}
     return found
 
 
@@ -70,10 +83,12 @@ class _Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
+        self.lines: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+        self.outs: list[int] = []  # open elements that are left out if they do not hold most of the text, by number
+        self.n_outs = 0
         self.ending = False
         self.parent, self.kind = [-1], ["page"]  # containers by number
-        self.open: list[tuple[str, bool, int]] = []  # tag, left out, container
+        self.open: list[tuple[str, int, int]] = []  # tag, whether it is left out (2: for good), container
         self.count: Counter[str] = Counter()
         self.left_out = self.links = self.tags = self.in_link = 0
         self.header = 0  # inside an article's header, only headings are read
@@ -86,23 +101,28 @@ class _Lines(HTMLParser):
             self.tags = 0
         self.text, self.in_link = [], 0
 
-    def _where(self) -> tuple[int, bool]:
-        """The container of what is read now, and whether it is a heading."""
-        return (self.open[-1][2], self.open[-1][0] in HEADINGS) if self.open else (0, False)
-
-    def _is_left_out(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in UNREAD or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-            return True
-        if (attrs.get("role") or "").lower() in ROLES or _HIDDEN.search(attrs.get("style") or ""):
-            return True
+    def _where(self) -> tuple[int, tuple[int, ...]]:
+        """The container of what is read now, and the elements around it that may be left out."""
+        return self.open[-1][2] if self.open else 0, tuple(self.outs)
+
+    def _is_left_out(self, tag: str, attrs: dict[str, str | None]) -> int:
+        """0: read, 1: left out if it does not hold most of the text, 2: left out."""
+        if tag in UNREAD or tag in ASIDE or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+            return 2
+        if _HIDDEN.search(attrs.get("style") or ""):
+            return 2
+        if tag in FORMS or (attrs.get("role") or "").lower() in ROLES:
+            return 1
         if tag in WHOLE:
-            return False
+            return 0
         labels = _labels(attrs)
+        if labels & OPINIONS:
+            return 2
         if tag == "article":
-            return bool(labels & {"comment", "comments", "reply", "ad", "sponsored"})
+            return int(bool(labels & {"ad", "sponsored"}))
         if tag == "header" or "header" in labels:
-            return not (self.count["article"] or self.count["main"])
-        return bool(labels & LABELS)
+            return 0 if self.count["article"] or self.count["main"] else 2
+        return int(bool(labels & LABELS))
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -127,7 +147,10 @@ class _Lines(HTMLParser):
                 at = len(self.kind) - 1
             self.open.append((tag, out, at))
             self.count[tag] += 1
-            self.left_out += out
+            self.left_out += out == 2
+            if out == 1:
+                self.outs.append(self.n_outs)
+                self.n_outs += 1
             self.header += tag == "header"
 
     # What is never closed reaches to the end of the page, and is not searched for again and again.
@@ -154,7 +177,9 @@ class _Lines(HTMLParser):
         self._flush()
         tag, out, _ = self.open.pop()
         self.count[tag] -= 1
-        self.left_out -= out
+        self.left_out -= out == 2
+        if out == 1:
+            self.outs.pop()
         self.header -= tag == "header"
 
     def handle_endtag(self, tag):
@@ -206,51 +231,63 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
     return values >= (low + high) / 2
 
 
+def _read(page: _Lines) -> list[tuple[str, int, int, int]]:
+    """Lines that are in no element that is left out; one that holds more than half of the text is not."""
+    chars = np.zeros(page.n_outs, np.int64)
+    for text, *_, outs in page.lines:
+        chars[list(outs)] += len(text)
+    most = sum(len(line[0]) for line in page.lines) / 2
+    return [tuple(line[:4]) for line in page.lines if not any(chars[k] <= most for k in line[4])]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, one line a block."""
     if not html:
         return ""
     page = lines_of(html)
-    if not page.lines:
+    lines = _read(page)
+    if not lines:
         return ""
-    texts, tags, links, where, heading = zip(*page.lines)
-    size = np.array([len(t) for t in texts], float)
+    texts, tags, links, where = zip(*lines)
+    size, where = np.array([len(t) for t in texts], float), np.array(where)
     ratio = (size - np.array(links)) / np.maximum(np.array(tags), 1)
-    high = high_cluster(smoothed(ratio))
+    value = smoothed(np.log1p(np.minimum(ratio, FULL)))
+    high = high_cluster(value) | (value >= value.max() - SLACK)
     # characters of high lines below each container; parents come before their children
     weight = np.zeros(len(page.kind))
-    np.add.at(weight, np.array(where), np.where(high, size, 0.0) + size * 1e-6)
+    np.add.at(weight, where, np.where(high, size, 0.0))
+    own = weight.copy()
     for at in range(len(page.kind) - 1, 0, -1):
         weight[page.parent[at]] += weight[at]
-    best = 0
+    chosen: list[int] = []
     for tag in ("article", "main"):
         found = [i for i, kind in enumerate(page.kind) if kind == tag and weight[i] > 0]
-        if found:
-            best = max(found, key=lambda i: (weight[i], -i))
+        around = set(found)
+        found = [i for i in found if not _inside(page.parent, i, around)]
+        if 2 * sum(weight[i] for i in found) > weight[0]:
+            chosen = found
             break
-    else:
-        children: dict[int, list[int]] = {}
+    if not chosen:
+        best, children = 0, {}
         for at in range(1, len(page.kind)):
             children.setdefault(page.parent[at], []).append(at)
-        while best in children:  # as deep as most of the high lines go together
-            deeper = max(children[best], key=lambda i: (weight[i], -i))
-            if weight[deeper] < 0.6 * weight[0]:
-                break
-            best = deeper
+        # as deep as all of the high lines go together
+        while own[best] == 0 and (deeper := [i for i in children.get(best, ()) if weight[i] > 0]) and len(deeper) == 1:
+            best = deeper[0]
+        chosen = [best]
     inside = np.zeros(len(page.kind), bool)
-    inside[best] = True
-    for at in range(best + 1, len(page.kind)):
+    inside[chosen] = True
+    for at in range(1, len(page.kind)):
         inside[at] = inside[at] or inside[page.parent[at]]
-    kept = inside[np.array(where)]
-    if page.kind[best] in ("page", "html", "body") and (kept & high).any():
-        # no element holds the article alone: it goes from the first to the last high line, with headings before
-        found = np.flatnonzero(kept & high)
-        first = found[0]
-        while first > 0 and heading[first - 1]:
-            first -= 1
-        kept[:first] = False
-        kept[found[-1] + 1 :] = False
-    return "\n".join(t for t, k in zip(texts, kept) if k)
+    return "\n".join(t for t, k in zip(texts, inside[where]) if k)
+
+
+def _inside(parent: list[int], at: int, around: set[int]) -> bool:
+    """Whether a container stands in one of ``around``."""
+    while (at := parent[at]) >= 0:
+        if at in around:
+            return True
+    return False
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
