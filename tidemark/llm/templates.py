@@ -39,6 +39,7 @@ MIN_WORDS = 8
 DEPTH = 2
 SIMILAR = 75  # of 100
 LEAF_BITS = 20
+KEY_BITS = 23
 SEEN = 1 << 19  # lines that a task remembers to have sent
 WILD = "<*>"
 _VARIABLE = re.compile(r"[^ ]*(?:[0-9@]|://)[^ ]*")
@@ -120,16 +121,44 @@ def _worded(docs: DataFrame, leaves: DataFrame) -> DataFrame:
                 cols = [pa.array(leaves_, pa.int64()), pa.array(lines, pa.int64()), listed]
                 yield pa.RecordBatch.from_arrays(cols, ["leaf", "line", "keys"])
 
-    found = docs.where("id IS NOT NULL").select("text").mapInArrow(run, "leaf long, line long, keys array<long>")
-    return found.join(leaves.select("leaf"), "leaf", "left_semi").dropDuplicates(["line"])
+    # a line of another leaf that the bitmap lets through stands alone in it: its words make it a template of its own
+    return docs.where("id IS NOT NULL").select("text").mapInArrow(run, "leaf long, line long, keys array<long>")
 
 
-def _generalised(worded: DataFrame, lines: DataFrame) -> DataFrame:
+def _key_bitmap(agreed: DataFrame) -> np.ndarray:
+    """Bits of the slots of keys, a table of fixed size put together in Spark."""
+    slot = F.shiftrightunsigned(F.col("key"), 64 - KEY_BITS)
+    rows = agreed.groupBy(F.bitmap_bucket_number(slot + 1).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot + 1)).alias("bits"))
+    out = np.zeros((1 << KEY_BITS) // 8, np.uint8)
+    for b, bits in rows.collect():
+        at = (b - 1) * len(bits)
+        out[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
+    return np.unpackbits(out, bitorder="little").view(bool)
+
+
+def _placed(worded: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(leaf, line, n, key) of the keys that the bitmap lets through; n is the number of the line's words."""
+    held = worded.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            keys, n = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+            good = held.value[(keys.view(np.uint64) >> np.uint64(64 - KEY_BITS)).astype(np.int64)]
+            row = np.repeat(np.arange(len(n)), n)[good]
+            cols = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(n[row].astype(np.int64)), pa.array(keys[good])]
+            yield pa.RecordBatch.from_arrays(cols, ["leaf", "line", "n", "key"])
+
+    return worded.select("leaf", "line", "keys").mapInArrow(run, "leaf long, line long, n long, key long")
+
+
+def _generalised(worded: DataFrame) -> DataFrame:
     """(line, template): the template of every line whose constants are enough."""
-    counted = worded.join(lines.select("line", "low", "high", "often"), "line").select("low", "high", "often", F.explode("keys").alias("key"))
-    agreed = counted.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("often").alias("n_word"))
-    agreed = agreed.where("low != high").select("key", "n_word")
-    placed = worded.select("leaf", "line", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(agreed, "key")
+    agreed = worded.select("low", "high", "often", F.explode("keys").alias("key")).groupBy("key").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sum("often").alias("n_word")
+    )
+    agreed = stage(agreed.where("low != high").select("key", "n_word"), "templates-constants")
+    placed = _placed(worded, _key_bitmap(agreed)).join(agreed, "key")
     constants = F.array_sort(F.collect_list(F.struct((-F.col("n_word")).alias("order"), "key")))
     found = placed.groupBy("leaf", "line", "n").agg(constants.alias("constants"))
     most = F.expr(f"CAST(({SIMILAR} * n + 99) DIV 100 AS INT)")
@@ -147,8 +176,9 @@ def recurring(docs: DataFrame) -> DataFrame:
     )
     lines = stage(lines, "templates-distinct")
     leaves = lines.groupBy("leaf").agg(F.count("*").alias("n"), F.min("low").alias("x"), F.max("high").alias("y"))
-    worded = stage(_worded(docs, leaves.where("n > 1 AND x != y").select("leaf")), "templates-words")
-    named = lines.join(_generalised(worded, lines), "line", "left").select(
+    worded = _worded(docs, leaves.where("n > 1 AND x != y").select("leaf")).dropDuplicates(["line"])
+    worded = stage(worded.join(lines.select("line", "low", "high", "often"), "line"), "templates-words")
+    named = lines.join(_generalised(worded), "line", "left").select(
         "line", F.coalesce("template", "line").alias("template"), "low", "high", "first"
     )
     named = stage(named, "templates-named")
