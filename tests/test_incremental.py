@@ -163,11 +163,11 @@ def test_health_upsert(spark):
 
 def test_last_run_reads_naive_and_offset_times_as_utc(spark):
     health = spark.createDataFrame(
-        [("a", 0, "2026-04-05T10:00:00+00:00"), ("b", 0, "2026-04-05T10:00:00"), ("c", 0, None), ("d", 0, "bad")],
+        [("a", 0, "2023-11-30T23:15:30-01:30"), ("b", 0, "2023-12-01 00:45:30"), ("c", 0, None), ("d", 0, "yesterday")],
         "site_name string, consecutive_zeros int, last_success_at string",
     )
     got = {r[0]: r[1] for r in stores.last_run(health).collect()}
-    at = datetime.datetime(2026, 4, 5, 10)
+    at = datetime.datetime(2023, 12, 1, 0, 45, 30)
     assert got == {"a": at, "b": at, "c": None, "d": None}
     sites = spark.createDataFrame([("a",), ("x",)], "site_name string")
     assert {r[0]: r[1] for r in stores.site_last_run(sites, health).collect()} == {"a": at, "x": None}

@@ -201,7 +201,7 @@ def test_score_with_in_cells_of_any_size(spark, cell):
 
 
 def job(i, **fields):
-    return {"title": f"Job {i}", "url": f"/jobs/{i}", "job_id": str(i), "description": "d", "snippet": "s",
+    return {"title": f"Job {i}", "url": f"/roles/{i}", "job_id": str(i), "description": "d", "snippet": "s",
             "posted_date": "2024-01-15", "posted_time": "14:30", "location": None, **fields}
 
 
@@ -211,7 +211,7 @@ def test_extraction_replies(spark):
         "bad": '{"jobs": [{"title": "x"}, {"ti', "quotes": "{'jobs': [{'title': 'x'}]}", "list": "[1]",
         "edge": json.dumps({"jobs": [{"url": "", "job_id": None}, job(1, url="https://other.com/x", posted_date=None, posted_time="bad", description=None)]}),
     }
-    rows = [(k, t, 1_000_000, 1_000_000, "Acme", "https://example.com/careers") for k, t in texts.items()]
+    rows = [(k, t, 1_000_000, 1_000_000, "Acme", "https://firm.test/open-roles") for k, t in texts.items()]
     df = spark.createDataFrame(rows, "request_id string, text string, input_tokens bigint, output_tokens bigint, site_name string, url string")
     got = extract.posting_projection(extract.parse_postings(df)).orderBy("request_id", "pos").collect()
     assert [r["request_id"] for r in got].count("many") == 60
@@ -219,20 +219,20 @@ def test_extraction_replies(spark):
     assert capped.filter("request_id = 'many'").count() == 50
     assert {r["request_id"] for r in got} == {"many", "edge"}
     first, second = [r for r in got if r["request_id"] == "edge"]
-    assert (first["title"], first["url"], first["job_id"], first["dedup_type"]) == ("", "https://example.com/careers", None, "url_hash")
+    assert (first["title"], first["url"], first["job_id"], first["dedup_type"]) == ("", "https://firm.test/open-roles", None, "url_hash")
     assert (second["url"], second["posted_date"], second["posted_time"], second["description"]) == ("https://other.com/x", None, None, None)
     many = [r for r in got if r["request_id"] == "many"][3]
-    assert (many["url"], many["posted_time"], many["company"]) == ("https://example.com/jobs/3", "14:30:00", "Acme")
+    assert (many["url"], many["posted_time"], many["company"]) == ("https://firm.test/roles/3", "14:30:00", "Acme")
     costs = {r["request_id"]: r["cost_usd"] for r in extract.extraction_cost(df).collect()}
     assert costs["many"] == pytest.approx(4.8) and costs["bad"] == 0.0 and costs["none"] == pytest.approx(4.8)
 
 
 def test_links(spark):
-    html = "<a href='/jobs/1'>One &amp; only</a><p><A class=x HREF=rel/2><b>Two</b></A><a name=x>no</a><a href=\"\">Here</a>"
+    html = "<a href='/roles/1'>One &amp; only</a><p><A class=x HREF=rel/2><b>Two</b></A><a name=x>no</a><a href=\"\">Here</a>"
     df = spark.createDataFrame([("https://example.com/c/list?x=1", html)], "url string, html string")
     got = [(r["pos"], r["title"], r["url"]) for r in extract.link_postings(df).orderBy("pos").collect()]
     assert got == [
-        (0, "One & only", "https://example.com/jobs/1"),
+        (0, "One & only", "https://example.com/roles/1"),
         (1, "Two", "https://example.com/c/rel/2"),
         (2, "Here", "https://example.com/c/list?x=1"),
     ]
