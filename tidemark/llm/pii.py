@@ -1,10 +1,11 @@
-"""Personal data: expressions propose spans, checksums confirm them, words nearby adjust the score.
+"""Personal data and secrets: expressions propose spans, checksums confirm them, words nearby adjust the score.
 
 Everything is built-in expressions over the whole text. ``KINDS`` says what is proposed; a kind with
 ``base`` is reported whenever its own condition holds, the others only where their score reaches
-``threshold``. A score starts from the kind, gains ``CONFIRMED`` where a checksum (Luhn, mod 97) holds and
-``NEARBY`` where one of the kind's context words stands in the ``CONTEXT`` code points before the span, as
-far as they follow the last match of the kind.
+``threshold``. A score starts from the kind, gains ``CONFIRMED`` where a checksum (Luhn, mod 97) holds, or a secret has at
+least ``ENTROPY`` bits a character, and ``NEARBY`` where one of the kind's context words stands in the ``CONTEXT`` code points
+before the span, other matches included, or in those behind it up to the next match of the kind. The score of a base
+kind orders its spans for a reader; it never takes one away.
 
 Positions come without a scan in code: the pieces between matches and the matches alternate, so that
 their lengths add up to the starts. Patterns are written so that a match is found in one pass: a
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from .tables import text_of
 
 CONFIRMED, NEARBY, CONTEXT, THRESHOLD = 0.4, 0.3, 40, 0.8
+ENTROPY = 2.5
+_NAMED = r"(?i:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?key)"
 _LOCAL = "[A-Za-z0-9._%+-]"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -53,6 +56,15 @@ KINDS = (
          words="ssn|social security|tax id"),
     Kind("local_phone", r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9.-])", 0.5, "",
          words="tel|phone|call|fax|mobile"),
+    # the value of what is named a secret
+    Kind("secret", rf"(?<![A-Za-z0-9+/_.~-])(?<={_NAMED}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[A-Za-z0-9+/_.~-]{{12,}}+", 0.4, "",
+         words="key|secret|token|credential|login"),
+    # keys that their first characters tell
+    Kind("api_key", r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[opsu]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+"
+         r"|sk-[A-Za-z0-9_-]{20,}+|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+)(?![A-Za-z0-9_])",
+         0.9, ""),
+    Kind("private_key", r"-----BEGIN (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----(?:[^-]++-----END (?:[A-Z]{1,12} ){0,3}PRIVATE KEY-----)?", 0.9,
+         "PRIVATE KEY-----"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
@@ -86,6 +98,18 @@ def mod97(iban: Column) -> Column:
     return rest == 1
 
 
+def entropy(value: Column) -> Column:
+    """Bits a character, by how often each character stands in the value."""
+    chars = F.array_distinct(F.array_remove(F.split(value, ""), ""))
+    n = F.length(value)
+
+    def bits(total: Column, c: Column) -> Column:
+        share = (n - F.length(F.replace(value, c, F.lit("")))) / n
+        return total - share * F.log2(share)
+
+    return F.aggregate(chars, F.lit(0.0), bits)
+
+
 def _holds(kind: str, value: Column) -> Column:
     """The condition without which a match is dropped."""
     if kind == "ip":
@@ -103,13 +127,15 @@ def _checksum(kind: str, value: Column) -> Column:
         return F.lit(True)  # without Luhn it is dropped
     if kind == "iban":
         return mod97(F.regexp_replace(value, " ", ""))
+    if kind == "secret":
+        return value.rlike("[0-9]") & (entropy(value) >= ENTROPY)
     return F.lit(False)
 
 
 _SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double>>"
 
 
-_FOUND = "array<struct<start:int,value:string,before:string>>"
+_FOUND = "array<struct<start:int,value:string,near:string>>"
 BLOCK = 256
 
 
@@ -123,30 +149,45 @@ def _placed(kind: Kind) -> Column:
     none = F.array().cast(_FOUND)
 
     def add(a: Column, x: Column) -> Column:
-        before = F.substring(x["p"], -CONTEXT, CONTEXT)
-        here = F.array(
-            F.struct((a["at"] + F.length(x["p"])).alias("start"), x["m"].alias("value"), before.alias("before"))
-        )
+        before = F.right(F.concat(a["tail"], F.coalesce(x["p"], F.lit(""))), F.lit(CONTEXT))
+        near = F.concat(before, F.lit("\n"), F.left(F.coalesce(x["q"], F.lit("")), F.lit(CONTEXT)))
+        here = F.array(F.struct((a["at"] + F.length(x["p"])).alias("start"), x["m"].alias("value"), near.alias("near")))
         found = F.when(x["m"].isNull(), none).when(_holds(kind.name, x["m"]), here).otherwise(none)
         length = F.coalesce(F.length(x["p"]), F.lit(0)) + F.coalesce(F.length(x["m"]), F.lit(0))
-        return F.struct(F.concat(a["found"], found).alias("found"), (a["at"] + length).alias("at"))
+        tail = F.right(F.concat(before, F.coalesce(x["m"], F.lit(""))), F.lit(CONTEXT))
+        return F.struct(F.concat(a["found"], found).alias("found"), (a["at"] + length).alias("at"), tail.alias("tail"))
 
     def join(a: Column, b: Column) -> Column:
         moved = F.transform(
             b["found"],
-            lambda s: F.struct((s["start"] + a["at"]).alias("start"), s["value"].alias("value"), s["before"].alias("before")),
+            lambda s: F.struct((s["start"] + a["at"]).alias("start"), s["value"].alias("value"), s["near"].alias("near")),
         )
-        return F.struct(F.concat(a["found"], moved).alias("found"), (a["at"] + b["at"]).alias("at"))
-
-    empty = F.struct(none.alias("found"), F.lit(0).alias("at"))
-    pairs = f"z_{kind.name}"  # (piece, match) in order
-    if_one = F.aggregate(pairs, empty, add, lambda a: a["found"])
-    numbered = F.sequence(F.lit(0), F.size(matches), F.lit(BLOCK))
-    blocks = F.transform(numbered, lambda at: F.aggregate(F.slice(pairs, at + 1, BLOCK), empty, add))
-    many = F.aggregate(blocks, empty, join, lambda a: a["found"])
+        return F.struct(F.concat(a["found"], moved).alias("found"), (a["at"] + b["at"]).alias("at"), b["tail"].alias("tail"))
+
+    def start(tail: Column) -> Column:
+        return F.struct(none.alias("found"), F.lit(0).alias("at"), tail.alias("tail"))
+
+    pairs = f"z_{kind.name}"  # (piece, match, next piece) in order
+    if_one = F.aggregate(pairs, start(F.lit("")), add, lambda a: a["found"])
+
+    def block(at: Column) -> Column:
+        last = F.get(F.col(pairs), at - 1)
+        tail = F.when(at > 0, F.right(F.concat(last["p"], last["m"]), F.lit(CONTEXT))).otherwise(F.lit(""))
+        return F.aggregate(F.slice(pairs, at + 1, BLOCK), start(tail), add)
+
+    blocks = F.transform(F.sequence(F.lit(0), F.size(matches), F.lit(BLOCK)), block)
+    many = F.aggregate(blocks, start(F.lit("")), join, lambda a: a["found"])
     return F.when(F.size(matches) == 0, none).when(F.size(matches) < BLOCK, if_one).when(F.size(matches) >= BLOCK, many)
 
 
+def _pairs(kind: Kind) -> Column:
+    """(piece, match, next piece) of a kind, in order."""
+    pieces, matches = F.col(f"p_{kind.name}"), F.col(f"m_{kind.name}")
+    both = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    following = F.slice(pieces, F.lit(2), F.size(pieces))
+    return F.zip_with(both, following, lambda x, q: F.struct(x["p"].alias("p"), x["m"].alias("m"), q.alias("q")))
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``id_col`` and ``spans``: array of (start, kind_no, end, kind, value, score) in order."""
     text = F.col("_text")
@@ -155,7 +196,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     base = base.withColumn("_digits", text.rlike("[0-9]"))
     for kind in KINDS:
         possible = F.contains(text, F.lit(kind.needs)) if kind.needs else F.lit(True)
-        if kind.name != "email":
+        if kind.name not in ("email", "private_key"):
             possible = possible & F.col("_digits")
         base = base.withColumn(
             f"m_{kind.name}", F.when(possible, F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)))
@@ -163,8 +204,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     for kind in KINDS:
         found = F.size(f"m_{kind.name}") > 0
         base = base.withColumn(f"p_{kind.name}", F.when(found, F.split(text, kind.pattern, -1)))
-    zipped = lambda k: F.zip_with(f"p_{k.name}", f"m_{k.name}", lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    base = base.withColumns({f"z_{k.name}": zipped(k) for k in KINDS})
+    base = base.withColumns({f"z_{k.name}": _pairs(k) for k in KINDS})
     base = base.withColumns({f"s_{k.name}": _placed(k) for k in KINDS})
     scored = [F.coalesce(_scored(no, kind, threshold), F.array().cast(_SPAN)) for no, kind in enumerate(KINDS)]
     return base.select(id_col, F.array_sort(F.concat(*scored)).alias("spans"))
@@ -177,7 +217,7 @@ def _scored(no: int, kind: Kind, threshold: float) -> Column:
         score = (
             F.lit(kind.score)
             + F.when(_checksum(kind.name, s["value"]), CONFIRMED).otherwise(0.0)
-            + F.when(F.lower(s["before"]).rlike(f"(?:{kind.words})"), NEARBY).otherwise(0.0)
+            + (F.when(F.lower(s["near"]).rlike(f"(?:{kind.words})"), NEARBY).otherwise(0.0) if kind.words else F.lit(0.0))
         )
         return F.struct(
             s["start"].alias("start"), F.lit(no).alias("kind_no"),

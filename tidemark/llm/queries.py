@@ -50,7 +50,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(read(spark, sf_dir, "documents")).withColumn("base", pii.base_only(F.col("spans"))).select(
         "doc_id", *[pii.count(base, kind).alias(f"n_{kind}") for kind in pii.BASE],
         F.sha2(F.encode(pii.listed(base), "UTF-8"), 256).alias("base_sha256"),
-        pii.listed(F.col("spans")).alias("spans"),
+        pii.listed(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"),
     )
 
 
