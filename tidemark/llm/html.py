@@ -6,7 +6,8 @@ which from ``FULL`` on tells nothing more, is smoothed along the lines with a Ga
 hold the article: all ``article`` elements with such lines if most of these stand in them, else ``main``, else the lowest
 element that holds all of them. Every line of these belongs to the text, short ones too. Menus, notices, adverts and the
 like inside or outside of it are left out by element, role, and names of class and id that consist of such words alone.
-A form or an element with such a name or role that holds more than half of the page's text is read all the same.
+A form or an element with such a name or role that holds more than half of the page's text is read all the same, unless
+there is an ``article`` or ``main`` with text beside it.
 
 Edge cases: a missing or empty page has the empty text, as has one without any text. Unclosed tags end
 with their parent, an unclosed script or comment ends with the page. Missing ids or URLs and repeated
@@ -232,12 +233,17 @@ def high_cluster(values: np.ndarray) -> np.ndarray:
 
 
 def _read(page: _Lines) -> list[tuple[str, int, int, int]]:
-    """Lines that are in no element that is left out; one that holds more than half of the text is not."""
-    chars = np.zeros(page.n_outs, np.int64)
-    for text, *_, outs in page.lines:
-        chars[list(outs)] += len(text)
-    most = sum(len(line[0]) for line in page.lines) / 2
-    return [tuple(line[:4]) for line in page.lines if not any(chars[k] <= most for k in line[4])]
+    """Lines that are in no element that is left out. Where none of them stands in an ``article`` or ``main``, an element that
+    holds more than half of the text is not left out."""
+    plain = [line for line in page.lines if not line[4]]
+    named = {i for i, kind in enumerate(page.kind) if kind in ("article", "main")}
+    if not any(line[3] in named or _inside(page.parent, line[3], named) for line in plain):
+        chars = np.zeros(page.n_outs, np.int64)
+        for text, *_, outs in page.lines:
+            chars[list(outs)] += len(text)
+        most = sum(len(line[0]) for line in page.lines) / 2
+        plain = [line for line in page.lines if not any(chars[k] <= most for k in line[4])]
+    return [tuple(line[:4]) for line in plain]
 
 
 def main_text(html: str | None) -> str:
