@@ -120,3 +120,10 @@ SELECT v.vec_id, f.best.c AS cluster, f.best.d AS distance, i.s AS cluster_inert
        (SELECT sum(s)::BIGINT FROM i) AS inertia, sha256(array_to_string(m3.m, ',')) AS centroid_sha256, i.n AS n_cluster
 FROM v JOIN f USING (rid) JOIN i ON i.c = f.best.c JOIN m3 ON m3.c = i.c
 """
+
+ORACLES["op12_superminhash"] = (
+    ORACLES["op3_jaccard_join"]
+    .replace("ws[i:i+4]", "ws[i:i+3]")
+    .replace("greatest(len(ws) - 4, 1)", "greatest(len(ws) - 3, 1)")
+    .replace("min(o.doc_id) AS component_id", "min(o.doc_id) AS component_id, t.doc_id = min(o.doc_id) AS kept")
+)
