@@ -48,3 +48,11 @@ def test_pairs_in_blocks(tables, sizes, least):
 
 def test_no_profiles(tables):
     assert matching.posting_x_profile(tables[0], tables[1].limit(0)).count() == 0
+
+
+def test_top_two_in_blocks(tables, sizes):
+    got = matching.top_two(*tables)
+    want = matching.best_and_runner_up(matching.term_scores(*tables))
+    assert got.dtypes == want.dtypes
+    assert rows(got, *want.columns) == rows(want, *want.columns)
+    assert "Join" not in operators(got)
