@@ -56,3 +56,15 @@ def test_top_two_in_blocks(tables, sizes):
     assert got.dtypes == want.dtypes
     assert rows(got, *want.columns) == rows(want, *want.columns)
     assert "Join" not in operators(got)
+
+
+def test_requests_take_texts_through_no_join_on_terms(tables):
+    """One join by key, for the texts, and two with the profiles that were found."""
+    got = matching.match_input(*tables)
+    assert operators(got).count("Join") == 3
+    named = matching.best_and_runner_up(matching.term_scores(*tables)).collect()
+    sections = {r.filename: f"--- Resume: {r.filename} (L) ---\n{r.content}" for r in tables[1].collect()}
+    want = {r.dedup_key: "\n\n".join(sections[f] for f in (r.best_filename, r.runner_up_filename) if f) for r in named}
+    for r in got.where("dedup_key IS NOT NULL AND description IS NOT NULL").collect():
+        head = f"--- Job Description ---\n{r.description}"
+        assert r.request == (f"{head}\n\n{want[r.dedup_key]}" if r.dedup_key in want else head)
