@@ -68,3 +68,11 @@ def test_requests_take_texts_through_no_join_on_terms(tables):
     for r in got.where("dedup_key IS NOT NULL AND description IS NOT NULL").collect():
         head = f"--- Job Description ---\n{r.description}"
         assert r.request == (f"{head}\n\n{want[r.dedup_key]}" if r.dedup_key in want else head)
+
+
+def test_gaps_in_blocks(tables, sizes):
+    got = matching.lexical_match(*tables)
+    plain = matching.best_and_runner_up(matching.term_scores(*tables)).drop("n_shared", "n_terms")
+    want = matching.with_labels(matching.with_gaps(plain, *tables), tables[1])
+    assert rows(got, *want.columns) == rows(want, *want.columns)
+    assert operators(got).count("Join") == 2  # labels; no join of terms for gaps, no second reading of the texts
