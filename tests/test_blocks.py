@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import blocks, matching
+from tidemark.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -76,3 +77,9 @@ def test_gaps_in_blocks(tables, sizes):
     want = matching.with_labels(matching.with_gaps(plain, *tables), tables[1])
     assert rows(got, *want.columns) == rows(want, *want.columns)
     assert operators(got).count("Join") == 2  # labels; no join of terms for gaps, no second reading of the texts
+
+
+@pytest.mark.parametrize("name", ["missing_keywords"])
+def test_gap_queries_read_texts_once(spark, name):
+    registry.load()
+    assert "Join" not in operators(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
