@@ -79,7 +79,7 @@ def test_gaps_in_blocks(tables, sizes):
     assert operators(got).count("Join") == 2  # labels; no join of terms for gaps, no second reading of the texts
 
 
-@pytest.mark.parametrize("name", ["missing_keywords"])
+@pytest.mark.parametrize("name", ["missing_keywords", "missing_top8"])
 def test_gap_queries_read_texts_once(spark, name):
     registry.load()
     assert "Join" not in operators(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
