@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,19 @@ def test_gaps_in_blocks(tables, sizes):
 def test_gap_queries_read_texts_once(spark, name):
     registry.load()
     assert "Join" not in operators(registry.QUERIES[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_scores_of_a_function_in_blocks(tables, sizes):
+    """Pairs are found where they are scored: no join on terms before, one with the postings after it."""
+
+    def overlap(batch):
+        wanted = [set(c.split()) for c in batch["content"]]
+        return pd.Series([len(w & set(d.split())) / len(w) for d, w in zip(batch["description"], wanted)])
+
+    postings = tables[0].where("dedup_key IS NOT NULL")
+    columns = ("dedup_key", "best_filename", "best_score", "runner_up_filename", "runner_up_score")
+    want = matching.best_and_runner_up(matching.term_scores(*tables))
+    for cell in (7, 256):
+        got = matching.score_with(postings, tables[1], overlap, cell=cell)
+        assert rows(got.where("best_filename IS NOT NULL"), *columns) == rows(want, *columns)
+        assert got.count() == postings.count() and operators(got).count("Join") == 1
