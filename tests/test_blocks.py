@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import terms
 from tidemark.operators import blocks, matching
 from tidemark.plans import registry
 
@@ -72,6 +73,19 @@ def test_requests_take_texts_through_no_join_on_terms(tables):
         assert r.request == (f"{head}\n\n{want[r.dedup_key]}" if r.dedup_key in want else head)
 
 
+def test_terms_are_taken_where_texts_meet_a_block(tables):
+    """Before the shuffle as many tasks would take them as a file has row groups, and lists of terms would travel."""
+    assert "regexp_extract_all" not in operators(matching.top_two(*tables))
+
+
+def test_terms_of_a_text_are_those_of_the_expression(spark):
+    letters = [chr(c) for c in [*range(0x870), *range(0x1E00, 0x2C00), *range(0xFE00, 0x10000)] if c]
+    odd = ["ΑΣ ΑΣΑ İI aΣ.", "e\u0301t\u0301 x_y-z", "½²Ⅷ٣ 数字12", "", "\x85a\u2028b\u00a0c", None]
+    texts = [f"aSx{c}Yz" for c in letters] + odd
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", terms(F.col("t")).alias("x")).collect()
+    assert [r.t for r in got if {w.decode() for w in blocks.term_set(r.t)} != set(r.x or [])] == []
+
+
 def test_gaps_in_blocks(tables, sizes):
     got = matching.lexical_match(*tables)
     plain = matching.best_and_runner_up(matching.term_scores(*tables)).drop("n_shared", "n_terms")
