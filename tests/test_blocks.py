@@ -114,3 +114,11 @@ def test_scores_of_a_function_in_blocks(tables, sizes):
         got = matching.score_with(postings, tables[1], overlap, cell=cell)
         assert rows(got.where("best_filename IS NOT NULL"), *columns) == rows(want, *columns)
         assert got.count() == postings.count() and operators(got).count("Join") == 1
+
+
+def test_a_function_gets_many_pairs_in_a_call(spark):
+    """Whatever it does for each text of a batch, it does once a call and not again for every few postings."""
+    postings = spark.range(800).selectExpr("CAST(id AS STRING) AS dedup_key", "'w' AS description")
+    profiles = spark.range(100).selectExpr("CAST(id AS STRING) AS filename", "'' AS role_label", "'w' AS content")
+    got = matching.score_with(postings, profiles, lambda batch: pd.Series([float(len(batch))] * len(batch)))
+    assert got.agg(F.min("best_score")).first()[0] > 4096
