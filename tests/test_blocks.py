@@ -94,6 +94,13 @@ def test_gaps_in_blocks(tables, sizes):
     assert operators(got).count("Join") == 2  # labels; no join of terms for gaps, no second reading of the texts
 
 
+def test_first_gaps_leave_a_task_alone(tables, sizes):
+    whole, some = (matching.match_scores(*tables, gaps=True, first=n) for n in (None, 8))
+    want = [(k, found[:8]) for k, found in rows(whole, "dedup_key", "missing_keywords")]
+    assert rows(some, "dedup_key", "missing_keywords") == want
+    assert max(len(found) for _, found in rows(whole, "dedup_key", "missing_keywords")) > 8
+
+
 @pytest.mark.parametrize("name", ["missing_keywords", "missing_top8"])
 def test_gap_queries_read_texts_once(spark, name):
     registry.load()
