@@ -89,3 +89,31 @@ def test_index_names_every_record(docs, rows):
 def test_no_documents(docs, rows):
     manifest = sq.write(docs(rows).limit(0), PATH, end_id=2)
     assert manifest.count() == 0 and sq.read(manifest).count() == 0 and sq.read_shuffled(manifest, 1).count() == 0
+
+
+def test_words_are_looked_up_once_for_many_texts():
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, word):
+            Counted.asked += 1
+            return super().__getitem__(word)
+
+    encoder = sq.WordEncoder(PATH)
+    encoder.words = Counted()
+    odd = ["", " ", "a  b\n\nc\t", "Straße, e\u0301té!? \x01 x", "\x0bWORD\x0c word. (word) don't <|endoftext|> 12.5", "数字 \U0001f600\u00a0z\u2028y"]
+    texts = odd + ["the word of the Word, " * 50] * 100
+    plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(texts)] == [e.ids for e in plain]
+    assert Counted.asked < 100
+
+
+def test_words_of_letters_go_to_the_model_alone():
+    encoder = sq.WordEncoder(PATH)
+    seen = []
+    whole = encoder._encode
+    encoder._encode = lambda texts: seen.extend(texts) or whole(texts)
+    texts = ["Straße ÉTÉ, niñó ẞ Ÿ Å K İ ſ Ʒ e\u0301té a\u0308, naïve... É! ÷ × ª º", "don't ça: Ça? œuvre Ĳ ﬀ µ"]
+    plain = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(ids, encoder.dtype).tolist() for ids in encoder.encode(texts)] == [e.ids for e in plain]
+    assert not any(w in " ".join(seen) for w in ("straße", "niñó", "naïve"))

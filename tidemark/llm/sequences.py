@@ -16,6 +16,8 @@ equal id are ordered by a hash of their text. Further columns are not written. N
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,20 +25,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import files
+from .hashing import parts
 
 FILE_BYTES = 256 << 20
 MASK_DELTA = 0xA282EAD8
-KEPT_WORDS = 500_000
+KEPT_WORDS = 1_000_000
 MANIFEST = "part long, file_no long, path string, n_records long, n_tokens long, n_bytes long"
 JOINED_WORDS = 2000
+CODED_BYTES = 6 << 20  # texts that are encoded at once
 _BREAKS = "\t\n\x0b\x0c\r"
 _MARK = "\x01"
 _PUNCTUATION = ".,!?;:"
+_LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
 
 
 def masked(data: bytes) -> int:
@@ -71,15 +78,45 @@ class WordEncoder:
         self.lowers = normal("AZ") == "az"
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None  # an id that nothing but the mark has
+        self.bare, self.shown = self._bare()
         self.words: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
 
+    def _bare(self) -> tuple[Tokenizer | None, dict[int, str]]:
+        """The model without normalizer and pre-tokenizer, which take most of the time and leave words of ``_LETTERS`` as they
+        are, and the characters that stand for bytes; none where ids of such words differ."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        spec = json.loads(self.tokenizer.to_str())
+        if not (self.by_word and self.lowers) or any(_PLAIN.fullmatch(t["content"].lower()) for t in spec["added_tokens"]):
+            return None, {}
+        bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": None, "post_processor": None}))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        shown = {}
+        for char in map(chr, range(0x100)):  # in UTF-8 these have all bytes that words of letters have
+            shown.update(zip(char.encode(), level.pre_tokenize_str(char)[0][0]))
+        tried = [*_LETTERS, _LETTERS, *(a + b for a in _LETTERS for b in _LETTERS)]
+        coded = bare.encode_batch_fast([w.encode().decode("latin-1").translate(shown) for w in tried], add_special_tokens=False)
+        whole = self.tokenizer.encode_batch_fast(tried, add_special_tokens=False)
+        return (bare, shown) if [e.ids for e in coded] == [e.ids for e in whole] else (None, {})
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of single words; many go to the tokenizer as one text, with a mark between them."""
+        """Ids of single words: those of letters by the bare model, many others as one text with a mark between them."""
+        if self.bare is not None:
+            plain = [w for w in words if _PLAIN.fullmatch(w)]
+            shown = [w if w.isascii() else w.encode().decode("latin-1").translate(self.shown) for w in plain]
+            coded = self.bare.encode_batch_fast(shown, add_special_tokens=False)
+            known = {w: np.array(e.ids, self.dtype).tobytes() for w, e in zip(plain, coded)}
+            others = [w for w in words if w not in known]
+            known.update(zip(others, self._encode_marked(others)))
+            return [known[w] for w in words]
+        return self._encode_marked(words)
+
+    def _encode_marked(self, words: list[str]) -> list[bytes]:
         if self.mark is None or any(_MARK in w for w in words):
             return self._encode(words)
         texts = [f" {_MARK} ".join(words[at : at + JOINED_WORDS]) for at in range(0, len(words), JOINED_WORDS)]
@@ -92,9 +129,11 @@ class WordEncoder:
 
     def _parts(self, word: str) -> tuple[str, str]:
         """A plain word in the case that the tokenizer sees, and the punctuation behind it."""
+        stem = word.rstrip(_PUNCTUATION)
+        if self.bare is not None and _PLAIN.fullmatch(low := stem.lower()):
+            return low, word[len(stem) :]
         if not word.isascii() or "<|" in word:
             return word, ""
-        stem = word.rstrip(_PUNCTUATION)
         if stem and stem[-1].isalnum():
             word, tail = stem, word[len(stem) :]
         else:
@@ -102,24 +141,32 @@ class WordEncoder:
         return (word.lower() if self.lowers else word), tail
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts, as little-endian unsigned integers of ``width`` bytes."""
+        """Ids of whole texts, as little-endian unsigned integers of ``width`` bytes.
+
+        Words are split, numbered and put together again as Arrow arrays: Python sees each distinct word of ``texts`` once.
+        """
         if not self.by_word:
             return self._encode(texts)
         if len(self.words) > KEPT_WORDS:
             self.words = {}
         if len(self.stems) > KEPT_WORDS:
             self.stems = {}
+        whole = pa.array(texts, pa.string())
         for char in _BREAKS:
-            texts = [t.replace(char, " ") for t in texts]
-        split = [t.split(" ") for t in texts]
-        known = self.words
-        fresh = {w for words in split for w in words if w not in known}
-        parts = {w: self._parts(w) for w in fresh}
-        stems = self.stems
-        new = list({p for pair in parts.values() for p in pair if p not in stems})
+            whole = pc.replace_substring(whole, char, " ")
+        split = pc.split_pattern(whole, " ")
+        numbered = split.flatten().dictionary_encode()
+        words, known, stems = numbered.dictionary.to_pylist(), self.words, self.stems
+        fresh = [w for w in words if w not in known]
+        pairs = [self._parts(w) for w in fresh]
+        new = list({p for pair in pairs for p in pair if p not in stems})
         stems.update(zip(new, self._encode_words(new)))
-        known.update((w, stems[a] + stems[b]) for w, (a, b) in parts.items())
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        known.update((w, stems[a] + stems[b]) for w, (a, b) in zip(fresh, pairs))
+        ids = pa.array([known[w] for w in words], pa.binary()).take(numbered.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int32)[split.offsets.to_numpy()].tolist()
+        data = data.to_pybytes() if data else b""
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
 
 
 def frame(doc_id: int | None, ids: bytes, width: int) -> bytes:
@@ -168,9 +215,9 @@ def write(
 
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                coded = encode.encode(texts[at : at + 256])
-                for doc_id, tokens in zip(ids[at : at + 256], coded):
+            for at, to in parts(batch.column(1), CODED_BYTES):
+                coded = encode.encode(texts[at:to])
+                for doc_id, tokens in zip(ids[at:to], coded):
                     if data is not None and row["n_bytes"] >= file_bytes:
                         close()
                     if data is None:
