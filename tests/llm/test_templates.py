@@ -122,3 +122,27 @@ def test_a_hot_line_and_a_very_long_text(docs):
     rows = [(i, f"{LONG}\nown {i}") for i in range(500)] + [(1000, "\n".join(f"{LONG} {chr(97 + i % 26)} {i}" for i in range(3000)))]
     got = dropped(docs(rows))
     assert sum(n for k, (_, n) in got.items() if k < 1000) == 499 and got[0][1] == 0
+
+
+def test_lines_without_enough_constants_go_before_the_join(spark):
+    """Three of nine words agree in line 1, seven in line 2: only the keys of line 2 are joined with their counts."""
+    keys = [(i * 0x9E3779B97F4A7C15) % 2**64 - 2**63 for i in range(1, 19)]
+    worded = spark.createDataFrame([(1, keys[:9]), (2, keys[9:])], "line long, keys array<long>")
+    agreed = spark.createDataFrame([(k,) for k in keys[:3] + keys[11:]], "key long")
+    (bits,) = templates._bitmaps(agreed, templates.KEY_BITS, "true")
+    got = templates._placed(worded, bits).collect()
+    assert [(r["line"], r["most"], r["keys"]) for r in got] == [(2, 7, keys[11:])]
+
+
+def test_words_are_counted_where_they_are_read(spark):
+    """Documents and occurrences travel with a line's words: no table of all distinct lines is joined for them."""
+    line = "a line of nine words that stands here twice"
+    table = spark.createDataFrame([(1, 5, f"{line}\n{line}"), (2, -7, line), (None, 9, line)], "id long, doc long, text string")
+    got = templates._worded(table.coalesce(1), b"\xff" * ((1 << templates.LEAF_BITS) // 8)).collect()
+    assert [(r.low, r.high, r.often, len(r["keys"])) for r in got] == [(-7, 5, 3, 9)]
+
+
+def test_a_text_is_taken_apart_once(docs):
+    """Cutting takes time in proportion to a text, however many lines it has."""
+    out = templates.drop_lines(docs([(1, LONG), (2, f"{LONG}\nbeta")]))
+    assert "lambdafunction(split(" not in out._jdf.queryExecution().optimizedPlan().toString()
