@@ -2,11 +2,12 @@
 
 import json
 import random
+import re
 
 import pandas as pd
 import pytest
 
-from tidemark.operators import extract, matching
+from tidemark.operators import blocks, extract, matching
 from tidemark.plans import registry
 
 registry.load()
@@ -236,3 +237,17 @@ def test_links(spark):
         (1, "Two", "https://example.com/c/rel/2"),
         (2, "Here", "https://example.com/c/list?x=1"),
     ]
+
+
+def test_term_overlap_equals_a_plain_loop(monkeypatch):
+    """Any pairs in any order, and each text is read once a call, whatever the number of its pairs."""
+    texts = [f"Spark_SQL  caf\u00e9{i % 3} w{i % 5}, w{i % 7}" + " \u00c9t\u00e9 x-y" * (i % 2) for i in range(40)] + ["", "of its own"]
+    known = [f"W{i % 4} sql w{i % 6} \u00e9t\u00e9" for i in range(9)]
+    pairs = [(i, k) for k in range(9) for i in range(42) if (i * k) % 5 != 1]
+    batch = pd.DataFrame([(f"p{i}", f"{k}.md", texts[i], known[k]) for i, k in pairs], columns=["dedup_key", "filename", "description", "content"])
+    read = []
+    monkeypatch.setattr(blocks, "term_set", lambda text, fn=blocks.term_set: read.append(text) or fn(text))
+    words = lambda text: set(re.findall(r"[^\W_]+", text.lower()))
+    want = [len(words(texts[i]) & words(known[k])) / len(words(known[k])) for i, k in pairs]
+    assert matching.term_overlap(batch).tolist() == want
+    assert len(read) == 42 + 9
