@@ -87,6 +87,21 @@ def test_remembered_words_are_bounded(monkeypatch):
             assert coder.held < 3000 + 100 * 400
 
 
+def test_a_worker_of_one_way_remembers_little(monkeypatch):
+    import tracemalloc
+
+    coder = pieces.Encoder(PATH)
+    monkeypatch.setattr(coder.model, "encode_words", lambda words, how: [[w.encode()[-12:].rjust(12) for w in words]])
+    tracemalloc.start()
+    try:
+        for at in range(0, 1_000_000, 20_000):
+            coder.encode([" ".join(f"word{i}" for i in range(at, at + 20_000))])
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 96 << 20
+
+
 def test_viterbi_finds_the_highest_score(monkeypatch):
     model = pieces.Model(PATH)
     words = sorted({"▁" + w for t in some(60, 5) for w in t.split(" ") if w} | {"▁", "▁▁▁", "zq", "漢字" * 9})

@@ -37,11 +37,12 @@ from .hashing import parts
 from .tables import unused
 
 SPACE = "▁"
-KEPT_BYTES = 320 << 20  # of words that a task remembers with their ids
+KEPT_BYTES = 192 << 20  # of words that a worker remembers with both ways' ids, and keeps while it runs other stages; of one way a third
 _ENTRY = 350  # bytes that a word takes beside its letters and ids
 LONG_WORD = 64
 _CELLS = 2_000_000  # of the score table at once
 _BASE = np.uint64(0x100000001B3)
+_SPREAD, _SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(46)  # of a hash, to one of 2 ** 18 marks
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 UNKNOWN_PENALTY = 10.0
 
@@ -106,7 +107,7 @@ class Model:
         self.alphabet = {c for i in usable for c in self.text[i]}
         self.by_text = {self.text[i]: i for i in usable}
         self.longest = max(len(self.text[i]) for i in usable)
-        # by length: sorted hashes, the piece of each and its characters
+        # by length: sorted hashes, the piece of each and its characters, and marks that most hashes of no piece miss
         self.tables = {}
         for size in range(1, self.longest + 1):
             own = [i for i in usable if len(self.text[i]) == size]
@@ -116,20 +117,20 @@ class Model:
                 for k in range(size):
                     key = key * _BASE + chars[:, k]
                 order = np.argsort(key)
-                self.tables[size] = (key[order], np.array(own)[order], chars[order])
-
-    def _probe(self, chars: np.ndarray, key: np.ndarray, begin: np.ndarray, size: int) -> np.ndarray:
-        """Pieces whose characters start at the columns ``begin``; -1 where there is none."""
-        keys, ids, text = self.tables[size]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        row, col = np.nonzero(keys[at] == key)
-        found = np.full(key.shape, -1, np.int32)
-        if len(row):
-            same = np.ones(len(row), bool)
-            for k in range(size):
-                same &= chars[row, begin[col] + k] == text[at[row, col], k]
-            found[row[same], col[same]] = ids[at[row[same], col[same]]]
-        return found
+                marks = np.zeros(1 << 64 - int(_SHIFT), bool)
+                marks[key * _SPREAD >> _SHIFT] = True
+                self.tables[size] = (key[order], np.array(own)[order], chars[order], marks)
+
+    def _probe(self, chars: np.ndarray, key: np.ndarray, begin: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces whose characters start at the columns ``begin``: the row, the start and the id of each."""
+        keys, ids, text, marks = self.tables[size]
+        row, col = np.divmod(np.flatnonzero(marks[key * _SPREAD >> _SHIFT]), max(1, key.shape[1]))
+        own, start = key[row, col], begin[col]
+        at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+        same = keys[at] == own
+        for k in range(size):
+            same &= chars[row, start + k] == text[at, k]
+        return row[same], start[same], ids[at[same]]
 
     def _by_start(self, words: list[str]) -> np.ndarray:
         """The piece (or -1) at every start and of every size in words of one length."""
@@ -142,13 +143,14 @@ class Model:
             begin = np.arange(length - size + 1)
             key = key[:, : len(begin)] * _BASE + chars[:, size - 1 : size - 1 + len(begin)]
             if size in self.tables:
-                which[:, begin, size] = self._probe(chars, key, begin, size)
+                row, start, ids = self._probe(chars, key, begin, size)
+                which[row, start, size] = ids
         return which
 
     def _short(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """As ``_viterbi``, from the pieces by start."""
         n, length, most = which.shape[0], which.shape[1], which.shape[2] - 1
-        score = np.where(which >= 0, self.scores[which], -np.inf)
+        score = np.append(self.scores, -np.inf)[which]  # the last, at -1, is that of no piece
         score[:, :, 1][which[:, :, 1] < 0] = self.unknown_score
         best = np.full((n, length + 1), -np.inf)
         best[:, 0] = 0
@@ -202,10 +204,10 @@ class Model:
                 key = key[:, : len(begin)] * _BASE + chars[:, first + size - 1 : first + size - 1 + len(begin)]
                 if size in self.tables:
                     use = begin + size - 1 >= low
-                    found = self._probe(chars, key[:, use], begin[use], size)
-                    ends = begin[use] + size - 1 - low
-                    which[:, ends, most - size] = found
-                    score[:, ends, most - size] = np.where(found >= 0, self.scores[found], -np.inf)
+                    row, start, ids = self._probe(chars, key[:, use], begin[use], size)
+                    ends = start + size - 1 - low
+                    which[row, ends, most - size] = ids
+                    score[row, ends, most - size] = self.scores[ids]
             alone = which[:, :, most - 1] < 0
             score[:, :, most - 1][alone] = self.unknown_score
             for end in range(low, high):
@@ -220,17 +222,18 @@ class Model:
     def _merge(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of words of one length by merging the best pair, the leftmost of equals, again and again; as ``_viterbi``."""
         n, length, most = which.shape[0], which.shape[1], which.shape[2] - 1
-        score = np.where(which >= 0, self.scores[which], -np.inf)
+        flat, score = which.ravel(), np.append(self.scores, -np.inf)  # as in ``_short``
         size = np.ones((n, length + 1), np.int64)  # of the segment that starts here; 0 inside of one
         size[:, length] = most  # no pair reaches over the end
         active, starts = np.arange(n), np.arange(length)
         while len(active):
-            own = size[active]
-            follow = np.minimum(starts + own[:, :length], length)
-            both = own[:, :length] + np.take_along_axis(own, follow, 1)
-            fits = (own[:, :length] > 0) & (both <= most) & (follow < length)
-            pair = np.take_along_axis(score[active], np.where(fits, both, 0)[:, :, None], 2)[:, :, 0]
-            pair[~fits] = -np.inf
+            whole = size[active]
+            own = whole[:, :length]
+            follow = np.minimum(starts + own, length)
+            both = own + np.take_along_axis(whole, follow, 1)
+            fits = (own > 0) & (both <= most) & (follow < length)
+            # a piece of size 0 is none
+            pair = score[flat[(active[:, None] * length + starts) * (most + 1) + np.where(fits, both, 0)]]
             at = pair.argmax(axis=1)
             rows = np.arange(len(active))
             good = pair[rows, at] > -np.inf
@@ -337,7 +340,7 @@ class Encoder:
 
     def encode_ways(self, texts: list[str]) -> list[list[np.ndarray]]:
         """Ids of all texts, a list for each way."""
-        if self.held > KEPT_BYTES:
+        if self.held > (KEPT_BYTES if len(self.words) > 1 else KEPT_BYTES // 3):
             self.words, self.held = [{} for _ in self.words], 0
         front = SPACE if self.model.prefix else ""
         split = [self.cut.findall(front + t.replace(" ", SPACE)) if t else [] for t in texts]
