@@ -1,5 +1,6 @@
 """Lexical scores, replies and the scoring hook."""
 
+import hashlib
 import json
 import random
 import re
@@ -71,6 +72,34 @@ def test_request_holds_the_whole_description_and_two_whole_profiles(spark, profi
     assert got["none"]["request"] == f"--- Job Description ---\n{long}"
 
 
+def test_request_with_every_profile(spark):
+    """In the order of their files, whatever they share with a posting, and rows of any key stay."""
+    names = [f"{c}{i}.md" for i in (2, 10, 1) for c in ("b", "B", "\u00e9")]
+    known = spark.createDataFrame([(f, f.upper(), f"text of {f}\n") for f in names], "filename string, role_label string, content string")
+    texts = [("p", "text of b1"), ("p", "the same key"), (None, "no key"), ("unheard", "\u6570 x"), ("empty", ""), ("null", None)]
+    posted = spark.createDataFrame(texts, "dedup_key string, description string")
+    sections = "".join(f"\n\n--- Resume: {f} ({f.upper()}) ---\ntext of {f}\n" for f in sorted(names))
+    for profiles, end in ((known, sections), (known.limit(0), "")):
+        got = matching.match_input(posted, profiles, every=True)
+        want = [(*row, None if row[1] is None else f"--- Job Description ---\n{row[1]}{end}") for row in texts]
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Repartition" not in plan
+
+
+def test_requests_of_the_query_hold_every_profile(spark):
+    """Those of the given tables, beside a plain loop over their rows."""
+    sf = "/root/testdata/sf0.001"
+    known = {f"{r.item_id:05d}": r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    sections = "\n\n".join(f"--- Resume: profile_{i}.md (Profile {i}) ---\n{known[i]}" for i in sorted(known))
+    got = {r.dedup_key: (r.request_chars, r.request_sha256) for r in registry.QUERIES["match_input"](spark, sf).collect()}
+    want = {}
+    for row in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        request = f"--- Job Description ---\n{row.text}\n\n{sections}"
+        want[str(row.doc_id)] = len(request), hashlib.sha256(request.encode()).hexdigest()
+    assert len(known) == 40 and got == want
+
+
 @pytest.fixture(scope="module")
 def many(spark):
     """2,000 profiles that all share frequent terms, each with two of its own."""

@@ -217,17 +217,14 @@ def parse_match(spark, sf):
     )
 
 
-@query(f"""
-WITH {o.overlap("documents", "CAST(doc_id AS VARCHAR)", "text")},
-s AS (SELECT printf('profile_%05d.md', item_id) AS filename, chr(10) || chr(10) || '--- Resume: ' || printf('profile_%05d.md', item_id)
+@query("""
+WITH s AS (SELECT printf('profile_%05d.md', item_id) AS filename, chr(10) || chr(10) || '--- Resume: ' || printf('profile_%05d.md', item_id)
         || ' (Profile ' || printf('%05d', item_id) || ') ---' || chr(10) || text AS section FROM benchmark),
-r AS (SELECT CAST(doc_id AS VARCHAR) AS dedup_key, '--- Job Description ---' || chr(10) || text
-        || coalesce(a.section, '') || coalesce(c.section, '') AS request
-      FROM documents LEFT JOIN bm ON bm.dedup_key = CAST(doc_id AS VARCHAR)
-      LEFT JOIN s a ON a.filename = best_filename LEFT JOIN s c ON c.filename = runner_up_filename)
+a AS (SELECT coalesce(string_agg(section, '' ORDER BY filename, section), '') AS sections FROM s),
+r AS (SELECT CAST(doc_id AS VARCHAR) AS dedup_key, '--- Job Description ---' || chr(10) || text || sections AS request FROM documents, a)
 SELECT dedup_key, length(request) AS request_chars, sha256(request) AS request_sha256 FROM r""")
 def match_input(spark, sf):
-    requests = matching.match_input(b.documents(spark, sf), b.profiles(spark, sf))
+    requests = matching.match_input(b.documents(spark, sf), b.profiles(spark, sf), every=True)
     return requests.select(
         "dedup_key",
         F.length("request").cast("bigint").alias("request_chars"),
